@@ -21,8 +21,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe,)}
+    return {f.__name__: f for f in (op1_byte_bpe, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
