@@ -21,6 +21,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritome.llm.simhash import near_duplicates
 
@@ -35,8 +41,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op5_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from veritome.llm import decontaminate
+
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
