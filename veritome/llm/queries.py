@@ -33,6 +33,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.substrings import dedup
+
+    return dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritome.llm.toxicity import fit, score
 
@@ -41,7 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op8_suffix_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
