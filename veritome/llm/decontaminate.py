@@ -38,15 +38,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
     return parts.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s") + 1, window).alias("window")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``key, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``.
-
-    Null and empty texts have no words and are clean; items with a null key or no words
-    have no windows; without items all documents are clean. Rows with equal keys and
-    texts give equal rows, those with equal keys and other texts are told apart, null keys
-    are kept. Other columns are left out.
-    """
-    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+def _measured(base: DataFrame, items: DataFrame, item_key: str, item_text: str, window: int) -> DataFrame:
+    """``base`` (key, text, h and any more) with the contract's columns in place of ``text`` and ``h``."""
+    more = [c for c in base.columns if c not in ("key", "text", "h")]
     windows = item_windows(items, item_key, item_text, window)
     apart = windows.select("window").distinct().select(F.xxhash64("window").alias("wid"), "window")
     parts = apart.select("wid", F.posexplode("window").alias("at", "word"))
@@ -61,15 +55,35 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     start = F.col("pos") - F.col("at")
     placed = found.where((start >= 0) & (start + F.col("n_window") <= F.col("n"))).groupBy("key", "h").agg(F.collect_set(F.struct(start.alias("s"), F.col("n_window").alias("n"), "item", "window")).alias("c"))
     c = placed.select(F.col("key").alias("c_key"), F.col("h").alias("c_h"), "c")
-    joined = base.join(c, F.col("key").eqNullSafe(F.col("c_key")) & (F.col("h") == F.col("c_h")), "left").select("key", words(F.col("text")).alias("w"), "c")
+    joined = base.join(c, F.col("key").eqNullSafe(F.col("c_key")) & (F.col("h") == F.col("c_h")), "left").select("key", *more, words(F.col("text")).alias("w"), "c")
     true = F.filter("c", lambda x: F.slice("w", x["s"] + 1, x["n"]) == x["window"])
-    kept = joined.select("key", F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<s:int,n:int,item:string,window:array<string>>>")).alias("c"))
+    kept = joined.select("key", *more, F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<s:int,n:int,item:string,window:array<string>>>")).alias("c"))
     spans = F.array_sort(F.array_distinct(F.transform("c", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e")))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
     covered = F.aggregate(spans, zero, lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), (a["total"] + F.greatest(x["e"] - F.greatest(x["s"], a["end"]), F.lit(0))).alias("total")), lambda a: a["total"])
     item_ids = F.array_sort(F.array_distinct(F.transform("c", lambda x: x["item"])))
-    told = kept.select("key", "n_words", covered.alias("n_hit"), item_ids.alias("i"))
-    return told.select(F.col("key").alias(key), "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    told = kept.select("key", *more, "n_words", covered.alias("n_hit"), item_ids.alias("i"))
+    return told.select("key", *more, "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``key, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``.
+
+    Null and empty texts have no words and are clean; items with a null key or no words
+    have no windows; without items all documents are clean. Rows with equal keys and
+    texts give equal rows, those with equal keys and other texts are told apart, null keys
+    are kept. Other columns are left out.
+    """
+    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    base = base.select("key", "text", "h")
+    told = _measured(base, items, item_key, item_text, window)
+    return told.withColumnRenamed("key", key)
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that ``contamination`` finds clean, all columns as they are."""
+    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.struct("*").alias("row")).withColumn("h", F.xxhash64("text"))
+    return _measured(base, items, item_key, item_text, window).where("not contaminated").select("row.*")
 
 
 ORACLE_SQL = r"""

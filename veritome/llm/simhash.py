@@ -172,3 +172,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     member = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return made.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """``docs`` with the row of the smallest key of each component; rows that repeat key and text stay once, rows without a key stay."""
+    named = near_duplicates(docs, key, text, radius, words).select(F.col("component_id").alias("kept__")).where("kept__ is not null").distinct()
+    stay = docs.join(named, F.col(key) == F.col("kept__"), "left_semi").withColumn("text__", F.xxhash64(text)).dropDuplicates([key, "text__"]).drop("text__")
+    return stay.unionByName(docs.where(F.col(key).isNull()))

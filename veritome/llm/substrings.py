@@ -209,45 +209,70 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: i
     return written(hits.groupBy("id").agg(F.collect_set(F.struct("b", "e")).alias("spans")), "hits")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for each row, and with ``keep_text`` the remaining ``text``.
+def _merged(spans: list[dict] | None) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for b, e in sorted((s["b"], s["e"]) for s in spans or ()):
+        if merged and b <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([b, e])
+    return merged
+
+
+def _without(data: bytes, merged: list[list[int]]) -> bytes:
+    at, rest = 0, []
+    for b, e in merged:
+        rest.append(data[at:b])
+        at = e
+    return b"".join([*rest, data[at:]])
+
+
+def _identified(docs: DataFrame, key: str, text: str):
+    return F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\u0000")), F.col(text).cast("string"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for each row.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in the
     same text or another; strings are judged on the input. Null counts as empty. Rows that
     repeat key and text lose all that is long enough, as each is elsewhere too; rows with
     equal keys and other texts are told apart by a 64-bit hash of both. Other columns are
-    left out, empty tables give empty ones. In ``text``, characters of which a byte was removed go whole.
+    left out, empty tables give empty ones.
     """
-    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    base = base.withColumn("id", F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("\u0000")), "text"))
-    found = repeats(base, "text", length, anchor)
-    joined = base.join(found, "id", "left").select("key", "text", "spans")
-    kind = joined.schema["key"].dataType.simpleString()
+    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _identified(docs, key, text).alias("id"))
+    joined = base.join(repeats(base, "text", length, anchor), "id", "left").select("key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, count, sha, kept = [], [], [], [], []
+            n, left, count, sha = [], [], [], []
             for x, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data = (x.as_py() or "").encode("utf-8", "replace")
-                merged: list[list[int]] = []
-                for b, e in sorted((s["b"], s["e"]) for s in spans.as_py() or ()):
-                    if merged and b <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([b, e])
-                at, rest = 0, []
-                for b, e in merged:
-                    rest.append(data[at:b])
-                    at = e
-                left = b"".join([*rest, data[at:]])
+                data, merged = (x.as_py() or "").encode("utf-8", "replace"), _merged(spans.as_py())
+                rest = _without(data, merged)
                 n.append(len(data))
-                gone.append(len(data) - len(left))
+                left.append(len(data) - len(rest))
                 count.append(len(merged))
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "ignore") if keep_text else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
-            names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * keep_text, names=names + ["text"] * keep_text)
+                sha.append(hashlib.sha256(rest).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    schema = f"key {joined.schema['key'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with what ``dedup`` removes taken out of ``text``; a character of which a byte goes is left out whole. All rows stay, null texts too."""
+    base = docs.select(F.col(text).cast("string").alias("text"), _identified(docs, key, text).alias("id"))
+    found = repeats(base, "text", length, anchor).select(F.col("id").alias("id__"), F.col("spans").alias("spans__"))
+    joined = docs.withColumn("of__", _identified(docs, key, text)).join(found, F.col("of__") == F.col("id__"), "left").drop("of__", "id__")
+    at, names, kind = docs.columns.index(text), docs.columns, pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for x, spans in zip(batch.column(at), batch.column(len(names)), strict=True):
+                whole, merged = x.as_py(), _merged(spans.as_py())
+                texts.append(_without(whole.encode("utf-8", "replace"), merged).decode("utf-8", "ignore") if merged else whole)
+            columns = [pa.array(texts, kind) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)

@@ -234,3 +234,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     line = sum((F.col("f")[i] * w for i, w in enumerate(model.beta[1:])), F.lit(model.beta[0]))
     scored = made.select("key", held_out("key").alias("held_out"), (1 / (1 + F.exp(-line))).alias("score"))
     return scored.select(F.col("key").alias(key), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, all columns as they are; null and empty texts score as texts without hits."""
+    shared = docs.sparkSession.sparkContext.broadcast([model.terms, None])
+    beta, at = np.array(model.beta), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = shared.value
+        scanner = kept[1] = kept[1] or Scanner(Lexicon(kept[0]))
+        for batch in batches:
+            lines = [beta[0] + float(np.dot(beta[1:], scanner.features(x.as_py() or ""))) for x in batch.column(at)]
+            yield batch.filter(pa.array([1 / (1 + np.exp(-np.clip(v, -700, 700))) < THRESHOLD for v in lines], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
