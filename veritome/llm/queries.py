@@ -33,6 +33,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veritome.llm.token_files import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veritome.llm.substrings import dedup
 
@@ -47,7 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op8_suffix_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op7_token_files, op8_suffix_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
