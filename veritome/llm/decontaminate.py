@@ -23,7 +23,8 @@ def words(text: Column) -> Column:
     """Lower-cases A-Z and takes runs of ASCII letters, digits and characters beyond ASCII; null has none."""
     whole = F.coalesce(text.cast("string"), F.lit(""))
     ascii_only = F.length(whole) == F.octet_length(whole)
-    return F.regexp_extract_all(F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, _UPPER, _LOWER)), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), 0)
+    low = F.when(ascii_only, F.lower(whole)).otherwise(F.translate(whole, _UPPER, _LOWER))
+    return F.array_remove(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
 def _small(df: DataFrame) -> DataFrame:

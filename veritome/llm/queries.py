@@ -33,6 +33,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op7_token_files, op8_suffix_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
