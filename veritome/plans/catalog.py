@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from veritome.plans import inventory_queries, matching_queries, scalar_queries, state_queries  # noqa: F401  they register themselves
+from veritome.plans.registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
