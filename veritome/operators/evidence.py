@@ -81,7 +81,7 @@ def keep_preference(candidates: DataFrame, size: str = "DISABLED") -> DataFrame:
     order = F.struct(F.col("incomplete").cast("long").alias("a"), F.col("action_required").cast("long").alias("b"), F.col("review").cast("long").alias("c"), rank.cast("long").alias("d"), by_size.alias("e"))
     ranked = candidates.withColumn("o", order)
     best = ranked.groupBy("group_id").agg(F.min("o").alias("best"), F.max("o").alias("worst"), F.bool_or("blocked").alias("blocked"), F.count("*").alias("files"))
-    first = ranked.join(best, "group_id").where(F.col("o") == F.col("best")).groupBy("group_id").agg(F.min("file_id").alias("file_id"), F.count("*").alias("n_best"), F.first("best").alias("best"), F.first("blocked").alias("blocked"), F.first("files").alias("files"))
+    first = ranked.drop("blocked").join(best, "group_id").where(F.col("o") == F.col("best")).groupBy("group_id").agg(F.min("file_id").alias("file_id"), F.count("*").alias("n_best"), F.first("best").alias("best"), F.first("blocked").alias("blocked"), F.first("files").alias("files"))
     other = ranked.join(first.select("group_id", F.col("best").alias("b0")), "group_id").where(F.col("o") != F.col("b0")).groupBy("group_id").agg(F.min("o").alias("second"))
     told = first.join(other, "group_id", "left")
     reason = (
@@ -116,6 +116,6 @@ def project_classification(assertions: DataFrame) -> DataFrame:
 def grouped_metadata(facts: DataFrame) -> DataFrame:
     """Dotted keys ``kind.index.part`` to one row for each kind and index with a map from part to its sorted values."""
     bits = F.split("key", r"\.")
-    split = facts.where("key rlike '^[a-z]+[.][0-9]+[.][a-z]+$'").select("item_id", bits[0].alias("kind"), bits[1].cast("int").alias("place"), bits[2].alias("part"), "value")
+    split = facts.where("key rlike '^[a-z]+[.][0-9]+[.][a-z]+$'").select("item_id", F.get(bits, 0).alias("kind"), F.get(bits, 1).cast("int").alias("place"), F.get(bits, 2).alias("part"), "value")
     part = split.groupBy("item_id", "kind", "place", "part").agg(F.sort_array(F.collect_set("value")).alias("values"))
     return part.groupBy("item_id", "kind", "place").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("part", "values")))).alias("parts"))

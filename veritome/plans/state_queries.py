@@ -1 +1,187 @@
+"""Snapshots, search, library reconciliation, archives and plans over the driver's tables."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from veritome.operators import planning, search, state
+from veritome.plans.registry import OBS, observations, query, table
+
+_EVIDENCE = """WITH e AS (SELECT user_id AS file_id, CASE event_type WHEN 'view' THEN 'ANALYSIS' WHEN 'click' THEN 'MATCHING' WHEN 'purchase' THEN 'REVIEW' WHEN 'signup' THEN 'RESOLUTION' ELSE 'QUARANTINE' END AS component, CASE event_id % 4 WHEN 0 THEN 'CURRENT' WHEN 1 THEN 'STALE' WHEN 2 THEN 'UNSCOPED' END AS scope, value > 95 AS conflict FROM events WHERE event_id % 4 <> 3 AND user_id % 3 <> 1),
+best AS (SELECT file_id, component, max(CASE scope WHEN 'CURRENT' THEN 3 WHEN 'STALE' THEN 2 ELSE 1 END) AS r, bool_or(conflict) AS c FROM e GROUP BY ALL),
+i AS (SELECT DISTINCT user_id AS file_id FROM events), comp(component) AS (VALUES ('ANALYSIS'),('RESOLUTION'),('CLASSIFICATION'),('MATCHING'),('REVIEW'),('CALIBRE'),('ARCHIVE'),('CONSOLIDATION'),('QUARANTINE')),
+st AS (SELECT i.file_id, comp.component, CASE coalesce(r, 0) WHEN 3 THEN 'CURRENT' WHEN 2 THEN 'STALE' WHEN 1 THEN 'UNSCOPED' ELSE 'MISSING' END || CASE WHEN c THEN '_CONFLICT' ELSE '' END AS state FROM i CROSS JOIN comp LEFT JOIN best USING (file_id, component))
+"""
+
+
+def _states(spark, d):
+    e = table(spark, d, "events")
+    runs = spark.createDataFrame([("r2", "COMPLETED", 2), ("r1", "COMPLETED", 1), ("rx", "FAILED", 1)], "run_id string, status string, completed_at int")
+    names = {"view": "ANALYSIS", "click": "MATCHING", "purchase": "REVIEW", "signup": "RESOLUTION"}
+    component = F.lit("QUARANTINE")
+    for k, v in names.items():
+        component = F.when(F.col("event_type") == k, v).otherwise(component)
+    run = F.when(F.col("event_id") % 4 == 0, "r2").when(F.col("event_id") % 4 == 1, "r1").when(F.col("event_id") % 4 == 3, "rx")
+    rows = e.where("user_id % 3 <> 1").select(F.col("user_id").alias("file_id"), component.alias("component"), run.alias("run_id"), (F.col("value") > 95).alias("conflict"))
+    return state.item_states(e.select(F.col("user_id").alias("file_id")).distinct(), state.scoped(rows, "r2", 2, runs))
+
+
+@query(_EVIDENCE + "SELECT file_id, component, state FROM st")
+def item_states(spark, d):
+    return _states(spark, d)
+
+
+@query(_EVIDENCE + """, k AS (SELECT component, count(*) AS items, count(*) FILTER (state <> 'MISSING') AS covered, count(*) FILTER (state LIKE 'CURRENT%') AS cur, count(*) FILTER (state LIKE 'STALE%' OR state LIKE 'UNSCOPED%') AS oth, bool_or(state LIKE '%_CONFLICT') AS c FROM st GROUP BY 1)
+SELECT component, items, covered, CASE WHEN covered = items THEN 'COMPLETE' WHEN covered > 0 THEN 'PARTIAL' ELSE 'NONE' END AS coverage, CASE WHEN covered = 0 THEN 'UNKNOWN' WHEN oth = 0 THEN 'CURRENT' WHEN cur = 0 THEN 'STALE' ELSE 'MIXED' END AS freshness, CASE WHEN c THEN 'PRESENT' ELSE 'NONE' END AS conflict FROM k""")
+def component_summary(spark, d):
+    return state.component_summary(_states(spark, d))
+
+
+_DIFF = f"""WITH {OBS}, a AS (SELECT file_id, sha AS t, file_id % 3 = 0 AS x, file_id % 5 = 0 AS y FROM obs WHERE file_id % 7 <> 0), b AS (SELECT file_id, CASE WHEN file_id % 9 = 0 THEN 'new' ELSE sha END AS t, file_id % 2 = 0 AS x, true AS y FROM obs WHERE file_id % 8 <> 0),
+j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, list_filter([CASE WHEN a.file_id IS NULL THEN 'ADDED' END, CASE WHEN b.file_id IS NULL THEN 'DISAPPEARED' END, CASE WHEN a.t <> b.t THEN 'TECHNICALLY_CHANGED' END, CASE WHEN b.x AND NOT a.x THEN 'NEWLY_ANALYZED' END, CASE WHEN b.y AND NOT a.y THEN 'NEWLY_REVIEWED' END], lambda v: v IS NOT NULL) AS cats FROM a FULL JOIN b ON a.file_id = b.file_id)
+"""
+
+
+def _changes(spark, d):
+    o, i = observations(spark, d), F.col("file_id")
+    no = F.lit(False)
+    before = o.where("file_id % 7 <> 0").select("file_id", F.col("sha").alias("technical"), (i % 3 == 0).alias("analysis"), no.alias("resolution"), (i % 5 == 0).alias("review"), no.alias("quarantine"))
+    after = o.where("file_id % 8 <> 0").select("file_id", F.when(i % 9 == 0, "new").otherwise(F.col("sha")).alias("technical"), (i % 2 == 0).alias("analysis"), no.alias("resolution"), F.lit(True).alias("review"), no.alias("quarantine"))
+    return state.diff(before, after)
+
+
+@query(_DIFF + "SELECT file_id, array_to_string(cats, ',') AS categories FROM j WHERE len(cats) > 0")
+def snapshot_diff(spark, d):
+    return _changes(spark, d).select("file_id", F.array_join("categories", ",").alias("categories"))
+
+
+@query(_DIFF + "SELECT category, count(*) AS n FROM (SELECT unnest(cats) AS category FROM j) GROUP BY 1")
+def diff_counts(spark, d):
+    return state.diff_counts(_changes(spark, d))
+
+
+_HEALTH = """WITH f AS (SELECT doc_id AS file_id, CASE doc_id % 5 WHEN 0 THEN 'FULL_FIXITY_MISSING' WHEN 1 THEN 'PENDING_REVIEW' WHEN 2 THEN 'TITLE_METADATA_MISSING' WHEN 3 THEN 'LANGUAGE_METADATA_MISSING' ELSE 'QUARANTINE_BLOCKED' END AS code FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'PENDING_REVIEW' FROM labels),
+r(code, dimension, severity, rank) AS (VALUES ('FULL_FIXITY_MISSING','SCAN_FIXITY','INCOMPLETE',3),('PENDING_REVIEW','OPEN_REVIEWS','ATTENTION',2),('TITLE_METADATA_MISSING','METADATA_AUTHORITY_CLASSIFICATION','ATTENTION',2),('LANGUAGE_METADATA_MISSING','METADATA_AUTHORITY_CLASSIFICATION','INFO',1),('QUARANTINE_BLOCKED','BLOCKED_OPERATIONS','BLOCKED',4))
+"""
+
+
+def _found(spark, d):
+    word = F.element_at(F.array(*(F.lit(x) for x in ("FULL_FIXITY_MISSING", "PENDING_REVIEW", "TITLE_METADATA_MISSING", "LANGUAGE_METADATA_MISSING", "QUARANTINE_BLOCKED"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    one = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("file_id"), word.alias("code"))
+    return one.unionByName(table(spark, d, "labels").select(F.col("doc_id").alias("file_id"), F.lit("PENDING_REVIEW").alias("code")))
+
+
+@query(_HEALTH + "SELECT f.code, dimension, severity, count(DISTINCT file_id) AS n, array_to_string(list_sort(list(DISTINCT file_id))[1:64], ',') AS samples FROM f JOIN r USING (code) GROUP BY ALL")
+def health_findings(spark, d):
+    return state.health_findings(_found(spark, d)).select("code", "dimension", "severity", "n", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
+
+
+@query(_HEALTH + """, dims(dimension) AS (VALUES ('SCAN_FIXITY'),('ANALYSIS_TOOL_COVERAGE'),('METADATA_AUTHORITY_CLASSIFICATION'),('OPEN_REVIEWS'),('DUPLICATE_VARIANT_EVIDENCE'),('DEPENDENCIES'),('BLOCKED_OPERATIONS'))
+SELECT dims.dimension, count(DISTINCT file_id) AS affected, (SELECT count(*) FROM documents) AS items, CASE coalesce(max(rank), 0) WHEN 0 THEN 'CLEAR' WHEN 1 THEN 'OBSERVED' WHEN 2 THEN 'ATTENTION' WHEN 3 THEN 'INCOMPLETE' ELSE 'BLOCKED' END AS status FROM dims LEFT JOIN (f JOIN r USING (code)) USING (dimension) GROUP BY 1""")
+def health_dimensions(spark, d):
+    return state.health_dimensions(_found(spark, d), table(spark, d, "documents").count())
+
+
+@query(_HEALTH + ", a AS (SELECT code, count(DISTINCT file_id) AS n FROM f WHERE file_id % 3 = 0 GROUP BY 1), b AS (SELECT code, count(DISTINCT file_id) AS n FROM f WHERE code <> 'QUARANTINE_BLOCKED' GROUP BY 1) SELECT coalesce(a.code, b.code) AS code, coalesce(a.n, 0) AS old_n, coalesce(b.n, 0) AS new_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.code = b.code")
+def health_delta(spark, d):
+    f = _found(spark, d)
+    return state.health_delta(state.health_findings(f.where("file_id % 3 = 0")), state.health_findings(f.where("code <> 'QUARANTINE_BLOCKED'")))
+
+
+def _index(spark, d):
+    p = table(spark, d, "part")
+    key = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    return search.index(p.select(key.alias("file_id"), F.lit("TITLE").alias("field"), F.col("p_name").alias("value")).unionByName(p.select(key.alias("file_id"), F.lit("PUBLISHER").alias("field"), F.col("p_brand").alias("value"))).unionByName(p.select(key.alias("file_id"), F.lit("FORMAT").alias("field"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("value"))))
+
+
+def _text(where, **more) -> str:
+    return json.dumps({"version": search.VERSION, "where": where, **more})
+
+
+@query("SELECT lpad(cast(p_partkey AS VARCHAR), 9, '0') AS file_id FROM part WHERE lower(p_brand) LIKE 'brand#1%' AND ('s' || cast(p_size AS VARCHAR) = 's7' OR 's' || cast(p_size AS VARCHAR) = 's9')")
+def search_files(spark, d):
+    where = {"operator": "AND", "children": [{"field": "PUBLISHER", "operator": "PREFIX", "value": "BRAND#1"}, {"operator": "OR", "children": [{"field": "FORMAT", "operator": "EQ", "value": "S7"}, {"field": "FORMAT", "operator": "EQ", "value": "s9"}]}]}
+    return search.matching_files(_index(spark, d), search.parse(_text(where)).where)
+
+
+@query("SELECT file_id, cast(row_number() OVER (ORDER BY file_id) AS INTEGER) AS place FROM (SELECT lpad(cast(p_partkey AS VARCHAR), 9, '0') AS file_id FROM part WHERE list_contains(string_split_regex(lower(p_brand), '[^a-z0-9]+'), 'brand') AND list_contains(string_split_regex(lower(p_brand), '[^a-z0-9]+'), '23') AND lpad(cast(p_partkey AS VARCHAR), 9, '0') > '000000100' ORDER BY 1 LIMIT 11)")
+def search_page(spark, d):
+    q = search.parse(_text({"field": "PUBLISHER", "operator": "MATCH", "value": "23 Bránd"}, limit=10, after_file_id="000000100"))
+    return search.search(_index(spark, d), q)
+
+
+_LIBRARY = f"""WITH {OBS}, files AS (SELECT relative_path AS path, sha FROM obs WHERE file_id % 6 <> 0), fmts AS (SELECT file_id // 2 AS record_id, relative_path AS path FROM obs WHERE file_id % 5 <> 0), recs AS (SELECT DISTINCT file_id // 2 AS record_id FROM obs),
+h AS (SELECT record_id, path, sha FROM fmts JOIN files USING (path))
+"""
+
+
+@query(_LIBRARY + """SELECT 'FILESYSTEM_ONLY' AS code, path AS subject_id FROM files WHERE path NOT IN (SELECT path FROM fmts) UNION ALL SELECT 'RECORD_WITHOUT_FILE', cast(record_id AS VARCHAR) FROM recs WHERE record_id NOT IN (SELECT record_id FROM h)
+UNION ALL SELECT DISTINCT 'DUPLICATE_RECORD_CANDIDATE', cast(record_id AS VARCHAR) FROM h WHERE sha IN (SELECT sha FROM h GROUP BY 1 HAVING count(DISTINCT record_id) > 1) UNION ALL SELECT 'MULTI_FORMAT_RECORD', cast(record_id AS VARCHAR) FROM h GROUP BY record_id HAVING count(DISTINCT path) > 1""")
+def library_findings(spark, d):
+    o = observations(spark, d)
+    record = F.floor(F.col("file_id") / 2).alias("record_id")
+    return planning.library_findings(o.where("file_id % 6 <> 0").select(F.col("relative_path").alias("path"), F.col("sha").alias("sha256")), o.select(record).distinct(), o.where("file_id % 5 <> 0").select(record, F.col("relative_path").alias("path")))
+
+
+@query("SELECT DISTINCT p_partkey AS record_id, 'brand' AS field FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_brand <> 'Brand#1' || cast(l_suppkey % 5 + 1 AS VARCHAR)")
+def metadata_conflicts(spark, d):
+    records = table(spark, d, "part").select(F.col("p_partkey").alias("record_id"), F.lit("brand").alias("field"), F.col("p_brand").alias("value"))
+    seen = table(spark, d, "lineitem").select(F.col("l_partkey").alias("record_id"), F.lit("brand").alias("field"), F.concat(F.lit("Brand#1"), (F.col("l_suppkey") % 5 + 1).cast("string")).alias("value"))
+    return planning.metadata_conflicts(records, seen)
+
+
+@query("""WITH v AS (SELECT cast(l_orderkey AS VARCHAR) AS parent, cast(l_linenumber AS BIGINT) AS volume FROM lineitem WHERE l_orderkey % 3 <> 0)
+SELECT parent, 'book' AS stem, CASE WHEN cast(parent AS BIGINT) % 3 = 1 THEN 'RAR_NEW' ELSE 'SEVEN_Z' END AS scheme, count(*) AS volumes, cast(max(volume) - count(DISTINCT volume) AS INTEGER) AS missing, CASE WHEN count(*) > count(DISTINCT volume) THEN 'NAME_COLLISION' WHEN max(volume) > count(DISTINCT volume) THEN 'MISSING_VOLUME' ELSE 'COMPLETE' END AS finding FROM v GROUP BY parent""")
+def volume_sets(spark, d):
+    n = F.col("l_linenumber").cast("string")
+    name = F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Book.part"), n, F.lit(".rar"))).otherwise(F.concat(F.lit("Book.7z."), F.lpad(n, 3, "0")))
+    return planning.volume_sets(table(spark, d, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").cast("string").alias("parent"), name.alias("name")))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS archive_id, CASE WHEN l_partkey % 50 = 0 THEN '../x' ELSE 'F' || cast(l_linenumber AS VARCHAR) END AS path, CASE WHEN l_partkey % 40 = 1 THEN NULL ELSE l_suppkey * 100 END AS size, l_suppkey % 7 AS packed, CASE WHEN l_suppkey % 30 = 0 THEN 'SYMLINK' ELSE 'REGULAR_FILE' END AS kind FROM lineitem),
+g AS (SELECT archive_id, count(*) AS n, count(*) FILTER (size IS NULL) AS u, sum(coalesce(size, 0)) AS t, sum(packed) AS p, count(*) FILTER (path = '../x') AS bad, count(*) FILTER (kind = 'SYMLINK') AS k, count(DISTINCT lower(path)) AS dp FROM m GROUP BY 1)
+SELECT archive_id, coalesce(CASE WHEN u > 0 THEN 'UNKNOWN_SIZE' WHEN p > 0 AND t > 1000 * p THEN 'COMPRESSION_RATIO_LIMIT' WHEN bad > 0 THEN 'PATH_INVALID' WHEN dp < n THEN 'PATH_COLLISION' WHEN k > 0 THEN 'MEMBER_KIND_REJECTED' END, 'ACCEPTED') AS violation FROM g""")
+def archive_safety(spark, d):
+    i, s = F.col("l_partkey"), F.col("l_suppkey")
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive_id"), F.when(i % 50 == 0, "../x").otherwise(F.concat(F.lit("F"), F.col("l_linenumber").cast("string"))).alias("path"), F.when(i % 40 != 1, s * 100).alias("size"), (s % 7).alias("packed"), F.when(s % 30 == 0, "SYMLINK").otherwise("REGULAR_FILE").alias("kind"))
+    return planning.archive_safety(m).select("archive_id", F.coalesce("violation", F.lit("ACCEPTED")).alias("violation"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'README' WHEN 1 THEN 'NFO' WHEN 2 THEN 'PASSWORD' WHEN 3 THEN 'HTML' WHEN 4 THEN 'SFV' END AS kind FROM part WHERE p_partkey % 6 <> 5")
+def sidecar_kinds(spark, d):
+    name = F.element_at(F.array(*(F.lit(x) for x in ("ReadMe.txt", "a.NFO", "the password.txt", "i.htm", "x.sfv", "book.epub"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return planning.sidecars(table(spark, d, "part").select("p_partkey", F.lit("p").alias("parent"), name.alias("name"))).select("p_partkey", "kind")
+
+
+@query("""WITH w AS (SELECT DISTINCT l_orderkey AS wanted_id, l_returnflag || l_linestatus AS m FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS stored_id, l_returnflag || l_linestatus AS m FROM lineitem WHERE l_suppkey % 7 = 0 AND l_returnflag <> 'N'),
+a AS (SELECT wanted_id, list_sort(list(m)) AS ms FROM w GROUP BY 1), b AS (SELECT stored_id, list_sort(list(m)) AS ms FROM s GROUP BY 1) SELECT wanted_id, stored_id FROM a JOIN b USING (ms)""")
+def equal_source_sets(spark, d):
+    l = table(spark, d, "lineitem").withColumn("member", F.concat("l_returnflag", "l_linestatus"))
+    return planning.equal_source_sets(l.select(F.col("l_orderkey").alias("wanted_id"), "member"), l.where("l_suppkey % 7 = 0 AND l_returnflag <> 'N'").select(F.col("l_suppkey").alias("stored_id"), "member"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS plan_id, list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'IDENTITY_NOT_CONFIRMED' END, CASE WHEN o_orderkey % 7 = 0 THEN 'PRECONDITION_INCOMPLETE' END, CASE WHEN o_orderkey % 11 = 0 THEN 'PROTECTED_SOURCE_ROOT' END, CASE WHEN o_orderkey % 13 = 0 THEN 'KEEP_PREFERENCE_UNRESOLVED' END], lambda v: v IS NOT NULL) AS x, o_orderstatus AS s FROM orders)
+SELECT plan_id, array_to_string(x, ',') AS blockers, CASE WHEN len(x) > 0 THEN 'BLOCKED' WHEN s = 'F' THEN 'APPROVED_NON_EXECUTABLE' ELSE 'REVIEW_REQUIRED' END AS status FROM b""")
+def plan_status(spark, d):
+    i = F.col("o_orderkey")
+    p = table(spark, d, "orders").select(i.alias("plan_id"), F.when(i % 5 == 0, "REVIEW_REQUIRED").otherwise("CONFIRMED").alias("identity_status"), (i % 7 != 0).alias("preconditions_complete"), (i % 11 == 0).alias("root_protected"), F.lit(True).alias("quality_complete"), F.when(i % 13 == 0, "TIED").otherwise("PREFERRED").alias("preference"), F.when(F.col("o_orderstatus") == "F", "ACCEPTED").otherwise("PENDING").alias("review"))
+    return planning.plan_status(p).select("plan_id", F.array_join("blockers", ",").alias("blockers"), "status")
+
+
+@query("SELECT user_id AS run_id, arg_max(event_type, event_id) AS status, max(event_id) AS sequence_no FROM events GROUP BY 1")
+def latest_events(spark, d):
+    return planning.latest_events(table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence_no"), F.col("event_type").alias("status")))
+
+
+@query("SELECT CASE WHEN count(*) FILTER (n_chars < 0) > 0 THEN 'INVALID' WHEN (SELECT count(*) FROM labels) < (SELECT count(*) FROM documents) THEN 'PENDING' ELSE 'COMPLETE' END AS state, cast(CASE WHEN count(*) FILTER (n_chars < 0) > 0 THEN 2 WHEN (SELECT count(*) FROM labels) < (SELECT count(*) FROM documents) THEN 3 ELSE 0 END AS INTEGER) AS exit_code FROM documents")
+def postscan_verification(spark, d):
+    sizes = table(spark, d, "documents").agg(F.when(F.count_if(F.col("n_chars") < 0) > 0, "INVALID").otherwise("COMPLETE").alias("state"))
+    lacking = table(spark, d, "documents").agg(F.count("*").alias("n")).crossJoin(F.broadcast(table(spark, d, "labels").agg(F.count("*").alias("m"))))
+    return planning.verification(sizes.unionByName(lacking.select(F.when(F.col("m") < F.col("n"), "PENDING").otherwise("COMPLETE").alias("state"))))
+
+
+@query(f"WITH {OBS} SELECT root AS parent, relative_path AS name, cast(o AS INTEGER) AS ordinal FROM (SELECT root, relative_path, row_number() OVER (PARTITION BY root ORDER BY relative_path) - 1 AS o FROM obs) WHERE o < 8")
+def archive_plan(spark, d):
+    return planning.archive_plan(observations(spark, d).select(F.col("root").alias("parent"), F.col("relative_path").alias("name")), 8)
