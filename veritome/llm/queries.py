@@ -74,8 +74,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """Conversations as people paste them: one of four styles of speaker marker each, and for every eleventh turn none but an empty line."""
+    from pyspark.sql import functions as F
+
+    styles = (("User: ", "Assistant: ", "System: "), ("Human: ", "AI: ", "System: "), ("Q: ", "A: ", "Context: "), ("### User:\n", "### Assistant:\n", "### System:\n"))
+    mark = F.lit("")
+    for i, (user, assistant, system) in enumerate(styles):
+        said = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant).otherwise(system)
+        mark = F.when(F.pmod(F.col("conv_id"), F.lit(4)) == i, said).otherwise(mark)
+    bare = F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(11)) == 0
+    return conversations.select("conv_id", "turn", F.when(bare, F.concat(F.lit("\n"), "text")).otherwise(F.concat(mark, "text")).alias("text"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.chat import turns
+
+    return turns(raw_transcripts(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_neighbours, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_neighbours, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

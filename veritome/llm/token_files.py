@@ -13,10 +13,12 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +30,27 @@ LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 ESCAPE = 15
 #: Ids in a block, and in a payload at least (but for the last of a file).
 BLOCK, PAYLOAD = 4096, 1 << 18
-KEPT_CHUNKS = 1_000_000
+#: Bytes of text encoded at once, about.
+TEXT_BYTES = 8 << 20
+#: Stretches that a worker remembers, and the length up to which it keeps them when these get too many.
+KEPT_CHUNKS, KEPT_LENGTH = 1_000_000, 9
 MAGIC = b"S8B1"
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Bits that each value takes."""
+    bits, rest = np.zeros(len(values), np.uint8), values
+    for step in (32, 16, 8, 4, 2, 1):
+        high = rest >> np.uint64(step)
+        more = high > 0
+        bits[more] += step
+        rest = np.where(more, high, rest)
+    return bits + (rest > 0)
+
+
+_short = _widths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray) -> bytes:
     """A payload: magic, counts of ids, blocks, words and escaped ids; the blocks' first words; the words; the escaped ids."""
     ids = np.asarray(ids, np.uint64)
@@ -40,14 +59,7 @@ def pack(ids: np.ndarray) -> bytes:
     grid = np.zeros(blocks * BLOCK + 64, np.uint64)
     grid[:n] = ids
     wide = grid >> np.uint64(60) > 0
-    bits = np.zeros(len(grid), np.uint8)
-    rest = grid.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        more = high > 0
-        bits[more] += step
-        rest = np.where(more, high, rest)
-    bits += rest > 0
+    bits = _short[grid] if int(grid.max()) < len(_short) else _widths(grid)
     # widest id among the next 1, 2, .. 60; ids beyond the block count as nothing, a word there is only filled in part
     selector = np.full(blocks * BLOCK, len(LAYOUT) - 1, np.uint8)
     field = bits[: blocks * BLOCK].reshape(blocks, BLOCK) if blocks else np.zeros((0, BLOCK), np.uint8)
@@ -132,17 +144,45 @@ class WordTokenizer:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        chunks, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known = self.known
-        new = list({x for p in parts for x in p if x not in known})
+        each = list(map(known.get, chunks))
+        if None in each:
+            self._learn([x for x, ids in zip(chunks, each, strict=True) if ids is None])
+            each = list(map(known.__getitem__, chunks))
+        if len(known) > KEPT_CHUNKS:  # long ones seldom come again
+            short = {x: ids for x, ids in known.items() if len(x) <= KEPT_LENGTH}
+            self.known = short if len(short) < KEPT_CHUNKS // 2 else {"": b""}
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(size) - size
+        n = size[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, np.diff(ends[bounds])
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Letters and one stop or comma after them are separate pre-tokens, and ASCII letters count alike in both cases, so the library sees the letters once."""
+        known, new, derived = self.known, set(), []
+        for x in chunks:
+            stem, mark = (x[:-1], x[-1]) if x[-1] in ".," and x[:-1].isalpha() else (x, "")
+            if stem.isascii() and not stem.islower():
+                stem = stem.lower()
+            if stem not in known:
+                new.add(stem)
+            if mark or stem != x:
+                derived.append((x, stem, mark))
+                if mark not in known:
+                    new.add(mark)
+        new = list(new)
         for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[x] for x in p]) for p in parts]
-        if len(known) > KEPT_CHUNKS:
-            self.known = {"": b""}
-        return out
+            known[x] = array("I", e.ids).tobytes()
+        for x, stem, mark in derived:
+            known[x] = known[stem] + known[mark]
 
 
 _ROW = "shard int, payload_no int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -155,7 +195,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id"
     """
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast([f.read(), None])  # of the file's size; a worker keeps its tokenizer in place of None
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,24 +203,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id"
         coder = kept[1] = kept[1] or WordTokenizer(kept[0])
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
+        counts: list[int] = []
 
         def payload() -> pa.RecordBatch:
-            nonlocal number, start, keys, parts
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            row = ([shard], [number], [start], [len(ids)], [keys], [[len(p) // 4 for p in parts]], [pack(ids)])
+            nonlocal number, start, keys, parts, counts
+            ids = np.concatenate(parts)
+            row = ([shard], [number], [start], [len(ids)], [keys], [counts], [pack(ids)])
             types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            number, start, keys, parts = number + 1, start + len(ids), [], []
+            number, start, keys, parts, counts = number + 1, start + len(ids), [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
 
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for k, ids in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+            heavy = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(heavy)) + 1, [batch.num_rows])).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                ids, lengths = coder.encode(batch.column(1).slice(lo, hi - lo))
+                at = 0
+                for k, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), lengths.tolist(), strict=True):
                     keys.append(k)
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    parts += [ids[at : at + n], end]
+                    counts.append(n + 1)
+                    at += n
+                    size += n + 1
                     if size >= PAYLOAD:
                         yield payload()
                         size = 0
