@@ -45,7 +45,8 @@ def _measured(base: DataFrame, items: DataFrame, item_key: str, item_text: str,
     windows = item_windows(items, item_key, item_text, window)
     apart = windows.select("window").distinct().select(F.xxhash64("window").alias("wid"), "window")
     parts = apart.select("wid", F.posexplode("window").alias("at", "word"))
-    every = base.select("key", "h", words(F.col("text")).alias("w"))
+    # explode of one element: the optimiser would otherwise put the expression, and its work, wherever the words are used
+    every = base.select("key", "h", F.explode(F.array(words(F.col("text")))).alias("w"))
     # rarity: how often the words of items stand in all documents
     vocabulary = _small(parts.select("word").distinct())
     counted = every.select(F.explode("w").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
@@ -56,7 +57,7 @@ def _measured(base: DataFrame, items: DataFrame, item_key: str, item_text: str,
     start = F.col("pos") - F.col("at")
     placed = found.where((start >= 0) & (start + F.col("n_window") <= F.col("n"))).groupBy("key", "h").agg(F.collect_set(F.struct(start.alias("s"), F.col("n_window").alias("n"), "item", "window")).alias("c"))
     c = placed.select(F.col("key").alias("c_key"), F.col("h").alias("c_h"), "c")
-    joined = base.join(c, F.col("key").eqNullSafe(F.col("c_key")) & (F.col("h") == F.col("c_h")), "left").select("key", *more, words(F.col("text")).alias("w"), "c")
+    joined = base.join(c, F.col("key").eqNullSafe(F.col("c_key")) & (F.col("h") == F.col("c_h")), "left").select("key", *more, F.explode(F.array(words(F.col("text")))).alias("w"), "c")
     true = F.filter("c", lambda x: F.slice("w", x["s"] + 1, x["n"]) == x["window"])
     kept = joined.select("key", *more, F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array().cast("array<struct<s:int,n:int,item:string,window:array<string>>>")).alias("c"))
     spans = F.array_sort(F.array_distinct(F.transform("c", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e")))))
