@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 TREES, BITS = 128, 32
 #: Prefix lengths at which candidates are looked at, longest first.
-LEVELS = (32, 28, 24, 21, 18, 16, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)
+LEVELS = (32, 26, 20, 16, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)
+#: Prefixes up to this length are looked up in a table of the array's bounds, longer ones by bisection.
+TABLE = 13
 MISS = 0.05
 #: Rows in a shard and queries in a block, about; what a task holds is bounded by these, not by the table.
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
@@ -33,8 +35,8 @@ class Forest:
         extended = np.hstack([vectors, np.sqrt(np.maximum(self.longest**2 - norms**2, 0))[:, None]])
         self.planes = np.random.default_rng(seed).standard_normal((extended.shape[1], trees * BITS)).astype(np.float32)
         keys = self._keys(extended)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 0)
+        self.order = np.argsort(np.ascontiguousarray(keys.T), axis=1, kind="stable").astype(np.int32)
+        self.keys = np.take_along_axis(keys.T, self.order, 1)
 
     def _keys(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), self.planes.shape[1] // BITS), np.uint32)
@@ -45,14 +47,21 @@ class Forest:
 
     def ranges(self, queries: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each level its prefix length, and per query and tree the bounds of the array's range."""
-        keys = self._keys(np.hstack([queries, np.zeros((len(queries), 1))])).astype(np.int64)
+        keys = self._keys(np.hstack([queries, np.zeros((len(queries), 1))])).astype(np.int64).T
+        n = self.keys.shape[1]
+        bounds = np.stack([np.searchsorted(k, np.arange(1 << TABLE, dtype=np.uint32) << np.uint32(BITS - TABLE)) for k in self.keys] or [[]])
+        bounds = np.hstack([bounds, np.full((len(bounds), 1), n)])
         out = []
         for d in LEVELS:
-            low = keys >> (BITS - d) << (BITS - d)
-            high = low + (1 << (BITS - d))
-            a = np.stack([np.searchsorted(self.keys[:, t], low[:, t].astype(np.uint32)) for t in range(keys.shape[1])], 1)
-            b = np.stack([np.where(high[:, t] > 0xFFFFFFFF, len(self.keys), np.searchsorted(self.keys[:, t], np.minimum(high[:, t], 0xFFFFFFFF).astype(np.uint32))) for t in range(keys.shape[1])], 1)
-            out.append((d, a, b))
+            prefix = keys >> (BITS - d)
+            if d <= TABLE:
+                a = np.take_along_axis(bounds, prefix << (TABLE - d), 1)
+                b = np.take_along_axis(bounds, (prefix + 1) << (TABLE - d), 1)
+            else:
+                low, high = prefix << (BITS - d), (prefix + 1) << (BITS - d)
+                a = np.stack([np.searchsorted(k, x.astype(np.uint32)) for k, x in zip(self.keys, low, strict=True)])
+                b = np.stack([np.where(x > 0xFFFFFFFF, n, np.searchsorted(k, np.minimum(x, 0xFFFFFFFF).astype(np.uint32))) for k, x in zip(self.keys, high, strict=True)])
+            out.append((d, a.T, b.T))
         return out
 
 
@@ -67,33 +76,41 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     points = vectors[first]
     forest = Forest(points, trees)
     levels = forest.ranges(queries)
+    copies = np.minimum(np.diff(starts), k + 1)
+    total = np.stack([(b - a).sum(1) for _, a, b in levels], 1)
+    single = points.astype(np.float32)
     out = []
     for q in range(len(queries)):
         vector, seen = queries[q], np.zeros(len(points), bool)
         reach = float(np.sqrt(vector @ vector)) * forest.longest
-        score = np.full(len(points), -np.inf)
-        copies = np.minimum(np.diff(starts), k + 1)
-        for d, a, b in levels:
-            if (b[q] - a[q]).sum() == 0:
-                continue
-            new = np.zeros(len(points), bool)
+        score = np.full(len(points), -np.inf, np.float32)
+        at = int(np.argmax(total[q] > k)) if total[q, -1] > k else len(levels) - 1  # down to where there are enough for a first look
+        while True:
+            d, a, b = levels[at]
+            new = np.ones(len(points), bool) if d == 0 else np.zeros(len(points), bool)
+            if d:
+                new[np.concatenate([forest.order[t, lo:hi] for t, (lo, hi) in enumerate(zip(a[q].tolist(), b[q].tolist(), strict=True)) if hi > lo])] = True
+            new = np.flatnonzero(new & ~seen)
+            score[new] = single[new] @ vector.astype(np.float32)
+            seen[new] = True
             if d == 0:
-                new[:] = True
-            else:
-                new[np.concatenate([forest.order[lo:hi, t] for t, (lo, hi) in enumerate(zip(a[q].tolist(), b[q].tolist(), strict=True)) if hi > lo])] = True
-            new &= ~seen
-            at = np.flatnonzero(new)
-            score[at] = points[at] @ vector
-            seen |= new
-            found = np.flatnonzero(seen)
-            if d and copies[found].sum() <= k:
-                continue
-            best = found[np.argsort(-score[found], kind="stable")[: k + 1]]
-            enough = np.searchsorted(np.cumsum(copies[best]), k + 1)
-            worst = score[best[min(enough, len(best) - 1)]]
-            near = 1 - np.arccos(np.clip(worst / reach, -1, 1)) / np.pi
-            if (1 - near**d) ** trees <= miss:
                 break
+            found = np.flatnonzero(seen)
+            deepest = 0
+            if copies[found].sum() > k:
+                most = min(k, len(found) - 1)
+                best = found[np.argpartition(-score[found], most)[: most + 1]]
+                best = best[np.argsort(-score[best])]
+                worst = score[best[min(np.searchsorted(np.cumsum(copies[best]), k + 1), len(best) - 1)]]
+                near = 1 - np.arccos(np.clip(worst / reach, -1, 1)) / np.pi
+                if (1 - near**d) ** trees <= miss:
+                    break
+                deepest = next(x for x in range(d, -1, -1) if (1 - near**x) ** trees <= miss)
+            # up to where a neighbour like the k-th would be found, but no more than to a few times the candidates: nearer ones may turn up
+            before = total[q, at]
+            at += 1
+            while LEVELS[at] > deepest and total[q, at] < 3 * before:
+                at += 1
         found = np.flatnonzero(seen)
         best = found[np.argsort(-score[found], kind="stable")[: 2 * k + 8]]
         exact = (points[best] * vector).sum(1)  # sums each row in the same way, wherever it lies
