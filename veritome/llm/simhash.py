@@ -49,15 +49,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``key, fp``: the fingerprint of each row as a signed 64-bit integer."""
-    fixed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    """``key, h, fp``: a hash of the text and the fingerprint of each row, as signed 64-bit integers."""
+    fixed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["key", "h", "fp"])
 
-    return fixed.mapInArrow(run, "key long, fp long")
+    return fixed.mapInArrow(run, "key long, h long, fp long")
 
 
 def _halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +147,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     ``docs`` are left out, and an empty table gives an empty one. The copies of a text
     never meet in a task: minima are taken before the shuffle.
     """
-    spark = docs.sparkSession
+    named = _named(docs, key, text, radius, words)
+    return named.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, key: str, text: str, radius: int, words: int) -> DataFrame:
+    """``key, h, fp, component_id`` for each row."""
     made = written(fingerprints(docs, key, text, words), "fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
     counted = F.bit_count(F.shiftrightunsigned("fp", 32)) * 33 + F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -171,11 +176,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     joined = connected_components(links, "links")
     member = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return made.join(named, "fp").select("key", "h", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """``docs`` with the row of the smallest key of each component; rows that repeat key and text stay once, rows without a key stay."""
-    named = near_duplicates(docs, key, text, radius, words).select(F.col("component_id").alias("kept__")).where("kept__ is not null").distinct()
-    stay = docs.join(named, F.col(key) == F.col("kept__"), "left_semi").withColumn("text__", F.xxhash64(text)).dropDuplicates([key, "text__"]).drop("text__")
+    named = _named(docs, key, text, radius, words).where("key = component_id")
+    # of texts of one component under its key the one with the smallest hash
+    kept = named.groupBy(F.col("key").alias("key__"), "component_id").agg(F.min("h").alias("h__")).select("key__", "h__")
+    hashed = docs.where(F.col(key).isNotNull()).withColumn("text__", F.xxhash64(text))
+    stay = hashed.join(kept, (F.col(key) == F.col("key__")) & (F.col("text__") == F.col("h__")), "left_semi").dropDuplicates([key, "text__"]).drop("text__")
     return stay.unionByName(docs.where(F.col(key).isNull()))
