@@ -78,11 +78,10 @@ def sidecars(files: DataFrame) -> DataFrame:
 
 
 def equal_source_sets(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """``wanted_id, stored_id`` of sets with exactly the same members, by counts both ways."""
-    w, s = wanted.select("wanted_id", "member").distinct(), stored.select("stored_id", "member").distinct()
-    w_n, s_n = w.groupBy("wanted_id").agg(F.count("*").alias("wn")), s.groupBy("stored_id").agg(F.count("*").alias("sn"))
-    common = w.join(s, "member").groupBy("wanted_id", "stored_id").agg(F.count("*").alias("n"))
-    return common.join(w_n, "wanted_id").join(s_n, "stored_id").where("n = wn AND n = sn").select("wanted_id", "stored_id")
+    """``wanted_id, stored_id`` of sets with exactly the same members: sets meet by their sorted members, never member by member."""
+    w = wanted.groupBy("wanted_id").agg(F.sort_array(F.collect_set("member")).alias("members"))
+    s = stored.groupBy("stored_id").agg(F.sort_array(F.collect_set("member")).alias("members"))
+    return w.join(s, "members").select("wanted_id", "stored_id")
 
 
 def plan_status(plans: DataFrame) -> DataFrame:
