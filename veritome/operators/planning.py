@@ -111,3 +111,46 @@ def archive_plan(files: DataFrame, k: int) -> DataFrame:
     """The first ``k`` archives of each parent in order of name, with their place."""
     n = F.row_number().over(Window.partitionBy("parent").orderBy("name"))
     return files.withColumn("ordinal", n - 1).where(F.col("ordinal") < k)
+
+
+def sidecar_inventory(archives: DataFrame, files: DataFrame, most: int = 32) -> DataFrame:
+    """``archive_path, name, kind`` of sidecars directly beside each archive, at most ``most`` in order of name; ``n_sidecars`` counts all."""
+    beside = files.withColumn("parent", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
+    found = sidecars(beside.select("parent", "name"))
+    joined = archives.select(F.col("path").alias("archive_path"), F.regexp_replace("path", "/?[^/]*$", "").alias("parent")).join(found, "parent")
+    w = Window.partitionBy("archive_path")
+    return joined.withColumn("n", F.row_number().over(w.orderBy("name"))).withColumn("n_sidecars", F.count("*").over(w)).where(F.col("n") <= most).select("archive_path", "name", "kind", "n_sidecars")
+
+
+def archive_dependencies(files: DataFrame, sources: DataFrame, members: DataFrame) -> DataFrame:
+    """``file_id, state``: KNOWN_PRESENT for a file that is a source of an archive or equals a member, UNKNOWN where its folder's archives aren't listed, else KNOWN_NONE.
+
+    files: file_id, parent, sha256. sources: file_id. members: parent, sha256 (null if not listed).
+    """
+    used = sources.select("file_id", F.lit(True).alias("source")).distinct()
+    same = members.where("sha256 is not null").select("sha256", F.lit(True).alias("member")).distinct()
+    blind = members.where("sha256 is null").select("parent", F.lit(True).alias("unlisted")).distinct()
+    joined = files.join(used, "file_id", "left").join(same, "sha256", "left").join(blind, "parent", "left")
+    state = F.when(F.col("source").isNotNull() | F.col("member").isNotNull(), F.lit("KNOWN_PRESENT")).when(F.col("unlisted").isNotNull(), F.lit("UNKNOWN")).otherwise(F.lit("KNOWN_NONE"))
+    return joined.select("file_id", state.alias("state"))
+
+
+def correction_status(plans: DataFrame) -> DataFrame:
+    """``plan_id, blockers, status`` of metadata corrections; like all plans they aren't executable."""
+    rules = (
+        (~F.col("same_lineage"), "LINEAGE_MISMATCH"), (~F.col("evidence_complete"), "SOURCE_EVIDENCE_INCOMPLETE"), (F.col("old_value").eqNullSafe(F.col("new_value")), "FIELD_SELECTION_INVALID"),
+        (F.col("dependency") == "UNKNOWN", "DEPENDENCY_EVIDENCE_INCOMPLETE"), (F.col("review") == "MISSING", "REVIEW_MISSING"), (F.col("review") == "REJECTED", "REVIEW_REJECTED"), (F.col("review") == "STALE", "REVIEW_STALE"),
+    )
+    found = F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in rules)), lambda x: x.isNotNull())
+    status = F.when(F.size("blockers") > 0, F.lit("BLOCKED")).when(F.col("review") == "ACCEPTED", F.lit("APPROVED_NON_EXECUTABLE")).otherwise(F.lit("REVIEW_REQUIRED"))
+    return plans.withColumn("blockers", found).select("plan_id", "blockers", status.alias("status"))
+
+
+def quarantine_eligibility(plans: DataFrame, now) -> DataFrame:
+    """``plan_id, status, blockers`` for approved plans of exact duplicates within their window, without dependencies."""
+    rules = (
+        (F.col("plan_status") != "APPROVED_NON_EXECUTABLE", "PLAN_NOT_APPROVED"), (F.col("relation") != "EXACT_DUPLICATE", "IDENTITY_NOT_EXACT_DUPLICATE"),
+        (F.col("dependency") != "KNOWN_NONE", "DEPENDENCY_NOT_KNOWN_NONE"), ((now < F.col("valid_from")) | (now >= F.col("valid_until")), "AUTHORIZATION_WINDOW_INVALID"),
+    )
+    found = F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in rules)), lambda x: x.isNotNull())
+    return plans.withColumn("blockers", found).select("plan_id", F.when(F.size("blockers") > 0, F.lit("BLOCKED")).otherwise(F.lit("ELIGIBLE")).alias("status"), "blockers")
