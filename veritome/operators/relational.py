@@ -43,9 +43,11 @@ def top_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def bounded_members(rows: DataFrame, keys: Sequence[str], member: str, k: int) -> DataFrame:
     """``keys, member_count, members`` with the first ``k`` members in order, the count of all, and whether any are left out."""
-    ranked = rows.withColumn("n__", F.row_number().over(Window.partitionBy(*keys).orderBy(member)))
-    first = F.sort_array(F.collect_list(F.when(F.col("n__") <= k, F.col(member))))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("member_count"), first.alias("members")).withColumn("truncated", F.col("member_count") > k)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("member_count"))
+    # Spark cuts a filter on row_number to k rows for each task and key before the shuffle, so a hot key stays small
+    ranked = rows.withColumn("n__", F.row_number().over(Window.partitionBy(*keys).orderBy(member))).where(F.col("n__") <= k)
+    first = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    return counts.join(first, list(keys)).withColumn("truncated", F.col("member_count") > k)
 
 
 def page(rows: DataFrame, order: Sequence[str], after: Sequence | None, limit: int) -> tuple[DataFrame, bool, tuple | None]:
@@ -93,6 +95,7 @@ def reusable_decision(decisions: DataFrame, wanted: DataFrame, keys: Sequence[st
 def dense_ordinals(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """Contiguous ``ordinal`` from 0 in a total order without one task that sees all rows: a range sort, and each part's offset."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("in__", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    parts = parts.persist()  # one plan for both uses: another one would sample other range bounds
     sizes = sorted((r["part__"], r["n"]) for r in parts.groupBy("part__").agg(F.count("*").alias("n")).collect())  # a row for each partition
     offsets, total = [], 0
     for part, n in sizes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritome.operators.relational import ordered_digest
@@ -102,10 +102,10 @@ def health_findings(found: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = found.sparkSession
     rules = F.broadcast(spark.createDataFrame(FINDINGS, "code string, dimension string, severity string"))
     distinct = found.select("file_id", "code").distinct().join(rules, "code")
-    from pyspark.sql import Window
-
-    ranked = distinct.withColumn("n__", F.row_number().over(Window.partitionBy("code").orderBy("file_id")))
-    return ranked.groupBy("code", "dimension", "severity").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("n__") <= samples, F.col("file_id")))).alias("samples"))
+    counts = distinct.groupBy("code", "dimension", "severity").agg(F.count("*").alias("n"))
+    ranked = distinct.withColumn("n__", F.row_number().over(Window.partitionBy("code").orderBy("file_id"))).where(F.col("n__") <= samples)
+    first = ranked.groupBy("code").agg(F.sort_array(F.collect_list("file_id")).alias("samples"))
+    return counts.join(first, "code")
 
 
 def health_dimensions(found: DataFrame, total_items: int) -> DataFrame:
