@@ -28,6 +28,8 @@ LENGTH, ANCHOR = 200, 32
 SHARD_BYTES, MANY = 2_000_000, 2_000
 #: Bytes of text that a task hashes at once.
 CHUNK = 1 << 20
+#: Windows in a block.
+BLOCK = 8
 
 _table = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _odd = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -39,16 +41,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` bytes from each position; the last positions wrap and aren't used."""
+    """A 64-bit hash of the ``length`` bytes from each position: sums of random numbers for bytes, times odd ones for places, doubled in width and mixed at the end."""
     out, width, at, done = None, 1, 0, _table[data]
     while True:
         if length & width:
             part = done[at:] if at else done
-            out = done if out is None else _mixed(out[: len(part)] * _odd[0] + part)
+            out = done if out is None else out[: len(part)] * _odd[0] + part
             at += width
         if at == length:
-            return out
-        done = _mixed(done[:-width] * _odd[2] + done[width:])
+            return _mixed(out)
+        done = done[:-width] * (_odd[2] + np.uint64(2 * width)) + done[width:]
         width *= 2
 
 
@@ -65,7 +67,7 @@ def _segments(data: np.ndarray, bounds: np.ndarray, length: int, anchor: int) ->
     grams = _grams(data, anchor)
     bits = max(24, int(len(grams)).bit_length())
     low = np.uint64((1 << bits) - 1)
-    least = (_mixed(grams) & ~low) | np.arange(len(grams), dtype=np.uint64)  # of equal hashes the leftmost
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # of equal hashes the leftmost
     need, width = length - anchor + 1, 1
     while 2 * width <= need:
         least = np.minimum(least[:-width], least[width:])
@@ -74,9 +76,10 @@ def _segments(data: np.ndarray, bounds: np.ndarray, length: int, anchor: int) ->
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
     owner = (least & low).astype(np.int64)
-    starts = np.arange(len(owner))
-    doc = np.searchsorted(bounds, starts, "right") - 1
-    fits = starts + length <= bounds[doc + 1]
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(owner)]
+    fits = np.ones(len(owner), bool)
+    for end in bounds[1:].tolist():  # the last windows of a text would reach into the next
+        fits[max(0, end - length + 1) : end] = False
     new = np.empty(len(owner), bool)
     new[0] = True
     new[1:] = (owner[1:] != owner[:-1]) | ~fits[:-1] | (doc[1:] != doc[:-1])
@@ -125,16 +128,16 @@ def _anchored(length: int, anchor: int):
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each of some different strings, which of its windows stand in one of them again (or twice in it)."""
     size = sum(len(p) + 1 for p in parts)
-    s, room, at = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), []
+    s, room, at = np.zeros(size + 1, np.uint8), np.zeros(size + 1, np.int32), []
     i = 0
-    for p in parts:
+    for p in parts:  # no byte of UTF-8 is over 0xF4
         at.append(i)
-        s[i : i + len(p)] = np.frombuffer(p, np.uint8).astype(np.int64) + 2
+        s[i : i + len(p)] = np.frombuffer(p, np.uint8) + np.uint8(2)
         s[i + len(p)] = 1
         room[i : i + len(p)] = np.arange(len(p), 0, -1)
         i += len(p) + 1
-    sa = suffix_array(s, 258)
-    lcp = permuted_lcp(np.minimum(s, 255).astype(np.uint8) if s.max() < 255 else (s & 0xFF).astype(np.uint8), sa, room)
+    sa = suffix_array(s, 256)
+    lcp = permuted_lcp(s, sa, room)
     same = lcp[sa] >= length
     again = np.zeros(size + 1, bool)
     again[sa[same]] = True
@@ -164,15 +167,63 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int32()), pa.array(b, pa.binary())], names=["a", "v", "n", "bytes"])
 
 
+def _blocked(length: int, anchor: int):
+    """A segment's windows in blocks of BLOCK by their distance to the anchor: hashes of what all windows of such a block hold (core), of what these windows cover (union), and of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, v, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(b, np.uint8)
+                count = len(data) - length + 1
+                one, two = _grams(data, length)[:count].view(np.int64), _grams(255 - data, length)[:count].view(np.int64)
+                # the anchor's leftmost place is its own: one further left would own these windows
+                place = int(np.flatnonzero(_grams(data, anchor)[: len(data) - anchor + 1].view(np.int64) == a)[0])
+                for j in range(place // BLOCK + 1):
+                    first, last = max(0, place - BLOCK * j - BLOCK + 1), min(count - 1, place - BLOCK * j)
+                    if first > last:
+                        continue
+                    core = b[place - BLOCK * j : place - BLOCK * j - BLOCK + 1 + length]
+                    union = b[first : last + length]
+                    w = [{"at": i, "one": int(one[i]), "two": int(two[i])} for i in range(first, last + 1)]
+                    rows.append((a, v, n, j, first, last - first + 1, hashlib.blake2b(core, digest_size=16).digest(), hashlib.blake2b(union + bytes([last - first]), digest_size=16).digest(), w))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("at", pa.int32()), ("one", pa.int64()), ("two", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "v", "n", "j", "first", "m", "core", "union", "w"])
+
+    return run
+
+
+def _by_blocks(hot: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of segments at anchors with very many, by counts of blocks, and by counts of windows where blocks don't settle it.
+
+    Equal windows lie in blocks with equal cores. A core that stands once is done; a
+    block whose union stands twice is repeated throughout; only where a core has several
+    unions are windows counted, one block for each union.
+    """
+    blocks = written(hot.mapInArrow(_blocked(length, anchor), "a long, v long, n int, j int, first int, m int, core binary, union binary, w array<struct<at:int,one:long,two:long>>"), "blocks")
+    kinds = blocks.groupBy("a", "j", "core", "union").agg(F.count("*").alias("c"), F.min(F.struct("v", "n", "w")).alias("one"))
+    kinds = written(kinds, "unions")
+    twice = kinds.where("c > 1").select("a", "j", "union")
+    settled = blocks.join(twice, ["a", "j", "union"]).select("a", "v", "n", F.struct(F.col("first").alias("b"), (F.col("first") + F.col("m") - 1 + length).alias("e")).alias("s"))
+    by_block = settled.groupBy("a", "v", "n").agg(F.collect_set("s").alias("spans"))
+    open_cores = kinds.groupBy("a", "j", "core").agg(F.count("*").alias("unions")).where("unions > 1").select("a", "j", "core")
+    each = kinds.join(open_cores, ["a", "j", "core"]).select("a", "c", "one.v", "one.n", F.explode("one.w").alias("w")).select("a", "v", "n", "c", "w.at", "w.one", "w.two")
+    each = written(each, "windows")
+    again = each.groupBy("one", "two").agg(F.sum("c").alias("t")).where("t > 1").select("one", "two")
+    single = each.where("c = 1").join(again, ["one", "two"], "left_semi").groupBy("a", "v", "n").agg(F.collect_set(F.struct(F.col("at").alias("b"), (F.col("at") + length).alias("e"))).alias("spans"))
+    return by_block, single
+
+
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``id, spans``: byte spans of each text with repeated strings, some of which may overlap. ``docs`` has an ``id`` for each text."""
     base = docs.select("id", F.col(text).cast("string").alias("text"))
-    found = base.mapInArrow(_anchored(length, anchor), "a long, v long, n int, id long, at int")
+    found = written(base.mapInArrow(_anchored(length, anchor), "a long, v long, n int, id long, at int"), "segments")
     twice = written(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "anchors")
     places = written(found.join(twice, "a"), "places")
     kinds = places.groupBy("a", "v", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("one"))
     each = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
-    kinds = written(kinds.join(each, "a"), "segments")
+    kinds = written(kinds.join(each, "a"), "kinds")
     whole = kinds.where("c > 1").select("a", "v", "n", F.array(F.struct(F.lit(0).alias("b"), F.col("n").alias("e"))).alias("spans"))
     want = kinds.where("single > 0 and kinds > 1").select("one.id", F.struct("a", "v", "n", "one.at").alias("w"), "a", "kinds", "n")
     many = want.where(F.col("kinds") > MANY).select("a").distinct()
@@ -182,18 +233,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: i
     cut = written(cut, "cut")
     hot = cut.join(many, "a", "left_semi")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(3)[i].as_py(), np.uint8)
-                n = len(data) - length + 1
-                one, two = _grams(data, length)[:n], _grams(255 - data, length)[:n]
-                same = [pa.array(np.full(n, batch.column(c)[i].as_py()), t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n), pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["a", "v", "n", "at", "one", "two"])
-
-    counted = written(hot.dropDuplicates(["a", "v", "n"]).mapInArrow(windows, "a long, v long, n int, at int, one long, two long"), "windows")
-    again = counted.groupBy("one", "two").agg(F.count("*").alias("c")).where("c > 1")
-    by_count = counted.join(again, ["one", "two"]).groupBy("a", "v", "n").agg(F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("b"), (x + length).alias("e"))).alias("spans"))
+    by_block, by_window = _by_blocks(hot.dropDuplicates(["a", "v", "n"]), length, anchor)
 
     def sorted_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["a", "v", "n"])
@@ -204,7 +244,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: i
         return out
 
     by_sort = cut.join(many, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInPandas(sorted_shard, f"a long, v long, n int, spans {_SPANS}")
-    spans = written(whole.unionByName(by_count).unionByName(by_sort), "spans")
+    spans = written(whole.unionByName(by_block).unionByName(by_window).unionByName(by_sort), "spans")
     hits = places.join(spans, ["a", "v", "n"]).select("id", F.explode("spans").alias("s"), "at").select("id", (F.col("s.b") + F.col("at")).alias("b"), (F.col("s.e") + F.col("at")).alias("e"))
     return written(hits.groupBy("id").agg(F.collect_set(F.struct("b", "e")).alias("spans")), "hits")
 

@@ -12,9 +12,9 @@ def _smaller(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last (the sentinel) is."""
     n = len(s)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(s[1:].astype(np.int64) - s[:-1])
+    step[:-1] = np.where(s[1:] > s[:-1], 1, np.where(s[1:] < s[:-1], -1, 0))
     step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n), n - 1)
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     return step[nearest] > 0
 
@@ -24,13 +24,13 @@ def _deal(chars: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray, np.n
     order = np.argsort(chars, kind="stable")
     counts = np.bincount(chars, minlength=n_names)
     firsts = np.cumsum(counts) - counts
-    return order, np.arange(len(chars)) - firsts[chars[order]], counts
+    return order, np.arange(len(chars)) - np.repeat(firsts, counts), counts
 
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, n_names: int) -> np.ndarray:
     """All suffixes from leftmost-smaller ones, ``lms``, in the order in which these are given within a bucket."""
     n = len(s)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     counts = np.bincount(s, minlength=n_names)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -46,12 +46,11 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, n_names: int) ->
         if not len(before):
             return
         order, place, counts = _deal(s[before], n_names)
-        chars = s[before[order]]
         if want_small:
-            sa[to[chars] - 1 - place] = before[order]
+            sa[np.repeat(to - 1, counts) - place] = before[order]
             to -= counts
         else:
-            sa[to[chars] + place] = before[order]
+            sa[np.repeat(to, counts) + place] = before[order]
             to += counts
 
     heads, names = starts.copy(), np.flatnonzero(counts).tolist()
@@ -105,7 +104,7 @@ def suffix_array(s: np.ndarray, n_names: int | None = None) -> np.ndarray:
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
     # names: adjacent leftmost-smaller substrings get different ones where they differ before both have ended
-    length = np.ones(len(s), np.int64)
+    length = np.ones(len(s), np.int32)
     length[lms[:-1]] = np.diff(lms) + 1
     differ = length[ordered[1:]] != length[ordered[:-1]]
     left, at = np.flatnonzero(~differ), 0
@@ -115,7 +114,7 @@ def suffix_array(s: np.ndarray, n_names: int | None = None) -> np.ndarray:
         differ[left[other]] = True
         left = left[~other & (length[a] > at + 1)]
         at += 1
-    name = np.empty(len(s), np.int64)
+    name = np.empty(len(s), np.int32)
     name[ordered] = np.concatenate(([0], np.cumsum(differ)))
     reduced = name[lms]
     n_reduced = int(reduced.max()) + 1
@@ -137,13 +136,13 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarray:
     its bound and eight characters at a time.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
     word = np.zeros(n + 8, np.uint64)
     word[:n] = s
     for k in (1, 2, 4):
         word[: n + 8 - k] |= word[k:] << np.uint64(8 * k)
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int32)
     q = 64
     known = np.arange(0, n, q)
     bound = np.zeros(len(known), np.int64)
