@@ -46,8 +46,11 @@ def bounded_members(rows: DataFrame, keys: Sequence[str], member: str, k: int) -
     counts = rows.groupBy(*keys).agg(F.count("*").alias("member_count"))
     # Spark cuts a filter on row_number to k rows for each task and key before the shuffle, so a hot key stays small
     ranked = rows.withColumn("n__", F.row_number().over(Window.partitionBy(*keys).orderBy(member))).where(F.col("n__") <= k)
-    first = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
-    return counts.join(first, list(keys)).withColumn("truncated", F.col("member_count") > k)
+    first = ranked.groupBy(*(F.col(c).alias(f"{c}__") for c in keys)).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    return counts.join(first, same).select(*keys, "member_count", "members", (F.col("member_count") > k).alias("truncated"))
 
 
 def page(rows: DataFrame, order: Sequence[str], after: Sequence | None, limit: int) -> tuple[DataFrame, bool, tuple | None]:
