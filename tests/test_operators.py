@@ -235,3 +235,32 @@ def test_planning_rules(spark):
     assert rows(planning.verification(checks.where("false"))) == [("COMPLETE", 0)]
     groups = spark.createDataFrame([("a", 5, 3), ("b", 5, 3), ("c", 9, 2)], "group_id string, member_count int, redundant_bytes int")
     assert {r.group_id for r in inventory.largest_groups(groups, 1).collect()} == {"b"} and {r.group_id for r in inventory.most_members(groups, 2).collect()} == {"c", "a"}
+
+
+def test_tar_frames(spark):
+    import io
+    import tarfile
+
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+        for name, body in (("a.txt", b"x" * 700), ("d/b.bin", b"")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+        folder = tarfile.TarInfo("d")
+        folder.type = tarfile.DIRTYPE
+        tar.addfile(folder)
+    data = raw.getvalue()
+    bad = bytearray(data)
+    bad[0] ^= 1
+    df = spark.createDataFrame([("good", bytearray(data)), ("bad", bad), ("cut", bytearray(data[:900])), ("none", None)], "k string, c binary")
+    got = {}
+    for r in files.tar_members(df, "k", "c").orderBy("key", "ordinal").collect():
+        got.setdefault(r.key, []).append((r.path, r.size, r.kind, r.finding))
+    assert got["good"] == [("a.txt", 700, "REGULAR_FILE", None), ("d/b.bin", 0, "REGULAR_FILE", None), ("d/", 0, "DIRECTORY", None)]
+    assert got["bad"][0][3] == "CHECKSUM_MISMATCH" and got["cut"][0][3] == "TRUNCATED" and "none" not in got
+
+
+def test_null_keys_stay_in_bounded_lists(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), (None, 3), (None, 5), (None, 4)], "k string, m int")
+    assert rows(relational.bounded_members(df, ["k"], "m", 2)) == [("a", 2, [1, 2], False), (None, 3, [3, 4], True)]
