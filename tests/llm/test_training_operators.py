@@ -473,3 +473,46 @@ def test_pipeline_stages_keep_columns_on_odd_rows(spark, tmp_path):
         assert out.count() > 0
     last = corpus_pipeline.STAGES[-1][1](spark, odd.where("false"), d)
     assert last.count() == 0
+
+
+def test_word_tokenizer_on_random_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from veritome.llm.token_files import WordTokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        coder = WordTokenizer(f.read())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" \n\t'’.,%#aAbBsSdé́İßΣ12<|>-中😀\x85\x1cre") for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|> a", None]
+    ids, lengths = coder.encode(pa.array(texts, pa.string()))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_small_tiles_and_small_payloads_give_the_same(spark, corpus, monkeypatch):
+    from veritome.llm import simhash, token_files
+
+    path = tokenizers.path("word_bpe_49k.json")
+    before = sorted(rows(simhash.near_duplicates(corpus))), sorted(rows(token_files.round_trip(corpus, path)))
+    monkeypatch.setattr(simhash, "TILE_ROWS", 2)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(token_files, "PAYLOAD", 50)
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 100)
+    monkeypatch.setattr(token_files, "KEPT_CHUNKS", 20)
+    assert (sorted(rows(simhash.near_duplicates(corpus))), sorted(rows(token_files.round_trip(corpus, path)))) == before
+
+
+def test_toxicity_and_bpe_forget_without_effect(spark, docs, labels, monkeypatch):
+    from veritome.llm import bpe, toxicity
+
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    model = toxicity.fit(docs, labels)
+    before = Counter(rows(toxicity.score(docs, model))), Counter(rows(bpe.encode_decode(docs, path, tokenizers.PATTERN, outputs=())))
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 3)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 3)
+    assert (Counter(rows(toxicity.score(docs, model))), Counter(rows(bpe.encode_decode(docs, path, tokenizers.PATTERN, outputs=())))) == before
