@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks whose ids a task keeps; when full, the memory is emptied and filled anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

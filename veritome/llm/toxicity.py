@@ -31,7 +31,7 @@ STEM = range(3, 9)
 WINDOW, QUOTED = 6, 0.3
 #: Terms at least this long match with one edit.
 FUZZY_LENGTH = 5
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 # Words that report speech.
 REPORTING = frozenset("said says wrote writes quoted quotes quote called calls term word words slur insult reported according sagte schrieb nannte zitat dit écrit citation dijo escribió cita".split())
 THRESHOLD = 0.7
