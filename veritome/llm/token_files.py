@@ -15,6 +15,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ ESCAPE = 15
 #: Ids in a block, and in a payload at least (but for the last of a file).
 BLOCK, PAYLOAD = 4096, 1 << 18
 #: Bytes of text encoded at once, about.
-TEXT_BYTES = 8 << 20
-#: Stretches that a worker remembers, and the length up to which it keeps them when these get too many.
-KEPT_CHUNKS, KEPT_LENGTH = 1_000_000, 9
+TEXT_BYTES = 12 << 20
+#: Stretches between spaces that a worker remembers, at most about: some 40 bytes each.
+KEPT_CHUNKS = 3_000_000
 MAGIC = b"S8B1"
 
 
@@ -134,7 +135,7 @@ def unpack(payload: bytes, block: int | None = None) -> np.ndarray:
 
 
 class WordTokenizer:
-    """Encodes by the tokenizers library a stretch between spaces at a time, which it treats each by itself; repeated ones are remembered."""
+    """Encodes by the tokenizers library a stretch between spaces at a time, which it treats each by itself; those met before are remembered in Arrow and numpy arrays."""
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,47 +143,65 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.library.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.sizes, self.ids = pa.array([""], pa.string()), np.zeros(1, np.int64), np.empty(0, "<u4")
+        self.starts = np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        chunks, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.known
-        each = list(map(known.get, chunks))
-        if None in each:
-            self._learn([x for x, ids in zip(chunks, each, strict=True) if ids is None])
-            each = list(map(known.__getitem__, chunks))
-        if len(known) > KEPT_CHUNKS:  # long ones seldom come again
-            short = {x: ids for x, ids in known.items() if len(x) <= KEPT_LENGTH}
-            self.known = short if len(short) < KEPT_CHUNKS // 2 else {"": b""}
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        first = np.cumsum(size) - size
-        n = size[which]
+        chunks, which = coded.dictionary, coded.indices.to_numpy()
+        if len(self.known) > KEPT_CHUNKS:
+            self._forget()
+        place = pc.index_in(chunks, value_set=self.known)
+        if place.null_count:  # what is learned follows what is known, in order
+            lacking = place.is_null()
+            before = len(self.known)
+            self._learn(chunks.filter(lacking))
+            place = place.fill_null(0).to_numpy().copy()
+            lacking = lacking.to_numpy(zero_copy_only=False)
+            place[lacking] = before + np.arange(lacking.sum())
+            place = place[which]
+        else:
+            place = place.to_numpy()[which]
+        n = self.sizes[place]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.starts[place] - ends[:-1], n) + np.arange(ends[-1])]
         return ids, np.diff(ends[bounds])
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Letters and one stop or comma after them are separate pre-tokens, and ASCII letters count alike in both cases, so the library sees the letters once."""
-        known, new, derived = self.known, set(), []
-        for x in chunks:
-            stem, mark = (x[:-1], x[-1]) if x[-1] in ".," and x[:-1].isalpha() else (x, "")
-            if stem.isascii() and not stem.islower():
-                stem = stem.lower()
-            if stem not in known:
-                new.add(stem)
-            if mark or stem != x:
-                derived.append((x, stem, mark))
-                if mark not in known:
-                    new.add(mark)
-        new = list(new)
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = array("I", e.ids).tobytes()
-        for x, stem, mark in derived:
-            known[x] = known[stem] + known[mark]
+    def _learn(self, chunks: pa.Array) -> None:
+        """Letters and punctuation after them are separate pre-tokens, and ASCII letters count alike in both cases, so the library sees the letters once."""
+        forms = []
+        for x in chunks.to_pylist():
+            stem = x.rstrip(punctuation)
+            stem, mark = (stem, x[len(stem) :]) if stem.lower().isalpha() else (x, "")  # the lower case of a letter may end with a mark
+            forms.append((stem.lower() if stem.isascii() else stem, mark))
+        new = list({s for s, _ in forms})
+        # plain words go as one text: each ends with a token that only ends words
+        plain, of = [x for x in new if x.isalpha()], {"": b""}
+        ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ending[ids]) + 1 if len(ids) else ids
+        rest = new  # one of the plain ones may be more than one word to the library
+        if len(ends) == len(plain):
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            of.update(zip(plain, [data[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)], strict=True))
+            rest = [x for x in new if not x.isalpha()]
+        rest += list({m for _, m in forms})
+        for x, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            of[x] = array("I", e.ids).tobytes()
+        values = [of[stem] + of[mark] for stem, mark in forms]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(values), "<u4")))
+        self.known = pa.concat_arrays([self.known, chunks])
 
 
 _ROW = "shard int, payload_no int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
