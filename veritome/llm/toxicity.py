@@ -191,11 +191,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tally: Counter = Counter()
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                units = _units(x.as_py())
-                tally.update((u, w, y.as_py() > 0) for u, w in units)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally]), pa.array([k[1] for k in tally]), pa.array([n if k[2] else 0 for k, n in tally.items()], pa.int64()), pa.array([0 if k[2] else n for k, n in tally.items()], pa.int64())], names=["unit", "word", "toxic", "clean"])
+            for at in range(0, batch.num_rows, 256):  # the counts of few texts at a time are held
+                part, tally = batch.slice(at, 256), Counter()
+                for x, y in zip(part.column(0), part.column(1), strict=True):
+                    toxic = y.as_py() > 0
+                    tally.update((u, w, toxic) for u, w in _units(x.as_py()))
+                n = list(tally.values())
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally]), pa.array([k[1] for k in tally]), pa.array([c if k[2] else 0 for k, c in zip(tally, n, strict=True)], pa.int64()), pa.array([0 if k[2] else c for k, c in zip(tally, n, strict=True)], pa.int64())], names=["unit", "word", "toxic", "clean"])
 
     words = sample.select("text", "y").mapInArrow(counted, "unit string, word string, toxic long, clean long").groupBy("unit", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     whole = words.where("unit = word")
