@@ -78,10 +78,11 @@ def sidecars(files: DataFrame) -> DataFrame:
 
 
 def equal_source_sets(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """``wanted_id, stored_id`` of sets with exactly the same members: sets meet by their sorted members, never member by member."""
+    """``wanted_id, stored_id``: for each wanted set the smallest stored one with exactly the same members. Sets meet by their sorted members, never member by member, and a set that is stored often joins once."""
     w = wanted.groupBy("wanted_id").agg(F.sort_array(F.collect_set("member")).alias("members"))
     s = stored.groupBy("stored_id").agg(F.sort_array(F.collect_set("member")).alias("members"))
-    return w.join(s, "members").select("wanted_id", "stored_id")
+    first = s.groupBy("members").agg(F.min("stored_id").alias("stored_id"))
+    return w.join(first, "members").select("wanted_id", "stored_id")
 
 
 def plan_status(plans: DataFrame) -> DataFrame:

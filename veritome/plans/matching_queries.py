@@ -88,10 +88,10 @@ def match_scores(spark, d):
     return scored.select("left_id", "right_id", "relation", F.col("supporting").cast("bigint").alias("supporting"), F.col("assessed").cast("bigint").alias("assessed"), "status", F.round(F.col("confidence") * 1000).cast("bigint").alias("permille"))
 
 
-@query("""WITH l AS (SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY 1), c AS (SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 4 = 0 THEN 'AUTO_SAFE' ELSE 'REVIEW_REQUIRED' END AS disposition, o_orderkey % 3 AS digest FROM orders WHERE o_orderkey < 2000)
+@query("""WITH l AS (SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn FROM conversations GROUP BY 1), c AS (SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 4 = 0 THEN 'AUTO_SAFE' ELSE 'REVIEW_REQUIRED' END AS disposition, o_orderkey % 3 AS digest FROM orders)
 SELECT candidate_id, disposition FROM c LEFT JOIN l ON candidate_id = conv_id WHERE disposition = 'AUTO_SAFE' OR (role = 'assistant' AND turn % 3 = digest)""")
 def accepted_resolutions(spark, d):
-    c = table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("candidate_id"), F.when(F.col("o_orderkey") % 4 == 0, "AUTO_SAFE").otherwise("REVIEW_REQUIRED").alias("disposition"), (F.col("o_orderkey") % 3).alias("evidence_digest"))
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.when(F.col("o_orderkey") % 4 == 0, "AUTO_SAFE").otherwise("REVIEW_REQUIRED").alias("disposition"), (F.col("o_orderkey") % 3).alias("evidence_digest"))
     log = table(spark, d, "conversations").select(F.col("conv_id").alias("candidate_id"), F.col("turn").alias("sequence_no"), F.when(F.col("role") == "assistant", "ACCEPT").otherwise("REJECT").alias("decision"), (F.col("turn") % 3).alias("evidence_digest"))
     return matching.accepted_resolutions(c, log).select("candidate_id", "disposition")
 

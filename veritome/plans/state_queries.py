@@ -132,12 +132,12 @@ def metadata_conflicts(spark, d):
     return planning.metadata_conflicts(records, seen)
 
 
-@query("""WITH v AS (SELECT cast(l_orderkey AS VARCHAR) AS parent, cast(l_linenumber AS BIGINT) AS volume FROM lineitem WHERE l_orderkey % 3 <> 0)
-SELECT parent, 'book' AS stem, CASE WHEN cast(parent AS BIGINT) % 3 = 1 THEN 'RAR_NEW' ELSE 'SEVEN_Z' END AS scheme, count(*) AS volumes, cast(max(volume) - count(DISTINCT volume) AS INTEGER) AS missing, CASE WHEN count(*) > count(DISTINCT volume) THEN 'NAME_COLLISION' WHEN max(volume) > count(DISTINCT volume) THEN 'MISSING_VOLUME' ELSE 'COMPLETE' END AS finding FROM v GROUP BY parent""")
+@query("""WITH v AS (SELECT cast(l_orderkey AS VARCHAR) AS parent, cast(l_linenumber AS BIGINT) AS volume FROM lineitem)
+SELECT parent, 'book' AS stem, CASE cast(parent AS BIGINT) % 3 WHEN 0 THEN 'ZIP' WHEN 1 THEN 'RAR_NEW' ELSE 'SEVEN_Z' END AS scheme, count(*) AS volumes, cast(max(volume) - count(DISTINCT volume) AS INTEGER) AS missing, CASE WHEN count(*) > count(DISTINCT volume) THEN 'NAME_COLLISION' WHEN max(volume) > count(DISTINCT volume) THEN 'MISSING_VOLUME' ELSE 'COMPLETE' END AS finding FROM v GROUP BY parent""")
 def volume_sets(spark, d):
     n = F.col("l_linenumber").cast("string")
-    name = F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Book.part"), n, F.lit(".rar"))).otherwise(F.concat(F.lit("Book.7z."), F.lpad(n, 3, "0")))
-    return planning.volume_sets(table(spark, d, "lineitem").where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").cast("string").alias("parent"), name.alias("name")))
+    name = F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Book.part"), n, F.lit(".rar"))).when(F.col("l_orderkey") % 3 == 2, F.concat(F.lit("Book.7z."), F.lpad(n, 3, "0"))).otherwise(F.concat(F.lit("book.ZIP."), F.lpad(n, 3, "0")))
+    return planning.volume_sets(table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent"), name.alias("name")))
 
 
 @query("""WITH m AS (SELECT l_orderkey AS archive_id, CASE WHEN l_partkey % 50 = 0 THEN '../x' ELSE 'F' || cast(l_linenumber AS VARCHAR) END AS path, CASE WHEN l_partkey % 40 = 1 THEN NULL ELSE l_suppkey * 100 END AS size, l_suppkey % 7 AS packed, CASE WHEN l_suppkey % 30 = 0 THEN 'SYMLINK' ELSE 'REGULAR_FILE' END AS kind FROM lineitem),
@@ -155,11 +155,11 @@ def sidecar_kinds(spark, d):
     return planning.sidecars(table(spark, d, "part").select("p_partkey", F.lit("p").alias("parent"), name.alias("name"))).select("p_partkey", "kind")
 
 
-@query("""WITH w AS (SELECT DISTINCT l_orderkey AS wanted_id, l_returnflag || l_linestatus AS m FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS stored_id, l_returnflag || l_linestatus AS m FROM lineitem WHERE l_suppkey % 7 = 0 AND l_returnflag <> 'N'),
-a AS (SELECT wanted_id, list_sort(list(m)) AS ms FROM w GROUP BY 1), b AS (SELECT stored_id, list_sort(list(m)) AS ms FROM s GROUP BY 1) SELECT wanted_id, stored_id FROM a JOIN b USING (ms)""")
+@query("""WITH w AS (SELECT DISTINCT l_orderkey AS wanted_id, l_returnflag || l_linestatus AS m FROM lineitem), s AS (SELECT DISTINCT l_suppkey AS stored_id, l_returnflag || l_linestatus AS m FROM lineitem),
+a AS (SELECT wanted_id, list_sort(list(m)) AS ms FROM w GROUP BY 1), b AS (SELECT stored_id, list_sort(list(m)) AS ms FROM s GROUP BY 1) SELECT wanted_id, min(stored_id) AS stored_id FROM a JOIN b USING (ms) GROUP BY 1""")
 def equal_source_sets(spark, d):
     l = table(spark, d, "lineitem").withColumn("member", F.concat("l_returnflag", "l_linestatus"))
-    return planning.equal_source_sets(l.select(F.col("l_orderkey").alias("wanted_id"), "member"), l.where("l_suppkey % 7 = 0 AND l_returnflag <> 'N'").select(F.col("l_suppkey").alias("stored_id"), "member"))
+    return planning.equal_source_sets(l.select(F.col("l_orderkey").alias("wanted_id"), "member"), l.select(F.col("l_suppkey").alias("stored_id"), "member"))
 
 
 @query("""WITH b AS (SELECT o_orderkey AS plan_id, list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'IDENTITY_NOT_CONFIRMED' END, CASE WHEN o_orderkey % 7 = 0 THEN 'PRECONDITION_INCOMPLETE' END, CASE WHEN o_orderkey % 11 = 0 THEN 'PROTECTED_SOURCE_ROOT' END, CASE WHEN o_orderkey % 13 = 0 THEN 'KEEP_PREFERENCE_UNRESOLVED' END], lambda v: v IS NOT NULL) AS x, o_orderstatus AS s FROM orders)
