@@ -54,13 +54,8 @@ def _grams(data: np.ndarray, length: int) -> np.ndarray:
         width *= 2
 
 
-def segments(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Anchor hash, segment hash, start and byte count of every segment of a text."""
-    return _segments(np.frombuffer(text, np.uint8), np.array([0, len(text)]), length, anchor)[1:]
-
-
 def _segments(data: np.ndarray, bounds: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """The same for texts that lie end to end: text number, anchor, segment, start in the text, bytes."""
+    """Of texts that lie end to end, each segment's text number, anchor hash, own hash, start in the text, and bytes."""
     none = tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     if len(data) < length:
         return none
