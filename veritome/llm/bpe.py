@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks whose ids a task keeps; when full, the memory is emptied and filled anew.
-KEPT_CHUNKS = 500_000
+#: Chunks whose ids a worker remembers; when they get more, those longer than KEPT_LENGTH go, which seldom come again.
+KEPT_CHUNKS, KEPT_LENGTH = 500_000, 9
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -157,7 +157,8 @@ class Coder:
                 known[x] = self._chunk(x)
         out = b"".join([known[x] for x in chunks])
         if len(known) > KEPT_CHUNKS:
-            known.clear()
+            short = {x: ids for x, ids in known.items() if len(x) <= KEPT_LENGTH}
+            self.known = short if len(short) < KEPT_CHUNKS // 2 else {}
         return out
 
     def decode(self, ids: bytes) -> bytes:
