@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks whose ids a worker remembers; when they get more, those longer than KEPT_LENGTH go, which seldom come again.
-KEPT_CHUNKS, KEPT_LENGTH = 500_000, 9
+KEPT_CHUNKS, KEPT_LENGTH = 800_000, 9
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
