@@ -113,6 +113,14 @@ def test_exact_block_of_a_thousand_is_a_star(spark):
     assert matching.pairs(made).count() == 999
 
 
+def test_match_pairs_links_every_copy_of_a_large_group(spark, tmp_path):
+    from veritome.plans.matching_queries import match_pairs
+
+    copies = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"), F.lit(8).alias("n_chars"))
+    copies.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in match_pairs(spark, str(tmp_path)).collect()) == [(0, i, "FILE_SHA256") for i in range(1, 300)]
+
+
 def test_score_without_features_present_is_zero(spark):
     df = spark.createDataFrame([(1, 2, "SAME_WORK", "TITLE_COMPATIBLE", False)], "left_id int, right_id int, relation string, feature string, present boolean")
     assert tuple(matching.score(df).select("confidence", "status").first()) == (0.0, "REVIEW_REQUIRED")

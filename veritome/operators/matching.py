@@ -53,9 +53,17 @@ def blocks(evidence: DataFrame, pairwise: int = PAIRWISE, members: int = MEMBERS
     return sizes.join(first, ["block_type", "block_key"]).select("block_type", "block_key", "member_count", "members", (F.col("member_count") > members).alias("truncated"), status.alias("status"), strength.alias("strength"), F.when(F.col("block_type") == "FILE_SHA256", F.col("representative")).alias("representative"))
 
 
-def pairs(made: DataFrame) -> DataFrame:
-    """Pairs to compare: a star around the representative of an exact group, all of a READY identity block; each pair once."""
-    star = made.where("status = 'EXACT_GROUP'").select("block_type", "block_key", F.col("representative").alias("left_id"), F.explode("members").alias("right_id")).where("left_id < right_id")
+def pairs(made: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Pairs to compare: a star around the representative of an exact group, all of a READY identity block; each pair once.
+
+    With the ``evidence`` of the blocks a star has all members of its group, else those that the block lists.
+    """
+    if evidence is None:
+        star = made.where("status = 'EXACT_GROUP'").select("block_type", "block_key", F.col("representative").alias("left_id"), F.explode("members").alias("right_id")).where("left_id < right_id")
+    else:
+        exact = evidence.where("block_type = 'FILE_SHA256' AND block_key IS NOT NULL").select("block_type", "block_key", F.col("member_id").alias("right_id"))
+        least = exact.groupBy("block_type", "block_key").agg(F.min("right_id").alias("left_id"))
+        star = exact.join(least, ["block_type", "block_key"]).select("block_type", "block_key", "left_id", "right_id").where("left_id < right_id")
     ready = made.where("status = 'READY' AND strength = 'IDENTITY_CAPABLE'")
     both = ready.select("block_type", "block_key", "members", F.posexplode("members").alias("at", "left_id"))
     every = both.select("block_type", "block_key", "left_id", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("right_id"))

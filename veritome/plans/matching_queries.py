@@ -68,7 +68,8 @@ def candidate_blocks(spark, d):
 SELECT block_type, x, y FROM (SELECT block_type, ms, unnest(ms) AS x FROM b WHERE block_type IN ('AGENT_TITLE', 'TEXT_FINGERPRINT') AND n <= 64) s, unnest(s.ms) u(y) WHERE x < y)
 SELECT l AS left_id, r AS right_id, string_agg(DISTINCT block_type, ',' ORDER BY block_type) AS block_types FROM p GROUP BY ALL""")
 def match_pairs(spark, d):
-    return matching.pairs(matching.blocks(_evidence(spark, d))).select("left_id", "right_id", F.array_join("block_types", ",").alias("block_types"))
+    told = _evidence(spark, d)
+    return matching.pairs(matching.blocks(told), told).select("left_id", "right_id", F.array_join("block_types", ",").alias("block_types"))
 
 
 _PAIRS = """WITH pr AS (SELECT l_orderkey AS left_id, l_linenumber + 1000000 AS right_id, any_value(l_partkey) AS k FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY ALL)
