@@ -126,6 +126,30 @@ def test_quality_held_out(spark):
     assert sum(r.keep for r in found if r.quality == 1) >= 0.9 * sum(r.quality == 1 for r in found)
 
 
+def test_quality_tells_letters_of_any_script_apart(spark):
+    from veritome.llm.quality import classify
+
+    texts = [(i, "春眠暁を覚えず処処啼鳥を聞く夜来風雨の声。" * 3, "ja") for i in range(40)] + [(100, "花落知多少山水画図中月白烏鳴霜満天江楓漁火。" * 3, "ja"), (101, "春眠暁を覚えず", "ja")]
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(texts, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).collect()}
+    assert got[100].perplexity > 10 * got[0].perplexity and not got[100].keep and got[0].keep
+
+
+def test_dealt_kneser_ney_equals_the_dense_one(spark):
+    from veritome.llm.quality import SYMBOLS, _alphabet, grams, kneser_ney, perplexity, train
+
+    alphabet = _alphabet()
+    letters = list({int(alphabet[ord(c)]): c for c in "abcdefghijklmnopqrstuvwxyzA1 \n.,!\"#\u00e0\u00e1\u00e2\u00e3"}.values())
+    assert len(letters) == SYMBOLS - 1
+    dice = np.random.default_rng(5)
+    odds = np.arange(1, SYMBOLS)[::-1] ** 2.0
+    texts = ["".join(letters)] + ["".join(dice.choice(letters, 300, p=odds / odds.sum())) for _ in range(6)]
+    df = spark.createDataFrame([(i, x, "xx" if i % 2 else None) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    model = train(df.where("doc_id < 5"), order=4)
+    dense = kneser_ney(np.bincount(np.concatenate([grams(x, alphabet) for x in texts[:5]]), minlength=SYMBOLS**4))
+    for r in perplexity(df.selectExpr("doc_id", "text", "'yy' AS lang"), model, order=4).collect():
+        assert np.isclose(r.perplexity, np.exp(-dense[grams(texts[r.key], alphabet)].mean(dtype=float)), rtol=1e-4)
+
+
 # 3: neighbours
 
 

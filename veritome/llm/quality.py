@@ -1,9 +1,9 @@
 """Operator 2: quality by the perplexity of an n-gram model with interpolated modified Kneser-Ney smoothing.
 
-Grams are of ORDER characters over a folded alphabet of SYMBOLS, so a language's model
-is a table of SYMBOLS ** ORDER probabilities at most, whatever the corpus. Tasks count the grams of all
-trusted texts, sums are taken in shards of grams, and each language's counts meet the counts of
-their contexts and continuations in one table. A document's perplexity is compared with a
+Grams are of GRAM characters as they stand, of any script, so the model grows with the trusted texts. It is a table of
+grams of all orders with their probabilities and backoff weights, made by joins and sums in shards of grams and
+contexts. Documents are dealt into blocks; each block's different grams are joined with that table and what is
+found goes back to the block, so no task holds a language's counts. A document's perplexity is compared with a
 quantile of that of the trusted texts in its language.
 """
 
@@ -12,16 +12,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.llm.tables import written
 
+#: Characters in a gram; about as many characters are in a block, and are sorted at once.
+GRAM, BLOCK, PIECE = 4, 16_000_000, 2_000_000
+#: Up to so many languages the table of them is broadcast.
+LANGUAGES = 10_000
+#: Odd multiplier of the hash of a gram, which stands for it within a task; joins are by the grams themselves.
+FACTOR = 0x9E3779B97F4A7C15
+#: The dense form over a folded alphabet (grams, kneser_ney), against which tests hold the dealt one.
 ORDER, SYMBOLS = 4, 40
-#: Languages with a model of their own: those with most trusted text; all others share one. The tables broadcast are (LANGUAGES + 1) * 10 MB at most.
-LANGUAGES = 16
 #: Quantile of the trusted texts' perplexity beyond which a text of that language is rejected.
 QUANTILE = 0.995
 #: Short texts vary more: quantiles are taken for lengths below these numbers of characters and above, where so many trusted texts are of a length; else for the whole language.
@@ -84,67 +89,178 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(lower).astype(np.float32).ravel()
 
 
-def train(trusted: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """A table of log probabilities for each language with most trusted text, and one for all others together ("" as name).
+def _points(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each after ``order`` - 1 edges (0), and the places of those that aren't edges."""
+    edge = "\0" * (order - 1)
+    points = np.frombuffer("".join(edge + x for x in texts).encode("utf-32-le", "replace"), "<u4")
+    sizes = np.array([len(x) for x in texts], np.int64) + order - 1
+    inner = np.ones(len(points), bool)
+    for k in range(order - 1):
+        inner[np.cumsum(sizes) - sizes + k] = False
+    return points, np.flatnonzero(inner)
 
-    Null texts and languages count as empty and as "other"; no rows give a uniform table.
+
+def _hashes(windows: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each gram, whose characters are the columns given; grams of other lengths differ too."""
+    h = np.full(len(windows[0]) if windows else 1, len(windows), np.uint64)
+    for column in windows:
+        h *= np.uint64(FACTOR)
+        h += column
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _strings(windows: np.ndarray) -> list[str]:
+    n = windows.shape[1]
+    whole = np.ascontiguousarray(windows, "<u4").tobytes().decode("utf-32-le")
+    return [whole[i : i + n] for i in range(0, len(whole), n)]
+
+
+def _grams(points: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the grams that end at the places ``at``."""
+    return _hashes([points[at - k] for k in range(order - 1, -1, -1)])
+
+
+def _pieces(size: np.ndarray) -> list[np.ndarray]:
+    """The places of all texts that aren't empty, in runs of about PIECE characters."""
+    held = np.flatnonzero(size)
+    return np.split(held, np.flatnonzero(np.diff(np.cumsum(size[held]) // PIECE)) + 1) if len(held) else []
+
+
+def _names(languages: DataFrame) -> DataFrame:
+    return F.broadcast(languages) if languages.count() <= LANGUAGES else languages
+
+
+def train(trusted: DataFrame, text: str = "text", lang: str = "lang", order: int = GRAM) -> DataFrame:
+    """``lang, gram, logp, backoff`` for grams of all orders and for contexts, for each language and for all together ("" as name).
+
+    Natural logs; ``logp`` of the empty gram is that of a character never seen. Null texts count as empty, null
+    languages only in all together. A lower order counts the different characters before a gram.
     """
-    alphabet = _alphabet()
     fixed = trusted.select(F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.col(text).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, list[str]] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for name, n in held.items():
-                code = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n[code].astype(np.int64))], names=["lang", "code", "n"])
+            for name, texts in held.items():
+                points, at = _points(texts, order)
+                _, first, n = np.unique(_grams(points, at, order), return_index=True, return_counts=True)
+                found = _strings(points[at[first][:, None] + np.arange(1 - order, 1)])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
             for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if name not in held:
-                    if len(held) >= LANGUAGES:
-                        yield from flush()
-                    held[name] = np.zeros(SYMBOLS**ORDER, np.int32)
-                values, n = np.unique(grams(x.as_py() or "", alphabet), return_counts=True)
-                held[name][values] += n.astype(np.int32)
+                if one := x.as_py():
+                    held.setdefault(name, []).append(one)
+                    size += len(one)
+                if size >= PIECE:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
-    counts = written(fixed.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
-    own = [r["lang"] for r in counts.where(F.col("lang") != OTHER).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    named = counts.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(OTHER)) if own else F.lit(OTHER)).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros(SYMBOLS**ORDER)
-        dense[pdf["code"].to_numpy()] = pdf["n"].to_numpy()
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "table": [kneser_ney(dense).tobytes()]})
-
-    made = named.groupBy("lang").applyInPandas(smooth, "lang string, table binary").toLocalIterator()  # LANGUAGES + 1 tables at most, of a fixed size
-    tables = {r["lang"]: np.frombuffer(bytes(r["table"]), np.float32) for r in made}
-    if OTHER not in tables:
-        pooled = next(iter(tables.values()), None)
-        tables[OTHER] = np.full(SYMBOLS**ORDER, -np.log(SYMBOLS), np.float32) if pooled is None else np.mean(list(tables.values()), axis=0, dtype=np.float32)
-    return tables
+    counts = written(fixed.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    every = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(OTHER).alias("lang"), "gram", "n")
+    tables = [counts.where(F.col("lang") != OTHER).unionByName(every)]
+    for _ in range(order - 1):
+        tables.append(tables[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+    known = tables[0].withColumn("k", F.lit(order))
+    for k, t in zip(range(order - 1, 0, -1), tables[1:], strict=True):
+        known = known.unionByName(t.withColumn("k", F.lit(k)))
+    known = written(known.withColumn("context", F.expr("substring(gram, 1, k - 1)")), "orders")
+    n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+    y = n1 / F.greatest(F.lit(1), n1 + 2 * n2)
+    free = known.groupBy("lang", "k").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    raw = ((1, 1 - 2 * y * n2 / F.greatest(F.lit(1), n1)), (2, 2 - 3 * y * n3 / F.greatest(F.lit(1), n2)), (3, 3 - 4 * y * n4 / F.greatest(F.lit(1), n3)))
+    free = _names(free.select("lang", "k", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i, d in raw)))
+    whole = known.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"m{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
+    weight = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")
+    contexts = written(whole.join(free, ["lang", "k"]).select("lang", "k", "context", "total", "d1", "d2", "d3", weight.alias("weight"), (F.col("m1") + F.col("m2") + F.col("m3") + 1).alias("symbols")), "contexts")
+    own = (F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+    shares = written(known.join(contexts, ["lang", "k", "context"]).select("lang", "k", "gram", own.alias("own"), "weight", "symbols"), "shares")
+    lower = shares.where("k = 1").select("lang", "gram", (F.col("own") + F.col("weight") / F.col("symbols")).alias("p"))
+    orders = [lower]
+    for k in range(2, order + 1):
+        below = lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below"))
+        lower = written(shares.where(F.col("k") == k).withColumn("rest", F.expr("substring(gram, 2)")).join(below, ["lang", "rest"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p")), "order")
+        orders.append(lower)
+    none = F.lit(None).cast("double")
+    rows = contexts.select("lang", F.col("context").alias("gram"), F.when(F.col("k") == 1, -F.log(F.col("symbols").cast("double"))).alias("logp"), F.log("weight").alias("backoff"))
+    for x in orders:
+        rows = rows.unionByName(x.select("lang", "gram", F.log("p").alias("logp"), none.alias("backoff")))
+    return written(rows.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
 
 
-def perplexity(docs: DataFrame, tables: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = GRAM) -> DataFrame:
     """``key, lang, n_chars, perplexity`` for each row; the perplexity of an empty or null text is null."""
-    alphabet = _alphabet()
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
     fixed = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.col(text).cast("string").alias("text"))
+    blocks = 1 + (fixed.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK
+    names = model.where("gram = ''").select("lang", F.col("lang").alias("model"))
+    dealt = fixed.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks))).join(_names(names), "lang", "left").withColumn("model", F.coalesce("model", F.lit(OTHER)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            out, size = [], []
-            for name, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                code = grams(x.as_py() or "", alphabet)
-                size.append(len(code))
-                out.append(float(np.exp(-known.get(name, known[OTHER])[code].mean(dtype=np.float64))) if len(code) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(out, pa.float64())], names=["key", "lang", "n_chars", "perplexity"])
+    def ask(rows: pa.Table) -> pa.Table:
+        block = rows.column("block")[0].as_py()
+        named, asked = [], []
+        for name in pc.unique(rows.column("model")).to_pylist():
+            texts = rows.filter(pc.equal(rows.column("model"), name)).column("text")
+            tops = [np.zeros((0, order), "<u4")]
+            for piece in _pieces(pc.fill_null(pc.utf8_length(texts), 0).to_numpy()):
+                points, at = _points(texts.take(pa.array(piece)).to_pylist(), order)
+                ends = at[np.unique(_grams(points, at, order), return_index=True)[1]]
+                tops.append(points[ends[:, None] + np.arange(1 - order, 1)])
+            top = np.concatenate(tops)
+            found = [""]
+            for k in range(order, 0, -1):  # grams, and below the highest order contexts of the next one too
+                chars = top if k == order else np.concatenate((top[:, order - k :], top[:, order - k - 1 : -1]))
+                chars = chars[np.unique(_hashes(list(chars.T)), return_index=True)[1]]
+                found += _strings(chars)
+                if k == order:
+                    top = chars
+            asked += found
+            named += [name] * len(found)
+        return pa.table({"block": pa.array([block] * len(asked), pa.int64()), "lang": pa.array(named, pa.string()), "gram": pa.array(asked, pa.string())})
+
+    def answer(rows: pa.Table, told: pa.Table) -> pa.Table:
+        size = pc.fill_null(pc.utf8_length(rows.column("text")), 0).to_numpy().astype(np.int64)
+        out = np.full(len(size), np.nan)
+        models = np.array(rows.column("model").to_pylist(), object)
+        for name in set(models):
+            own = told.filter(pc.equal(told.column("lang"), name))
+            length = pc.utf8_length(own.column("gram")).to_numpy()
+            seen = {}
+            for k in range(order + 1):
+                part = own.filter(pa.array(length == k))
+                chars = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le"), "<u4").reshape(len(part), k)
+                h = _hashes([chars[:, i] for i in range(k)])[: len(part)]
+                by = np.argsort(h)
+                seen[k] = h[by], *(pc.fill_null(part.column(c), np.nan).to_numpy()[by] for c in ("logp", "backoff"))
+
+            def look(points: np.ndarray, ends: np.ndarray, k: int, column: int, seen: dict = seen) -> np.ndarray:
+                values = seen[k]
+                if not len(values[0]):
+                    return np.full(len(ends), np.nan)
+                if not k:
+                    return np.full(len(ends), values[column][0])
+                h = _grams(points, ends, k)
+                place = np.minimum(np.searchsorted(values[0], h), len(values[0]) - 1)
+                return np.where(values[0][place] == h, values[column][place], np.nan)
+
+            for mine in _pieces(np.where(models == name, size, 0)):
+                points, at = _points(rows.column("text").take(pa.array(mine)).to_pylist(), order)
+                _, first, which = np.unique(_grams(points, at, order), return_index=True, return_inverse=True)
+                top = at[first]
+                logp = np.nan_to_num(look(points, top, 0, 1), nan=-np.log(0x110000))
+                for k in range(1, order + 1):
+                    here = look(points, top, k, 1)
+                    logp = np.where(np.isnan(here), logp + np.nan_to_num(look(points, top - 1, k - 1, 2)), here)
+                out[mine] = np.exp(-np.add.reduceat(logp[which], np.cumsum(size[mine]) - size[mine]) / size[mine])
+        return pa.table({"key": rows.column("key"), "lang": rows.column("lang"), "n_chars": pa.array(size), "perplexity": pa.array(out, pa.float64(), from_pandas=True)})
 
-    return fixed.mapInArrow(run, f"key {fixed.schema['key'].dataType.simpleString()}, lang string, n_chars long, perplexity double")
+    asked = dealt.select("block", "model", "text").groupBy("block").applyInArrow(ask, "block long, lang string, gram string")
+    told = written(asked.join(model, ["lang", "gram"]), "found")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, f"key {fixed.schema['key'].dataType.simpleString()}, lang string, n_chars long, perplexity double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE) -> DataFrame:
@@ -160,8 +276,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     good = labels.where(F.col(label) == 1).select(F.col(key).alias("key")).where(F.col("key").isNotNull() & ~held).distinct()
     measure = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
     counted = good.where(~measure)
-    tables = train(docs.join(counted.hint("merge"), docs[key] == counted["key"], "left_semi"), text, lang)  # labels grow with the documents, so they are never broadcast
-    scored = written(perplexity(docs, tables, key, text, lang), "perplexity")
+    model = train(docs.join(counted.hint("merge"), docs[key] == counted["key"], "left_semi"), text, lang)  # labels grow with the documents, so they are never broadcast
+    scored = written(perplexity(docs, model, key, text, lang), "perplexity")
     bucket = sum((F.when(F.col("n_chars") >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
     scored = scored.withColumn("bucket", bucket)
     trusted = scored.join(good.where(measure), "key", "left_semi").where("perplexity is not null")
