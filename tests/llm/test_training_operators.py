@@ -435,6 +435,24 @@ def test_toxicity_odd_rows_and_held_out(spark, docs, empty, labels):
 # 10: chat
 
 
+def test_chat_piece_sees_the_empty_line_that_ends_the_one_before(spark, monkeypatch):
+    from veritome.llm import chat
+
+    texts = ["User: how do I sort a list?", "Assistant: you can call sorted on it.", "", "", "and in reverse?", "does that copy it?"]
+    lines, emissions, cuts, _ = chat._seen("\n".join(texts), False)
+    want = []
+    for line, cut, s in zip(lines, cuts, chat.viterbi(emissions), strict=True):
+        if s % 2 == 0 or not want:
+            want.append((chat.ROLES[s // 2], []))
+        want[-1][1].append(line[cut:].strip())
+    assert [role for role, _ in want] == ["user", "assistant", "user"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(texts)], "conv_id long, turn long, text string")
+    for piece in (1, 2, 3):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        got = [(r.role, r.text) for r in sorted(chat.turns(df).collect(), key=lambda r: r.turn)]
+        assert got == [(role, "\n".join(x)) for role, x in want]
+
+
 def test_chat_pieces_agree_with_whole_transcripts(spark, monkeypatch):
     from veritome.llm import chat
 

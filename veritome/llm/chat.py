@@ -126,40 +126,46 @@ def turns(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k, piece), found in _groups(batches, 2):
-            emissions = _seen("\n".join(t for _, t in found), False)[1]
+            lines, emissions, _, ends = _seen("\n".join(t for _, t in found), False)
+            both = [None, None]  # without and with an empty line before the piece; none where it has no lines
             if len(emissions):
                 # the first line's step from before is left open: its emission, then the rest
                 rest = np.where(np.eye(6, dtype=bool), 0.0, -np.inf)
                 for e in emissions[1:]:
                     rest = (rest[:, :, None] + MOVE[None]).max(1) + e
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece], pa.int64()), pa.array([(emissions[0][:, None] + rest).ravel().tolist()], pa.list_(pa.float64()))], names=["key", "piece", "m"])
+                both = [(e[:, None] + rest).ravel().tolist() for e in (emissions[0], np.array(observe(lines[0], True)[0]))]
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece], pa.int64()), *(pa.array([m], pa.list_(pa.float64())) for m in both), pa.array([ends])], names=["key", "piece", "m", "m_empty", "ends"])
 
-    matrices = dealt.mapInArrow(scored, "key string, piece long, m array<double>")
+    matrices = dealt.mapInArrow(scored, "key string, piece long, m array<double>, m_empty array<double>, ends boolean")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k,), found in _groups(batches, 1):
-            score, back = START, []
-            for i, (_, m) in enumerate(found):
-                step = score if i == 0 else (score[:, None] + MOVE).max(0)
-                from_state = None if i == 0 else (score[:, None] + MOVE).argmax(0)
-                inner = step[:, None] + np.array(m).reshape(6, 6)
-                back.append((from_state, inner.argmax(0)))
-                score = inner.max(0)
+            score, back, empty = START, [], False
+            for piece, m, m_empty, ends in found:
+                if m is not None:
+                    step = (score[:, None] + MOVE).max(0) if back else score
+                    from_state = (score[:, None] + MOVE).argmax(0) if back else None
+                    inner = step[:, None] + np.array(m_empty if empty else m).reshape(6, 6)
+                    back.append((piece, empty, from_state, inner.argmax(0)))
+                    score = inner.max(0)
+                empty = ends
+            if not back:
+                continue
             last, out = int(score.argmax()), []
-            for (piece, _), (from_state, first_of) in zip(reversed(found), reversed(back), strict=True):
+            for piece, empty, from_state, first_of in reversed(back):
                 first = int(first_of[last])
-                out.append((piece, first, last))
+                out.append((piece, first, last, empty))
                 last = last if from_state is None else int(from_state[first])
             out.reverse()
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(out)), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=["key", "piece", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(out)), *(pa.array(c) for c in zip(*out, strict=True))], names=["key", "piece", "first", "last", "empty"])
 
     # a row for each PIECE rows of a transcript
-    borders = matrices.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(joined, "key string, piece long, first long, last long")
-    guided = dealt.join(borders.select(F.col("key").alias("k2"), F.col("piece").alias("p2"), "first", "last"), (F.col("key") == F.col("k2")) & (F.col("piece") == F.col("p2"))).select("key", "piece", "at", "text", "first", "last").sortWithinPartitions("key", "piece", "at", "text")
+    borders = matrices.repartition("key").sortWithinPartitions("key", "piece").mapInArrow(joined, "key string, piece long, first long, last long, empty boolean")
+    guided = dealt.join(borders.select(F.col("key").alias("k2"), F.col("piece").alias("p2"), "first", "last", "empty"), (F.col("key") == F.col("k2")) & (F.col("piece") == F.col("p2"))).select("key", "piece", "at", "text", "first", "last", "empty").sortWithinPartitions("key", "piece", "at", "text")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k, piece), found in _groups(batches, 2):
-            lines, emissions, cuts, _ = _seen("\n".join(x[1] for x in found), False)
+            lines, emissions, cuts, _ = _seen("\n".join(x[1] for x in found), found[0][4])
             start = np.full(6, -np.inf)
             start[found[0][2]] = 0.0
             out: list[list] = []
