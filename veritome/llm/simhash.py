@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.llm.graph import connected_components
-from veritome.llm.tables import written
+from veritome.llm.tables import Scratch, own_name, written
 
 RADIUS = 2
 WORDS = 3
@@ -50,14 +50,14 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``key, h, fp``: a hash of the text and the fingerprint of each row, as signed 64-bit integers."""
-    fixed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
+    fixed = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], names=["key", "h", "fp"])
 
-    return fixed.mapInArrow(run, "key long, h long, fp long")
+    return fixed.mapInArrow(run, f"key {fixed.schema['key'].dataType.simpleString()}, h long, fp long")
 
 
 def _halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +143,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
     Null and empty texts have fingerprint zero and link like any other. Equal texts
     and repeated rows have equal fingerprints, of which one is compared. A null key
-    stays null and never names a component unless all its keys are null. Other columns of
-    ``docs`` are left out, and an empty table gives an empty one. The copies of a text
+    stays null and never names a component unless all its keys are null; keys may be of any type that has an order. Other columns of
+    ``docs`` are left out, whatever their names, and an empty table gives an empty one. The copies of a text
     never meet in a task: minima are taken before the shuffle.
     """
     named = _named(docs, key, text, radius, words)
@@ -180,10 +180,11 @@ def _named(docs: DataFrame, key: str, text: str, radius: int, words: int) -> Dat
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` with the row of the smallest key of each component; rows that repeat key and text stay once, rows without a key stay."""
+    """``docs`` with the row of the smallest key of each component; rows that repeat key and text stay once, rows without a key stay. All columns stay, whatever their names; an empty table stays empty."""
+    key_name, hash_name, text_name = (own_name(docs, x) for x in ("key__", "h__", "text__"))
     named = _named(docs, key, text, radius, words).where("key = component_id")
     # of texts of one component under its key the one with the smallest hash
-    kept = named.groupBy(F.col("key").alias("key__"), "component_id").agg(F.min("h").alias("h__")).select("key__", "h__")
-    hashed = docs.where(F.col(key).isNotNull()).withColumn("text__", F.xxhash64(text))
-    stay = hashed.join(kept, (F.col(key) == F.col("key__")) & (F.col("text__") == F.col("h__")), "left_semi").dropDuplicates([key, "text__"]).drop("text__")
+    kept = named.groupBy(F.col("key").alias(key_name), "component_id").agg(F.min("h").alias(hash_name)).select(key_name, hash_name)
+    hashed = docs.where(F.col(key).isNotNull()).withColumn(text_name, F.xxhash64(text))
+    stay = hashed.join(kept, (F.col(key) == F.col(key_name)) & (F.col(text_name) == F.col(hash_name)), "left_semi").dropDuplicates([key, text_name]).drop(text_name)
     return stay.unionByName(docs.where(F.col(key).isNull()))
