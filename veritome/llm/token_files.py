@@ -33,8 +33,8 @@ ESCAPE = 15
 BLOCK, PAYLOAD = 4096, 1 << 18
 #: Bytes of text encoded at once, about.
 TEXT_BYTES = 12 << 20
-#: Stretches between spaces that a worker remembers, at most about: some 40 bytes each.
-KEPT_CHUNKS = 3_000_000
+#: Bytes of stretches between spaces and their ids that a worker remembers, at most about; those of more than KEPT_LENGTH bytes never.
+KEPT_BYTES, KEPT_LENGTH = 96 << 20, 64
 MAGIC = b"S8B1"
 
 
@@ -135,14 +135,18 @@ def unpack(payload: bytes, block: int | None = None) -> np.ndarray:
 
 
 class WordTokenizer:
-    """Encodes by the tokenizers library a stretch between spaces at a time, which it treats each by itself; those met before are remembered in Arrow and numpy arrays."""
+    """Encodes by the tokenizers library a stretch between spaces at a time, which it treats each by itself; those met before are remembered in Arrow and numpy arrays.
+
+    Strings of special tokens in a text become those tokens wherever they stand, as the library
+    cuts texts there first; its definition strips nothing around them and sees them before it lowers case.
+    """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -154,26 +158,35 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        for x in self.special:
+            texts = pc.replace_substring(texts, x, f" {x} ")
+        split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         chunks, which = coded.dictionary, coded.indices.to_numpy()
-        if len(self.known) > KEPT_CHUNKS:
+        if self.known.nbytes + self.ids.nbytes + 16 * len(self.known) > KEPT_BYTES:
             self._forget()
-        place = pc.index_in(chunks, value_set=self.known)
-        if place.null_count:  # what is learned follows what is known, in order
-            lacking = place.is_null()
-            before = len(self.known)
-            self._learn(chunks.filter(lacking))
+        place, kept = pc.index_in(chunks, value_set=self.known), None
+        if place.null_count:  # what is learned follows what is known, long stretches last
+            lacking = place.is_null().to_numpy(zero_copy_only=False)
             place = place.fill_null(0).to_numpy().copy()
-            lacking = lacking.to_numpy(zero_copy_only=False)
-            place[lacking] = before + np.arange(lacking.sum())
-            place = place[which]
+            new = np.flatnonzero(lacking)
+            long = pc.binary_length(chunks).to_numpy()[new] > KEPT_LENGTH
+            new = new[np.argsort(long, kind="stable")]
+            before = len(self.known)
+            self._learn(chunks.take(pa.array(new)))
+            place[new] = before + np.arange(len(new))
+            if long.any():
+                kept = before + len(new) - int(long.sum())
         else:
-            place = place.to_numpy()[which]
+            place = place.to_numpy()
+        place = place[which]
         n = self.sizes[place]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = self.ids[np.repeat(self.starts[place] - ends[:-1], n) + np.arange(ends[-1])]
+        if kept is not None:
+            self.known, self.sizes, self.ids, self.starts = self.known.slice(0, kept), self.sizes[:kept], self.ids[: self.starts[kept]].copy(), self.starts[:kept]
         return ids, np.diff(ends[bounds])
 
     def _learn(self, chunks: pa.Array) -> None:
@@ -182,7 +195,8 @@ class WordTokenizer:
         for x in chunks.to_pylist():
             stem = x.rstrip(punctuation)
             stem, mark = (stem, x[len(stem) :]) if stem.lower().isalpha() else (x, "")  # the lower case of a letter may end with a mark
-            forms.append((stem.lower() if stem.isascii() else stem, mark))
+            low = stem.lower() if stem.isascii() else stem
+            forms.append((stem if any(t in low for t in self.special) else low, mark))  # a special token's string in capitals isn't one
         new = list({s for s, _ in forms})
         # plain words go as one text: each ends with a token that only ends words
         plain, of = [x for x in new if x.isalpha()], {"": b""}
@@ -204,24 +218,27 @@ class WordTokenizer:
         self.known = pa.concat_arrays([self.known, chunks])
 
 
-_ROW = "shard int, payload_no int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+_ROW = "shard int, payload_no int, start long, n_ids long, doc_ids array<{}>, lengths array<long>, payload binary"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> None:
     """Writes the ids of all documents, each with ``end_id`` after it, in ascending order of the key (null first, ties by text).
 
-    Null text counts as empty: the end id alone. Repeated rows are written each; other columns aren't. An empty table writes an empty one.
+    Null text counts as empty: the end id alone. Repeated rows are written each; other columns aren't, whatever their names. An empty
+    table writes an empty one. Keys may be of any type that Spark sorts. Texts of any length are encoded whole.
     """
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast([f.read(), None])  # of the file's size; a worker keeps its tokenizer in place of None
     end = np.array([end_id], "<u4")
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    ordered = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    row = _ROW.format(ordered.schema["key"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = shared.value
         coder = kept[1] = kept[1] or WordTokenizer(kept[0])
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         keys: list = []
+        kind = pa.int64()
         parts: list[np.ndarray] = []
         counts: list[int] = []
 
@@ -229,12 +246,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id"
             nonlocal number, start, keys, parts, counts
             ids = np.concatenate(parts)
             row = ([shard], [number], [start], [len(ids)], [keys], [counts], [pack(ids)])
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary())
             number, start, keys, parts, counts = number + 1, start + len(ids), [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
 
         size = 0
         for batch in batches:
+            kind = batch.schema.field(0).type
             heavy = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // TEXT_BYTES
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(heavy)) + 1, [batch.num_rows])).tolist()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -252,12 +270,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id"
         if keys:
             yield payload()
 
-    ordered.mapInArrow(run, _ROW).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, row).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     """From the files: ``doc_id, start, n_tokens, ids_crc32`` for each document, and its ``token_ids`` if asked for."""
-    files = spark.read.schema(_ROW).parquet(path)
+    files = spark.read.parquet(path)
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     sizes = sorted(tuple(r) for r in files.groupBy("shard").agg(F.sum("n_ids")).collect())  # a row for each file
     offsets, before = [], 0
     for shard, n in sizes:
@@ -272,14 +291,14 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
                 ids = unpack(batch.column(3)[i].as_py()).astype("<u4")
                 ends = np.cumsum(lengths)
                 each = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                columns = [pa.array(keys, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+                columns = [pa.array(keys, batch.schema.field(1).type.value_type), pa.array(start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return based.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
+    return based.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
