@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks whose ids a worker remembers; when they get more, those longer than KEPT_LENGTH go, which seldom come again.
-KEPT_CHUNKS, KEPT_LENGTH = 800_000, 9
+#: Bytes, about, of the chunks and ids that a worker remembers, each with ENTRY more; when they get more, chunks longer than KEPT_LENGTH go, which seldom come again. Chunks over LONGEST are never remembered.
+KEPT_BYTES, ENTRY, KEPT_LENGTH, LONGEST = 200 << 20, 190, 9, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -107,6 +107,7 @@ class Coder:
             self.tokens[rank] = token
         self.queue = RankQueue(len(self.tokens))
         self.known: dict[str, bytes] = {}
+        self.held = 0
         # where two white-space characters meet, or one stands at an end, a space may belong to either side
         self.uneven = re.compile(r"\s\s|^\s|\s\Z").search
         self.cut = re.compile(r"(?<=\S)(?= \S)").split
@@ -128,13 +129,19 @@ class Coder:
             i = after[i]
         return ids
 
+    def _keep(self, x: str, ids: bytes) -> bytes:
+        if len(x) <= LONGEST:
+            self.known[x] = ids
+            self.held += ENTRY + 2 * len(x) + len(ids)
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk, pre-token by pre-token; those of a pre-token are remembered too, as a chunk of its own."""
-        known, found = self.known, self.find(chunk)
-        for x in found:
-            if x not in known:
-                known[x] = array("I", self.piece(x.encode("utf-8", "replace"))).tobytes()
-        return b"".join([known[x] for x in found])
+        get, out = self.known.get, []
+        for x in self.find(chunk):
+            ids = get(x)
+            out.append(self._keep(x, array("I", self.piece(x.encode("utf-8", "replace"))).tobytes()) if ids is None else ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -152,13 +159,11 @@ class Coder:
             return b"".join([known[x] for x in chunks])
         except KeyError:
             pass
-        for x in chunks:
-            if x not in known:
-                known[x] = self._chunk(x)
-        out = b"".join([known[x] for x in chunks])
-        if len(known) > KEPT_CHUNKS:
+        out = b"".join([known[x] if x in known else self._keep(x, self._chunk(x)) for x in chunks])
+        if self.held > KEPT_BYTES:
             short = {x: ids for x, ids in known.items() if len(x) <= KEPT_LENGTH}
-            self.known = short if len(short) < KEPT_CHUNKS // 2 else {}
+            size = sum(ENTRY + 2 * len(x) + len(ids) for x, ids in short.items())
+            self.known, self.held = (short, size) if size < KEPT_BYTES // 2 else ({}, 0)
         return out
 
     def decode(self, ids: bytes) -> bytes:
