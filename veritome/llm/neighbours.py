@@ -4,14 +4,17 @@ A tree is a sorted array of long hash strings, one bit for each random hyperplan
 descends in every tree to its longest matching prefixes and then ascends in all trees at
 once, a bit or more at a time, which widens the ranges of the arrays and so its candidates. It stops
 when a neighbour as near as its k-th best so far would have been missed by all trees with
-a probability of at most MISS; with no prefix left all rows have been compared. Rows are dealt into shards with
-a forest each, queries into blocks, and the best of all shards are merged.
+a probability of at most MISS; with no prefix left all rows have been compared. Rows are dealt into shards, each
+with one forest through which all queries stream, and the best of all shards are merged. Vectors are
+hashed after scaling by powers of two and compared in double precision, so their scale doesn't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +24,16 @@ LEVELS = (32, 26, 20, 16, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)
 #: Prefixes up to this length are looked up in a table of the array's bounds, longer ones by bisection.
 TABLE = 13
 MISS = 0.05
-#: Rows in a shard and queries in a block, about; what a task holds is bounded by these, not by the table.
-SHARD_ROWS, BLOCK_ROWS = 8192, 4096
+#: Rows in a shard, about, and queries looked up at once; what a task holds is bounded by these, not by the table.
+SHARD_ROWS, BLOCK_ROWS = 8192, 1024
 SEED = 7
 
 
+def _scaled(x: np.ndarray, axis: int | None) -> np.ndarray:
+    """``x`` by a power of two, exactly, so that the largest component is from 0.5 to 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=axis, keepdims=True))[1])
+
+
 class Forest:
     """The trees over one shard's different vectors, extended by one component so that the largest inner product is the smallest angle."""
 
@@ -37,6 +45,8 @@ class Forest:
         keys = self._keys(extended)
         self.order = np.argsort(np.ascontiguousarray(keys.T), axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys.T, self.order, 1)
+        bounds = np.stack([np.searchsorted(k, np.arange(1 << TABLE, dtype=np.uint32) << np.uint32(BITS - TABLE)) for k in self.keys] or [[]])
+        self.bounds = np.hstack([bounds, np.full((len(bounds), 1), len(vectors))]).astype(np.int32)
 
     def _keys(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), self.planes.shape[1] // BITS), np.uint32)
@@ -48,15 +58,12 @@ class Forest:
     def ranges(self, queries: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each level its prefix length, and per query and tree the bounds of the array's range."""
         keys = self._keys(np.hstack([queries, np.zeros((len(queries), 1))])).astype(np.int64).T
-        n = self.keys.shape[1]
-        bounds = np.stack([np.searchsorted(k, np.arange(1 << TABLE, dtype=np.uint32) << np.uint32(BITS - TABLE)) for k in self.keys] or [[]])
-        bounds = np.hstack([bounds, np.full((len(bounds), 1), n)])
-        out = []
+        n, out = self.keys.shape[1], []
         for d in LEVELS:
             prefix = keys >> (BITS - d)
             if d <= TABLE:
-                a = np.take_along_axis(bounds, prefix << (TABLE - d), 1)
-                b = np.take_along_axis(bounds, (prefix + 1) << (TABLE - d), 1)
+                a = np.take_along_axis(self.bounds, prefix << (TABLE - d), 1)
+                b = np.take_along_axis(self.bounds, (prefix + 1) << (TABLE - d), 1)
             else:
                 low, high = prefix << (BITS - d), (prefix + 1) << (BITS - d)
                 a = np.stack([np.searchsorted(k, x.astype(np.uint32)) for k, x in zip(self.keys, low, strict=True)])
@@ -65,33 +72,42 @@ class Forest:
         return out
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int = TREES, miss: float = MISS) -> list[tuple[int, int, float]]:
-    """``query, id, score``: the ``k`` best that each query finds among the rows; ties to smaller ids, own id left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    rows = vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
-    _, first, kind = np.unique(rows, return_index=True, return_inverse=True)
-    by_kind = np.argsort(kind, kind="stable")
-    starts = np.searchsorted(kind[by_kind], np.arange(len(first) + 1))
-    points = vectors[first]
-    forest = Forest(points, trees)
-    levels = forest.ranges(queries)
-    copies = np.minimum(np.diff(starts), k + 1)
-    total = np.stack([(b - a).sum(1) for _, a, b in levels], 1)
-    single = points.astype(np.float32)
-    out = []
-    for q in range(len(queries)):
-        vector, seen = queries[q], np.zeros(len(points), bool)
-        reach = float(np.sqrt(vector @ vector)) * forest.longest
-        score = np.full(len(points), -np.inf, np.float32)
-        at = int(np.argmax(total[q] > k)) if total[q, -1] > k else len(levels) - 1  # down to where there are enough for a first look
+class Shard:
+    """Some rows with their forest. Rows with equal vectors are one point of the forest."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int = TREES, miss: float = MISS) -> None:
+        self.trees, self.miss = trees, miss
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
+        rows = vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
+        _, first, kind = np.unique(rows, return_index=True, return_inverse=True)
+        self.ids = ids[np.argsort(kind, kind="stable")]  # point by point, ascending in each
+        self.n_rows = np.bincount(kind, minlength=len(first))
+        self.starts = np.cumsum(self.n_rows) - self.n_rows
+        self.points = vectors[first]
+        self.scaled = _scaled(self.points, None)
+        self.forest = Forest(self.scaled, trees)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, row ids and scores: the ``k`` best that each query finds; ties to smaller ids, own id left out."""
+        scaled = _scaled(queries, 1)
+        levels = self.forest.ranges(scaled)
+        total = np.stack([(b - a).sum(1) for _, a, b in levels], 1)
+        found = [self._one(query_ids[q], queries[q], scaled[q], [(d, a[q], b[q]) for d, a, b in levels], total[q], k) for q in range(len(queries))]
+        return np.repeat(query_ids, [len(i) for i, _ in found]), np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found])
+
+    def _one(self, own: int, vector: np.ndarray, scaled: np.ndarray, levels: list, total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, copies = len(self.points), np.minimum(self.n_rows, k + 1)
+        reach = float(np.sqrt(scaled @ scaled)) * self.forest.longest
+        score, seen = np.full(n, -np.inf), np.zeros(n, bool)
+        at = int(np.argmax(total > k)) if total[-1] > k else len(levels) - 1  # down to where there are enough for a first look
         while True:
             d, a, b = levels[at]
-            new = np.ones(len(points), bool) if d == 0 else np.zeros(len(points), bool)
+            new = np.ones(n, bool) if d == 0 else np.zeros(n, bool)
             if d:
-                new[np.concatenate([forest.order[t, lo:hi] for t, (lo, hi) in enumerate(zip(a[q].tolist(), b[q].tolist(), strict=True)) if hi > lo])] = True
+                new[np.concatenate([self.forest.order[t, lo:hi] for t, (lo, hi) in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if hi > lo])] = True
             new = np.flatnonzero(new & ~seen)
-            score[new] = single[new] @ vector.astype(np.float32)
+            score[new] = self.scaled[new] @ scaled
             seen[new] = True
             if d == 0:
                 break
@@ -103,20 +119,26 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
                 best = best[np.argsort(-score[best])]
                 worst = score[best[min(np.searchsorted(np.cumsum(copies[best]), k + 1), len(best) - 1)]]
                 near = 1 - np.arccos(np.clip(worst / reach, -1, 1)) / np.pi
-                if (1 - near**d) ** trees <= miss:
+                if (1 - near**d) ** self.trees <= self.miss:
                     break
-                deepest = next(x for x in range(d, -1, -1) if (1 - near**x) ** trees <= miss)
+                deepest = next(x for x in range(d, -1, -1) if (1 - near**x) ** self.trees <= self.miss)
             # up to where a neighbour like the k-th would be found, but no more than to a few times the candidates: nearer ones may turn up
-            before = total[q, at]
+            before = total[at]
             at += 1
-            while LEVELS[at] > deepest and total[q, at] < 3 * before:
+            while levels[at][0] > deepest and total[at] < 3 * before:
                 at += 1
         found = np.flatnonzero(seen)
-        best = found[np.argsort(-score[found], kind="stable")[: 2 * k + 8]]
-        exact = (points[best] * vector).sum(1)  # sums each row in the same way, wherever it lies
-        hits = [(-float(s), int(i)) for s, x in zip(exact, best.tolist(), strict=True) for i in ids[by_kind[starts[x] : starts[x + 1]]][: k + 1] if i != query_ids[q]]
-        out += [(int(query_ids[q]), i, -s) for s, i in sorted(hits)[:k]]
-    return out
+        if len(found) > k + 1:  # all that could be among the best, ties and rounding included
+            least = -np.partition(-score[found], k)[k]
+            found = found[score[found] >= least - 1e-12 * reach]
+        exact = (self.points[found] * vector).sum(1)  # sums each row in the same way, wherever it lies
+        n_each = copies[found]
+        ids = self.ids[np.repeat(self.starts[found] - np.cumsum(n_each) + n_each, n_each) + np.arange(n_each.sum())]
+        scores = np.repeat(exact, n_each)
+        other = ids != own
+        ids, scores = ids[other], scores[other]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
 
 def usable(vector):
@@ -128,27 +150,40 @@ def usable(vector):
 def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, miss: float = MISS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest by inner product that the forests find for each row where ``is_query`` holds.
 
-    Null and zero vectors, those with null or non-finite components and rows with a null
+    Keys are integers. Null and zero vectors, those with null or non-finite components and rows with a null
     key take no part, as query or candidate; vectors of different lengths aren't
     compared. Ties go to the smaller key, and a query's own key is left out. Rows that repeat
     key and vector count once. Fewer candidates give fewer rows, an empty table none. Other columns are left out.
+    Finite vectors of any scale take part, also of very different ones. A row goes to one shard and a query to all
+    of them, and a task holds a shard and some queries.
     """
     kept = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).distinct()
-    n, asked = kept.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
-    shard, block = F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks).cast("long"))
-    rows = kept.select("id", "v", F.lit(False).alias("asks"), shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    queries = kept.where("asks").select("id", "v", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), block.alias("block"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
-        found: list = []
-        if asks.any() and not asks.all():
-            x = np.stack(pdf["v"].to_numpy())
-            ids = pdf["id"].to_numpy()
-            found = search_shard(ids[~asks], x[~asks], ids[asks], x[asks], k, trees, miss)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    best = rows.unionByName(queries).withColumn("size", F.size("v")).groupBy("size", "shard", "block").applyInPandas(run, "query_id long, vec_id long, score double")
+    shards = max(1, -(-kept.count() // SHARD_ROWS))
+    rows = kept.select("id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")).alias("shard"))
+    queries = kept.where("asks").select("id", "v", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    dealt = rows.unionByName(queries).withColumn("size", F.size("v").cast("long")).select("size", "shard", "asks", "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, shard = None, [], None  # a shard's rows come before its queries
+        for batch in batches:
+            size, number, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            edges = np.flatnonzero((np.diff(size) != 0) | (np.diff(number) != 0) | (asks[1:] != asks[:-1])) + 1
+            cuts = [0, *edges.tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if (size[lo], number[lo]) != of:
+                    of, held, shard = (size[lo], number[lo]), [], None
+                x = batch.column(4).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, size[lo])
+                if not asks[lo]:
+                    held.append((ids[lo:hi], x))
+                    continue
+                if held:
+                    shard, held = Shard(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), trees, miss), []
+                for at in range(0, hi - lo if shard else 0, BLOCK_ROWS):
+                    found = shard.search(ids[lo + at : min(hi, lo + at + BLOCK_ROWS)], x[at : at + BLOCK_ROWS], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    best = dealt.repartition("size", "shard").sortWithinPartitions("size", "shard", "asks").mapInArrow(run, "query_id long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
