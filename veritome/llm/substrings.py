@@ -4,8 +4,9 @@ Every window of LENGTH bytes is anchored at the least hash of the short strings
 equal windows have equal anchors wherever they stand. Windows in a row with one anchor are a
 segment. Segments that occur twice are repeated throughout; those that share only
 their anchor with others go, once each, into shards by anchor, where a suffix array
-(induced sorting) and the permuted common prefixes find the windows that occur again. Anchors with very many
-different segments are settled by counting their windows instead, so that no shard grows with them.
+(induced sorting) and the permuted common prefixes find the windows that occur again. An anchor with more
+different segments than a shard should hold is split: its windows are cut into blocks by their distance to the anchor, and
+all that share what a block's windows have in common go into one shard, by that instead of the anchor.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.llm.suffix import permuted_lcp, suffix_array
-from veritome.llm.tables import written
+from veritome.llm.tables import Scratch, own_name, written
 
 #: Bytes of a repeated string, and of the strings whose hashes anchor it.
 LENGTH, ANCHOR = 200, 32
-#: Bytes in a shard, about; different segments at an anchor from which their windows are counted.
-SHARD_BYTES, MANY = 2_000_000, 2_000
+#: Bytes in a shard, about; different segments at an anchor, or at a block's common string, from which these are split.
+SHARD_BYTES, MANY = 500_000, 2_000
 #: Bytes of text that a task hashes at once.
 CHUNK = 1 << 20
 #: Windows in a block.
@@ -131,7 +132,7 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
         s[i + len(p)] = 1
         room[i : i + len(p)] = np.arange(len(p), 0, -1)
         i += len(p) + 1
-    sa = suffix_array(s, 256)
+    sa = suffix_array(s)
     lcp = permuted_lcp(s, sa, room)
     same = lcp[sa] >= length
     again = np.zeros(size + 1, bool)
@@ -163,7 +164,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _blocked(length: int, anchor: int):
-    """A segment's windows in blocks of BLOCK by their distance to the anchor: hashes of what all windows of such a block hold (core), of what these windows cover (union), and of each."""
+    """A segment's windows in blocks of BLOCK by their distance to the anchor: what these windows cover, and hashes of that (union) and of what all windows of such a block hold (core)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,77 +172,112 @@ def _blocked(length: int, anchor: int):
             for a, v, n, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(b, np.uint8)
                 count = len(data) - length + 1
-                one, two = _grams(data, length)[:count].view(np.int64), _grams(255 - data, length)[:count].view(np.int64)
                 # the anchor's leftmost place is its own: one further left would own these windows
                 place = int(np.flatnonzero(_grams(data, anchor)[: len(data) - anchor + 1].view(np.int64) == a)[0])
                 for j in range(place // BLOCK + 1):
                     first, last = max(0, place - BLOCK * j - BLOCK + 1), min(count - 1, place - BLOCK * j)
                     if first > last:
                         continue
-                    core = b[place - BLOCK * j : place - BLOCK * j - BLOCK + 1 + length]
+                    core = bytes([j]) + a.to_bytes(8, "little", signed=True) + b[place - BLOCK * j : place - BLOCK * j - BLOCK + 1 + length]
                     union = b[first : last + length]
-                    w = [{"at": i, "one": int(one[i]), "two": int(two[i])} for i in range(first, last + 1)]
-                    rows.append((a, v, n, j, first, last - first + 1, hashlib.blake2b(core, digest_size=16).digest(), hashlib.blake2b(union + bytes([last - first]), digest_size=16).digest(), w))
+                    rows.append((a, v, n, first, last - first + 1, hashlib.blake2b(core, digest_size=16).digest(), hashlib.blake2b(union, digest_size=16).digest(), union))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("at", pa.int32()), ("one", pa.int64()), ("two", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "v", "n", "j", "first", "m", "core", "union", "w"])
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "v", "n", "first", "m", "core", "union", "bytes"])
 
     return run
 
 
-def _by_blocks(hot: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """Spans of segments at anchors with very many, by counts of blocks, and by counts of windows where blocks don't settle it.
+def _windows(length: int):
+    """Two hashes of each window of a block's string."""
 
-    Equal windows lie in blocks with equal cores. A core that stands once is done; a
-    block whose union stands twice is repeated throughout; only where a core has several
-    unions are windows counted, one block for each union.
-    """
-    blocks = written(hot.mapInArrow(_blocked(length, anchor), "a long, v long, n int, j int, first int, m int, core binary, union binary, w array<struct<at:int,one:long,two:long>>"), "blocks")
-    kinds = blocks.groupBy("a", "j", "core", "union").agg(F.count("*").alias("c"), F.min(F.struct("v", "n", "w")).alias("one"))
-    kinds = written(kinds, "unions")
-    twice = kinds.where("c > 1").select("a", "j", "union")
-    settled = blocks.join(twice, ["a", "j", "union"]).select("a", "v", "n", F.struct(F.col("first").alias("b"), (F.col("first") + F.col("m") - 1 + length).alias("e")).alias("s"))
-    by_block = settled.groupBy("a", "v", "n").agg(F.collect_set("s").alias("spans"))
-    open_cores = kinds.groupBy("a", "j", "core").agg(F.count("*").alias("unions")).where("unions > 1").select("a", "j", "core")
-    each = kinds.join(open_cores, ["a", "j", "core"]).select("a", "c", "one.v", "one.n", F.explode("one.w").alias("w")).select("a", "v", "n", "c", "w.at", "w.one", "w.two")
-    each = written(each, "windows")
-    again = each.groupBy("one", "two").agg(F.sum("c").alias("t")).where("t > 1").select("one", "two")
-    single = each.where("c = 1").join(again, ["one", "two"], "left_semi").groupBy("a", "v", "n").agg(F.collect_set(F.struct(F.col("at").alias("b"), (F.col("at") + length).alias("e"))).alias("spans"))
-    return by_block, single
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, v, n, first, c, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                data = np.frombuffer(b, np.uint8)
+                count = len(data) - length + 1
+                one, two = _grams(data, length)[:count].view(np.int64).tolist(), _grams(255 - data, length)[:count].view(np.int64).tolist()
+                rows += [(a, v, n, c, first + i, one[i], two[i]) for i in range(count)]
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["a", "v", "n", "c", "at", "one", "two"])
 
+    return run
 
-def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``id, spans``: byte spans of each text with repeated strings, some of which may overlap. ``docs`` has an ``id`` for each text."""
-    base = docs.select("id", F.col(text).cast("string").alias("text"))
-    found = written(base.mapInArrow(_anchored(length, anchor), "a long, v long, n int, id long, at int"), "segments")
-    twice = written(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "anchors")
-    places = written(found.join(twice, "a"), "places")
-    kinds = places.groupBy("a", "v", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("one"))
-    each = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
-    kinds = written(kinds.join(each, "a"), "kinds")
-    whole = kinds.where("c > 1").select("a", "v", "n", F.array(F.struct(F.lit(0).alias("b"), F.col("n").alias("e"))).alias("spans"))
-    want = kinds.where("single > 0 and kinds > 1").select("one.id", F.struct("a", "v", "n", "one.at").alias("w"), "a", "kinds", "n")
-    many = want.where(F.col("kinds") > MANY).select("a").distinct()
-    size = want.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    cut = base.join(want.groupBy("id").agg(F.collect_set("w").alias("want")), "id").select("text", "want").mapInArrow(_cut_segments, "a long, v long, n int, bytes binary")
-    cut = written(cut, "cut")
-    hot = cut.join(many, "a", "left_semi")
-
-    by_block, by_window = _by_blocks(hot.dropDuplicates(["a", "v", "n"]), length, anchor)
+
+def _by_blocks(hot: DataFrame, length: int, anchor: int, scratch: Scratch) -> list[DataFrame]:
+    """Spans of segments at anchors with very many of them.
+
+    Equal windows lie in blocks with equal cores. A core that stands once is done, a
+    block whose union stands twice is repeated throughout, and the different unions of a core are sorted in
+    a shard with those of other cores. A core holds all but seven bytes of its windows; only where even it has more
+    unions than a shard should hold are their windows, by hashes, counted.
+    """
+    blocks = scratch.written(hot.mapInArrow(_blocked(length, anchor), "a long, v long, n int, first int, m int, core binary, union binary, bytes binary"), "blocks")
+    kinds = scratch.written(blocks.groupBy("core", "union").agg(F.count("*").alias("c"), F.min(F.struct("a", "v", "n", "first", "bytes")).alias("one")), "unions")
+    settled = blocks.join(kinds.where("c > 1").select("union").distinct(), "union", "left_semi").select("a", "v", "n", F.struct(F.col("first").alias("b"), (F.col("first") + F.col("m") - 1 + length).alias("e")).alias("s"))
+    by_block = settled.groupBy("a", "v", "n").agg(F.collect_set("s").alias("spans"))
+    cores = kinds.groupBy("core").agg(F.count("*").alias("unions")).where("unions > 1")
+    each = scratch.written(kinds.join(cores, "core").select("core", "unions", "c", "one.*"), "each")
+    few = each.where(F.col("unions") <= MANY)
+    size = few.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
 
     def sorted_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["a", "v", "n"])
         marks = repeated_windows(pdf["bytes"].tolist(), length)
-        hit = [m.any() for m in marks]
+        hit = [bool(m.any()) and c == 1 for m, c in zip(marks, pdf["c"], strict=True)]
         out = pdf.loc[hit, ["a", "v", "n"]].copy()
-        out["spans"] = [_runs(m, length) for m, h in zip(marks, hit, strict=True) if h]
+        out["spans"] = [[{"b": x["b"] + f, "e": x["e"] + f} for x in _runs(m, length)] for m, f, h in zip(marks, pdf["first"].tolist(), hit, strict=True) if h]
         return out
 
-    by_sort = cut.join(many, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInPandas(sorted_shard, f"a long, v long, n int, spans {_SPANS}")
-    spans = written(whole.unionByName(by_block).unionByName(by_window).unionByName(by_sort), "spans")
-    hits = places.join(spans, ["a", "v", "n"]).select("id", F.explode("spans").alias("s"), "at").select("id", (F.col("s.b") + F.col("at")).alias("b"), (F.col("s.e") + F.col("at")).alias("e"))
-    return written(hits.groupBy("id").agg(F.collect_set(F.struct("b", "e")).alias("spans")), "hits")
+    shard = F.pmod(F.xxhash64("core"), F.lit(max(1, -(-size // SHARD_BYTES))))
+    by_sort = few.withColumn("shard", shard).groupBy("shard").applyInPandas(sorted_shard, f"a long, v long, n int, spans {_SPANS}")
+    counted = scratch.written(each.where(F.col("unions") > MANY).select("a", "v", "n", "first", "c", "bytes").mapInArrow(_windows(length), "a long, v long, n int, c long, at int, one long, two long"), "windows")
+    again = counted.groupBy("one", "two").agg(F.sum("c").alias("t")).where("t > 1").select("one", "two")
+    by_window = counted.where("c = 1").join(again, ["one", "two"], "left_semi").groupBy("a", "v", "n").agg(F.collect_set(F.struct(F.col("at").alias("b"), (F.col("at") + length).alias("e"))).alias("spans"))
+    return [by_block, by_sort, by_window]
+
+
+def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """``id, spans``: byte spans of each text with repeated strings, some of which may overlap. ``docs`` has an ``id`` for each text."""
+    base = docs.select("id", F.col(text).cast("string").alias("text"))
+    with Scratch() as scratch:
+        with Scratch() as first:
+            places = scratch.written(_places(base, length, anchor, first), "places")
+        kinds = places.groupBy("a", "v", "n").agg(F.count("*").alias("c"), F.min(F.struct("id", "at")).alias("one"))
+        each = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
+        kinds = scratch.written(kinds.join(each, "a"), "kinds")
+        whole = kinds.where("c > 1").select("a", "v", "n", F.array(F.struct(F.lit(0).alias("b"), F.col("n").alias("e"))).alias("spans"))
+        want = kinds.where("single > 0 and kinds > 1").select("one.id", F.struct("a", "v", "n", "one.at").alias("w"), "a", "kinds", "n")
+        many = want.where(F.col("kinds") > MANY).select("a").distinct()
+        size = want.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        shards = max(1, -(-size // SHARD_BYTES))
+        cut = base.join(want.groupBy("id").agg(F.collect_set("w").alias("want")), "id").select("text", "want").mapInArrow(_cut_segments, "a long, v long, n int, bytes binary")
+        cut = scratch.written(cut, "cut")
+        hot = _by_blocks(cut.join(many, "a", "left_semi").dropDuplicates(["a", "v", "n"]), length, anchor, scratch)
+
+        def sorted_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.drop_duplicates(["a", "v", "n"])
+            marks = repeated_windows(pdf["bytes"].tolist(), length)
+            hit = [m.any() for m in marks]
+            out = pdf.loc[hit, ["a", "v", "n"]].copy()
+            out["spans"] = [_runs(m, length) for m, h in zip(marks, hit, strict=True) if h]
+            return out
+
+        by_sort = cut.join(many, "a", "left_anti").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInPandas(sorted_shard, f"a long, v long, n int, spans {_SPANS}")
+        spans = whole.unionByName(by_sort)
+        for part in hot:
+            spans = spans.unionByName(part)
+        spans = scratch.written(spans, "spans")
+        hits = places.join(spans, ["a", "v", "n"]).select("id", F.explode("spans").alias("s"), "at").select("id", (F.col("s.b") + F.col("at")).alias("b"), (F.col("s.e") + F.col("at")).alias("e"))
+        return written(hits.groupBy("id").agg(F.collect_set(F.struct("b", "e")).alias("spans")), "hits")
+
+
+def _places(base: DataFrame, length: int, anchor: int, scratch: Scratch) -> DataFrame:
+    """The segments at anchors that stand more than once."""
+    found = scratch.written(base.mapInArrow(_anchored(length, anchor), "a long, v long, n int, id long, at int"), "segments")
+    twice = scratch.written(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "anchors")
+    return found.join(twice, "a")
 
 
 def _merged(spans: list[dict] | None) -> list[list[int]]:
@@ -295,10 +331,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with what ``dedup`` removes taken out of ``text``; a character of which a byte goes is left out whole. All rows stay, null texts too."""
+    """``docs`` with what ``dedup`` removes taken out of ``text``; a character of which a byte goes is left out whole. All rows stay, null texts too, and all columns, whatever their names; an empty table stays empty."""
     base = docs.select(F.col(text).cast("string").alias("text"), _identified(docs, key, text).alias("id"))
-    found = repeats(base, "text", length, anchor).select(F.col("id").alias("id__"), F.col("spans").alias("spans__"))
-    joined = docs.withColumn("of__", _identified(docs, key, text)).join(found, F.col("of__") == F.col("id__"), "left").drop("of__", "id__")
+    of, found_id, spans_name = (own_name(docs, x) for x in ("of__", "found__", "spans__"))
+    found = repeats(base, "text", length, anchor).select(F.col("id").alias(found_id), F.col("spans").alias(spans_name))
+    joined = docs.withColumn(of, _identified(docs, key, text)).join(found, F.col(of) == F.col(found_id), "left").drop(of, found_id)
     at, names, kind = docs.columns.index(text), docs.columns, pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,16 @@
-"""Suffix arrays by induced sorting and permuted common prefixes, whole buckets at a time in numpy."""
+"""Suffix arrays by induced sorting and permuted common prefixes, a whole level at a time in numpy.
+
+A suffix is smaller or larger than the one after it. Leftmost-smaller suffixes are named by the
+strings up to the next one and sorted by recursion on the names. A larger suffix is a run of
+characters down to a leftmost-smaller one, so the larger ones are induced from these, and then the smaller
+ones from the larger: the place of each is that of its character and of the suffix after it. All runs are
+followed at once, twice as far in each turn.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A reduced string over more names than this is sorted by doubling the compared names, as its buckets hold a few suffixes each.
-INDUCED_NAMES = 2_000
-
 
 def _smaller(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the one after it; the last (the sentinel) is."""
@@ -19,113 +23,96 @@ def _smaller(s: np.ndarray) -> np.ndarray:
     return step[nearest] > 0
 
 
-def _deal(chars: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order by character, each one's place among its equals in that order, and the counts."""
-    order = np.argsort(chars, kind="stable")
-    counts = np.bincount(chars, minlength=n_names)
-    firsts = np.cumsum(counts) - counts
-    return order, np.arange(len(chars)) - np.repeat(firsts, counts), counts
-
-
-def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, n_names: int) -> np.ndarray:
-    """All suffixes from leftmost-smaller ones, ``lms``, in the order in which these are given within a bucket."""
-    n = len(s)
-    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
-    counts = np.bincount(s, minlength=n_names)
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    order, place, n_lms = _deal(s[lms], n_names)
-    chars = s[lms[order]]
-    seeds = ends - n_lms
-    sa[seeds[chars] + place] = lms[order]
-
-    def send(found: np.ndarray, want_small: bool, to: np.ndarray) -> None:
-        before = found - 1
-        before = before[before >= 0]
-        before = before[small[before] == want_small]
-        if not len(before):
-            return
-        order, place, counts = _deal(s[before], n_names)
-        if want_small:
-            sa[np.repeat(to - 1, counts) - place] = before[order]
-            to -= counts
-        else:
-            sa[np.repeat(to, counts) + place] = before[order]
-            to += counts
-
-    heads, names = starts.copy(), np.flatnonzero(counts).tolist()
-    for c in names:
-        done = starts[c]
-        while done < heads[c]:  # what a bucket sends to itself comes in the next turn
-            now, done = slice(done, heads[c]), heads[c]
-            send(sa[now], False, heads)
-        if n_lms[c]:
-            send(sa[seeds[c] : ends[c]], False, heads)
-    tails = ends.copy()
-    for c in reversed(names):
-        done = ends[c]
-        while tails[c] < done:
-            now, done = slice(tails[c], done), tails[c]
-            send(sa[now][::-1], True, tails)
-        if heads[c] > starts[c]:
-            send(sa[starts[c] : heads[c]][::-1], True, tails)
-    if tails[s[-1]] > starts[s[-1]]:
-        sa[starts[s[-1]]] = n - 1  # the sentinel has nothing after it that could send it
-    return sa
-
-
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    n, rank, step = len(names), names.astype(np.int64), 1
+def _names(kinds: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """For each leftmost-smaller position the rank of its string, the next such position included, equal ones alike; character by character, as long as strings are open."""
+    m = len(lms)
+    length = np.append(np.diff(lms) + 1, 1)
+    order = np.argsort(kinds[lms], kind="stable")
+    key = kinds[lms[order]]
+    group = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(m), 0))
+    places = np.arange(m)  # of the order that aren't settled
+    at = 1
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank, step = new, 2 * step
-        if step >= n or rank[order[-1]] == n - 1:
-            return order
-
-
-def suffix_array(s: np.ndarray, n_names: int | None = None) -> np.ndarray:
-    """Start positions in order of their suffixes; ``s`` holds small integers and ends with the only least one."""
-    n_names = n_names or int(s.max()) + 1
-    if len(s) < 3:
+        size = np.bincount(group, minlength=m)
+        open_ = (size[group[places]] > 1) & (length[order[places]] > at)
+        # equal so far, but one ends here: its last position is a leftmost-smaller one, and then that of the other is too
+        places = places[open_]
+        if not len(places):
+            break
+        who = order[places]
+        key = group[places] * (int(kinds.max()) + 1) + kinds[lms[who] + at]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[places] = who[by]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        group[places] = np.maximum.accumulate(np.where(new, places, 0))
+        at += 1
+    out = np.empty(m, np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], np.diff(group) != 0)))
+    return out
+
+
+def _induced(key: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Ranks of items by key and then by the item after each, whose own rank follows from its key and the one after it; ends, which come after themselves, have keys of their own."""
+    order = np.argsort(key)
+    sorted_key = key[order]
+    n = len(key)
+    place = np.arange(n)
+    first = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, place, 0))
+    alone = first & np.append(first[1:], True)
+    places = place[~alone]
+    after = after.copy()
+    while len(places):
+        who = order[places]
+        pair = rank[who] * n + rank[after[who]]
+        by = np.argsort(pair)
+        pair, who = pair[by], who[by]
+        order[places] = who
+        first = np.concatenate(([True], pair[1:] != pair[:-1]))
+        rank[who] = np.maximum.accumulate(np.where(first, places, 0))
+        after[who] = after[after[who]]
+        places = places[~(first & np.append(first[1:], True))]
+    return rank
+
+
+def suffix_array(s: np.ndarray, depth: list[int] | None = None) -> np.ndarray:
+    """Start positions in order of their suffixes; ``s`` holds small integers and ends with the only least one. ``depth`` gets the length of each level."""
+    n = len(s)
+    if depth is not None:
+        depth.append(n)
+    if n < 3:
         return np.argsort(s, kind="stable")
-    if n_names <= 256:
-        s = s.astype(np.uint8)
-    elif n_names <= 65536:
-        s = s.astype(np.uint16)
     small = _smaller(s)
+    kinds = 2 * s.astype(np.int64) + small
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sa = _induce(s, small, lms, n_names)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    ordered = sa[is_lms[sa]]
-    # names: adjacent leftmost-smaller substrings get different ones where they differ before both have ended
-    length = np.ones(len(s), np.int32)
-    length[lms[:-1]] = np.diff(lms) + 1
-    differ = length[ordered[1:]] != length[ordered[:-1]]
-    left, at = np.flatnonzero(~differ), 0
-    while len(left):
-        a, b = ordered[left], ordered[left + 1]
-        other = s[a + at] != s[b + at]
-        differ[left[other]] = True
-        left = left[~other & (length[a] > at + 1)]
-        at += 1
-    name = np.empty(len(s), np.int32)
-    name[ordered] = np.concatenate(([0], np.cumsum(differ)))
-    reduced = name[lms]
-    n_reduced = int(reduced.max()) + 1
-    if n_reduced == len(reduced):
-        ordered = np.empty(len(lms), np.int64)
-        ordered[reduced] = lms
-    elif n_reduced <= INDUCED_NAMES:
-        ordered = lms[suffix_array(reduced, n_reduced)]
+    names = _names(kinds, lms)
+    if int(names.max()) + 1 < len(lms):
+        ordered = suffix_array(names, depth)
     else:
-        ordered = lms[_by_doubling(reduced)]
-    return _induce(s, small, ordered, n_names)
+        ordered = np.empty(len(lms), np.int64)
+        ordered[names] = np.arange(len(lms))
+    # the larger ones, and as their runs' ends the leftmost-smaller ones in order
+    position = np.flatnonzero(~small)
+    position = np.sort(np.concatenate((position, lms)))
+    of = np.full(n, -1, np.int64)
+    of[position] = np.arange(len(position))
+    turn = np.zeros(n, np.int64)
+    turn[lms[ordered]] = np.arange(1, len(lms) + 1)
+    ends = small[position]
+    key = kinds[position] * (n + 1) + turn[position]
+    after = np.where(ends, np.arange(len(position)), of[np.minimum(position + 1, n - 1)])
+    rank = _induced(key, after)
+    # the smaller ones, and as their runs' ends the larger ones in order; the sentinel is an end
+    turn = np.zeros(n, np.int64)
+    turn[position[~ends]] = rank[~ends] + 1
+    key = kinds * (n + 1) + turn
+    after = np.where(small, np.minimum(np.arange(n) + 1, n - 1), np.arange(n))
+    rank = _induced(key, after)
+    out = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarray:
