@@ -178,6 +178,35 @@ def test_neighbours_recall_and_ties(spark):
     assert rows(nearest(df.where("false"), F.lit(True))) == []
 
 
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e25, "mixed"])
+def test_neighbours_recall_at_any_scale(spark, scale):
+    from pyspark.sql import functions as F
+
+    from veritome.llm.neighbours import nearest
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 32)) * (10.0 ** rng.integers(-30, 26, (1500, 1)) if scale == "mixed" else scale)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("vec_id") % 20 == 0).collect()}
+    want = {(q, int(i)) for q in range(0, 1500, 20) for i in np.argsort(np.where(np.arange(1500) == q, -np.inf, x @ x[q]))[::-1][:20]}
+    assert len(got) == 75 * 20 and len(got & want) >= 0.95 * len(want)
+
+
+def test_neighbours_ties_of_different_vectors_go_to_smaller_ids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veritome.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 2)
+    data = [(i, [1.0, float(i)]) for i in range(200)] + [(300 + i, [1.0, 2.0, float(i)]) for i in range(3)]
+    df = spark.createDataFrame([(i, [v[0], 0.0, *v[1:]] if i == 0 else [v[0], 0.0, v[1], 0.0] if i < 300 else v) for i, v in data], "vec_id long, embedding array<double>")
+    ones = df.where("vec_id < 300 and vec_id > 0").unionByName(spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], df.schema)).unionByName(df.where("vec_id >= 300"))
+    got = [r.vec_id for r in sorted(neighbours.nearest(ones, F.col("vec_id") == 0, k=7).collect(), key=lambda r: r["rank"])]
+    assert got == [1, 2, 3, 4, 5, 6, 7]
+    assert {(r.query_id, r.vec_id) for r in neighbours.nearest(ones, F.col("vec_id") == 301).collect()} == {(301, 300), (301, 302)}
+
+
 # 4: decontamination
 
 
@@ -260,6 +289,10 @@ def test_simhash_against_brute_force(spark, corpus, docs, empty):
     assert (3, "one") in kept and kept.count((3, "one")) == 1 and (6, LONG) not in kept
     assert sum(k == -1 for k, _ in kept) == 2
     assert rows(near_duplicates(empty)) == []
+    clashing = docs.selectExpr("*", *(f"'c' AS {x}" for x in ("key__", "h__", "text__", "h", "fp", "component_id")))
+    assert keep_one(clashing).columns == clashing.columns and keep_one(clashing).count() == len(kept)
+    named = near_duplicates(docs.selectExpr("concat('d', doc_id) AS doc_id", "text")).collect()
+    assert {r.component_id for r in named if r.doc_id in ("d1", "d2")} == {"d1"}
 
 
 def test_forest_connects_what_links_connect():
@@ -331,15 +364,39 @@ def test_token_files_against_library(spark, docs, empty):
 
     path = tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    got = sorted(rows(round_trip(docs, path)), key=lambda r: r[1])
+    odd = [*ROWS, (4, "a <|endoftext|> b", "en", "x", 1.0), (10, "x<|startoftext|>y<|endoftext|><|ENDOFTEXT|>'s<|endoftext|", "en", "x", 1.0), (11, "after", "en", "x", 1.0)]
+    got = sorted(rows(round_trip(spark.createDataFrame(odd, SCHEMA), path)), key=lambda r: r[1])
     want, start = [], 0
-    for k, t, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for k, t, *_ in sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
         want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
     assert rows(round_trip(empty, path)) == []
+    named = spark.createDataFrame([("b", "two"), ("a", "one"), (None, None)], "doc_id string, text string")
+    assert [r[0] for r in sorted(rows(round_trip(named, path)), key=lambda r: r[1])] == [None, "a", "b"]
+
+
+def test_long_stretches_are_encoded_but_never_remembered():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from veritome.llm.bpe import LONGEST, Coder, load_ranks
+    from veritome.llm.token_files import WordTokenizer
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(4000)) for _ in range(30)] + ["a b a"]
+    with open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = WordTokenizer(f.read())
+    library = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):
+        ids, lengths = coder.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+        assert len(coder.known) == 3 and len(coder.ids) == 2 and coder.known.nbytes < 1000
+    coder = Coder(load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken")), tokenizers.PATTERN)
+    for t in texts:
+        coder.encode(t)
+    assert max(map(len, coder.known)) <= LONGEST and coder.held < 10_000
 
 
 # 8: repeated substrings
@@ -359,14 +416,24 @@ def brute_repeats(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("many", [2000, 1])
-def test_substrings_against_brute_force(spark, corpus, docs, empty, monkeypatch, many):
+@pytest.mark.parametrize(("many", "splits"), [(2000, None), (1, None), (1, 3)])
+def test_substrings_against_brute_force(spark, corpus, docs, empty, monkeypatch, many, splits):
     from veritome.llm import substrings
 
     monkeypatch.setattr(substrings, "MANY", many)
+    if splits:  # hot anchors are split and their parts sorted, however many
+        by_blocks = substrings._by_blocks
+
+        def sorted_blocks(*args):
+            monkeypatch.setattr(substrings, "MANY", 1000)
+            return by_blocks(*args)
+
+        monkeypatch.setattr(substrings, "_by_blocks", sorted_blocks)
+        monkeypatch.setattr(substrings, "SHARD_BYTES", 5000)
     for table in (corpus, docs.withColumn("text", docs["text"].substr(1, 3000))):
         data = table.select("doc_id", "text").collect()
         want = Counter((r.doc_id, *x) for r, x in zip(data, brute_repeats([r.text for r in data])))
+        monkeypatch.setattr(substrings, "MANY", many)
         assert Counter(rows(substrings.dedup(table))) == want
     assert rows(substrings.dedup(empty)) == []
 
@@ -374,6 +441,9 @@ def test_substrings_against_brute_force(spark, corpus, docs, empty, monkeypatch,
 def test_without_repeats_keeps_rows_and_columns(spark, docs):
     from veritome.llm.substrings import without_repeats
 
+    clashing = docs.selectExpr("*", *(f"'c' AS {x}" for x in ("id", "of__", "found__", "spans__", "SPANS", "a")))
+    assert without_repeats(clashing).columns == clashing.columns
+    assert without_repeats(clashing).where("spans__ = 'c' and of__ = 'c'").count() == len(ROWS)
     got = without_repeats(docs)
     assert got.columns == docs.columns
     texts = Counter((r.doc_id, r.text) for r in got.collect())
@@ -384,10 +454,15 @@ def test_suffix_array_and_common_prefixes():
     from veritome.llm.suffix import permuted_lcp, suffix_array
 
     rng = np.random.default_rng(1)
-    for _ in range(60):
+    deepest = 0
+    for turn in range(200):
         s = np.concatenate([rng.integers(1, rng.integers(2, 6), rng.integers(1, 80)), [0]])
-        plain = s.tolist()
-        sa = suffix_array(s)
+        if turn % 2:  # repeats of repeats need the names of names
+            some = np.concatenate([np.tile(s[:-1][:7], 3), s[:-1]])
+            s = np.concatenate([np.tile(some, 3), s])
+        plain, levels = s.tolist(), []
+        sa = suffix_array(s, levels)
+        deepest = max(deepest, len(levels))
         assert sa.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
         lcp = permuted_lcp(s.astype(np.uint8), sa, np.arange(len(s), 0, -1))
         for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()):
@@ -395,6 +470,7 @@ def test_suffix_array_and_common_prefixes():
             while n < min(len(plain) - a, len(plain) - b) and plain[a + n] == plain[b + n]:
                 n += 1
             assert lcp[b] == n
+    assert deepest >= 3
 
 
 # 9: toxicity
@@ -525,11 +601,10 @@ def test_word_tokenizer_on_random_text():
 
     path = tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         coder = WordTokenizer(f.read())
     rng = random.Random(3)
-    texts = ["".join(rng.choice(" \n\t'’.,%#aAbBsSdé́İßΣ12<|>-中😀\x85\x1cre") for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|> a", None]
+    texts = ["".join(rng.choice(" \n\t'’.,%#aAbBsSdé́İßΣ12<|>-中😀\x85\x1cre") for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["<|endoftext|> a", "b<|endoftext|>'s x<|ENDOFTEXT|>y", "<|startoftext|><|endoftext|>", None]
     ids, lengths = coder.encode(pa.array(texts, pa.string()))
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert lengths.tolist() == [len(x) for x in want]
@@ -545,7 +620,7 @@ def test_small_tiles_and_small_payloads_give_the_same(spark, corpus, monkeypatch
     monkeypatch.setattr(simhash, "BLOCK", 3)
     monkeypatch.setattr(token_files, "PAYLOAD", 50)
     monkeypatch.setattr(token_files, "TEXT_BYTES", 100)
-    monkeypatch.setattr(token_files, "KEPT_CHUNKS", 20)
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 500)
     assert (sorted(rows(simhash.near_duplicates(corpus))), sorted(rows(token_files.round_trip(corpus, path)))) == before
 
 
@@ -555,6 +630,6 @@ def test_toxicity_and_bpe_forget_without_effect(spark, docs, labels, monkeypatch
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     model = toxicity.fit(docs, labels)
     before = Counter(rows(toxicity.score(docs, model))), Counter(rows(bpe.encode_decode(docs, path, tokenizers.PATTERN, outputs=())))
-    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 800)
     monkeypatch.setattr(toxicity, "KEPT_WORDS", 3)
     assert (Counter(rows(toxicity.score(docs, model))), Counter(rows(bpe.encode_decode(docs, path, tokenizers.PATTERN, outputs=())))) == before
