@@ -98,13 +98,34 @@ def test_bpe_random_text_and_long_pieces():
 # 2: quality
 
 
-def test_kneser_ney_sums_to_one():
-    from veritome.llm.quality import SYMBOLS, _alphabet, grams, kneser_ney
-
-    counts = np.bincount(np.concatenate([grams("the cat and the hat. " * 5, _alphabet()), grams("a dog", _alphabet())]), minlength=SYMBOLS**4)
-    p = np.exp(kneser_ney(counts).astype(float)).reshape(-1, SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    assert (p > 0).all()
+def kneser_ney(texts, order):
+    """By the definition: the probability of a character after those before it, and of a text's perplexity."""
+    padded = ["\0" * (order - 1) + t for t in texts]
+    counts = {order: Counter(t[i : i + order] for t in padded for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        y = n1 / max(1, n1 + 2 * n2)
+        raw = 1 - 2 * y * n2 / max(1, n1), 2 - 3 * y * n3 / max(1, n2), 3 - 4 * y * n4 / max(1, n3)
+        discounts[k] = [min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1)]
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        after = [v for g, v in counts[k].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        d, n = discounts[k], counts[k][gram]
+        return ((n - d[min(n, 3) - 1] if n else 0) + sum(d[min(v, 3) - 1] for v in after) * p(gram[1:])) / sum(after)
+
+    def perplexity(text):
+        t = "\0" * (order - 1) + text
+        return math.exp(-sum(math.log(p(t[i : i + order])) for i in range(len(text))) / len(text))
+
+    return p, perplexity
 
 
 def test_quality_odd_rows(spark, docs, empty, labels):
@@ -134,20 +155,36 @@ def test_quality_tells_letters_of_any_script_apart(spark):
     assert got[100].perplexity > 10 * got[0].perplexity and not got[100].keep and got[0].keep
 
 
-def test_dealt_kneser_ney_equals_the_dense_one(spark):
-    from veritome.llm.quality import SYMBOLS, _alphabet, grams, kneser_ney, perplexity, train
+@pytest.mark.parametrize("block", [16_000_000, 30])
+def test_kneser_ney_by_definition(spark, monkeypatch, block):
+    from veritome.llm import quality
 
-    alphabet = _alphabet()
-    letters = list({int(alphabet[ord(c)]): c for c in "abcdefghijklmnopqrstuvwxyzA1 \n.,!\"#\u00e0\u00e1\u00e2\u00e3"}.values())
-    assert len(letters) == SYMBOLS - 1
-    dice = np.random.default_rng(5)
-    odds = np.arange(1, SYMBOLS)[::-1] ** 2.0
-    texts = ["".join(letters)] + ["".join(dice.choice(letters, 300, p=odds / odds.sum())) for _ in range(6)]
+    monkeypatch.setattr(quality, "BLOCK", block)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdé日本 .", [30, 20, 10, 5, 3, 2, 2, 9, 1], k=60)) for _ in range(9)] + ["q", "never seen: 語", None, ""]
     df = spark.createDataFrame([(i, x, "xx" if i % 2 else None) for i, x in enumerate(texts)], "doc_id long, text string, lang string")
-    model = train(df.where("doc_id < 5"), order=4)
-    dense = kneser_ney(np.bincount(np.concatenate([grams(x, alphabet) for x in texts[:5]]), minlength=SYMBOLS**4))
-    for r in perplexity(df.selectExpr("doc_id", "text", "'yy' AS lang"), model, order=4).collect():
-        assert np.isclose(r.perplexity, np.exp(-dense[grams(texts[r.key], alphabet)].mean(dtype=float)), rtol=1e-4)
+    model = quality.train(df.where("doc_id < 6"), order=3)
+    p, ppl = kneser_ney(texts[:6], 3)
+    letters = sorted({c for t in texts[:6] for c in t})
+    assert math.isclose(sum(p("ab" + c) for c in [*letters, "never seen"[:1]]), 1, rel_tol=1e-9)
+    got = {r.key: r.perplexity for r in quality.perplexity(df.selectExpr("doc_id", "text", "'yy' AS lang"), model, order=3).collect()}
+    assert got.keys() == set(range(len(texts))) and got[11] is None and got[12] is None
+    for i, t in enumerate(texts):
+        if t:
+            assert math.isclose(got[i], ppl(t), rel_tol=1e-6)
+    own = kneser_ney(texts[1:6:2], 3)[1]
+    assert all(math.isclose(r.perplexity, own(texts[r.key]), rel_tol=1e-6) for r in quality.perplexity(df.where("lang = 'xx' and text <> ''"), model, order=3).collect())
+
+
+def test_thresholds_are_one_rule_for_all_lengths(spark):
+    from veritome.llm.quality import thresholds
+
+    rng = random.Random(3)
+    sizes = [rng.choice((20, 50, 100, 400, 2000)) for _ in range(4000)]
+    seen = [("en", n, math.exp(1 + 5 / n + rng.gauss(0, 0.02 + 2 / math.sqrt(n)))) for n in sizes] + [("one", 10, 3.0)]
+    got = {r.lang: r for r in thresholds(spark.createDataFrame(seen, "lang string, n_chars long, perplexity double"), "lang").collect()}
+    assert abs(got["en"].m0 - 1) < 0.05 and abs(got["en"].s1 - 2 * math.sqrt(2 / math.pi)) < 0.3 and 2.8 < got["en"].z < 3.8
+    assert math.isclose(got["one"].m0, math.log(3)) and got["one"].z == 0
 
 
 # 3: neighbours
@@ -333,7 +370,7 @@ def test_html_main_text(spark):
     page = """<html><head><title>T</title></head><body><div id="header">Site <a href=/>home</a></div><div class="menu"><a href=1>One</a><a href=2>Two</a></div><div class="content"><h2>Heading</h2>
     <p>First paragraph of the story, long enough to count as real text &eacute;&nbsp;x.</p><p>Short.</p><p>Second paragraph with a <a href=x>link</a> in it, and more words.</p></div><div class="comments"><p>A comment that is rather long and is not the article at all.</p></div><form>Search</form><div class=footer>(c)</div>"""
     assert main_text(page) == "Heading\n\nFirst paragraph of the story, long enough to count as real text é x.\n\nShort.\n\nSecond paragraph with a link in it, and more words."
-    assert main_text('<nav>a</nav><article><header>h</header><p>x &amp; y<br>z<script>"</p>"</script><aside>no</aside></article><footer>f') == "x & y z"
+    assert main_text('<nav>a</nav><article><header>h<h1>own</h1></header><p>x &amp; y<br>z<script>"</p>"</script><aside>no</aside></article><footer>f') == "own\n\nx & y z"
     assert [main_text(x) for x in (None, "", "<", "plain", "<p>a", "<article></article>")] == ["", "", "<", "plain", "a", ""]
     df = spark.createDataFrame([(1, "u", None, "n"), (1, "u", None, "n"), (None, None, "<p>x</p>" * 20000, "n")], "page_id long, url string, html string, text string")
     got = sorted(rows(extract(df)), key=str)
@@ -341,6 +378,43 @@ def test_html_main_text(spark):
     assert rows(extract(df.where("false"))) == []
 
 
+STORY = "<p>First paragraph of the story, long enough to count as real text, with commas.</p><p>Short.</p><p>Second paragraph with more words in it, and still more of them to read.</p>"
+MENU = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+PAGES = {
+    "a sidebar beside": f'<div class="content has-sidebar"><h2>H</h2>{STORY}</div><div class=sidebar>About us and a long text that is no article at all, is it.</div>',
+    "side by side": f'<div class="side-by-side"><h2>H</h2>{STORY}</div>',
+    "one form around all": f'<body><form id="aspnetForm"><div class=menu>{MENU}</div><div id=main-content><h2>H</h2>{STORY}</div><div id=footer>(c)</div></form>',
+    "nav without end": f"<body><nav>{MENU}<article><h2>H</h2>{STORY}</article>",
+    "own header by name": f'<div class=post><div class="post-header"><h2>H</h2></div>{STORY}</div>',
+    "own header": f"<header><h1>Site</h1></header><article><header><h2>H</h2><p>By N. N.</p></header>{STORY}<footer>Tags</footer></article>",
+    "no containers": f"<body><div id=header>Site</div><div class=nav>{MENU}</div><h2>H</h2>{STORY}<div class=footer>(c) 2020 some site with a notice of rights, and an address</div></body>",
+    "more comments than article": f"<div class=content><h2>H</h2>{STORY}</div><section id=comments>" + "<article class=comment><p>A comment that is rather long and isn't the article at all, at all.</p></article>" * 9 + "</section>",
+    "comments in the main part": f"<main><article><h2>H</h2>{STORY}</article><div class='comment-list'><p>A comment that is rather long and isn't the article.</p></div></main>",
+    "table": f"<table><tr><td class=nav>{MENU}</td><td><h2>H</h2>{STORY}</td></tr></table>",
+    "notice and aside": f'<div class="cookie-notice"><p>We use cookies and similar things on this web site to make it better for you, the reader.</p></div><div><h2>H</h2>{STORY}</div><aside><p>Related news item about a thing that went on for a while.</p></aside>',
+    "adverts inside": "<article><h2>H</h2>" + STORY.replace("<p>Short.", "<div class=ad>Buy</div><div class='ad-box'>More</div><div class=ad>x</div><p>Short.") + "</article>",
+    "ends of nothing": "</div></span>" * 50 + f"<div><h2>H</h2>{STORY}</span></b></div></section>",
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_html_of_many_makes_gives_the_article(name):
+    from veritome.llm.html_text import main_text
+
+    assert main_text(PAGES[name]) == "H\n\nFirst paragraph of the story, long enough to count as real text, with commas.\n\nShort.\n\nSecond paragraph with more words in it, and still more of them to read."
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    from veritome.llm.html_text import main_text
+
+    began = time.perf_counter()
+    assert main_text("<div>" * 100_000 + "x" + "</span>" * 100_000) == "x"
+    assert main_text("<b>" + '<div class="a b-c">t' * 50_000)
+    assert time.perf_counter() - began < 60
+
+
 # 7: token files
 
 

@@ -2,9 +2,9 @@
 
 Grams are of GRAM characters as they stand, of any script, so the model grows with the trusted texts. It is a table of
 grams of all orders with their probabilities and backoff weights, made by joins and sums in shards of grams and
-contexts. Documents are dealt into blocks; each block's different grams are joined with that table and what is
-found goes back to the block, so no task holds a language's counts. A document's perplexity is compared with a
-quantile of that of the trusted texts in its language.
+contexts. A task packs its documents into blocks and counts each block's different grams once; these are joined with that
+table and what is found meets the packed block again, so no task holds a language's counts. A document's perplexity is
+compared with a quantile of that of the trusted texts in its language, at its length.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritome.llm.tables import written
+from veritome.llm.tables import Scratch, written
 
 #: Characters in a gram; about as many characters are in a block, and are sorted at once.
 GRAM, BLOCK, PIECE = 4, 16_000_000, 2_000_000
@@ -25,70 +26,13 @@ GRAM, BLOCK, PIECE = 4, 16_000_000, 2_000_000
 LANGUAGES = 10_000
 #: Odd multiplier of the hash of a gram, which stands for it within a task; joins are by the grams themselves.
 FACTOR = 0x9E3779B97F4A7C15
-#: The dense form over a folded alphabet (grams, kneser_ney), against which tests hold the dealt one.
-ORDER, SYMBOLS = 4, 40
 #: Quantile of the trusted texts' perplexity beyond which a text of that language is rejected.
 QUANTILE = 0.995
-#: Short texts vary more: quantiles are taken for lengths below these numbers of characters and above, where so many trusted texts are of a length; else for the whole language.
-LENGTHS, LEAST = (64, 256, 1024), 100
+#: Least mean distance of the logarithm of perplexities of one length from their mean.
+LEAST_SPREAD = 0.01
 OTHER = ""
 
 
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 0x3000; 0 stands for the edge of a text."""
-    of = np.zeros(0x3000, np.uint8)
-    for c in range(len(of)):
-        x = chr(c)
-        if "a" <= x <= "z":
-            of[c] = 1 + c - ord("a")
-        elif x.isupper():
-            of[c] = 27
-        elif x.isdigit():
-            of[c] = 28
-        elif x in "\n\r":
-            of[c] = 30
-        elif x.isspace():
-            of[c] = 29
-        elif x in ".,":
-            of[c] = 31 + (x == ",")
-        elif x.isalpha():
-            of[c] = 36 + c % 4
-        else:
-            of[c] = 33 + c % 3
-    return of
-
-
-def grams(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """The number of the gram that ends at each character, text edges before the first; empty texts have none."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    symbols = alphabet[np.minimum(points, len(alphabet) - 1)].astype(np.int64)
-    padded = np.concatenate((np.zeros(ORDER - 1, np.int64), symbols))
-    code = np.zeros(len(symbols), np.int64)
-    for k in range(ORDER):
-        code = code * SYMBOLS + padded[k : k + len(symbols)]
-    return code
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Natural logs of the probability of each gram's last symbol after the others, from the counts of all grams."""
-    lower = None
-    tables = [counts.astype(np.float64)]
-    for _ in range(ORDER - 1):  # continuation counts: how many different symbols stand before a shorter gram
-        tables.append((tables[-1].reshape(SYMBOLS, -1) > 0).sum(0).astype(np.float64))
-    for table in reversed(tables):
-        rows = table.reshape(-1, SYMBOLS)
-        n1, n2, n3, n4 = ((table == k).sum() for k in (1, 2, 3, 4))
-        y = n1 / max(1, n1 + 2 * n2)
-        d1, d2, d3 = (min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / max(1, n1)), (2, 2 - 3 * y * n3 / max(1, n2)), (3, 3 - 4 * y * n4 / max(1, n3))))
-        total = rows.sum(1, keepdims=True)
-        discount = np.where(rows == 0, 0, np.where(rows == 1, d1, np.where(rows == 2, d2, d3)))
-        below = np.full((1, SYMBOLS), 1 / SYMBOLS) if lower is None else np.tile(lower.reshape(-1, SYMBOLS), (len(rows) * SYMBOLS // lower.size, 1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(total > 0, (rows - discount + discount.sum(1, keepdims=True) * below) / total, below)
-        lower = p
-    return np.log(lower).astype(np.float32).ravel()
-
-
 def _points(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each after ``order`` - 1 edges (0), and the places of those that aren't edges."""
     edge = "\0" * (order - 1)
@@ -161,68 +105,93 @@ def train(trusted: DataFrame, text: str = "text", lang: str = "lang", order: int
                     size = 0
         yield from flush()
 
-    counts = written(fixed.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    every = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(OTHER).alias("lang"), "gram", "n")
-    tables = [counts.where(F.col("lang") != OTHER).unionByName(every)]
-    for _ in range(order - 1):
-        tables.append(tables[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
-    known = tables[0].withColumn("k", F.lit(order))
-    for k, t in zip(range(order - 1, 0, -1), tables[1:], strict=True):
-        known = known.unionByName(t.withColumn("k", F.lit(k)))
-    known = written(known.withColumn("context", F.expr("substring(gram, 1, k - 1)")), "orders")
-    n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
-    y = n1 / F.greatest(F.lit(1), n1 + 2 * n2)
-    free = known.groupBy("lang", "k").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
-    raw = ((1, 1 - 2 * y * n2 / F.greatest(F.lit(1), n1)), (2, 2 - 3 * y * n3 / F.greatest(F.lit(1), n2)), (3, 3 - 4 * y * n4 / F.greatest(F.lit(1), n3)))
-    free = _names(free.select("lang", "k", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i, d in raw)))
-    whole = known.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"m{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
-    weight = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")
-    contexts = written(whole.join(free, ["lang", "k"]).select("lang", "k", "context", "total", "d1", "d2", "d3", weight.alias("weight"), (F.col("m1") + F.col("m2") + F.col("m3") + 1).alias("symbols")), "contexts")
-    own = (F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    shares = written(known.join(contexts, ["lang", "k", "context"]).select("lang", "k", "gram", own.alias("own"), "weight", "symbols"), "shares")
-    lower = shares.where("k = 1").select("lang", "gram", (F.col("own") + F.col("weight") / F.col("symbols")).alias("p"))
-    orders = [lower]
-    for k in range(2, order + 1):
-        below = lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below"))
-        lower = written(shares.where(F.col("k") == k).withColumn("rest", F.expr("substring(gram, 2)")).join(below, ["lang", "rest"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p")), "order")
-        orders.append(lower)
-    none = F.lit(None).cast("double")
-    rows = contexts.select("lang", F.col("context").alias("gram"), F.when(F.col("k") == 1, -F.log(F.col("symbols").cast("double"))).alias("logp"), F.log("weight").alias("backoff"))
-    for x in orders:
-        rows = rows.unionByName(x.select("lang", "gram", F.log("p").alias("logp"), none.alias("backoff")))
-    return written(rows.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
+    with Scratch() as scratch:
+        counts = scratch.written(fixed.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+        every = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(OTHER).alias("lang"), "gram", "n")
+        tables = [counts.where(F.col("lang") != OTHER).unionByName(every)]
+        for _ in range(order - 1):
+            tables.append(tables[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+        known = tables[0].withColumn("k", F.lit(order))
+        for k, t in zip(range(order - 1, 0, -1), tables[1:], strict=True):
+            known = known.unionByName(t.withColumn("k", F.lit(k)))
+        known = scratch.written(known.withColumn("context", F.expr("substring(gram, 1, k - 1)")), "orders")
+        n1, n2, n3, n4 = (F.col(f"n{i}") for i in (1, 2, 3, 4))
+        y = n1 / F.greatest(F.lit(1), n1 + 2 * n2)
+        free = known.groupBy("lang", "k").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
+        raw = ((1, 1 - 2 * y * n2 / F.greatest(F.lit(1), n1)), (2, 2 - 3 * y * n3 / F.greatest(F.lit(1), n2)), (3, 3 - 4 * y * n4 / F.greatest(F.lit(1), n3)))
+        free = _names(free.select("lang", "k", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i, d in raw)))
+        whole = known.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), *(F.count_if(c).alias(f"m{i}") for i, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))))
+        weight = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")
+        contexts = scratch.written(whole.join(free, ["lang", "k"]).select("lang", "k", "context", "total", "d1", "d2", "d3", weight.alias("weight"), (F.col("m1") + F.col("m2") + F.col("m3") + 1).alias("symbols")), "contexts")
+        own = (F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+        shares = scratch.written(known.join(contexts, ["lang", "k", "context"]).select("lang", "k", "gram", own.alias("own"), "weight", "symbols"), "shares")
+        lower = shares.where("k = 1").select("lang", "gram", (F.col("own") + F.col("weight") / F.col("symbols")).alias("p"))
+        orders = [lower]
+        for k in range(2, order + 1):
+            below = lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below"))
+            lower = scratch.written(shares.where(F.col("k") == k).withColumn("rest", F.expr("substring(gram, 2)")).join(below, ["lang", "rest"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("below")).alias("p")), "order")
+            orders.append(lower)
+        none = F.lit(None).cast("double")
+        rows = contexts.select("lang", F.col("context").alias("gram"), F.when(F.col("k") == 1, -F.log(F.col("symbols").cast("double"))).alias("logp"), F.log("weight").alias("backoff"))
+        for x in orders:
+            rows = rows.unionByName(x.select("lang", "gram", F.log("p").alias("logp"), none.alias("backoff")))
+        return written(rows.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
 
 
 def perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = GRAM) -> DataFrame:
-    """``key, lang, n_chars, perplexity`` for each row; the perplexity of an empty or null text is null."""
+    """``key, lang, n_chars, perplexity`` for each row; the perplexity of an empty or null text is null. The result is a table in the shared folder."""
     fixed = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.col(text).cast("string").alias("text"))
-    blocks = 1 + (fixed.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK
     names = model.where("gram = ''").select("lang", F.col("lang").alias("model"))
-    dealt = fixed.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks))).join(_names(names), "lang", "left").withColumn("model", F.coalesce("model", F.lit(OTHER)))
-
-    def ask(rows: pa.Table) -> pa.Table:
-        block = rows.column("block")[0].as_py()
-        named, asked = [], []
-        for name in pc.unique(rows.column("model")).to_pylist():
-            texts = rows.filter(pc.equal(rows.column("model"), name)).column("text")
-            tops = [np.zeros((0, order), "<u4")]
-            for piece in _pieces(pc.fill_null(pc.utf8_length(texts), 0).to_numpy()):
-                points, at = _points(texts.take(pa.array(piece)).to_pylist(), order)
-                ends = at[np.unique(_grams(points, at, order), return_index=True)[1]]
-                tops.append(points[ends[:, None] + np.arange(1 - order, 1)])
-            top = np.concatenate(tops)
-            found = [""]
-            for k in range(order, 0, -1):  # grams, and below the highest order contexts of the next one too
-                chars = top if k == order else np.concatenate((top[:, order - k :], top[:, order - k - 1 : -1]))
-                chars = chars[np.unique(_hashes(list(chars.T)), return_index=True)[1]]
-                found += _strings(chars)
-                if k == order:
-                    top = chars
-            asked += found
-            named += [name] * len(found)
-        return pa.table({"block": pa.array([block] * len(asked), pa.int64()), "lang": pa.array(named, pa.string()), "gram": pa.array(asked, pa.string())})
-
-    def answer(rows: pa.Table, told: pa.Table) -> pa.Table:
+    named = fixed.join(_names(names), "lang", "left").select("key", "lang", F.coalesce("model", F.lit(OTHER)).alias("model"), "text")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows, packed, and the different grams and contexts in each."""
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows)
+            yield made(number, [None], [None], [sink.getvalue().to_pybytes()])
+            for name in pc.unique(rows.column("model")).to_pylist():
+                texts = rows.filter(pc.equal(rows.column("model"), name)).column("text")
+                tops = [np.zeros((0, order), "<u4")]
+                for piece in _pieces(pc.fill_null(pc.utf8_length(texts), 0).to_numpy()):
+                    points, at = _points(texts.take(pa.array(piece)).to_pylist(), order)
+                    ends = at[np.unique(_grams(points, at, order), return_index=True)[1]]
+                    tops.append(points[ends[:, None] + np.arange(1 - order, 1)])
+                top = np.concatenate(tops)
+                found = [""]
+                for k in range(order, 0, -1):  # grams, and below the highest order contexts of the next one too
+                    chars = top if k == order else np.concatenate((top[:, order - k :], top[:, order - k - 1 : -1]))
+                    chars = chars[np.unique(_hashes(list(chars.T)), return_index=True)[1]]
+                    found += _strings(chars)
+                    if k == order:
+                        top = chars
+                yield made(number, [name] * len(found), found, [None] * len(found))
+
+        def made(number: int, *columns: list) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(columns[0]), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["block", "lang", "gram", "packed"])
+
+        for batch in batches:
+            lengths = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:  # up to the row that fills the block
+                before = int(lengths[at - 1]) if at else 0
+                end = min(batch.num_rows, int(np.searchsorted(lengths, before + BLOCK - size)) + 1)
+                held.append(batch.slice(at, end - at))
+                size += int(lengths[end - 1]) - before
+                at = end
+                if size >= BLOCK:
+                    yield from block()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from block()
+
+    def answer(packed: pa.Table, told: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(packed.column("packed")[0].as_buffer()).read_all()
         size = pc.fill_null(pc.utf8_length(rows.column("text")), 0).to_numpy().astype(np.int64)
         out = np.full(len(size), np.nan)
         models = np.array(rows.column("model").to_pylist(), object)
@@ -258,9 +227,38 @@ def perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str
                 out[mine] = np.exp(-np.add.reduceat(logp[which], np.cumsum(size[mine]) - size[mine]) / size[mine])
         return pa.table({"key": rows.column("key"), "lang": rows.column("lang"), "n_chars": pa.array(size), "perplexity": pa.array(out, pa.float64(), from_pandas=True)})
 
-    asked = dealt.select("block", "model", "text").groupBy("block").applyInArrow(ask, "block long, lang string, gram string")
-    told = written(asked.join(model, ["lang", "gram"]), "found")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, f"key {fixed.schema['key'].dataType.simpleString()}, lang string, n_chars long, perplexity double")
+    with Scratch() as scratch:
+        asked = scratch.written(named.mapInArrow(ask, "block long, lang string, gram string, packed binary"), "asked")
+        told = asked.where("packed is null").select(F.col("block").alias("of"), "lang", "gram").join(model, ["lang", "gram"])
+        blocks = asked.where("packed is not null").select("block", "packed")
+        kind = fixed.schema["key"].dataType.simpleString()
+        return written(blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(answer, f"key {kind}, lang string, n_chars long, perplexity double"), "perplexity")
+
+
+def thresholds(trusted: DataFrame, by: str, quantile: float = QUANTILE) -> DataFrame:
+    """``by, m0, m1, s0, s1, z``: lines for the mean of the logarithm of perplexity over one through the length, and for its distance from that over one through the length's root, and the quantile of deviations so measured.
+
+    Short texts vary more; one rule holds at every length and for any number of texts. trusted: ``by``, n_chars, perplexity.
+    """
+    seen = trusted.select(by, "n_chars", F.log("perplexity").alias("y"), (1 / F.col("n_chars")).alias("x"), (1 / F.sqrt("n_chars")).alias("w"))
+    mean = seen.groupBy(by).agg(*_line("y", "x", "m"))
+    off = seen.join(_names(mean), by).withColumn("r", F.abs(F.col("y") - _mean(F.col("n_chars"))))
+    spread = mean.join(off.groupBy(by).agg(*_line("r", "w", "s")), by)
+    z = (F.col("y") - _mean(F.col("n_chars"))) / _spread(F.col("n_chars"))
+    return spread.join(seen.join(_names(spread), by).groupBy(by).agg(F.percentile_approx(z, quantile, 10_000).alias("z")), by)
+
+
+def _line(y: str, x: str, name: str) -> list:
+    slope = F.coalesce(F.regr_slope(F.col(y), F.col(x)), F.lit(0.0))
+    return [(F.avg(y) - slope * F.avg(x)).alias(f"{name}0"), slope.alias(f"{name}1")]
+
+
+def _mean(n):
+    return F.col("m0") + F.col("m1") / n
+
+
+def _spread(n):
+    return F.greatest(F.col("s0") + F.col("s1") / F.sqrt(n), F.lit(LEAST_SPREAD))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE) -> DataFrame:
@@ -270,21 +268,23 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     them, by a hash of the key, sets the thresholds and the rest the counts, as a model's own
     texts surprise it too little. Empty and null texts are not kept. A language without trusted texts is held to the threshold
     of all of them; without any trusted text all with text are kept. Repeated rows are
-    each judged; null keys are untrusted; other columns are left out.
+    each judged; null keys are untrusted; other columns are left out, whatever their names.
     """
     held = F.coalesce(F.crc32(F.col("key").cast("string")) % 3 == 1, F.lit(False))
     good = labels.where(F.col(label) == 1).select(F.col(key).alias("key")).where(F.col("key").isNotNull() & ~held).distinct()
     measure = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
     counted = good.where(~measure)
-    model = train(docs.join(counted.hint("merge"), docs[key] == counted["key"], "left_semi"), text, lang)  # labels grow with the documents, so they are never broadcast
-    scored = written(perplexity(docs, model, key, text, lang), "perplexity")
-    bucket = sum((F.when(F.col("n_chars") >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
-    scored = scored.withColumn("bucket", bucket)
+    fixed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    model = train(fixed.join(counted.hint("merge"), "key", "left_semi"))  # labels grow with the documents, so they are never broadcast
+    scored = perplexity(fixed, model, "key")
     trusted = scored.join(good.where(measure), "key", "left_semi").where("perplexity is not null")
-    limit = F.percentile_approx("perplexity", quantile, 10_000)
-    by_length = trusted.groupBy("lang", "bucket").agg(F.when(F.count("*") >= LEAST, limit).alias("own"))
-    by_lang = trusted.groupBy("lang").agg(limit.alias("lang_limit"))
-    pooled = trusted.agg(limit).first()[0]
-    told = scored.join(by_length, ["lang", "bucket"], "left").join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own", "lang_limit", F.lit(pooled).cast("double")))
+    limits = thresholds(trusted, "lang", quantile)
+    pooled = thresholds(trusted.withColumn("lang", F.lit(OTHER)), "lang", quantile).first()  # one row, or none
+    told = scored.join(_names(limits), "lang", "left")
+    for name in ("m0", "m1", "s0", "s1", "z"):
+        told = told.withColumn(name, F.coalesce(name, F.lit(pooled[name] if pooled else None).cast("double")))
+    n = F.col("n_chars")
+    threshold = F.when(n > 0, F.exp(_mean(n) + F.col("z") * _spread(n)))
+    told = told.withColumn("threshold", threshold)
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return told.select(F.col("key").alias(key), "lang", "perplexity", "threshold", held.alias("held_out"), keep.alias("keep"))
