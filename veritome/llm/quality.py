@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from veritome.llm.tables import Scratch, written
 
 #: Characters in a gram; about as many characters are in a block, and are sorted at once.
-GRAM, BLOCK, PIECE = 4, 16_000_000, 2_000_000
+GRAM, BLOCK, PIECE = 4, 32_000_000, 2_000_000
 #: Up to so many languages the table of them is broadcast.
 LANGUAGES = 10_000
+#: Up to so many bytes, counted first, the keys of the trusted texts are broadcast; more of them are joined by a shuffle.
+KEY_BYTES = 32 << 20
 #: Odd multiplier of the hash of a gram, which stands for it within a task; joins are by the grams themselves.
 FACTOR = 0x9E3779B97F4A7C15
 #: Quantile of the trusted texts' perplexity beyond which a text of that language is rejected.
@@ -275,7 +277,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     measure = F.pmod(F.xxhash64("key"), F.lit(4)) == 0
     counted = good.where(~measure)
     fixed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    model = train(fixed.join(counted.hint("merge"), "key", "left_semi"))  # labels grow with the documents, so they are never broadcast
+    size = counted.agg(F.sum(8 + F.octet_length(F.col("key").cast("string")))).first()[0] or 0
+    counted = F.broadcast(counted) if size <= KEY_BYTES else counted.hint("merge")
+    model = train(fixed.join(counted, "key", "left_semi"))
     scored = perplexity(fixed, model, "key")
     trusted = scored.join(good.where(measure), "key", "left_semi").where("perplexity is not null")
     limits = thresholds(trusted, "lang", quantile)
