@@ -230,7 +230,8 @@ def perplexity(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str
         return pa.table({"key": rows.column("key"), "lang": rows.column("lang"), "n_chars": pa.array(size), "perplexity": pa.array(out, pa.float64(), from_pandas=True)})
 
     with Scratch() as scratch:
-        asked = scratch.written(named.mapInArrow(ask, "block long, lang string, gram string, packed binary"), "asked")
+        buckets = min(100_000, 1 + 2 * (fixed.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK)
+        asked = scratch.bucketed(named.mapInArrow(ask, "block long, lang string, gram string, packed binary"), "asked", buckets, "block")
         told = asked.where("packed is null").select(F.col("block").alias("of"), "lang", "gram").join(model, ["lang", "gram"])
         blocks = asked.where("packed is not null").select("block", "packed")
         kind = fixed.schema["key"].dataType.simpleString()

@@ -53,6 +53,7 @@ class Scratch:
 
     def __init__(self) -> None:
         self.paths: list[str] = []
+        self.named: list[tuple[SparkSession, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -62,7 +63,19 @@ class Scratch:
         self.paths.append(path)
         return table
 
+    def bucketed(self, df: DataFrame, name: str, n: int, column: str) -> DataFrame:
+        """``df`` as a table in ``n`` buckets by a column: what is grouped or joined by it is read in place, without a shuffle."""
+        spark = df.sparkSession
+        path = new_path(spark, name)
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        self.paths.append(path)
+        self.named.append((spark, table))
+        df.write.bucketBy(n, column).option("path", path).saveAsTable(table)
+        return spark.table(table)
+
     def __exit__(self, *_: object) -> None:
+        for spark, table in self.named:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in self.paths:
             delete(path)
 
