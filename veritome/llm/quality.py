@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from veritome.llm.tables import Scratch, written
 
-#: Characters in a gram; about as many characters are in a block, and are sorted at once.
-GRAM, BLOCK, PIECE = 4, 32_000_000, 2_000_000
+#: Characters in a gram; about as many characters are in a block, are sorted at once, and are counted together in training.
+GRAM, BLOCK, PIECE, COUNTED = 4, 32_000_000, 500_000, 2_000_000
 #: Up to so many languages the table of them is broadcast.
 LANGUAGES = 10_000
 #: Up to so many bytes, counted first, the keys of the trusted texts are broadcast; more of them are joined by a shuffle.
@@ -102,7 +102,7 @@ def train(trusted: DataFrame, text: str = "text", lang: str = "lang", order: int
                 if one := x.as_py():
                     held.setdefault(name, []).append(one)
                     size += len(one)
-                if size >= PIECE:
+                if size >= COUNTED:
                     yield from flush()
                     size = 0
         yield from flush()
