@@ -9,6 +9,7 @@ logistic model over sums of these weights gives the score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,21 +23,24 @@ from pyspark.sql import functions as F
 FIT_ROWS = 12_000
 #: Terms in a lexicon, at most; those in most toxic texts first.
 MAX_TERMS = 5_000
-#: A term stands in at least this share of the toxic texts fitted on (and in two), and this share of the texts with it is toxic.
-SUPPORT, PRECISION = 0.01, 0.85
+#: Of the texts with a term this share is toxic, were there as many of either class.
+PRECISION = 0.85
 #: And its log-likelihood ratio, doubled, is at least this, or chance would fill the lexicon.
 EVIDENCE = 15.0
 STEM = range(3, 9)
 #: Words on either side that are the context of a hit, and what a quoted hit counts.
 WINDOW, QUOTED = 6, 0.3
-#: Terms at least this long match with one edit.
+#: Terms at least this long match with one edit; a stem's last letter stands as it is.
 FUZZY_LENGTH = 5
-KEPT_WORDS = 500_000
+#: Chunks between spaces that a worker remembers, none longer than LONGEST; chunks so long aren't taken for one word with signs in it either.
+KEPT_WORDS, LONGEST = 500_000, 64
 # Words that report speech.
 REPORTING = frozenset("said says wrote writes quoted quotes quote called calls term word words slur insult reported according sagte schrieb nannte zitat dit écrit citation dijo escribió cita".split())
 THRESHOLD = 0.7
 
 _letters = re.compile(r"[^\W\d_]+")
+#: A chunk without the signs around it.
+_core = re.compile(r"\w\S*\w")
 
 
 class Lexicon:
@@ -46,6 +50,7 @@ class Lexicon:
         self.root: dict = {}
         self.heads: set[str] = set()
         self.tails: set[str] = set()
+        self.middles: dict[tuple[int, int], set[str]] = {}  # second halves of stems, by their place and length
         for term, stem, weight in terms:
             node = self.root
             for c in term:
@@ -55,13 +60,20 @@ class Lexicon:
             self.heads.add(term if stem or len(term) < FUZZY_LENGTH else term[:half])
             if not stem and len(term) >= FUZZY_LENGTH:
                 self.tails.add(term[half:])
+            if stem and len(term) >= FUZZY_LENGTH:
+                self.heads.add(term[:half])
+                self.middles.setdefault((half, len(term) - half), set()).add(term[half:])
         self.head_lengths = sorted({len(x) for x in self.heads})
         self.tail_lengths = sorted({len(x) for x in self.tails})
 
     def find(self, word: str) -> tuple[float, float]:
         """Largest weight of a term that ``word`` is, and of one that it is but for one edit; 0 where there is none."""
-        # with one edit at most, a term's first half begins the word or its second half ends it
-        if not (any(word[:n] in self.heads for n in self.head_lengths) or any(word[-n:] in self.tails for n in self.tail_lengths)):
+        # with one edit at most, a term's first half begins the word, or its second half ends it or, of a stem, stands about its place
+        if not (
+            any(word[:n] in self.heads for n in self.head_lengths)
+            or any(word[-n:] in self.tails for n in self.tail_lengths)
+            or any(word[at + d : at + d + n] in found for (at, n), found in self.middles.items() for d in (-1, 0, 1))
+        ):
             return 0.0, 0.0
         bits: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -85,6 +97,8 @@ class Lexicon:
                     near = max(near, child["word"])
                 if none2 and "stem" in child:
                     exact = max(exact, child["stem"])
+                elif one & at and "stem" in child and depth + 1 >= FUZZY_LENGTH:
+                    near = max(near, child["stem"])
                 stack.append((child, none2, one2, depth + 1))
         return exact, near
 
@@ -101,7 +115,15 @@ class Scanner(dict):
         for word in _letters.findall(chunk.casefold()):
             a, b = self.lexicon.find(word)
             exact, near = max(exact, a), max(near, b)
-        self[chunk] = found = (exact, near) if exact or near else None
+        found = None
+        if len(chunk) <= LONGEST:
+            core = _core.search(chunk.casefold())
+            if core and not core[0].isalpha():  # a digit or sign in place of a letter, or between letters, is an edit
+                near = max(near, *self.lexicon.find(core[0]))
+        if exact or near:
+            found = exact, near
+        if len(chunk) <= LONGEST:
+            self[chunk] = found
         return found
 
     def features(self, text: str) -> list[float]:
@@ -187,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
     if not n_toxic or not n_clean:
         return Model([], [-30.0, 0.0, 0.0, 0.0, 0.0])
-    least = max(2, round(SUPPORT * n_toxic))
+    least = max(2, math.ceil(EVIDENCE / (2 * math.log((n_toxic + n_clean) / n_toxic))))  # fewer can't carry the evidence
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
