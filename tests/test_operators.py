@@ -272,3 +272,14 @@ def test_tar_frames(spark):
 def test_null_keys_stay_in_bounded_lists(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), (None, 3), (None, 5), (None, 4)], "k string, m int")
     assert rows(relational.bounded_members(df, ["k"], "m", 2)) == [("a", 2, [1, 2], False), (None, 3, [3, 4], True)]
+
+
+def test_archives_that_look_harmless_are_rejected(spark):
+    from veritome.operators import planning
+
+    listed = [
+        ("bomb", 1, "a", 1000, 0, "REGULAR_FILE"), ("blind", 1, "a", 10, None, "REGULAR_FILE"), ("parent", 1, "A", 1, 1, "REGULAR_FILE"), ("parent", 2, "a/b", 1, 1, "REGULAR_FILE"), ("child", 1, "a/b", 1, 1, "DIRECTORY"), ("child", 2, "a", 1, 1, "REGULAR_FILE"),
+        ("folder", 1, "a", 0, 0, "DIRECTORY"), ("folder", 2, "a/b", 5, 5, "REGULAR_FILE"), ("device", 1, "x/nul.txt", 1, 1, "REGULAR_FILE"), ("first", 1, "x", -1, 1, "REGULAR_FILE"), ("first", 2, "..", 1, 1, "REGULAR_FILE"),
+    ] + [("many", i, str(i), 1, 1, "REGULAR_FILE") for i in range(10_001)]
+    got = {r.archive_id: r.violation for r in planning.archive_safety(spark.createDataFrame(listed, "archive_id string, ordinal long, path string, size long, packed long, kind string")).collect()}
+    assert got == {"bomb": "COMPRESSION_RATIO_LIMIT", "blind": "UNKNOWN_SIZE", "parent": "PARENT_CHILD_CONFLICT", "child": "PARENT_CHILD_CONFLICT", "folder": None, "device": "PATH_INVALID", "first": "NEGATIVE_SIZE", "many": "MEMBER_COUNT_LIMIT"}

@@ -22,7 +22,7 @@ SIGNATURES = (
     ("28B52FFD", "ZSTD"),
 )
 # MARC relator codes.
-MARC_ROLES = (("aut", "author"), ("edt", "editor"), ("trl", "translator"), ("ill", "illustrator"), ("ctb", "contributor"), ("nrt", "narrator"))
+MARC_ROLES = (("aut", "author"), ("bkp", "book_producer"), ("ctb", "contributor"), ("edt", "editor"), ("ill", "illustrator"), ("nrt", "narrator"), ("oth", "other"), ("trl", "translator"))
 
 
 def file_suffix(path: Column) -> Column:
@@ -108,8 +108,9 @@ def identifier_namespace(value: Column) -> Column:
 
 
 def marc_role(code: Column) -> Column:
+    """The role that a relator code names, blanks and case aside; null for an unknown one."""
     found = F.create_map(*(F.lit(x) for pair in MARC_ROLES for x in pair))
-    return F.coalesce(F.element_at(found, F.lower(code)), F.lit("other"))
+    return F.element_at(found, F.lower(F.trim(code)))
 
 
 def guard_cell(value: Column) -> Column:

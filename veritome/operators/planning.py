@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits of an archive that is accepted, and sidecar kinds by file name.
 MEMBERS, TOTAL_BYTES, MEMBER_BYTES, RATIO = 10_000, 8 << 30, 2 << 30, 1000
+PATH_CHARACTERS, PATH_BYTES, PATH_PARTS, NAME_CHARACTERS = 1024, 4096, 128, 1024
+SIDECAR_NAMES = (("readme read.me", "README"), ("password passwort pass pw", "PASSWORD"))
 SIDECARS = (("nfo", "NFO"), ("txt", "TEXT"), ("diz", "DIZ"), ("info", "INFO"), ("url", "URL"), ("html", "HTML"), ("htm", "HTML"), ("sfv", "SFV"))
 
+# Names of devices.
+DEVICES = ("CON", "PRN", "AUX", "NUL", "CONIN$", "CONOUT$", *(f"{x}{i}" for x in ("COM", "LPT") for i in range(1, 10)))
+
 
 def library_findings(files: DataFrame, records: DataFrame, formats: DataFrame) -> DataFrame:
     """``code, subject_id``: files without a record, records without a file, records that share contents, and records of several formats.
@@ -46,34 +51,57 @@ def volume_sets(names: DataFrame) -> DataFrame:
     return grouped.select("parent", "stem", "scheme", "volumes", gaps.cast("int").alias("missing"), finding.alias("finding"))
 
 
+def safe_locator(path: Column) -> Column:
+    """A member's path is relative, of bounded length and depth, without control characters, colons, backslashes, empty, ``.`` or ``..`` parts, parts that end with a dot or space, or device names."""
+    parts = F.split(path, "/")
+    bad = F.exists(parts, lambda x: x.isin("", ".", "..") | x.rlike("[. ]$") | F.upper(F.substring_index(x, ".", 1)).isin(*DEVICES))
+    return (F.length(path) <= PATH_CHARACTERS) & (F.octet_length(path) <= PATH_BYTES) & ~path.rlike(r"[\x00-\x1F\x7F:\\\\]") & (F.size(parts) <= PATH_PARTS) & ~bad
+
+
 def archive_safety(members: DataFrame) -> DataFrame:
-    """``archive_id, violation``: the first rule that an archive's listing breaks, null if none.
+    """``archive_id, violation``: the first rule that an archive's listing breaks, member by member in its order; null if none.
 
-    members: archive_id, path, size, packed, kind.
+    members: archive_id, ordinal, path, size, packed, kind; and, if there, nested (an archive itself) and special (sparse, streams, rights).
+    Paths are equal whatever their case. An archive with too many members is settled by their count, so no window holds more than MEMBERS rows.
     """
-    bad_path = (F.col("path") == "") | F.col("path").rlike(r"^/|^[A-Za-z]:|\\|(^|/)\.\.?(/|$)|\x00")
-    counted = members.groupBy("archive_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("size").isNull()).alias("unknown"), F.count_if(F.col("size") < 0).alias("negative"), F.max("size").alias("largest"),
-        F.sum(F.coalesce("size", F.lit(0))).alias("total"), F.sum(F.coalesce("packed", F.lit(0))).alias("packed"), F.count_if(bad_path).alias("paths"),
-        F.count_if(~F.col("kind").isin("REGULAR_FILE", "DIRECTORY")).alias("kinds"), F.countDistinct(F.lower("path")).alias("different"),
-    )
+    for name in ("nested", "special"):
+        if name not in members.columns:
+            members = members.withColumn(name, F.lit(False))
+    counts = members.groupBy("archive_id").agg(F.count("*").alias("n"))
+    large = counts.where(F.col("n") > MEMBERS).select("archive_id", F.lit("MEMBER_COUNT_LIMIT").alias("violation"))
+    rows = members.join(large.select("archive_id"), "archive_id", "left_anti").withColumn("key", F.lower("path"))
+    in_order = Window.partitionBy("archive_id").orderBy("ordinal")
+    before = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("total", F.sum("size").over(before)).withColumn("all_packed", F.sum("packed").over(before)).withColumn("again", F.row_number().over(Window.partitionBy("archive_id", "key").orderBy("ordinal")) > 1)
+    # a file and something below its path: the later of the two breaks the rule
+    parts = F.split("key", "/")
+    above = rows.where("size(split(key, '/')) > 1").select("archive_id", F.col("ordinal").alias("below"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("key"))
+    conflicts = rows.where("kind = 'REGULAR_FILE'").select("archive_id", "key", "ordinal").join(above, ["archive_id", "key"]).groupBy("archive_id", F.greatest("ordinal", "below").alias("ordinal")).agg(F.lit(True).alias("conflict"))
+    rows = rows.join(conflicts, ["archive_id", "ordinal"], "left")
+
+    def ratio(size: str, packed: str) -> Column:
+        return (F.col(size) > 0) & (F.col(size) > F.col(packed) * RATIO)
+
     rules = (
-        (F.col("n") > MEMBERS, "MEMBER_COUNT_LIMIT"), (F.col("unknown") > 0, "UNKNOWN_SIZE"), (F.col("negative") > 0, "NEGATIVE_SIZE"), (F.col("largest") > MEMBER_BYTES, "MEMBER_SIZE_LIMIT"),
-        (F.col("total") > TOTAL_BYTES, "TOTAL_UNCOMPRESSED_LIMIT"), ((F.col("packed") > 0) & (F.col("total") > RATIO * F.col("packed")), "COMPRESSION_RATIO_LIMIT"), (F.col("paths") > 0, "PATH_INVALID"),
-        (F.col("different") < F.col("n"), "PATH_COLLISION"), (F.col("kinds") > 0, "MEMBER_KIND_REJECTED"),
+        (~F.col("kind").isin("REGULAR_FILE", "DIRECTORY"), "MEMBER_KIND_REJECTED"), (~F.coalesce(safe_locator(F.col("path")), F.lit(False)), "PATH_INVALID"), (F.col("size").isNull() | F.col("packed").isNull(), "UNKNOWN_SIZE"),
+        ((F.col("size") < 0) | (F.col("packed") < 0), "NEGATIVE_SIZE"), (F.col("size") > MEMBER_BYTES, "MEMBER_SIZE_LIMIT"), (ratio("size", "packed"), "COMPRESSION_RATIO_LIMIT"), (F.col("nested"), "NESTED_ARCHIVE_REJECTED"), (F.col("special"), "METADATA_REJECTED"),
+        (F.col("total") > TOTAL_BYTES, "TOTAL_UNCOMPRESSED_LIMIT"), (ratio("total", "all_packed"), "COMPRESSION_RATIO_LIMIT"), (F.col("again"), "PATH_COLLISION"), (F.col("conflict"), "PARENT_CHILD_CONFLICT"),
     )
     first = F.lit(None).cast("string")
     for condition, name in reversed(rules):
         first = F.when(condition, F.lit(name)).otherwise(first)
-    return counted.select("archive_id", first.alias("violation"))
+    told = rows.withColumn("violation", first).groupBy("archive_id").agg(F.min_by("violation", F.when(F.col("violation").isNotNull(), F.col("ordinal"))).alias("violation"))
+    return told.unionByName(large)
 
 
 def sidecars(files: DataFrame) -> DataFrame:
-    """``parent, name, kind`` of files that describe an archive beside them."""
+    """``parent, name, kind`` of files that describe an archive beside them: by whole name, else by suffix."""
     low = F.lower("name")
-    kind = F.when(low.rlike(r"^read[ _-]?me(\.|$)"), F.lit("README")).when(low.rlike("passw(or)?d"), F.lit("PASSWORD"))
-    for suffix, name in SIDECARS:
-        kind = kind.when(low.endswith(f".{suffix}"), F.lit(name))
+    kind = F.when((F.length("name") > NAME_CHARACTERS) | F.col("name").rlike(r"[\x00-\x1F\x7F/:\\\\]"), F.lit(None).cast("string"))
+    for names, found in SIDECAR_NAMES:
+        kind = kind.when(low.isin(*names.split()), F.lit(found))
+    for suffix, found in SIDECARS:
+        kind = kind.when(low.endswith(f".{suffix}"), F.lit(found))
     return files.withColumn("kind", kind).where("kind is not null")
 
 
@@ -111,7 +139,7 @@ def verification(checks: DataFrame) -> DataFrame:
 def archive_plan(files: DataFrame, k: int) -> DataFrame:
     """The first ``k`` archives of each parent in order of name, with their place."""
     n = F.row_number().over(Window.partitionBy("parent").orderBy("name"))
-    return files.withColumn("ordinal", n - 1).where(F.col("ordinal") < k)
+    return files.withColumn("n", n).where(F.col("n") <= k).withColumn("ordinal", F.col("n") - 1).drop("n")  # a filter on the number itself is cut to k rows a task before the shuffle
 
 
 def sidecar_inventory(archives: DataFrame, files: DataFrame, most: int = 32) -> DataFrame:

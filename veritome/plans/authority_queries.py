@@ -37,9 +37,9 @@ def path_evidence(spark, d):
     return authority.path_evidence(observations(spark, d), "file_id", "relative_path").select("file_id", "source", "value", F.round(F.col("confidence") * 1000).cast("int").alias("permille"))
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'author' WHEN 1 THEN 'editor' WHEN 2 THEN 'translator' ELSE 'other' END AS role FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'author' WHEN 1 THEN 'editor' WHEN 2 THEN 'translator' WHEN 3 THEN 'book_producer' WHEN 4 THEN 'other' END AS role FROM supplier")
 def contributor_roles(spark, d):
-    code = F.element_at(F.array(*(F.lit(x) for x in ("AUT", "edt", "trl", "zzz"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    code = F.element_at(F.array(*(F.lit(x) for x in ("AUT", "edt", "trl ", "bkp", "oth", "zzz"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
     return table(spark, d, "supplier").select("s_suppkey", marc_role(code).alias("role"))
 
 

@@ -140,18 +140,28 @@ def volume_sets(spark, d):
     return planning.volume_sets(table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent"), name.alias("name")))
 
 
-@query("""WITH m AS (SELECT l_orderkey AS archive_id, CASE WHEN l_partkey % 50 = 0 THEN '../x' ELSE 'F' || cast(l_linenumber AS VARCHAR) END AS path, CASE WHEN l_partkey % 40 = 1 THEN NULL ELSE l_suppkey * 100 END AS size, l_suppkey % 7 AS packed, CASE WHEN l_suppkey % 30 = 0 THEN 'SYMLINK' ELSE 'REGULAR_FILE' END AS kind FROM lineitem),
-g AS (SELECT archive_id, count(*) AS n, count(*) FILTER (size IS NULL) AS u, sum(coalesce(size, 0)) AS t, sum(packed) AS p, count(*) FILTER (path = '../x') AS bad, count(*) FILTER (kind = 'SYMLINK') AS k, count(DISTINCT lower(path)) AS dp FROM m GROUP BY 1)
-SELECT archive_id, coalesce(CASE WHEN u > 0 THEN 'UNKNOWN_SIZE' WHEN p > 0 AND t > 1000 * p THEN 'COMPRESSION_RATIO_LIMIT' WHEN bad > 0 THEN 'PATH_INVALID' WHEN dp < n THEN 'PATH_COLLISION' WHEN k > 0 THEN 'MEMBER_KIND_REJECTED' END, 'ACCEPTED') AS violation FROM g""")
+@query("""WITH m AS (SELECT l_orderkey AS archive_id, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS ordinal, CASE WHEN l_partkey % 50 = 0 THEN '../x' WHEN l_partkey % 31 = 0 THEN 'f1/Sub' WHEN l_partkey % 29 = 0 THEN 'F' || cast(l_linenumber % 2 AS VARCHAR) WHEN l_partkey % 61 = 0 THEN 'a/nul.txt' WHEN l_partkey % 67 = 0 THEN 'a./b' ELSE 'F' || cast(l_linenumber AS VARCHAR) END AS path,
+CASE WHEN l_partkey % 80 = 1 THEN NULL WHEN l_partkey % 83 = 2 THEN -1 WHEN l_partkey % 89 = 3 THEN 3000000000 ELSE (l_suppkey % 40) * 100 END AS size, CASE WHEN l_partkey % 97 = 5 THEN NULL WHEN l_partkey % 89 = 3 THEN 3000000000 ELSE l_suppkey % 40 * (CASE WHEN l_suppkey % 23 = 0 THEN 0 ELSE 1 END) END AS packed, CASE WHEN l_suppkey % 30 = 0 THEN 'SYMLINK' WHEN l_suppkey % 9 = 0 THEN 'DIRECTORY' ELSE 'REGULAR_FILE' END AS kind FROM lineitem),
+r AS (SELECT *, sum(size) OVER w AS total, sum(packed) OVER w AS all_packed, row_number() OVER (PARTITION BY archive_id, lower(path) ORDER BY ordinal) > 1 AS again FROM m WINDOW w AS (PARTITION BY archive_id ORDER BY ordinal)),
+v AS (SELECT archive_id, ordinal, CASE WHEN kind = 'SYMLINK' THEN 'MEMBER_KIND_REJECTED' WHEN path IN ('../x', 'a/nul.txt', 'a./b') THEN 'PATH_INVALID' WHEN size IS NULL OR packed IS NULL THEN 'UNKNOWN_SIZE' WHEN size < 0 OR packed < 0 THEN 'NEGATIVE_SIZE' WHEN size > 2147483648 THEN 'MEMBER_SIZE_LIMIT'
+WHEN size > 0 AND packed = 0 THEN 'COMPRESSION_RATIO_LIMIT' WHEN packed > 0 AND size > 1000 * packed THEN 'COMPRESSION_RATIO_LIMIT' WHEN total > 8589934592 THEN 'TOTAL_UNCOMPRESSED_LIMIT' WHEN total > 0 AND all_packed = 0 THEN 'COMPRESSION_RATIO_LIMIT' WHEN all_packed > 0 AND total > 1000 * all_packed THEN 'COMPRESSION_RATIO_LIMIT' WHEN again THEN 'PATH_COLLISION'
+WHEN EXISTS (SELECT 1 FROM m o WHERE o.archive_id = r.archive_id AND o.ordinal < r.ordinal AND ((o.kind = 'REGULAR_FILE' AND starts_with(lower(r.path), lower(o.path) || '/')) OR (r.kind = 'REGULAR_FILE' AND starts_with(lower(o.path), lower(r.path) || '/')))) THEN 'PARENT_CHILD_CONFLICT' END AS violation FROM r)
+SELECT archive_id, coalesce(arg_min(violation, ordinal) FILTER (violation IS NOT NULL), 'ACCEPTED') AS violation FROM v GROUP BY 1""")
 def archive_safety(spark, d):
-    i, s = F.col("l_partkey"), F.col("l_suppkey")
-    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive_id"), F.when(i % 50 == 0, "../x").otherwise(F.concat(F.lit("F"), F.col("l_linenumber").cast("string"))).alias("path"), F.when(i % 40 != 1, s * 100).alias("size"), (s % 7).alias("packed"), F.when(s % 30 == 0, "SYMLINK").otherwise("REGULAR_FILE").alias("kind"))
+    i, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    path = F.when(i % 50 == 0, "../x").when(i % 31 == 0, "f1/Sub").when(i % 29 == 0, F.concat(F.lit("F"), (n % 2).cast("string"))).when(i % 61 == 0, "a/nul.txt").when(i % 67 == 0, "a./b").otherwise(F.concat(F.lit("F"), n.cast("string")))
+    size = F.when(i % 80 == 1, F.lit(None)).when(i % 83 == 2, -1).when(i % 89 == 3, 3_000_000_000).otherwise((s % 40) * 100)
+    packed = F.when(i % 97 == 5, F.lit(None)).when(i % 89 == 3, 3_000_000_000).otherwise(F.when(s % 23 == 0, 0).otherwise(s % 40))
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive_id"), (n.cast("long") * 1_000_000_000 + i * 10_000 + s).alias("ordinal"), path.alias("path"), size.cast("long").alias("size"), packed.cast("long").alias("packed"), F.when(s % 30 == 0, "SYMLINK").when(s % 9 == 0, "DIRECTORY").otherwise("REGULAR_FILE").alias("kind"))
     return planning.archive_safety(m).select("archive_id", F.coalesce("violation", F.lit("ACCEPTED")).alias("violation"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'README' WHEN 1 THEN 'NFO' WHEN 2 THEN 'PASSWORD' WHEN 3 THEN 'HTML' WHEN 4 THEN 'SFV' END AS kind FROM part WHERE p_partkey % 6 <> 5")
+_NAMES = (("ReadMe", "README"), ("READ.ME", "README"), ("Passwort", "PASSWORD"), ("pw", "PASSWORD"), ("Readme.TXT", "TEXT"), ("a.NFO", "NFO"), ("i.htm", "HTML"), ("x.sfv", "SFV"), ("d.diz", "DIZ"), ("lost-passwords-book.epub", None), ("a:b.txt", None), ("txt", None), ("pass", "PASSWORD"))
+
+
+@query("SELECT p_partkey, kind FROM part JOIN (VALUES " + ", ".join(f"({i}, '{kind}')" for i, (_, kind) in enumerate(_NAMES) if kind) + f") AS k (i, kind) ON p_partkey % {len(_NAMES)} = i")
 def sidecar_kinds(spark, d):
-    name = F.element_at(F.array(*(F.lit(x) for x in ("ReadMe.txt", "a.NFO", "the password.txt", "i.htm", "x.sfv", "book.epub"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*(F.lit(x) for x, _ in _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
     return planning.sidecars(table(spark, d, "part").select("p_partkey", F.lit("p").alias("parent"), name.alias("name"))).select("p_partkey", "kind")
 
 
