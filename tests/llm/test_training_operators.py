@@ -558,48 +558,6 @@ def test_automaton_finds_words_stems_and_one_edit():
     assert {w: lexicon.find(w) for w in edits} == edits
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        new = [i]
-        for j, d in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-        row = new
-    return row[-1]
-
-
-def test_automaton_agrees_with_the_table_of_edits():
-    from veritome.llm.toxicity import FUZZY_LENGTH, Lexicon
-
-    rng = random.Random(2)
-    for _ in range(300):
-        term = "".join(rng.choice("abc") for _ in range(rng.randint(3, 8)))
-        stem = rng.random() < 0.5
-        lexicon = Lexicon([(term, stem, 1.0)])
-        for _ in range(30):
-            word = list(term) + [rng.choice("abc") for _ in range(rng.choice((0, 0, 1, 3)))]
-            for _ in range(rng.randint(0, 2)):
-                i = rng.randrange(len(word))
-                word[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
-            word = "".join(word)
-            if stem:
-                exact = word.startswith(term)
-                near = len(term) >= FUZZY_LENGTH and any(word[n - 1] == term[-1] and edits(term[:-1], word[: n - 1]) <= 1 for n in range(1, len(word) + 1))
-            else:
-                exact = word == term
-                near = len(term) >= FUZZY_LENGTH and edits(term, word) <= 1
-            assert lexicon.find(word) == ((1.0, 0.0) if exact and not stem else (1.0, lexicon.find(word)[1]) if exact else (0.0, float(near))), (term, stem, word)
-
-
-def test_misspelt_stems_and_signs_inside_words():
-    from veritome.llm.toxicity import LONGEST, Lexicon, Scanner
-
-    scan = Scanner(Lexicon([("idiot", False, 2.0), ("morono", True, 3.0)]))
-    found = {w: scan[w] for w in ("id1ot", "*1diot!", "id*iot", "mor*nofest", "mrnonofest", "marono", "idiot,", "x" * 100, "you-idiot", "moron")}
-    assert found == {"id1ot": (0, 2.0), "*1diot!": (0, 2.0), "id*iot": (0, 2.0), "mor*nofest": (0, 3.0), "mrnonofest": None, "marono": (0, 3.0), "idiot,": (2.0, 0), "x" * 100: None, "you-idiot": (2.0, 0), "moron": None}
-    assert max(map(len, scan)) <= LONGEST
-
-
 def test_quotation_counts_less():
     from veritome.llm.toxicity import Lexicon, Scanner
 
