@@ -118,7 +118,7 @@ def test_match_pairs_links_every_copy_of_a_large_group(spark, tmp_path):
 
     copies = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"), F.lit(8).alias("n_chars"))
     copies.write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(tuple(r) for r in match_pairs(spark, str(tmp_path)).collect()) == [(0, i, "FILE_SHA256") for i in range(1, 300)]
+    assert sorted(tuple(r) for r in match_pairs(spark, str(tmp_path)).collect()) == [(0, i, "FILE_SHA256,TEXT_FINGERPRINT") for i in range(1, 300)]
 
 
 def test_score_without_features_present_is_zero(spark):

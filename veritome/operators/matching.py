@@ -54,16 +54,17 @@ def blocks(evidence: DataFrame, pairwise: int = PAIRWISE, members: int = MEMBERS
 
 
 def pairs(made: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """Pairs to compare: a star around the representative of an exact group, all of a READY identity block; each pair once.
+    """Pairs to compare, each once: all of a READY identity block, and a star around the least member of an exact group or of an identity block too large for all its pairs.
 
-    With the ``evidence`` of the blocks a star has all members of its group, else those that the block lists.
+    With the ``evidence`` of the blocks a star has all members of its block, else those that the block lists.
     """
+    large = made.where("status = 'EXACT_GROUP' OR (status = 'SECONDARY_REQUIRED' AND strength = 'IDENTITY_CAPABLE')")
     if evidence is None:
-        star = made.where("status = 'EXACT_GROUP'").select("block_type", "block_key", F.col("representative").alias("left_id"), F.explode("members").alias("right_id")).where("left_id < right_id")
+        star = large.select("block_type", "block_key", F.element_at("members", 1).alias("left_id"), F.explode("members").alias("right_id")).where("left_id < right_id")
     else:
-        exact = evidence.where("block_type = 'FILE_SHA256' AND block_key IS NOT NULL").select("block_type", "block_key", F.col("member_id").alias("right_id"))
-        least = exact.groupBy("block_type", "block_key").agg(F.min("right_id").alias("left_id"))
-        star = exact.join(least, ["block_type", "block_key"]).select("block_type", "block_key", "left_id", "right_id").where("left_id < right_id")
+        # the least member comes with the keys of large blocks; rows are joined by key, so AQE may split a hot one
+        least = large.select("block_type", "block_key", F.element_at("members", 1).alias("left_id"))
+        star = evidence.select("block_type", "block_key", F.col("member_id").alias("right_id")).join(least, ["block_type", "block_key"]).select("block_type", "block_key", "left_id", "right_id").where("left_id < right_id")
     ready = made.where("status = 'READY' AND strength = 'IDENTITY_CAPABLE'")
     both = ready.select("block_type", "block_key", "members", F.posexplode("members").alias("at", "left_id"))
     every = both.select("block_type", "block_key", "left_id", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("right_id"))

@@ -44,7 +44,9 @@ def volume_sets(names: DataFrame) -> DataFrame:
     number = F.regexp_extract(low, r"(?:\.part([0-9]+)\.rar|\.(?:7z|zip)\.([0-9]{3})|\.r([0-9]{2}))$", 0)
     digits = F.regexp_extract(F.regexp_replace(number, r"^\.7z|\.rar$", ""), "([0-9]+)$", 1)
     volumes = names.select("parent", stem.alias("stem"), scheme.alias("scheme"), digits.cast("int").alias("volume")).where("scheme is not null")
-    grouped = volumes.groupBy("parent", "stem", "scheme").agg(F.count("*").alias("volumes"), F.countDistinct("volume").alias("numbers"), F.min("volume").alias("first"), F.max("volume").alias("last"))
+    # numbers first, then sets: a distinct count beside others would expand every row
+    each = volumes.groupBy("parent", "stem", "scheme", "volume").agg(F.count("*").alias("n"))
+    grouped = each.groupBy("parent", "stem", "scheme").agg(F.sum("n").alias("volumes"), F.count("volume").alias("numbers"), F.max("volume").alias("last"))
     base = F.when(F.col("scheme") == "RAR_OLD", 0).otherwise(1)
     gaps = F.col("last") - base + 1 - F.col("numbers")
     finding = F.when(F.col("volumes") > F.col("numbers"), F.lit("NAME_COLLISION")).when(gaps > 0, F.lit("MISSING_VOLUME")).otherwise(F.lit("COMPLETE"))
@@ -146,9 +148,11 @@ def sidecar_inventory(archives: DataFrame, files: DataFrame, most: int = 32) ->
     """``archive_path, name, kind`` of sidecars directly beside each archive, at most ``most`` in order of name; ``n_sidecars`` counts all."""
     beside = files.withColumn("parent", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     found = sidecars(beside.select("parent", "name"))
-    joined = archives.select(F.col("path").alias("archive_path"), F.regexp_replace("path", "/?[^/]*$", "").alias("parent")).join(found, "parent")
-    w = Window.partitionBy("archive_path")
-    return joined.withColumn("n", F.row_number().over(w.orderBy("name"))).withColumn("n_sidecars", F.count("*").over(w)).where(F.col("n") <= most).select("archive_path", "name", "kind", "n_sidecars")
+    # a folder's sidecars are counted and cut once, whatever the number of archives beside them
+    counts = found.groupBy("parent").agg(F.count("*").alias("n_sidecars"))
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("name"))).where(F.col("n") <= most).drop("n").join(counts, "parent")
+    places = archives.select(F.col("path").alias("archive_path"), F.regexp_replace("path", "/?[^/]*$", "").alias("parent")).distinct()
+    return places.join(first, "parent").select("archive_path", "name", "kind", "n_sidecars")
 
 
 def archive_dependencies(files: DataFrame, sources: DataFrame, members: DataFrame) -> DataFrame:

@@ -122,10 +122,17 @@ def create_or_get(existing: DataFrame, wanted: DataFrame, key: Sequence[str], di
     return kept.drop("before__")
 
 
-def ordered_digest(rows: DataFrame, order: Sequence[str], buckets: int = 256) -> DataFrame:
-    """One digest over all rows in order whatever their partitioning: of row digests by bucket, then of the buckets."""
+def ordered_digest(rows: DataFrame, order: Sequence[str], bits: Sequence[int] = (24, 12, 0)) -> DataFrame:
+    """One digest over all rows whatever their partitioning: a tree of digests by the leading ``bits`` of the key's hash, each node over its parts in order.
+
+    With 16 million leaves a leaf holds some 60,000 rows of 10^12, and a node 4,096 parts at most. The digest of no rows is that of an empty text.
+    """
     row = F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns))), {"ignoreNullFields": "false"}), 256)
     key = F.to_json(F.struct(*order))
-    by = rows.select(key.alias("k"), row.alias("d")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)))
-    bucket = by.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
-    return bucket.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    level = rows.select(key.alias("k"), row.alias("d")).withColumn("h", F.shiftrightunsigned(F.xxhash64("k"), 64 - bits[0]))
+    for here, above in zip(bits, (*bits[1:], None)):
+        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d")
+        if above is None:
+            return level.agg(whole).select(F.col("d").alias("digest"))
+        level = level.groupBy("h").agg(whole).select(F.format_string("%08x", "h").alias("k"), "d", F.shiftrightunsigned("h", here - above).alias("h"))
+    raise ValueError("bits must not be empty")

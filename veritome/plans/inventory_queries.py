@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritome.functions.scalars import book_format, is_book
+from veritome.functions.scalars import book_format, is_book, quick_fingerprint
 from veritome.functions.unicode import normal_text
 from veritome.operators import inventory, relational
-from veritome.plans.registry import OBS, observations, query, table
+from veritome.plans.registry import OBS, QUICK, observations, query, table
 
 _GROUPS = f"""WITH {OBS}, g AS (
   SELECT sha, count(*) AS member_count, cast(sum(size_bytes) AS BIGINT) AS total_bytes, greatest(0, cast(sum(size_bytes) - max(size_bytes) AS BIGINT)) AS redundant_bytes,
@@ -70,14 +70,15 @@ def inventory_totals(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("files"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("n_chars") < 0, F.col("n_chars"))), F.lit(0)).alias("negative"))
 
 
-_QUICK = f"""WITH {OBS}, q AS (SELECT file_id AS target_id, sha256(substr(text, 1, 64) || cast(size_bytes AS VARCHAR)) AS value FROM obs UNION ALL SELECT file_id, sha256('other' || sha) FROM obs WHERE file_id % 17 = 0),
+_QUICK = f"""WITH {OBS}, q AS (SELECT file_id AS target_id, {QUICK} AS value FROM obs UNION ALL SELECT file_id, sha256('other' || sha) FROM obs WHERE file_id % 17 = 0),
 a AS (SELECT target_id, min(value) AS value FROM q GROUP BY 1 HAVING count(DISTINCT value) = 1)
 """
 
 
 def _quick(spark, d):
     o = observations(spark, d)
-    one = o.select(F.col("file_id").alias("target_id"), F.sha2(F.concat(F.substring("text", 1, 64), F.col("size_bytes").cast("string")), 256).alias("value"))
+    content = F.encode("text", "UTF-8")
+    one = o.select(F.col("file_id").alias("target_id"), quick_fingerprint(content, F.octet_length(content)).alias("value"))
     return one.unionByName(o.where("file_id % 17 = 0").select(F.col("file_id").alias("target_id"), F.sha2(F.concat(F.lit("other"), "sha"), 256).alias("value")))
 
 

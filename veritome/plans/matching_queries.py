@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritome.functions.scalars import book_format
+from veritome.functions.scalars import book_format, quick_fingerprint
 from veritome.operators import evidence, incremental, matching
-from veritome.plans.registry import OBS, observations, query, table
+from veritome.plans.registry import OBS, QUICK, observations, query, table
 
 _SCAN = f"""WITH {OBS}, old AS (SELECT relative_path AS p, size_bytes + CASE WHEN file_id % 9 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN file_id % 8 = 0 THEN 'MISSING' ELSE 'PRESENT' END AS presence, CASE WHEN file_id % 8 = 0 THEN 2 ELSE 0 END AS misses, CASE WHEN file_id % 16 = 0 THEN TIMESTAMP '2024-01-01' WHEN file_id % 8 = 0 THEN TIMESTAMP '2024-01-09 12:00:00' END AS since FROM obs WHERE file_id % 10 <> 0),
 new AS (SELECT relative_path AS p, size_bytes AS size FROM obs WHERE file_id % 11 <> 0 AND file_id % 24 <> 8 AND file_id % 16 <> 0)
@@ -33,18 +33,18 @@ def incremental_scan(spark, d):
     return incremental.reconcile(_records(spark, d), _found(spark, d), now).select("relative_path", "presence_state", F.col("misses").cast("int").alias("misses"), F.coalesce("change_state", F.lit("NONE")).alias("change_state"))
 
 
-@query(f"""WITH {OBS}, f AS (SELECT file_id, 'FILE_SHA256' AS kind, 2 AS rank, sha AS value FROM obs WHERE file_id % 3 <> 0 UNION ALL SELECT file_id, 'QUICK_FILE', 1, sha256(substr(text, 1, 64)) FROM obs),
+@query(f"""WITH {OBS}, f AS (SELECT file_id, 'FILE_SHA256' AS kind, 2 AS rank, sha AS value FROM obs WHERE file_id % 3 <> 0 UNION ALL SELECT file_id, 'QUICK_FILE', 1, {QUICK} FROM obs),
 s AS (SELECT f.* FROM f WHERE file_id % 2 = 0), t AS (SELECT f.* FROM f WHERE file_id % 2 = 1),
 one AS (SELECT kind, value FROM s GROUP BY ALL HAVING count(DISTINCT file_id) = 1), two AS (SELECT kind, value FROM t GROUP BY ALL HAVING count(DISTINCT file_id) = 1)
 SELECT s.file_id AS source_id, t.file_id AS target_id, s.kind AS evidence, s.value FROM s JOIN t ON s.kind = t.kind AND s.value = t.value JOIN one ON s.kind = one.kind AND s.value = one.value JOIN two ON s.kind = two.kind AND s.value = two.value QUALIFY row_number() OVER (PARTITION BY s.file_id, t.file_id ORDER BY s.rank DESC, s.value DESC) = 1""")
 def relocations(spark, d):
     o = observations(spark, d)
-    prints = o.where("file_id % 3 <> 0").select("file_id", F.lit("FILE_SHA256").alias("kind"), F.col("sha").alias("value")).unionByName(o.select("file_id", F.lit("QUICK_FILE").alias("kind"), F.sha2(F.substring("text", 1, 64), 256).alias("value")))
+    prints = o.where("file_id % 3 <> 0").select("file_id", F.lit("FILE_SHA256").alias("kind"), F.col("sha").alias("value")).unionByName(o.select("file_id", F.lit("QUICK_FILE").alias("kind"), quick_fingerprint(F.encode("text", "UTF-8"), F.octet_length(F.encode("text", "UTF-8"))).alias("value")))
     files = o.select("file_id", "relative_path")
     return incremental.relocations(files.where("file_id % 2 = 0"), files.where("file_id % 2 = 1"), prints).select("source_id", "target_id", "evidence", "value")
 
 
-_BLOCKS = f"""WITH {OBS}, e AS (SELECT 'FILE_SHA256' AS block_type, sha AS block_key, file_id AS m FROM obs UNION ALL SELECT 'AGENT_TITLE', root || '|' || lang || '|' || cast(file_id % 5 AS VARCHAR), file_id FROM obs UNION ALL SELECT 'SERIES_CONTEXT', lang, file_id FROM obs UNION ALL SELECT 'TEXT_FINGERPRINT', sha256(substr(text, 1, 40)), file_id FROM obs),
+_BLOCKS = f"""WITH {OBS}, e AS (SELECT 'FILE_SHA256' AS block_type, sha AS block_key, file_id AS m FROM obs UNION ALL SELECT 'AGENT_TITLE', root || '|' || lang || '|' || cast(file_id % 5 AS VARCHAR), file_id FROM obs UNION ALL SELECT 'SERIES_CONTEXT', lang, file_id FROM obs UNION ALL SELECT 'TEXT_FINGERPRINT', sha256(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))), file_id FROM obs),
 b AS (SELECT block_type, block_key, count(DISTINCT m) AS n, list_sort(list(DISTINCT m)) AS ms FROM e GROUP BY ALL HAVING count(DISTINCT m) > 1)
 """
 
@@ -55,7 +55,7 @@ def _evidence(spark, d):
     def of(kind, key):
         return o.select(F.lit(kind).alias("block_type"), key.alias("block_key"), F.col("file_id").alias("member_id"))
 
-    return of("FILE_SHA256", F.col("sha")).unionByName(of("AGENT_TITLE", F.concat_ws("|", "root", "lang", (F.col("file_id") % 5).cast("string")))).unionByName(of("SERIES_CONTEXT", F.col("lang"))).unionByName(of("TEXT_FINGERPRINT", F.sha2(F.substring("text", 1, 40), 256)))
+    return of("FILE_SHA256", F.col("sha")).unionByName(of("AGENT_TITLE", F.concat_ws("|", "root", "lang", (F.col("file_id") % 5).cast("string")))).unionByName(of("SERIES_CONTEXT", F.col("lang"))).unionByName(of("TEXT_FINGERPRINT", F.sha2(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), 256)))
 
 
 @query(_BLOCKS + """SELECT block_type, block_key, n AS member_count, cast(least(n, 256) AS INTEGER) AS listed, n > 256 AS truncated, CASE WHEN block_type = 'FILE_SHA256' THEN 'EXACT_GROUP' WHEN n > 64 THEN 'SECONDARY_REQUIRED' ELSE 'READY' END AS status,
@@ -64,7 +64,7 @@ def candidate_blocks(spark, d):
     return matching.blocks(_evidence(spark, d)).select("block_type", "block_key", "member_count", F.size("members").alias("listed"), "truncated", "status", "strength", F.coalesce("representative", F.lit(-1)).alias("representative"))
 
 
-@query(_BLOCKS + """, p AS (SELECT block_type, ms[1] AS l, unnest(ms[2:]) AS r FROM b WHERE block_type = 'FILE_SHA256' UNION ALL
+@query(_BLOCKS + """, p AS (SELECT block_type, ms[1] AS l, unnest(ms[2:]) AS r FROM b WHERE block_type = 'FILE_SHA256' OR (block_type <> 'SERIES_CONTEXT' AND n > 64) UNION ALL
 SELECT block_type, x, y FROM (SELECT block_type, ms, unnest(ms) AS x FROM b WHERE block_type IN ('AGENT_TITLE', 'TEXT_FINGERPRINT') AND n <= 64) s, unnest(s.ms) u(y) WHERE x < y)
 SELECT l AS left_id, r AS right_id, string_agg(DISTINCT block_type, ',' ORDER BY block_type) AS block_types FROM p GROUP BY ALL""")
 def match_pairs(spark, d):

@@ -42,3 +42,6 @@ OBS = """obs AS (
          source || '/' || lang || '/book' || cast(doc_id AS VARCHAR) || (CASE doc_id % 7 WHEN 0 THEN '.epub' WHEN 1 THEN '.MOBI' WHEN 2 THEN '.azw' WHEN 3 THEN '.azw3' WHEN 4 THEN '.pdf' WHEN 5 THEN '.txt' ELSE '' END) AS relative_path,
          n_chars AS size_bytes, text, lang, sha256(text) AS sha
   FROM documents)"""
+
+#: The quick fingerprint of a text no longer than both edges, for the oracle.
+QUICK = "sha256(encode('quick/v1') || unhex(lpad(to_hex(octet_length(encode(text))), 32, '0')) || encode(text))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veritome.operators import planning, search, state
 from veritome.plans.registry import OBS, observations, query, table
 
-_EVIDENCE = """WITH e AS (SELECT user_id AS file_id, CASE event_type WHEN 'view' THEN 'ANALYSIS' WHEN 'click' THEN 'MATCHING' WHEN 'purchase' THEN 'REVIEW' WHEN 'signup' THEN 'RESOLUTION' ELSE 'QUARANTINE' END AS component, CASE event_id % 4 WHEN 0 THEN 'CURRENT' WHEN 1 THEN 'STALE' WHEN 2 THEN 'UNSCOPED' END AS scope, value > 95 AS conflict FROM events WHERE event_id % 4 <> 3 AND user_id % 3 <> 1),
+_EVIDENCE = """WITH e AS (SELECT user_id AS file_id, CASE event_type WHEN 'view' THEN 'ANALYSIS' WHEN 'click' THEN 'MATCHING' WHEN 'purchase' THEN 'REVIEW' WHEN 'signup' THEN 'RESOLUTION' ELSE 'QUARANTINE' END AS component, CASE event_id % 4 WHEN 0 THEN 'CURRENT' WHEN 1 THEN 'STALE' WHEN 2 THEN 'UNSCOPED' END AS scope, value > 95 AS conflict FROM events WHERE event_id % 4 <> 3),
 best AS (SELECT file_id, component, max(CASE scope WHEN 'CURRENT' THEN 3 WHEN 'STALE' THEN 2 ELSE 1 END) AS r, bool_or(conflict) AS c FROM e GROUP BY ALL),
 i AS (SELECT DISTINCT user_id AS file_id FROM events), comp(component) AS (VALUES ('ANALYSIS'),('RESOLUTION'),('CLASSIFICATION'),('MATCHING'),('REVIEW'),('CALIBRE'),('ARCHIVE'),('CONSOLIDATION'),('QUARANTINE')),
 st AS (SELECT i.file_id, comp.component, CASE coalesce(r, 0) WHEN 3 THEN 'CURRENT' WHEN 2 THEN 'STALE' WHEN 1 THEN 'UNSCOPED' ELSE 'MISSING' END || CASE WHEN c THEN '_CONFLICT' ELSE '' END AS state FROM i CROSS JOIN comp LEFT JOIN best USING (file_id, component))
@@ -24,7 +24,7 @@ def _states(spark, d):
     for k, v in names.items():
         component = F.when(F.col("event_type") == k, v).otherwise(component)
     run = F.when(F.col("event_id") % 4 == 0, "r2").when(F.col("event_id") % 4 == 1, "r1").when(F.col("event_id") % 4 == 3, "rx")
-    rows = e.where("user_id % 3 <> 1").select(F.col("user_id").alias("file_id"), component.alias("component"), run.alias("run_id"), (F.col("value") > 95).alias("conflict"))
+    rows = e.select(F.col("user_id").alias("file_id"), component.alias("component"), run.alias("run_id"), (F.col("value") > 95).alias("conflict"))
     return state.item_states(e.select(F.col("user_id").alias("file_id")).distinct(), state.scoped(rows, "r2", 2, runs))
 
 
@@ -62,14 +62,14 @@ def diff_counts(spark, d):
     return state.diff_counts(_changes(spark, d))
 
 
-_HEALTH = """WITH f AS (SELECT doc_id AS file_id, CASE doc_id % 5 WHEN 0 THEN 'FULL_FIXITY_MISSING' WHEN 1 THEN 'PENDING_REVIEW' WHEN 2 THEN 'TITLE_METADATA_MISSING' WHEN 3 THEN 'LANGUAGE_METADATA_MISSING' ELSE 'QUARANTINE_BLOCKED' END AS code FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'PENDING_REVIEW' FROM labels),
+_HEALTH = """WITH f AS (SELECT doc_id AS file_id, CASE WHEN n_chars < 300 THEN 'FULL_FIXITY_MISSING' WHEN lang <> 'en' THEN 'LANGUAGE_METADATA_MISSING' WHEN source = 'src1' THEN 'QUARANTINE_BLOCKED' WHEN source = 'src2' THEN 'TITLE_METADATA_MISSING' END AS code FROM documents UNION ALL SELECT doc_id, 'PENDING_REVIEW' FROM labels),
 r(code, dimension, severity, rank) AS (VALUES ('FULL_FIXITY_MISSING','SCAN_FIXITY','INCOMPLETE',3),('PENDING_REVIEW','OPEN_REVIEWS','ATTENTION',2),('TITLE_METADATA_MISSING','METADATA_AUTHORITY_CLASSIFICATION','ATTENTION',2),('LANGUAGE_METADATA_MISSING','METADATA_AUTHORITY_CLASSIFICATION','INFO',1),('QUARANTINE_BLOCKED','BLOCKED_OPERATIONS','BLOCKED',4))
 """
 
 
 def _found(spark, d):
-    word = F.element_at(F.array(*(F.lit(x) for x in ("FULL_FIXITY_MISSING", "PENDING_REVIEW", "TITLE_METADATA_MISSING", "LANGUAGE_METADATA_MISSING", "QUARANTINE_BLOCKED"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    one = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("file_id"), word.alias("code"))
+    code = F.when(F.col("n_chars") < 300, "FULL_FIXITY_MISSING").when(F.col("lang") != "en", "LANGUAGE_METADATA_MISSING").when(F.col("source") == "src1", "QUARANTINE_BLOCKED").when(F.col("source") == "src2", "TITLE_METADATA_MISSING")
+    one = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), code.alias("code"))  # null for a healthy one
     return one.unionByName(table(spark, d, "labels").select(F.col("doc_id").alias("file_id"), F.lit("PENDING_REVIEW").alias("code")))
 
 
@@ -84,10 +84,10 @@ def health_dimensions(spark, d):
     return state.health_dimensions(_found(spark, d), table(spark, d, "documents").count())
 
 
-@query(_HEALTH + ", a AS (SELECT code, count(DISTINCT file_id) AS n FROM f WHERE file_id % 3 = 0 GROUP BY 1), b AS (SELECT code, count(DISTINCT file_id) AS n FROM f WHERE code <> 'QUARANTINE_BLOCKED' GROUP BY 1) SELECT coalesce(a.code, b.code) AS code, coalesce(a.n, 0) AS old_n, coalesce(b.n, 0) AS new_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.code = b.code")
+@query(_HEALTH + ", a AS (SELECT code, count(DISTINCT file_id) AS n FROM f WHERE code <> 'TITLE_METADATA_MISSING' GROUP BY 1), b AS (SELECT code, count(DISTINCT file_id) AS n FROM f WHERE code <> 'QUARANTINE_BLOCKED' GROUP BY 1) SELECT coalesce(a.code, b.code) AS code, coalesce(a.n, 0) AS old_n, coalesce(b.n, 0) AS new_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.code = b.code")
 def health_delta(spark, d):
     f = _found(spark, d)
-    return state.health_delta(state.health_findings(f.where("file_id % 3 = 0")), state.health_findings(f.where("code <> 'QUARANTINE_BLOCKED'")))
+    return state.health_delta(state.health_findings(f.where("code <> 'TITLE_METADATA_MISSING'")), state.health_findings(f.where("code <> 'QUARANTINE_BLOCKED'")))
 
 
 def _index(spark, d):
