@@ -40,7 +40,9 @@ def test_unicode_rules():
     assert unicode.query_value_rule("  ＡＢ Straße ") == "ab strasse"
     assert unicode.agent_key_rule("Brontë, Charlotte") == "charlotte bronte"
     assert unicode.agent_key_rule("A, B, C") == "a b c"
-    assert unicode.agent_name_rule("O'Neil, Zoë") == "zoe o'neil"
+    assert unicode.agent_name_rule("O'Neil, Zoë") == "o'neil zoe"
+    assert unicode.title_rule(" The  Ünïque/Book: a_b ") == "the unique book a b"
+    assert unicode.identifier_rule("urn:ISBN 978-0_1") == "urnisbn97801"
     assert unicode.identifier_key_rule(" ISBN (978-0)_1 ") == "isbn97801"
     assert unicode.text_rule("﻿a\n b") == "a b"
 
@@ -283,3 +285,25 @@ def test_archives_that_look_harmless_are_rejected(spark):
     ] + [("many", i, str(i), 1, 1, "REGULAR_FILE") for i in range(10_001)]
     got = {r.archive_id: r.violation for r in planning.archive_safety(spark.createDataFrame(listed, "archive_id string, ordinal long, path string, size long, packed long, kind string")).collect()}
     assert got == {"bomb": "COMPRESSION_RATIO_LIMIT", "blind": "UNKNOWN_SIZE", "parent": "PARENT_CHILD_CONFLICT", "child": "PARENT_CHILD_CONFLICT", "folder": None, "device": "PATH_INVALID", "first": "NEGATIVE_SIZE", "many": "MEMBER_COUNT_LIMIT"}
+
+
+def test_snapshot_sides_from_item_states(spark):
+    """Blocked by a conflict in consolidation or quarantine; evidence counts if current."""
+    old = spark.createDataFrame([(1, "ANALYSIS", "STALE"), (1, "QUARANTINE", "CURRENT"), (2, "REVIEW", "MISSING")], "file_id int, component string, state string")
+    new = spark.createDataFrame([(1, "ANALYSIS", "CURRENT_CONFLICT"), (1, "QUARANTINE", "STALE_CONFLICT"), (2, "REVIEW", "CURRENT")], "file_id int, component string, state string")
+    sides = [state.diffable(x, spark.createDataFrame([(1, "t"), (2, "t")], "file_id int, technical string")) for x in (old, new)]
+    assert {r["file_id"]: sorted(r["categories"]) for r in state.diff(*sides).collect()} == {1: ["NEWLY_ANALYZED", "NEWLY_BLOCKED"], 2: ["NEWLY_REVIEWED"]}
+
+
+def test_item_without_any_evidence(spark):
+    facts = spark.createDataFrame([(1, None, None, None, None, None, None)], "file_id int, fixity_values int, metadata_fields array<string>, review_states array<string>, metadata_truncated boolean, quality_found boolean, sidecar boolean")
+    found = state.item_findings(spark.createDataFrame([], "file_id int, component string, state string"), facts).first()
+    assert found["covered"] == ["OPEN_REVIEWS", "BLOCKED_OPERATIONS"]
+    assert found["codes"] == ["FULL_FIXITY_MISSING", "ANALYSIS_MISSING", *(f"{w}_METADATA_MISSING" for w in ("TITLE", "CONTRIBUTOR", "IDENTIFIER", "LANGUAGE", "PUBLISHER")), "AUTHORITY_RESOLUTION_COVERAGE_GAP", "CLASSIFICATION_COVERAGE_GAP", "MATCHING_COVERAGE_GAP", "DEPENDENCY_COVERAGE_GAP"]
+
+
+def test_large_identity_block_is_a_star_of_all_members(spark):
+    told = spark.range(300).select(F.lit("AGENT_TITLE").alias("block_type"), F.lit("k").alias("block_key"), F.col("id").alias("member_id"))
+    made = matching.blocks(told)
+    assert made.first()["status"] == "SECONDARY_REQUIRED"
+    assert sorted(tuple(r)[:2] for r in matching.pairs(made, told).collect()) == [(0, i) for i in range(1, 300)]

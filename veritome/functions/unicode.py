@@ -50,9 +50,19 @@ def agent_key_rule(x: str) -> str:
     return _spaced("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in x))
 
 
+def title_rule(x: str) -> str:
+    """For candidates: folded, without marks; only ASCII letters, digits and some signs of names stay, anything else is a space."""
+    return _spaced(re.sub(r"[^0-9a-zA-Z\s\-'.&]+", " ", _without_marks(x.strip().casefold()), flags=re.ASCII))
+
+
 def agent_name_rule(x: str) -> str:
-    """For candidates: some punctuation of names stays."""
-    return _given_first(_spaced(re.sub(r"[^0-9a-zA-Z\s\-'.&,]", "", _without_marks(x.casefold())))).replace(",", "")
+    """As a title: a comma is a space by then, so names aren't turned round, other than by ``agent_key_rule``."""
+    return title_rule(x)
+
+
+def identifier_rule(x: str) -> str:
+    """Letters and digits of the title's form."""
+    return re.sub(r"\W+", "", title_rule(x))
 
 
 def identifier_key_rule(x: str) -> str:
@@ -77,6 +87,8 @@ query_value = _applied(query_value_rule)
 normal_text = _applied(text_rule)
 agent_key = _applied(agent_key_rule)
 agent_name = _applied(agent_name_rule)
+title = _applied(title_rule)
+identifier = _applied(identifier_rule)
 identifier_key = _applied(identifier_key_rule)
 classification_value = _applied(classification_rule)
 

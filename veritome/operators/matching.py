@@ -38,6 +38,31 @@ RULES = (
 )
 
 
+# Relation, kind of both endpoints, effect on identity, evidence it needs.
+RELATIONS = (
+    ("EXACT_DUPLICATE", "FILE", "CONFIRMS_IDENTITY", ("FILE_SHA256",)),
+    ("CONTENT_DUPLICATE", "FILE", "NONE", ("CONTENT_FINGERPRINT",)),
+    ("FORMAT_VARIANT", "FILE", "NONE", ("FORMAT_EVIDENCE",)),
+    ("QUALITY_VARIANT", "FILE", "NONE", ("QUALITY_EVIDENCE",)),
+    ("SAME_EDITION", "EDITION", "CONFIRMS_IDENTITY", ("EDITION_IDENTIFIER",)),
+    ("DIFFERENT_EDITION", "EDITION", "CONTRADICTS_IDENTITY", ("WORK_RESOLUTION", "EDITION_IDENTIFIER")),
+    ("SAME_WORK", "WORK", "CONFIRMS_IDENTITY", ("WORK_RESOLUTION",)),
+)
+
+
+def relation_checks(relations: DataFrame) -> DataFrame:
+    """Adds ``effect`` and ``violation`` to ``relation, left_kind, right_kind, evidence`` (an array): no contract, other endpoints, or evidence that lacks; null if it holds."""
+    rules = relations.sparkSession.createDataFrame([(r, k, e, list(n)) for r, k, e, n in RELATIONS], "relation string, kind__ string, effect string, need__ array<string>")
+    joined = relations.join(F.broadcast(rules), "relation", "left")
+    lacks = F.size(F.array_except("need__", F.coalesce("evidence", F.array().cast("array<string>")))) > 0
+    violation = (
+        F.when(F.col("kind__").isNull(), F.lit("NO_CONTRACT"))
+        .when(~F.col("left_kind").eqNullSafe(F.col("kind__")) | ~F.col("right_kind").eqNullSafe(F.col("kind__")), F.lit("ENDPOINT_KIND"))
+        .when(lacks, F.lit("EVIDENCE_MISSING"))
+    )
+    return joined.withColumn("violation", violation).drop("kind__", "need__")
+
+
 def blocks(evidence: DataFrame, pairwise: int = PAIRWISE, members: int = MEMBERS) -> DataFrame:
     """Blocks from ``block_type, block_key, member_id``: counts of all members, the first of them, status and representative.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritome.operators.relational import ordered_digest
@@ -93,6 +93,65 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("file_id", F.filter(found, lambda x: x.isNotNull()).alias("categories")).where(F.size("categories") > 0)
 
 
+def diffable(states: DataFrame, technical: DataFrame) -> DataFrame:
+    """One side of ``diff`` from item states and ``file_id, technical``: evidence is there if current, a file is blocked by a conflict in consolidation or quarantine."""
+
+    def seen(component: str, rule) -> Column:
+        return F.coalesce(F.bool_or(F.when(F.col("component") == component, rule)), F.lit(False))
+
+    current, conflict = F.col("state").startswith("CURRENT"), F.col("state").endswith("_CONFLICT")
+    wide = states.groupBy("file_id").agg(seen("ANALYSIS", current).alias("analysis"), seen("RESOLUTION", current).alias("resolution"), seen("REVIEW", current).alias("review"), (seen("CONSOLIDATION", conflict) | seen("QUARANTINE", conflict)).alias("quarantine"))
+    return technical.select("file_id", "technical").join(wide, "file_id")
+
+
+def item_findings(states: DataFrame, facts: DataFrame) -> DataFrame:
+    """``file_id, codes, covered``: what is found on each item, in the order of FINDINGS, and the dimensions that its evidence covers.
+
+    states: file_id, component, state; a component without a row is MISSING. facts: file_id, fixity_values (a count),
+    metadata_fields and review_states (arrays), metadata_truncated, quality_found, sidecar; nulls count as none.
+    """
+    wide = states.groupBy("file_id").agg(*(F.max(F.when(F.col("component") == c, F.col("state"))).alias(c) for c in COMPONENTS))
+    rows = facts.join(wide, "file_id", "left")
+
+    def state(component: str) -> Column:
+        return F.coalesce(F.col(component), F.lit("MISSING"))
+
+    def current(component: str) -> Column:
+        return state(component).startswith("CURRENT")
+
+    def conflict(component: str) -> Column:
+        return state(component).endswith("_CONFLICT")
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    def has(name: str, word: str) -> Column:
+        return F.coalesce(F.array_contains(name, word), F.lit(False))
+
+    fixity = F.coalesce("fixity_values", F.lit(0))
+    depends = current("CALIBRE") | flag("sidecar") | current("ARCHIVE")
+    rules = {
+        "FULL_FIXITY_MISSING": fixity == 0, "FULL_FIXITY_CONFLICT": fixity > 1,
+        "ANALYSIS_MISSING": state("ANALYSIS") == "MISSING", "ANALYSIS_STALE_OR_UNSCOPED": state("ANALYSIS").rlike("^(STALE|UNSCOPED)"), "ANALYSIS_CONFLICT": conflict("ANALYSIS"), "ANALYSIS_QUALITY_FINDING_PRESENT": flag("quality_found"),
+        **{f"{w.upper()}_METADATA_MISSING": ~has("metadata_fields", w) for w in ("title", "contributor", "identifier", "language", "publisher")}, "METADATA_INDEX_TRUNCATED": flag("metadata_truncated"),
+        "AUTHORITY_RESOLUTION_COVERAGE_GAP": ~current("RESOLUTION"), "AUTHORITY_RESOLUTION_CONFLICT": conflict("RESOLUTION"), "CLASSIFICATION_COVERAGE_GAP": ~current("CLASSIFICATION"), "CLASSIFICATION_CONFLICT": conflict("CLASSIFICATION"),
+        "PENDING_REVIEW": has("review_states", "PENDING"), "DEFERRED_REVIEW": has("review_states", "DEFERRED"),
+        "DUPLICATE_OR_VARIANT_EVIDENCE_PRESENT": current("MATCHING"), "MATCHING_COVERAGE_GAP": ~current("MATCHING"), "MATCHING_CONFLICT": conflict("MATCHING"),
+        "CALIBRE_DEPENDENCY_PRESENT": current("CALIBRE"), "SIDECAR_DEPENDENCY_PRESENT": flag("sidecar"), "ARCHIVE_DEPENDENCY_PRESENT": current("ARCHIVE"), "DEPENDENCY_COVERAGE_GAP": ~depends,
+        "CALIBRE_CONFLICT": conflict("CALIBRE"), "ARCHIVE_CONFLICT": conflict("ARCHIVE"), "CONSOLIDATION_BLOCKED": conflict("CONSOLIDATION"), "QUARANTINE_BLOCKED": conflict("QUARANTINE"),
+    }
+    described = has("metadata_fields", "title") & has("metadata_fields", "contributor") & ~flag("metadata_truncated") & current("RESOLUTION") & current("CLASSIFICATION")
+    covers = {
+        "SCAN_FIXITY": fixity == 1, "ANALYSIS_TOOL_COVERAGE": current("ANALYSIS"), "METADATA_AUTHORITY_CLASSIFICATION": described, "OPEN_REVIEWS": F.lit(True),
+        "DUPLICATE_VARIANT_EVIDENCE": current("MATCHING"), "DEPENDENCIES": depends, "BLOCKED_OPERATIONS": F.lit(True),
+    }
+
+    def told(conditions: dict, order) -> Column:
+        return F.filter(F.array(*(F.when(conditions[x], F.lit(x)) for x in order)), lambda x: x.isNotNull())
+
+    return rows.select("file_id", told(rules, [c for c, *_ in FINDINGS]).alias("codes"), told(covers, list(dict.fromkeys(d for _, d, _ in FINDINGS))).alias("covered"))
+
+
 def diff_counts(changes: DataFrame) -> DataFrame:
     return changes.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 

@@ -156,3 +156,21 @@ def grouped_contributors(spark, d):
     name = l.select(F.col("l_orderkey").alias("item_id"), F.concat(F.lit("contributor."), F.col("l_linenumber").cast("string"), F.lit(".name")).alias("key"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("value"))
     other = l.select(F.col("l_orderkey").alias("item_id"), F.lit("malformed").alias("key"), F.lit("x").alias("value"))
     return evidence.grouped_metadata(name.unionByName(other)).select("item_id", "kind", "place", F.array_join(F.element_at("parts", "name"), "|").alias("names"))
+
+
+@query("""WITH k(i, relation, kind, effect, need) AS (VALUES (0, 'EXACT_DUPLICATE', 'FILE', 'CONFIRMS_IDENTITY', ['FILE_SHA256']), (1, 'CONTENT_DUPLICATE', 'FILE', 'NONE', ['CONTENT_FINGERPRINT']), (2, 'FORMAT_VARIANT', 'FILE', 'NONE', ['FORMAT_EVIDENCE']), (3, 'QUALITY_VARIANT', 'FILE', 'NONE', ['QUALITY_EVIDENCE']),
+(4, 'SAME_EDITION', 'EDITION', 'CONFIRMS_IDENTITY', ['EDITION_IDENTIFIER']), (5, 'DIFFERENT_EDITION', 'EDITION', 'CONTRADICTS_IDENTITY', ['WORK_RESOLUTION', 'EDITION_IDENTIFIER']), (6, 'SAME_WORK', 'WORK', 'CONFIRMS_IDENTITY', ['WORK_RESOLUTION'])),
+r AS (SELECT o_orderkey, coalesce((SELECT min(relation) FROM k WHERE i = o_orderkey % 8), 'TRANSLATION') AS relation, ['FILE', 'EDITION', 'WORK'][cast(o_custkey % 3 AS INTEGER) + 1] AS l, ['FILE', 'EDITION', 'WORK'][cast(CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE o_custkey % 3 END AS INTEGER) + 1] AS r,
+CASE o_orderkey % 3 WHEN 0 THEN ['FILE_SHA256', 'EDITION_IDENTIFIER'] WHEN 1 THEN ['WORK_RESOLUTION', 'EDITION_IDENTIFIER', 'FORMAT_EVIDENCE'] ELSE ['CONTENT_FINGERPRINT', 'QUALITY_EVIDENCE', 'WORK_RESOLUTION'] END AS e FROM orders)
+SELECT o_orderkey, relation, coalesce(effect, '-') AS effect, CASE WHEN kind IS NULL THEN 'NO_CONTRACT' WHEN l <> kind OR r <> kind THEN 'ENDPOINT_KIND' WHEN NOT list_has_all(e, need) THEN 'EVIDENCE_MISSING' ELSE '-' END AS violation FROM r LEFT JOIN k USING (relation)""")
+def relation_checks(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    names, kinds = F.array(*(F.lit(x) for x in (*(r for r, *_ in matching.RELATIONS), "TRANSLATION"))), F.array(*(F.lit(x) for x in ("FILE", "EDITION", "WORK")))
+
+    def of(*words):
+        return F.array(*(F.lit(w) for w in words))
+
+    told = F.when(k % 3 == 0, of("FILE_SHA256", "EDITION_IDENTIFIER")).when(k % 3 == 1, of("WORK_RESOLUTION", "EDITION_IDENTIFIER", "FORMAT_EVIDENCE")).otherwise(of("CONTENT_FINGERPRINT", "QUALITY_EVIDENCE", "WORK_RESOLUTION"))
+    one = (c % 3 + 1).cast("int")
+    r = table(spark, d, "orders").select("o_orderkey", F.element_at(names, (k % 8 + 1).cast("int")).alias("relation"), F.element_at(kinds, one).alias("left_kind"), F.element_at(kinds, F.when(c % 5 == 0, 1).otherwise(one)).alias("right_kind"), told.alias("evidence"))
+    return matching.relation_checks(r).select("o_orderkey", "relation", F.coalesce("effect", F.lit("-")).alias("effect"), F.coalesce("violation", F.lit("-")).alias("violation"))

@@ -97,6 +97,14 @@ def title_aliases(spark, d):
     return table(spark, d, "part").select("p_partkey", t.alias("t")).select("p_partkey", "t", unicode.title_alias(F.col("t")).alias("alias"), F.coalesce(unicode.parenthesised(F.col("t")), F.lit("")).alias("inner_part"))
 
 
+@query(r"""WITH l AS (SELECT p_partkey, p_brand || ',  ' || p_name || ' [x_1]' AS l FROM part), t AS (SELECT p_partkey, l, trim(regexp_replace(regexp_replace(lower(l), '[^0-9a-z\s\-''.&]+', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM l)
+SELECT p_partkey, title, title AS agent, regexp_replace(title, '[^0-9a-z]+', '', 'g') AS identifier, regexp_replace(lower(l), '[\s\-_()\[\]{}"''`]', '', 'g') AS identifier_key, trim(lower(regexp_replace(l, '\s+', ' ', 'g'))) AS classification FROM t""")
+def name_rules(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit(",  "), "p_name", F.lit(" [x_1]")).alias("l"))
+    rules = {"title": unicode.title, "agent": unicode.agent_name, "identifier": unicode.identifier, "identifier_key": unicode.identifier_key, "classification": unicode.classification_value}
+    return p.select("p_partkey", *(rule(F.col("l")).alias(name) for name, rule in rules.items()))
+
+
 @query("""SELECT c_custkey, lower(replace(replace(c_name, '#', ' '), '  ', ' ')) AS agent FROM customer""")
 def agent_keys(spark, d):
     return table(spark, d, "customer").select("c_custkey", unicode.agent_key(F.col("c_name")).alias("agent"))

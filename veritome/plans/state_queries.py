@@ -90,6 +90,35 @@ def health_delta(spark, d):
     return state.health_delta(state.health_findings(f.where("code <> 'TITLE_METADATA_MISSING'")), state.health_findings(f.where("code <> 'QUARANTINE_BLOCKED'")))
 
 
+_STATE_NAMES = ("MISSING", "CURRENT", "STALE", "UNSCOPED", "CURRENT_CONFLICT", "STALE_CONFLICT", "UNSCOPED_CONFLICT")
+_ITEMS = "WITH s AS (SELECT o_orderkey AS id, o_custkey AS c, " + ", ".join(f"{list(_STATE_NAMES)}[cast((o_orderkey * {i + 3} + o_custkey * {i} + {i}) % 7 AS INTEGER) + 1] AS {name}" for i, name in enumerate(state.COMPONENTS)) + ", o_orderkey % 3 AS fix, CASE o_orderkey % 4 WHEN 0 THEN ['PENDING'] WHEN 1 THEN ['DEFERRED'] WHEN 2 THEN ['DEFERRED', 'PENDING'] ELSE [] END AS rev FROM orders)\n"
+_CUR, _CON = "IN ('CURRENT', 'CURRENT_CONFLICT')", "IN ('CURRENT_CONFLICT', 'STALE_CONFLICT', 'UNSCOPED_CONFLICT')"
+
+
+def _item_findings(spark, d):
+    o = table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    words = F.array(*(F.lit(x) for x in _STATE_NAMES))
+    told = F.explode(F.array(*(F.struct(F.lit(name).alias("component"), F.element_at(words, ((k * (i + 3) + c * i + i) % 7 + 1).cast("int")).alias("state")) for i, name in enumerate(state.COMPONENTS))))
+    fields = F.filter(F.array(*(F.when(F.floor(c / (1 << i)) % 2 == 1, w) for i, w in enumerate(("title", "contributor", "identifier", "language", "publisher")))), lambda x: x.isNotNull())
+    reviews = F.when(k % 4 == 0, F.array(F.lit("PENDING"))).when(k % 4 == 1, F.array(F.lit("DEFERRED"))).when(k % 4 == 2, F.array(F.lit("DEFERRED"), F.lit("PENDING")))
+    facts = o.select(k.alias("file_id"), (k % 3).alias("fixity_values"), fields.alias("metadata_fields"), reviews.alias("review_states"), (c % 13 == 0).alias("metadata_truncated"), (c % 11 == 0).alias("quality_found"), (c % 4 == 0).alias("sidecar"))
+    return state.item_findings(o.select(k.alias("file_id"), told.alias("s")).select("file_id", "s.component", "s.state"), facts)
+
+
+@query(_ITEMS + f"""SELECT id AS file_id, array_to_string(list_filter([CASE WHEN fix = 0 THEN 'FULL_FIXITY_MISSING' WHEN fix > 1 THEN 'FULL_FIXITY_CONFLICT' END,
+CASE WHEN ANALYSIS = 'MISSING' THEN 'ANALYSIS_MISSING' WHEN ANALYSIS NOT {_CUR} THEN 'ANALYSIS_STALE_OR_UNSCOPED' END, CASE WHEN ANALYSIS {_CON} THEN 'ANALYSIS_CONFLICT' END, CASE WHEN c % 11 = 0 THEN 'ANALYSIS_QUALITY_FINDING_PRESENT' END,
+CASE WHEN c & 1 = 0 THEN 'TITLE_METADATA_MISSING' END, CASE WHEN c & 2 = 0 THEN 'CONTRIBUTOR_METADATA_MISSING' END, CASE WHEN c & 4 = 0 THEN 'IDENTIFIER_METADATA_MISSING' END, CASE WHEN c & 8 = 0 THEN 'LANGUAGE_METADATA_MISSING' END, CASE WHEN c & 16 = 0 THEN 'PUBLISHER_METADATA_MISSING' END, CASE WHEN c % 13 = 0 THEN 'METADATA_INDEX_TRUNCATED' END,
+CASE WHEN RESOLUTION NOT {_CUR} THEN 'AUTHORITY_RESOLUTION_COVERAGE_GAP' END, CASE WHEN RESOLUTION {_CON} THEN 'AUTHORITY_RESOLUTION_CONFLICT' END, CASE WHEN CLASSIFICATION NOT {_CUR} THEN 'CLASSIFICATION_COVERAGE_GAP' END, CASE WHEN CLASSIFICATION {_CON} THEN 'CLASSIFICATION_CONFLICT' END,
+CASE WHEN list_contains(rev, 'PENDING') THEN 'PENDING_REVIEW' END, CASE WHEN list_contains(rev, 'DEFERRED') THEN 'DEFERRED_REVIEW' END, CASE WHEN MATCHING {_CUR} THEN 'DUPLICATE_OR_VARIANT_EVIDENCE_PRESENT' ELSE 'MATCHING_COVERAGE_GAP' END, CASE WHEN MATCHING {_CON} THEN 'MATCHING_CONFLICT' END,
+CASE WHEN CALIBRE {_CUR} THEN 'CALIBRE_DEPENDENCY_PRESENT' END, CASE WHEN c % 4 = 0 THEN 'SIDECAR_DEPENDENCY_PRESENT' END, CASE WHEN ARCHIVE {_CUR} THEN 'ARCHIVE_DEPENDENCY_PRESENT' END, CASE WHEN CALIBRE NOT {_CUR} AND ARCHIVE NOT {_CUR} AND c % 4 <> 0 THEN 'DEPENDENCY_COVERAGE_GAP' END,
+CASE WHEN CALIBRE {_CON} THEN 'CALIBRE_CONFLICT' END, CASE WHEN ARCHIVE {_CON} THEN 'ARCHIVE_CONFLICT' END, CASE WHEN CONSOLIDATION {_CON} THEN 'CONSOLIDATION_BLOCKED' END, CASE WHEN QUARANTINE {_CON} THEN 'QUARANTINE_BLOCKED' END], lambda x: x IS NOT NULL), ',') AS codes,
+array_to_string(list_filter([CASE WHEN fix = 1 THEN 'SCAN_FIXITY' END, CASE WHEN ANALYSIS {_CUR} THEN 'ANALYSIS_TOOL_COVERAGE' END, CASE WHEN c & 3 = 3 AND c % 13 <> 0 AND RESOLUTION {_CUR} AND CLASSIFICATION {_CUR} THEN 'METADATA_AUTHORITY_CLASSIFICATION' END, 'OPEN_REVIEWS',
+CASE WHEN MATCHING {_CUR} THEN 'DUPLICATE_VARIANT_EVIDENCE' END, CASE WHEN CALIBRE {_CUR} OR ARCHIVE {_CUR} OR c % 4 = 0 THEN 'DEPENDENCIES' END, 'BLOCKED_OPERATIONS'], lambda x: x IS NOT NULL), ',') AS covered FROM s""")
+def item_findings(spark, d):
+    return _item_findings(spark, d).select("file_id", F.array_join("codes", ",").alias("codes"), F.array_join("covered", ",").alias("covered"))
+
+
 def _index(spark, d):
     p = table(spark, d, "part")
     key = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
