@@ -558,6 +558,35 @@ def test_automaton_finds_words_stems_and_one_edit():
     assert {w: lexicon.find(w) for w in edits} == edits
 
 
+def test_automaton_against_a_table_of_distances():
+    from veritome.llm.toxicity import FUZZY_LENGTH, Lexicon
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(11)
+
+    def word(least, most):
+        return "".join(rng.choice("abcé") for _ in range(rng.randint(least, most)))
+
+    for _ in range(60):
+        terms = list({t: (t, stem, float(rng.randint(1, 9))) for t, stem in ((word(2, 8), rng.random() < 0.3) for _ in range(12))}.values())
+        lexicon = Lexicon(terms)
+        words = [word(1, 9) for _ in range(60)]
+        for t, _, _ in terms:
+            at, c = rng.randrange(len(t)), rng.choice("abcé")
+            words += [t, t[:at] + t[at + 1 :], t[:at] + c + t[at:], t[:at] + c + t[at + 1 :], t + word(1, 3)]
+        for w in words:
+            exact = max([x for t, stem, x in terms if (w.startswith(t) if stem else w == t)], default=0.0)
+            near = max([x for t, stem, x in terms if not stem and len(t) >= FUZZY_LENGTH and distance(t, w) == 1], default=0.0)
+            assert lexicon.find(w) == (exact, near), (w, terms)
+
+
 def test_quotation_counts_less():
     from veritome.llm.toxicity import Lexicon, Scanner
 
@@ -629,7 +658,11 @@ def test_chat_pieces_agree_with_whole_transcripts(spark, monkeypatch):
             assert r.rendered == chat.render(r.role, r.text)
         assert {k: v for k, v in got.items()} == want
     assert want[53][:3] == ["user", "assistant", "user"]
-    assert rows(chat.turns(df.where("false"))) == []
+    # one turn number for all rows of a transcript: still in pieces, and in the order of the texts
+    monkeypatch.setattr(chat, "PIECE", 4)
+    tied = spark.createDataFrame([(1, 0, f"{' ' * (40 - i)}{('User', 'AI')[i % 2]}: {i:03d}") for i in range(40)], "conv_id long, turn long, text string")
+    got = [(r.role, r.text) for r in sorted(chat.turns(tied).collect(), key=lambda r: r.turn)]
+    assert got == [(("user", "assistant")[i % 2], f"{i:03d}") for i in range(40)]
 
 
 def test_chat_recovers_roles(spark):

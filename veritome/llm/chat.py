@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritome.llm.tables import written
+from veritome.llm.tables import Scratch, written
 
 ROLES = ("system", "user", "assistant")
-#: Rows of a transcript in a piece.
+#: Rows of a transcript in a piece, at most.
 PIECE = 512
+#: Characters of a text by which rows with one key and turn are dealt; few, as samples of them come to the driver.
+DEALT_BY = 64
 # Words that mark a speaker.
 SPEAKERS = {
     "system": "system sys context instructions",
@@ -119,10 +121,15 @@ def turns(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
     row may hold a whole transcript. Lines without text only separate; null texts have no
     lines, and transcripts without lines no turns. Rows with a null key or order are left out, as
     are other columns; repeated rows are lines that stand twice; an empty table gives an empty one.
+    Pieces go by the place of rows in order, so rows that share a turn number are in as many pieces as
+    their number asks for.
     """
     rows = transcripts.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("at"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("key is not null and at is not null")
-    rows = rows.withColumn("piece", F.floor(F.col("at") / PIECE).cast("long"))
-    dealt = rows.select("key", "piece", "at", "text").repartition("key", "piece").sortWithinPartitions("key", "piece", "at", "text")
+    # ids of rows grow along the sorted partitions, whose first ids are multiples of 2**33; kept as a table, as they'd differ if computed again
+    scratch = Scratch()
+    in_order = rows.repartitionByRange("key", "at", F.substring("text", 1, DEALT_BY)).sortWithinPartitions("key", "at", "text")
+    numbered_rows = scratch.written(in_order.withColumn("piece", F.floor(F.monotonically_increasing_id() / PIECE).cast("long")), "pieces")
+    dealt = numbered_rows.select("key", "piece", "at", "text").repartition("key", "piece").sortWithinPartitions("key", "piece", "at", "text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k, piece), found in _groups(batches, 2):
@@ -178,7 +185,8 @@ def turns(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", tex
             n = len(out)
             yield pa.RecordBatch.from_arrays([pa.array([k] * n), pa.array([piece] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array(["\n".join(o[2]) for o in out], pa.string())], names=["key", "piece", "n", "begins", "role", "text"])
 
-    parts = written(guided.mapInArrow(told, "key string, piece long, n long, begins boolean, role string, text string"), "turns")
+    with scratch:
+        parts = written(guided.mapInArrow(told, "key string, piece long, n long, begins boolean, role string, text string"), "turns")
     # turns before each piece: a row for each piece of a transcript, in a window by transcript
     begun = parts.groupBy("key", "piece").agg(F.count_if("begins").alias("c"))
     before = begun.withColumn("before", F.sum("c").over(Window.partitionBy("key").orderBy("piece")) - F.col("c")).select("key", "piece", "before")
