@@ -39,54 +39,74 @@ THRESHOLD = 0.7
 _letters = re.compile(r"[^\W\d_]+")
 
 
+def _path(node: dict, letters: str) -> dict:
+    for c in letters:
+        node = node.setdefault(c, {})
+    return node
+
+
 class Lexicon:
-    """Terms with weights in a trie; a stem stands for every word that begins with it."""
+    """Terms with weights in a trie; a stem stands for every word that begins with it.
+
+    With one edit at most, a term's first half begins the word or its second half ends it. So the
+    automaton starts where the word's own beginning leads to such a first half, and in a second
+    trie, of terms from their ends, where its ending leads to such a second half.
+    """
 
     def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
-        self.root: dict = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        root: dict = {}
+        back: dict = {}
+        self.heads: dict[str, dict] = {}
+        self.tails: dict[str, dict] = {}
         for term, stem, weight in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node["stem" if stem else "word"] = weight
+            _path(root, term)["stem" if stem else "word"] = weight
+            if stem or len(term) < FUZZY_LENGTH:
+                self.heads[term] = _path(root, term)
+                continue
             half = len(term) // 2
-            self.heads.add(term if stem or len(term) < FUZZY_LENGTH else term[:half])
-            if not stem and len(term) >= FUZZY_LENGTH:
-                self.tails.add(term[half:])
+            self.heads[term[:half]] = _path(root, term[:half])
+            _path(back, term[::-1])["word"] = weight
+            self.tails[term[: half - 1 : -1]] = _path(back, term[: half - 1 : -1])
         self.head_lengths = sorted({len(x) for x in self.heads})
         self.tail_lengths = sorted({len(x) for x in self.tails})
 
     def find(self, word: str) -> tuple[float, float]:
         """Largest weight of a term that ``word`` is, and of one that it is but for one edit; 0 where there is none."""
-        # with one edit at most, a term's first half begins the word or its second half ends it
-        if not (any(word[:n] in self.heads for n in self.head_lengths) or any(word[-n:] in self.tails for n in self.tail_lengths)):
-            return 0.0, 0.0
-        bits: dict[str, int] = {}
-        for i, c in enumerate(word):
-            bits[c] = bits.get(c, 0) | 1 << i
-        last, exact, near = 1 << len(word), 0.0, 0.0
-        stack = [(self.root, 1, 3, 0)]  # a node, and the positions of the word reached with no edit, with one at most
-        while stack:
-            node, none, one, depth = stack.pop()
-            for c, child in node.items():
-                if len(c) > 1:
-                    continue
+        exact = near = 0.0
+        for letters, starts, lengths in ((word, self.heads, self.head_lengths), (word[::-1], self.tails, self.tail_lengths)):
+            found = [(starts[letters[:n]], n) for n in lengths if n <= len(letters) and letters[:n] in starts]
+            if found:
+                a, b = _matches(letters, found)
+                exact, near = max(exact, a), max(near, b)
+        return exact, near
+
+
+def _matches(word: str, starts: list[tuple[dict, int]]) -> tuple[float, float]:
+    """``Lexicon.find`` below nodes that so many of the word's first characters lead to."""
+    bits: dict[str, int] = {}
+    for i, c in enumerate(word):
+        bits[c] = bits.get(c, 0) | 1 << i
+    last, exact, near = 1 << len(word), 0.0, 0.0
+    whole = (last << 1) - 1
+    stack = [(node, 1 << n, 3 << n & whole, n) for node, n in starts]  # a node, and the positions of the word reached with no edit, with one at most
+    while stack:
+        node, none, one, depth = stack.pop()
+        for c, child in node.items():
+            if c == "word":
+                if none & last:
+                    exact = max(exact, child)
+                elif one & last and depth >= FUZZY_LENGTH:
+                    near = max(near, child)
+            elif c == "stem":
+                if none:
+                    exact = max(exact, child)
+            else:
                 at = bits.get(c, 0)
                 none2 = (none & at) << 1
-                one2 = (one & at) << 1 | none | none << 1 | none2 | none2 << 1
-                one2 &= (last << 1) - 1
-                if not one2:
-                    continue
-                if none2 & last and "word" in child:
-                    exact = max(exact, child["word"])
-                elif one2 & last and "word" in child and depth + 1 >= FUZZY_LENGTH:
-                    near = max(near, child["word"])
-                if none2 and "stem" in child:
-                    exact = max(exact, child["stem"])
-                stack.append((child, none2, one2, depth + 1))
-        return exact, near
+                one2 = ((one & at) << 1 | none | none << 1 | none2 | none2 << 1) & whole
+                if one2:
+                    stack.append((child, none2, one2, depth + 1))
+    return exact, near
 
 
 class Scanner(dict):
