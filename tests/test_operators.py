@@ -247,6 +247,21 @@ def test_planning_rules(spark):
     assert {r.group_id for r in inventory.largest_groups(groups, 1).collect()} == {"b"} and {r.group_id for r in inventory.most_members(groups, 2).collect()} == {"c", "a"}
 
 
+def test_reconciliation_tells_authority_and_sidecars(spark):
+    contributors = spark.createDataFrame([(1, "Ada"), (1, "Bo"), (2, "Cy"), (3, None)], "record_id int, name string")
+    candidates = spark.createDataFrame([(1, 10, "AGENT", "Bo", "REVIEW_REQUIRED"), (1, 11, "AGENT", "Di", "REVIEW_REQUIRED"), (2, 12, "AGENT", "Di", "ACCEPTED"), (2, 13, "WORK", "Di", "REVIEW_REQUIRED"), (2, 14, "AGENT", "Di", "REVIEW_REQUIRED"), (3, 15, "AGENT", "Di", "REVIEW_REQUIRED")], "record_id int, candidate_id int, kind string, name string, disposition string")
+    reviews = spark.createDataFrame([(i, "CONFIRMED" if i == 14 else "PENDING") for i in range(10, 16)], "candidate_id int, state string")
+    authority = planning.authority_conflicts(contributors, candidates, reviews)
+    assert rows(authority) == [(1, 11)]
+    formats = spark.createDataFrame([(1, "a/b.epub"), (1, "a/b.pdf"), (2, "c/d.epub"), (2, "e/d.pdf"), (3, "top.epub"), (3, "metadata.opf")], "record_id int, path string")
+    beside = spark.createDataFrame([(1, "a/cover.jpg", "COVER"), (1, "ab/x", "OTHER"), (1, "a/data", "EXTRA_DATA"), (1, "a/data/x", "EXTRA_DATA"), (2, "c/cover.jpg", "COVER"), (3, "metadata.opf", "METADATA_OPF"), (3, "cover.jpg", "COVER"), (4, "z/cover.jpg", "COVER")], "record_id int, path string, kind string")
+    files = spark.createDataFrame([("a/cover.jpg", "x"), ("a/b.epub", "y")], "path string, sha256 string")
+    sidecar = planning.sidecar_dependencies(formats, beside, files)
+    assert {tuple(r) for r in sidecar.collect()} == {(1, "a/cover.jpg", "COVER", True), (1, "a/data/x", "EXTRA_DATA", False), (3, "cover.jpg", "COVER", False)}
+    found = planning.library_findings(files, spark.createDataFrame([(1,), (2,), (3,)], "record_id int"), formats, authority=authority, sidecar=sidecar)
+    assert {tuple(r) for r in found.where("code like '%AUTH%' or code like '%SIDE%'").collect()} == {("AUTHORITY_CONFLICT", "1"), ("SIDECAR_DEPENDENCY", "1"), ("SIDECAR_DEPENDENCY", "3")}
+
+
 def test_tar_frames(spark):
     import io
     import tarfile

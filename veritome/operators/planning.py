@@ -15,10 +15,11 @@ SIDECARS = (("nfo", "NFO"), ("txt", "TEXT"), ("diz", "DIZ"), ("info", "INFO"), (
 DEVICES = ("CON", "PRN", "AUX", "NUL", "CONIN$", "CONOUT$", *(f"{x}{i}" for x in ("COM", "LPT") for i in range(1, 10)))
 
 
-def library_findings(files: DataFrame, records: DataFrame, formats: DataFrame) -> DataFrame:
+def library_findings(files: DataFrame, records: DataFrame, formats: DataFrame, metadata: DataFrame | None = None, authority: DataFrame | None = None, sidecar: DataFrame | None = None) -> DataFrame:
     """``code, subject_id``: files without a record, records without a file, records that share contents, and records of several formats.
 
-    files: path, sha256. records: record_id. formats: record_id, path.
+    files: path, sha256. records: record_id. formats: record_id, path. Records of ``metadata_conflicts``, ``authority_conflicts``
+    and ``sidecar_dependencies``, where given, are findings too, if they are among ``records``.
     """
     joined = formats.join(files, "path", "left_semi")
     alone = files.join(formats, "path", "left_anti").select(F.lit("FILESYSTEM_ONLY").alias("code"), F.col("path").alias("subject_id"))
@@ -27,7 +28,11 @@ def library_findings(files: DataFrame, records: DataFrame, formats: DataFrame) -
     shared = hashed.groupBy("sha256").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).where("a <> b").select("sha256")
     double = hashed.join(shared, "sha256", "left_semi").select(F.lit("DUPLICATE_RECORD_CANDIDATE").alias("code"), F.col("record_id").cast("string").alias("subject_id")).distinct()
     several = joined.groupBy("record_id").agg(F.countDistinct("path").alias("n")).where("n > 1").select(F.lit("MULTI_FORMAT_RECORD").alias("code"), F.col("record_id").cast("string").alias("subject_id"))
-    return alone.unionByName(lost).unionByName(double).unionByName(several)
+    found = alone.unionByName(lost).unionByName(double).unionByName(several)
+    for code, more in (("METADATA_CONFLICT", metadata), ("AUTHORITY_CONFLICT", authority), ("SIDECAR_DEPENDENCY", sidecar)):
+        if more is not None:
+            found = found.unionByName(records.join(more, "record_id", "left_semi").select(F.lit(code).alias("code"), F.col("record_id").cast("string").alias("subject_id")))
+    return found
 
 
 def metadata_conflicts(records: DataFrame, observed: DataFrame) -> DataFrame:
@@ -36,6 +41,32 @@ def metadata_conflicts(records: DataFrame, observed: DataFrame) -> DataFrame:
     return left.join(right, ["record_id", "field"]).where("library <> seen").select("record_id", "field").distinct()
 
 
+def authority_conflicts(contributors: DataFrame, candidates: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``record_id, candidate_id``: agents awaiting review whose name is none of the record's contributors; records without contributors have none.
+
+    contributors: record_id, name. candidates: record_id, candidate_id, kind, name, disposition. reviews: candidate_id, state.
+    """
+    undecided = reviews.where(F.col("state").isin("PENDING", "DEFERRED")).select("candidate_id")
+    waiting = candidates.where("kind = 'AGENT' and disposition = 'REVIEW_REQUIRED' and name is not null").join(undecided, "candidate_id", "left_semi").select("record_id", "candidate_id", "name")
+    named = contributors.where("name is not null").select("record_id", "name")
+    return waiting.join(named, ["record_id", "name"], "left_anti").join(named, "record_id", "left_semi").select("record_id", "candidate_id").distinct()
+
+
+def sidecar_dependencies(formats: DataFrame, sidecars: DataFrame, files: DataFrame) -> DataFrame:
+    """``record_id, path, kind, observed``: sidecars in the place that their kind asks for, of records whose formats share one folder.
+
+    formats: record_id, path. sidecars: record_id, path, kind. files: path. A sidecar that is a format itself is none;
+    ``observed`` tells whether it is among the files.
+    """
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    homes = formats.groupBy("record_id").agg(F.min(folder).alias("home"), F.max(folder).alias("other")).where("home = other").select("record_id", F.when(F.col("home") == "", "").otherwise(F.concat("home", F.lit("/"))).alias("home"))
+    rest = F.when(F.startswith(F.col("path"), F.col("home")), F.expr("substring(path, length(home) + 1)"))
+    placed = F.when(F.col("kind") == "METADATA_OPF", rest == "metadata.opf").when(F.col("kind") == "COVER", rest == "cover.jpg").when(F.col("kind") == "EXTRA_DATA", rest.startswith("data/")).otherwise(rest != "")
+    found = sidecars.select("record_id", "path", "kind").distinct().join(homes, "record_id").where(placed).join(formats.select("record_id", "path"), ["record_id", "path"], "left_anti")
+    seen = files.select("path").distinct().withColumn("observed", F.lit(True))
+    return found.join(seen, "path", "left").select("record_id", "path", "kind", F.coalesce("observed", F.lit(False)).alias("observed"))
+
+
 def volume_sets(names: DataFrame) -> DataFrame:
     """Multi-volume archives from ``parent, name``: stem, scheme, volumes, gaps in the numbers, and whether a number stands twice."""
     low = F.lower("name")

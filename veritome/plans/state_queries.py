@@ -161,6 +161,33 @@ def metadata_conflicts(spark, d):
     return planning.metadata_conflicts(records, seen)
 
 
+@query("""WITH c AS (SELECT o_orderkey AS candidate_id, o_custkey AS record_id, CASE WHEN o_orderkey % 3 = 0 THEN c_name ELSE 'Agent ' || cast(o_orderkey % 5 AS VARCHAR) END AS name, o_orderstatus, o_orderkey % 4 AS r FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT DISTINCT record_id, candidate_id FROM c JOIN customer ON record_id = c_custkey WHERE o_orderstatus <> 'F' AND r IN (0, 1) AND name <> c_name""")
+def authority_conflicts(spark, d):
+    customers, key = table(spark, d, "customer"), F.col("o_orderkey")
+    orders = table(spark, d, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    name = F.when(key % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Agent "), (key % 5).cast("string")))
+    candidates = orders.select(F.col("o_custkey").alias("record_id"), key.alias("candidate_id"), F.lit("AGENT").alias("kind"), name.alias("name"), F.when(F.col("o_orderstatus") == "F", "ACCEPTED").otherwise("REVIEW_REQUIRED").alias("disposition"))
+    state = F.element_at(F.array(*(F.lit(x) for x in ("PENDING", "DEFERRED", "CONFIRMED", "REJECTED"))), (key % 4 + 1).cast("int"))
+    return planning.authority_conflicts(customers.select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("name")), candidates, orders.select(key.alias("candidate_id"), state.alias("state")))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS record_id, 'r' || cast(l_orderkey AS VARCHAR) || CASE WHEN l_orderkey % 7 = 0 THEN '/v' || cast(l_linenumber % 2 AS VARCHAR) ELSE '' END AS home FROM lineitem),
+h AS (SELECT record_id, min(home) AS home FROM f GROUP BY 1 HAVING count(DISTINCT home) = 1), s AS (SELECT o_orderkey AS record_id, 'r' || cast(o_orderkey AS VARCHAR) AS root, o_orderkey % 4 AS k, o_orderkey % 5 AS e FROM orders),
+p AS (SELECT record_id, root || CASE WHEN e = 0 THEN '/other/x' WHEN k = 0 THEN '/metadata.opf' WHEN k = 1 THEN '/cover.jpg' WHEN k = 2 THEN '/data/a/b' ELSE '/notes.txt' END AS path, CASE k WHEN 0 THEN 'METADATA_OPF' WHEN 1 THEN 'COVER' WHEN 2 THEN 'EXTRA_DATA' ELSE 'OTHER' END AS kind FROM s)
+SELECT record_id, path, kind, record_id % 3 = 0 AS observed FROM p JOIN h USING (record_id) WHERE (kind = 'METADATA_OPF' AND path = home || '/metadata.opf') OR (kind = 'COVER' AND path = home || '/cover.jpg') OR (kind = 'EXTRA_DATA' AND starts_with(path, home || '/data/')) OR (kind = 'OTHER' AND starts_with(path, home || '/'))""")
+def sidecar_dependencies(spark, d):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    folder = F.when(k % 7 == 0, F.concat(F.lit("/v"), (n % 2).cast("string"))).otherwise(F.lit(""))
+    formats = table(spark, d, "lineitem").select(k.alias("record_id"), F.concat(F.lit("r"), k.cast("string"), folder, F.lit("/book"), n.cast("string")).alias("path"))
+    o = F.col("o_orderkey")
+    name, kind = F.lit("/notes.txt"), F.lit("OTHER")
+    for i, (x, y) in enumerate((("/metadata.opf", "METADATA_OPF"), ("/cover.jpg", "COVER"), ("/data/a/b", "EXTRA_DATA"))):
+        name, kind = F.when(o % 4 == i, x).otherwise(name), F.when(o % 4 == i, y).otherwise(kind)
+    found = table(spark, d, "orders").select(o.alias("record_id"), F.concat(F.lit("r"), o.cast("string"), F.when(o % 5 == 0, "/other/x").otherwise(name)).alias("path"), kind.alias("kind"))
+    return planning.sidecar_dependencies(formats, found, found.where("record_id % 3 = 0").select("path"))
+
+
 @query("""WITH v AS (SELECT cast(l_orderkey AS VARCHAR) AS parent, cast(l_linenumber AS BIGINT) AS volume FROM lineitem)
 SELECT parent, 'book' AS stem, CASE cast(parent AS BIGINT) % 3 WHEN 0 THEN 'ZIP' WHEN 1 THEN 'RAR_NEW' ELSE 'SEVEN_Z' END AS scheme, count(*) AS volumes, cast(max(volume) - count(DISTINCT volume) AS INTEGER) AS missing, CASE WHEN count(*) > count(DISTINCT volume) THEN 'NAME_COLLISION' WHEN max(volume) > count(DISTINCT volume) THEN 'MISSING_VOLUME' ELSE 'COMPLETE' END AS finding FROM v GROUP BY parent""")
 def volume_sets(spark, d):
