@@ -27,10 +27,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
-def _small(df: DataFrame, text: Column) -> DataFrame:
-    """With a broadcast hint if its rows and the bytes of ``text`` in them, counted here, are within the bounds."""
+def _fits(df: DataFrame, text: Column) -> bool:
+    """Whether the rows of ``df`` and the bytes of ``text`` in them, counted here, are within the bounds of a broadcast."""
     size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    return F.broadcast(df) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES else df
+    return size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -49,12 +49,15 @@ def _measured(base: DataFrame, items: DataFrame, item_key: str, item_text: str,
     # explode of one element: the optimiser would otherwise put the expression, and its work, wherever the words are used
     every = base.select("key", "h", F.explode(F.array(words(F.col("text")))).alias("w"))
     # rarity: how often the words of items stand in all documents
-    vocabulary = _small(parts.select("word").distinct(), F.col("word"))
+    vocabulary = parts.select("word").distinct()
+    vocabulary = F.broadcast(vocabulary) if _fits(vocabulary, F.col("word")) else vocabulary
     counted = every.select(F.explode("w").alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)), "word", "at")
     rare = parts.join(counted, "word", "left").groupBy("wid").agg(F.min(order).alias("r")).select("wid", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
     prefix = windows.withColumn("wid", F.xxhash64("window")).join(rare, "wid").select("word", "at", "item", "window", F.size("window").alias("n_window"))
-    found = every.select("key", "h", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).join(_small(prefix, F.concat("word", "item", F.array_join("window", " "))), "word")
+    # a row for each window, which holds its word: counted on the windows, as the words' counts would be made once more
+    prefix = F.broadcast(prefix) if _fits(windows, F.concat("item", F.array_join("window", " "))) else prefix
+    found = every.select("key", "h", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).join(prefix, "word")
     start = F.col("pos") - F.col("at")
     placed = found.where((start >= 0) & (start + F.col("n_window") <= F.col("n"))).groupBy("key", "h").agg(F.collect_set(F.struct(start.alias("s"), F.col("n_window").alias("n"), "item", "window")).alias("c"))
     c = placed.select(F.col("key").alias("c_key"), F.col("h").alias("c_h"), "c")
