@@ -93,11 +93,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(raw_transcripts(_table(spark, sf_dir, "conversations")))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_neighbours, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_chat)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_neighbours, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_chat, op11_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from veritome.llm import decontaminate
+    from veritome.llm import decontaminate, phrases
 
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}

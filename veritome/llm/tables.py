@@ -6,8 +6,10 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 _local: list[str] = []
@@ -102,3 +104,11 @@ def own_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each key with their ``rank`` from 1. The rows of a key are first cut down in parts by the hash of ``spread``, so no task meets all of them."""
+    part, rank = own_name(df, "part"), F.row_number()
+    shared = df.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(parts)))
+    few = shared.withColumn("rank", rank.over(Window.partitionBy(*keys, part).orderBy(*order))).where(F.col("rank") <= n).drop(part)
+    return few.withColumn("rank", rank.over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
