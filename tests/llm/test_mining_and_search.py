@@ -100,3 +100,139 @@ def test_phrase_scores_beyond_64_bits(spark, monkeypatch):
     counts = [("en", "", 0, n), ("en", "x", 1, l), ("en", "y", 1, r), ("en", "x y", 2, a)]
     monkeypatch.setattr(phrases, "frequent", lambda docs, *_: docs.sparkSession.createDataFrame(counts, "lang string, phrase string, m int, a long"))
     assert rows(phrases.collocations(spark.range(1).select(F.lit("").alias("text"))))[0][-1] == 1000 * a * n // (l * r)
+
+
+# 13: ranked search
+
+
+def ranked_by_hand(texts, items, most=10):
+    terms = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", lower(t))
+    docs = [(k, Counter(terms(t))) for k, t in texts]
+    docs = [(k, c, sum(c.values())) for k, c in docs if c]
+    big_n, big_l = len(docs), sum(n for *_, n in docs)
+    df = Counter(t for _, c, _ in docs for t in c)
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(terms(text))
+    found = []
+    for item, q in asked.items():
+        scores = []
+        for k, c, n in docs:
+            m = 10 + 90 * n * big_n // big_l
+            s = sum(math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in q if t in c)
+            scores += [(-s, k is None, k or 0)] if s > 0 else []
+        found += [(item, i, None if none else k, -s) for i, (s, none, k) in enumerate(sorted(scores)[:most], 1)]
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("tree_terms, pass_terms", [(20_000, 1_000_000), (5, 1_000_000), (20_000, 20)])
+def test_ranked_against_brute_force(spark, texts, tree_terms, pass_terms, monkeypatch):
+    from veritome.llm import lexical, words
+
+    monkeypatch.setattr(lexical, "TREE_TERMS", tree_terms)
+    monkeypatch.setattr(lexical, "CHUNK_ROWS", 60)
+    monkeypatch.setattr(lexical, "LEAF", 3)
+    monkeypatch.setattr(lexical, "FAN", 2)
+    monkeypatch.setattr(words, "CHUNK", 20_000)
+    held = [(t[0] if t[0] % 9 else t[0] // 2, t[1]) for t in texts] + [(k, "w1 w2 york") for k in range(900, 940)]  # ties over many leaves
+    items = [(i, t[1]) for i, t in enumerate(texts[:12])] + [(0, "w7 w9"), (90, "w1 york"), (91, "zzz nothing"), (92, None), (None, "É é ab")]
+    docs = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+    got = rows(lexical.ranked(docs, spark.createDataFrame(items, "item_id long, text string"), pass_terms=pass_terms))
+    assert sorted(got, key=repr) == ranked_by_hand(held, items)
+
+
+def test_ranked_odd_rows(spark, odd, empty):
+    from veritome.llm.lexical import ranked
+
+    items = spark.createDataFrame([(1, "one quick Fox"), (1, "one quick Fox"), (2, "テキスト"), (3, ""), (None, "and text")], "item_id long, text string")
+    assert sorted(rows(ranked(odd, items)), key=repr) == ranked_by_hand([(r[0], r[1]) for r in ODD], [tuple(r) for r in items.collect()])
+    assert rows(ranked(empty, items)) == []
+    assert rows(ranked(odd, items.where("false"))) == []
+    named = ranked(odd.withColumnRenamed("doc_id", "query"), items.withColumnRenamed("item_id", "key"), key="query", item_key="key")
+    assert named.columns == ["key", "rank", "query", "score"] and named.count() > 0
+    by_text = ranked(odd.withColumn("doc_id", odd.doc_id.cast("string")), items)
+    assert dict(by_text.dtypes)["doc_id"] == "string" and by_text.count() == named.count()
+
+
+# 12: mixing
+
+
+def words_of(text):
+    return re.findall("[^ \t-\r]+", text or "")
+
+
+def targets_by_hand(sizes):
+    """Shares by weight; the excess over three times a source's size is shared again among those below."""
+    total, names = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target = {s: total * weight[s] / sum(weight.values()) for s in names}
+    while any(target[s] > 3 * sizes[s] + 1e-6 for s in names):
+        excess = sum(max(0, target[s] - 3 * sizes[s]) for s in names)
+        below = [s for s in names if target[s] < 3 * sizes[s] - 1e-6]
+        target = {s: min(target[s], 3 * sizes[s]) + (excess * weight[s] / sum(weight[x] for x in below) if s in below else 0) for s in names}
+    return target
+
+
+def check_mix(given, got):
+    sizes = Counter()
+    for _, text, source in given:
+        sizes[source] += len(words_of(text))
+    want = targets_by_hand(sizes)
+    assert sorted(((k, n, s) for k, n, _, _, _, s in got), key=repr) == sorted(((k, len(words_of(t)), s) for k, t, s in given), key=repr)
+    held = Counter()
+    for _, size, source_size, target, n, source in got:
+        assert source_size == sizes[source] and target == pytest.approx(want[source]) and 0 <= n <= 3 * size
+        held[source] += n
+    assert all(abs(held[s] - want[s]) <= 0.5 + 1e-6 for s in sizes)
+
+
+@pytest.mark.parametrize("block, shard, bucket", [(1024, 4096, 20_000), (7, 16, 13), (1, 5, 3)])
+def test_mixing_against_targets(spark, texts, block, shard, bucket, monkeypatch):
+    from veritome.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    given = [(k, t, s) for k, t, _, s in texts]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    got = rows(mixing.taken(docs.repartition(3), block=block, shard=shard))
+    check_mix(given, got)
+    again = rows(mixing.taken(docs.orderBy(docs.text).repartition(5), block=block, shard=shard))
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    assert len({n / s for _, s, _, _, n, x in got if s and x == "a"}) > 1 or block == 1024
+
+
+def test_mixture_holds_what_is_taken(spark, texts):
+    from veritome.llm import mixing
+
+    given = [(k, " ".join(f"{k}:{i}" for i in range(len(words_of(t)))), s) for k, t, _, s in texts]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(4)
+    got = rows(mixing.mixture(docs, block=9, shard=20))
+    used = Counter(w.split(":")[0] for *_, text in got for w in text.split())
+    assert used == Counter({str(k): n for k, _, _, _, n, _ in rows(mixing.taken(docs, block=9, shard=20)) if n})
+    assert all(n == len(text.split()) and n <= 9 for *_, n, text in got)
+    assert max(Counter((s, b) for _, _, s, _, b, _, _ in got).values()) <= 4 and {t for _, _, _, t, *_ in got} <= {0, 1, 2, 3}
+    per_shard = Counter(s for s, *_ in got)
+    assert set(per_shard[s] for s in range(max(per_shard))) == {20} and all(sorted(p for s, p, *_ in got if s == i) == list(range(1, n + 1)) for i, n in per_shard.items())
+
+
+def test_permutations_are_whole():
+    import numpy as np
+
+    from veritome.llm.mixing import permuted
+
+    for n in (1, 2, 3, 5, 64, 65, 1000, 4097):
+        x = permuted(np.arange(n), np.full(n, n), np.full(n, 77, np.uint64))
+        assert sorted(x.tolist()) == list(range(n))
+        if n > 60:
+            assert x.tolist() != permuted(np.arange(n), np.full(n, n), np.full(n, 78, np.uint64)).tolist()
+            assert np.mean(np.abs(np.diff(x))) > n / 5
+
+
+def test_mixing_odd_rows(spark, odd, empty):
+    from veritome.llm.mixing import mixture, taken
+
+    check_mix([(r[0], r[1], r[3]) for r in ODD], rows(taken(odd)))
+    assert rows(taken(empty)) == [] and rows(mixture(empty)) == []
+    bare = odd.where("doc_id <= 2")
+    assert {r[4] for r in rows(taken(bare))} == {0} and rows(mixture(bare)) == []
+    assert taken(odd.withColumnRenamed("doc_id", "number"), key="number").count() == len(ODD)
+    assert mixture(odd).where("n_words <> size(split(text, ' '))").count() == 0

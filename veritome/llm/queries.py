@@ -99,11 +99,23 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.mixing import taken
+
+    return taken(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veritome.llm.lexical import ranked
+
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_neighbours, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_chat, op11_phrases)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_neighbours, op4_decontaminate, op5_simhash, op6_html_text, op7_token_files, op8_suffix_dedup, op9_toxicity, op10_chat, op11_phrases, op12_mixing, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from veritome.llm import decontaminate, phrases
+    from veritome.llm import decontaminate, lexical, phrases
 
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}

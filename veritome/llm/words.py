@@ -40,13 +40,13 @@ class Words:
     starts: np.ndarray
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in order, cut so that a chunk holds at most ``size`` bytes of ``column``, or one row."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, cut so that a chunk holds at most ``rows`` rows and ``size`` bytes of ``column``, or one row."""
     for batch in batches:
         lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
         start, held = 0, 0
         for i, n in enumerate(lengths.tolist()):
-            if held and held + n > size:
+            if held and held + n > size or i - start == rows:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
