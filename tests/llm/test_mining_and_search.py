@@ -74,9 +74,9 @@ def phrases_by_hand(texts, least, most):
 
 @pytest.mark.parametrize("cells", [1 << 12, 1 << 28])
 def test_phrases_against_brute_force(spark, texts, cells, monkeypatch):
-    from veritome.llm import phrases, words
+    from veritome.llm import phrases
 
-    monkeypatch.setattr(words, "CHUNK", 3000)
+    monkeypatch.setattr(phrases, "CHUNK", 3000)
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(5)
     got = sorted(rows(phrases.collocations(docs, least=12, rows=40, most_cells=cells)))
     assert got == phrases_by_hand([(t[1], t[2]) for t in texts], 12, 40)
@@ -127,13 +127,13 @@ def ranked_by_hand(texts, items, most=10):
 
 @pytest.mark.parametrize("tree_terms, pass_terms", [(20_000, 1_000_000), (5, 1_000_000), (20_000, 20)])
 def test_ranked_against_brute_force(spark, texts, tree_terms, pass_terms, monkeypatch):
-    from veritome.llm import lexical, words
+    from veritome.llm import lexical
 
     monkeypatch.setattr(lexical, "TREE_TERMS", tree_terms)
     monkeypatch.setattr(lexical, "CHUNK_ROWS", 60)
     monkeypatch.setattr(lexical, "LEAF", 3)
     monkeypatch.setattr(lexical, "FAN", 2)
-    monkeypatch.setattr(words, "CHUNK", 20_000)
+    monkeypatch.setattr(lexical, "CHUNK", 2_000)
     held = [(t[0] if t[0] % 9 else t[0] // 2, t[1]) for t in texts] + [(k, "w1 w2 york") for k in range(900, 940)]  # ties over many leaves
     items = [(i, t[1]) for i, t in enumerate(texts[:12])] + [(0, "w7 w9"), (90, "w1 york"), (91, "zzz nothing"), (92, None), (None, "É é ab")]
     docs = spark.createDataFrame(held, "doc_id long, text string").repartition(3)

@@ -25,8 +25,8 @@ from veritome.llm import decontaminate
 from veritome.llm.tables import Scratch, first_rows, written
 from veritome.llm.words import byte_classes, chunks, lower_bytes, words
 
-#: Rows for each query; documents in a leaf, nodes in a wider range; documents in a chunk at most.
-ROWS, LEAF, FAN, CHUNK_ROWS = 10, 32, 8, 8192
+#: Rows for each query; documents in a leaf, nodes in a wider range; documents and bytes of text in a chunk at most, or one longer text.
+ROWS, LEAF, FAN, CHUNK_ROWS, CHUNK = 10, 32, 8, 8192, 8 << 20
 #: Terms of queries, each counted once a query, that a pass over the documents takes, and that a chunk's trees hold at once.
 PASS_TERMS, TREE_TERMS = 1_000_000, 20_000
 #: Fixed values of the contract: bytes that make no term.
@@ -50,7 +50,7 @@ def _index(base: DataFrame, terms: list[str]) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = held.value
-        for chunk in chunks(batches, "text", rows=CHUNK_ROWS):
+        for chunk in chunks(batches, "text", CHUNK, CHUNK_ROWS):
             found = words(chunk.column("text"), byte_classes(APART), lower_bytes())
             known = np.array([number.get(t, -1) for t in found.dictionary.to_pylist()], np.int64)
             size = np.diff(found.starts)

@@ -28,6 +28,8 @@ LONGEST, LEAST, ROWS, SUBSUME = 5, 100, 2_000, 100
 DEPTH, MOST_CELLS, BLOCK = 2, 1 << 28, 1 << 18
 #: Share of the threshold that a cell holds of rare phrases on average while the sketch may still grow, and phrases to a byte of text at most.
 LOAD, DENSITY = 0.2, 0.65
+#: Bytes of text whose phrases are counted together before they are sent; a longer text is a chunk of its own.
+CHUNK = 3 << 20
 UNKNOWN = "und"
 #: Fixed values of the contract: bytes between words, and bytes that end a piece as well.
 GAPS, BREAKS = (0x20, 0x09), (*b".,;:!?", *range(0x0A, 0x0E))
@@ -82,18 +84,20 @@ def sketch(docs: DataFrame, bits: int, longest: int, least: int) -> DataFrame:
     block = min(BLOCK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             found, hashes, langs, lang = _read(chunk)
             at, h = np.arange(len(found.ids)), _start(hashes, found, langs, lang)
             touched = [_cells(h, bits).ravel()]
             for k in range(2, longest + 1):
                 _, at, h = _longer(found, hashes, at, h, k)
                 touched.append(_cells(h, bits).ravel())
-            cells = np.sort(np.concatenate(touched))
-            first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
-            n, cells = np.diff(np.append(first, len(cells))), cells[first].astype(np.int64)
-            cuts = np.flatnonzero(np.diff(cells // block)) + 1
-            parts = [(int(c[0] // block), _packed(np.diff(c, prepend=c[0] // block * block)), _packed(m)) for c, m in zip(np.split(cells, cuts), np.split(n, cuts), strict=True) if len(c)]
+            cells = np.concatenate(touched)
+            touched.clear()
+            cells.sort()
+            first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])).astype(np.uint32) if len(cells) else np.zeros(0, np.uint32)
+            n, cells = np.diff(first, append=np.uint32(len(cells))), cells[first]
+            cuts = np.flatnonzero(np.diff(cells // np.uint32(block))) + 1
+            parts = [(int(c[0]) // block, _packed(np.diff(c, prepend=np.uint32(int(c[0]) // block * block))), _packed(m)) for c, m in zip(np.split(cells, cuts), np.split(n, cuts), strict=True) if len(c)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())], names=["block", "cells", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", longest: i
                 good &= (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
             return good
 
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             found, hashes, langs, lang = _read(chunk)
             if not len(found.ids):
                 continue

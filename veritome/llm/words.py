@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are read at once; a longer text is a chunk of its own.
-CHUNK = 8 << 20
 WORD, GAP, BREAK = 0, 1, 2
 
 
@@ -40,8 +38,8 @@ class Words:
     starts: np.ndarray
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int = CHUNK, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in order, cut so that a chunk holds at most ``rows`` rows and ``size`` bytes of ``column``, or one row."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, size: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in order, cut so that a chunk holds at most ``rows`` rows and ``size`` bytes of ``column``, or one row that is longer."""
     for batch in batches:
         lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
         start, held = 0, 0
@@ -69,11 +67,11 @@ def words(texts: pa.Array, classes: np.ndarray, lower: np.ndarray) -> Words:
     first[begins] = inner[begins]
     starts = np.flatnonzero(first)
     places = np.searchsorted(starts, offsets)
-    held = np.append(np.cumsum(inner)[starts] - 1, np.count_nonzero(inner)).astype(np.int64)
+    held = np.append(np.cumsum(inner, dtype=np.int32)[starts] - 1 if len(read) < 1 << 31 else np.cumsum(inner)[starts] - 1, np.count_nonzero(inner)).astype(np.int64)
     letters = lower[read[inner]]
     flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(held), pa.py_buffer(letters)]).dictionary_encode()
     text = np.repeat(np.arange(len(whole), dtype=np.int64), np.diff(places))
-    piece = (np.cumsum(kind == BREAK)[starts] if len(starts) else np.zeros(0, np.int64)) + text
+    piece = (np.searchsorted(np.flatnonzero(kind == BREAK), starts) if len(starts) else np.zeros(0, np.int64)) + text
     return Words(flat.indices.to_numpy().astype(np.int64), flat.dictionary.cast(pa.large_string()), text, piece, places)
 
 
