@@ -195,7 +195,7 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         low = F.col("start") - F.col("block") * block
         inside = lambda to: F.greatest(F.lit(0), F.least(low + F.col("size"), to) - F.greatest(low, F.lit(0)))
         some = F.aggregate(F.coalesce("lengths", F.array().cast("array<struct<words:bigint,n:bigint>>")), F.lit(0).cast("long"), lambda acc, x: acc + x["n"] * inside(F.least(x["words"], length)))
-        found = _numbered(packed, plan, block).join(slots, ["number", "block"], "left").withColumn("some", some)
+        found = _numbered(packed, plan, block).join(slots.hint("merge"), ["number", "block"], "left").withColumn("some", some)
         # a document with words is known by its place; rows without have no place of their own
         held = found.where("size > 0").groupBy("number", "start").agg(*(F.first(c).alias(c) for c in ("key", "size", "source_size", "target", "source")), F.sum("some").alias("taken"))
         none = found.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
