@@ -77,6 +77,8 @@ def test_phrases_against_brute_force(spark, texts, cells, monkeypatch):
     from veritome.llm import phrases
 
     monkeypatch.setattr(phrases, "CHUNK", 3000)
+    monkeypatch.setattr(phrases, "LEAST_CELLS", 1 << 12)
+    monkeypatch.setattr(phrases, "HELD", 500)
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(5)
     got = sorted(rows(phrases.collocations(docs, least=12, rows=40, most_cells=cells)))
     assert got == phrases_by_hand([(t[1], t[2]) for t in texts], 12, 40)

@@ -9,7 +9,7 @@ candidates are scored by their weakest cut, subsumed by longer ones, and ranked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,10 @@ from veritome.llm.words import Words, byte_classes, chunks, lower_bytes, mixed,
 
 #: Words in a phrase at most; the least frequency; rows for each language; percentage of a phrase's count at which a longer one subsumes it.
 LONGEST, LEAST, ROWS, SUBSUME = 5, 100, 2_000, 100
-#: Rows of the sketch; cells of a row at most, which bounds the bitmap to 64 MB; cells of a block.
-DEPTH, MOST_CELLS, BLOCK = 2, 1 << 28, 1 << 18
+#: Rows of the sketch; cells of a row at least and at most, so the bitmap has 8 to 64 MB; cells of a block.
+DEPTH, LEAST_CELLS, MOST_CELLS, BLOCK = 2, 1 << 25, 1 << 28, 1 << 18
+#: Counted phrases that a task holds before it sends them; bytes of text for which there is a bucket of phrases.
+HELD, BUCKET_BYTES = 1_000_000, 16 << 20
 #: Share of the threshold that a cell holds of rare phrases on average while the sketch may still grow, and phrases to a byte of text at most.
 LOAD, DENSITY = 0.2, 0.65
 #: Bytes of text whose phrases are counted together before they are sent; a longer text is a chunk of its own.
@@ -124,7 +126,7 @@ def sketch(docs: DataFrame, bits: int, longest: int, least: int) -> DataFrame:
 
 def _bits(size: int, least: int, most: int) -> int:
     """Binary logarithm of the cells in a row, for so many bytes of text."""
-    cells = min(most, max(1 << 12, size * DENSITY / (LOAD * least)))
+    cells = min(most, max(LEAST_CELLS, size * DENSITY / (LOAD * least)))
     return int(np.ceil(np.log2(cells)))
 
 
@@ -144,47 +146,99 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", longest: i
         whole[row["block"] * block // 8 : (row["block"] + 1) * block // 8] = np.frombuffer(row["passed"], np.uint8)
     passed = spark.sparkContext.broadcast(whole)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = passed.value
+    buckets = max(32, size // BUCKET_BYTES)
 
-        def passes(h: np.ndarray) -> np.ndarray:
-            good = np.ones(len(h), bool)
-            for cells in _cells(h, bits):
-                good &= (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-            return good
+    def passes(h: np.ndarray) -> np.ndarray:
+        good = np.ones(len(h), bool)
+        for cells in _cells(h, bits):
+            good &= (passed.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+        return good
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for chunk in chunks(batches, "text", CHUNK):
-            found, hashes, langs, lang = _read(chunk)
-            if not len(found.ids):
-                continue
-            spoken = np.bincount(lang, minlength=len(langs))
-            yield _counted(langs, np.flatnonzero(spoken), pa.array([""] * np.count_nonzero(spoken), pa.string()), 0, spoken[spoken > 0])
-            at, h = np.arange(len(found.ids)), _start(hashes, found, langs, lang)
-            group, short = lang, None  # numbers of the phrases without their last word; where the phrases one shorter passed
-            for k in range(1, longest + 1):
-                if k > 1:
-                    kept, at, h = _longer(found, hashes, at, h, k)
-                    group = group[kept]
-                good = passes(h)
-                if short is not None:  # a phrase is no more frequent than its parts; its beginning has passed already
-                    good &= short[at + 1]
-                at, h, group = at[good], h[good], group[good]
-                if not len(at):
-                    break
-                # numbered anew each time, by what they are and not by their hashes
-                _, first, group, n = np.unique(group * len(found.dictionary) + found.ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                place = at[first]
-                said = [found.dictionary.take(pa.array(found.ids[place + i])) for i in range(k)]
-                yield _counted(langs, lang[place], pc.binary_join_element_wise(*said, pa.scalar(" ", pa.large_string())).cast(pa.string()), k, n)
-                short = np.zeros(len(found.ids) + 1, bool)
-                short[at] = True
-
-    counted = base.mapInArrow(count, "lang string, phrase string, m int, a long").groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a"))
-    return counted.where((F.col("m") == 0) | (F.col("a") >= least))
-
-
-def _counted(langs: list[str], lang: np.ndarray, phrase: pa.Array, m: int, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), phrase, pa.array(np.full(len(n), m), pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "m", "a"])
+            held += _survivors(chunk, longest, passes)
+            if sum(map(len, held)) > HELD:
+                held = [_summed(held)]
+                if len(held[0]) > HELD // 2:
+                    yield _dealt(held.pop(), buckets)
+        if held:
+            yield _dealt(_summed(held), buckets)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            whole = _summed(held)
+            yield from whole.filter(pc.or_(pc.equal(whole.column("m"), 0), pc.greater_equal(whole.column("a"), least))).to_batches()
+
+        for batch in batches:
+            for i, b in enumerate(batch.column("bucket").to_pylist()):
+                if b != now and held:
+                    yield from done()
+                    held = []
+                now = b
+                held.append(pa.table({c: batch.column(c)[i].values for c in COUNTED}))
+                if sum(map(len, held)) > HELD:
+                    held = [_summed(held)]
+        if held:
+            yield from done()
+
+    sent = base.mapInArrow(count, "bucket int, lang array<string>, phrase array<string>, m array<int>, a array<long>")
+    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "lang string, phrase string, m int, a long")
+
+
+def _survivors(chunk: pa.RecordBatch, longest: int, passes: Callable[[np.ndarray], np.ndarray]) -> list[pa.Table]:
+    """Exact counts in a chunk of the phrases that the sketch lets pass, and of all words by language."""
+    found, hashes, langs, lang = _read(chunk)
+    if not len(found.ids):
+        return []
+    spoken = np.bincount(lang, minlength=len(langs))
+    counted = [_counted(langs, np.flatnonzero(spoken), pa.array([""] * np.count_nonzero(spoken), pa.string()), 0, spoken[spoken > 0])]
+    at, h = np.arange(len(found.ids)), _start(hashes, found, langs, lang)
+    group, short = lang, None  # numbers of the phrases without their last word; where the phrases one shorter passed
+    for k in range(1, longest + 1):
+        if k > 1:
+            kept, at, h = _longer(found, hashes, at, h, k)
+            group = group[kept]
+        good = passes(h)
+        if short is not None:  # a phrase is no more frequent than its parts; its beginning has passed already
+            good &= short[at + 1]
+        at, h, group = at[good], h[good], group[good]
+        if not len(at):
+            break
+        # numbered anew each time, by what they are and not by their hashes
+        _, first, group, n = np.unique(group * len(found.dictionary) + found.ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+        place = at[first]
+        said = [found.dictionary.take(pa.array(found.ids[place + i])) for i in range(k)]
+        counted.append(_counted(langs, lang[place], pc.binary_join_element_wise(*said, pa.scalar(" ", pa.large_string())).cast(pa.string()), k, n))
+        short = np.zeros(len(found.ids) + 1, bool)
+        short[at] = True
+    return counted
+
+
+COUNTED = ("lang", "phrase", "m", "a")
+
+
+def _counted(langs: list[str], lang: np.ndarray, phrase: pa.Array, m: int, n: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(langs, pa.string()).take(pa.array(lang)), phrase, pa.array(np.full(len(n), m), pa.int32()), pa.array(n, pa.int64())], names=COUNTED)
+
+
+def _summed(held: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(held).group_by(list(COUNTED[:3]), use_threads=False).aggregate([("a", "sum")])
+    return whole.rename_columns([*COUNTED[:3], "a"]).combine_chunks()
+
+
+def _dealt(whole: pa.Table, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket, by the hash of the phrase, with all its phrases in order."""
+    bucket = (_hashed(whole.column("phrase")) % np.uint64(buckets)).astype(np.int32)
+    order = pc.sort_indices(whole.append_column("bucket", pa.array(bucket)), [("bucket", "ascending"), ("phrase", "ascending")])
+    whole, bucket = whole.take(order).combine_chunks(), bucket[order.to_numpy()]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(starts, len(bucket)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, whole.column(c).chunk(0) if whole.num_rows else pa.array([], whole.schema.field(c).type)) for c in COUNTED]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), *lists], names=["bucket", *COUNTED])
 
 
 def _whole(x: Column) -> Column:
