@@ -74,23 +74,35 @@ def classification_rule(x: str) -> str:
     return unicodedata.normalize("NFC", _spaced(x).casefold())
 
 
-def _applied(rule):
+def is_ascii(value: Column) -> Column:
+    return F.length(value) == F.octet_length(value)
+
+
+def _plain_spaced(value: Column) -> Column:
+    """``_spaced`` of ASCII text: what Python counts as white space there."""
+    return F.trim(F.regexp_replace(value, r"[\x09-\x0D\x1C-\x20]+", " "))
+
+
+def _applied(rule, plain=None):
+    """The rule as a column. plain: what it comes to for ASCII text, which then stays in the JVM; Python gets nulls in its place."""
     udf = _each(rule)
 
     def column(value: Column) -> Column:
-        return udf(value)
+        if plain is None:
+            return udf(value)
+        return F.coalesce(F.when(is_ascii(value), plain(value)), udf(F.when(~is_ascii(value), value)))
 
     return column
 
 
-query_value = _applied(query_value_rule)
-normal_text = _applied(text_rule)
+query_value = _applied(query_value_rule, lambda x: _plain_spaced(F.lower(x)))
+normal_text = _applied(text_rule, _plain_spaced)
 agent_key = _applied(agent_key_rule)
 agent_name = _applied(agent_name_rule)
 title = _applied(title_rule)
 identifier = _applied(identifier_rule)
 identifier_key = _applied(identifier_key_rule)
-classification_value = _applied(classification_rule)
+classification_value = _applied(classification_rule, lambda x: F.lower(_plain_spaced(x)))
 
 
 def text_fingerprint(text: Column) -> Column:

@@ -95,10 +95,12 @@ def reusable_decision(decisions: DataFrame, wanted: DataFrame, keys: Sequence[st
     return wanted.join(newest.select(*keys, "decision", "decision_id"), list(keys))
 
 
-def dense_ordinals(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Contiguous ``ordinal`` from 0 in a total order without one task that sees all rows: a range sort, and each part's offset."""
+def dense_ordinals(rows: DataFrame, order: Sequence[str], held: list | None = None) -> DataFrame:
+    """Contiguous ``ordinal`` from 0 in a total order without one task that sees all rows: a range sort, and each part's offset. The sorted rows stay persisted; ``held`` gets them, so that who calls can release them."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).withColumn("in__", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     parts = parts.persist()  # one plan for both uses: another one would sample other range bounds
+    if held is not None:
+        held.append(parts)
     sizes = sorted((r["part__"], r["n"]) for r in parts.groupBy("part__").agg(F.count("*").alias("n")).collect())  # a row for each partition
     offsets, total = [], 0
     for part, n in sizes:

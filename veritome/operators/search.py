@@ -7,11 +7,12 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from veritome.functions.unicode import query_value, query_value_rule
+from veritome.functions.unicode import is_ascii, query_value, query_value_rule
 
 # The language's fields by kind of value, its bounds and its name.
 OPAQUE = ("FILE_ID", "OBSERVATION_ID")
@@ -103,9 +104,16 @@ def words(value: str) -> list[str]:
     return re.findall(r"[^\W_]+", plain)
 
 
-@F.udf(ArrayType(StringType()), useArrow=True)
-def _words(value):
-    return [] if value is None else words(value)
+@F.pandas_udf(ArrayType(StringType()))
+def _words(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else words(x))
+
+
+def value_words(value: Column) -> Column:
+    """Words of each value; none of null. ASCII stays in the JVM, only other values go to Python."""
+    plain = is_ascii(value)
+    native = F.array_remove(F.split(F.lower(value), "[^a-z0-9]+"), "")
+    return F.coalesce(F.when(plain, native), _words(F.when(~plain, value)), F.array().cast("array<string>"))
 
 
 def index(values: DataFrame, cap: int = METADATA_CAP) -> DataFrame:
@@ -115,7 +123,7 @@ def index(values: DataFrame, cap: int = METADATA_CAP) -> DataFrame:
     w = Window.partitionBy("file_id", meta)
     ranked = normal.withColumn("n", F.row_number().over(w.orderBy("field", "value"))).withColumn("left_out", F.when(meta, F.greatest(F.count("*").over(w) - cap, F.lit(0))).otherwise(F.lit(0)))
     kept = ranked.where(~meta | (F.col("n") <= cap))
-    return kept.select("file_id", "field", "value", F.when(meta, _words("value")).alias("words"), "left_out")
+    return kept.select("file_id", "field", "value", F.when(meta, value_words(F.col("value"))).alias("words"), "left_out")
 
 
 def _test(p: Predicate) -> Column:
