@@ -54,3 +54,26 @@ def relocations(missing: DataFrame, new: DataFrame, fingerprints: DataFrame) ->
     best = single.groupBy("source_id", "target_id").agg(F.max_by(F.struct("kind", "value"), F.struct("rank", "value")).alias("e"))
     named = best.join(missing.select(F.col("file_id").alias("source_id"), F.col("relative_path").alias("before")), "source_id").join(new.select(F.col("file_id").alias("target_id"), F.col("relative_path").alias("after")), "target_id")
     return named.select("source_id", "target_id", F.col("e.kind").alias("evidence"), F.col("e.value").alias("value"), path_change(F.col("before"), F.col("after")).alias("change"))
+
+
+def lineage(runs: DataFrame, rounds: int = 40) -> DataFrame:
+    """``run_id, first_run, resumptions`` from ``run_id, resumed_from``: where a chain of resumed runs began, and how many resumptions lie between.
+
+    Ways double in each round, so a chain of n runs takes log n joins. A run that is resumed from an unknown one begins its
+    own chain. A circle, which no chain of at most 2^rounds runs is, raises. Every round is written to the shared folder.
+    """
+    from veritome.sources.shared import new_path
+
+    spark = runs.sparkSession
+    known = runs.select(F.col("run_id").alias("parent"))
+    way = runs.select("run_id", F.col("resumed_from").alias("parent")).join(known.withColumn("known", F.lit(True)), "parent", "left")
+    way = way.select("run_id", F.when(F.col("known"), F.col("parent")).alias("next"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"), F.when(F.col("known"), F.col("parent")).otherwise(F.col("run_id")).alias("first_run"))
+    for _ in range(rounds):
+        path = new_path(spark, "lineage")
+        way.write.parquet(path)
+        way = spark.read.parquet(path)
+        if way.where("next is not null").isEmpty():
+            return way.select("run_id", "first_run", F.col("steps").alias("resumptions"))
+        on = way.select(F.col("run_id").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("first_run").alias("first"))
+        way = way.join(on, "next", "left").select("run_id", F.col("after").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("first", "first_run").alias("first_run"))
+    raise ValueError("runs resume each other in a circle")
