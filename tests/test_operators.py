@@ -137,6 +137,11 @@ def test_size_breaks_ties_only_by_policy(spark):
     df = spark.createDataFrame([("g", 1, 0, 0, 0, "EPUB", 10, False), ("g", 2, 0, 0, 0, "EPUB", 5, False)], "group_id string, file_id int, incomplete int, action_required int, review int, format string, size_bytes int, blocked boolean")
     assert rows(evidence.keep_preference(df)) == [("g", "TIED", "TIED", None)]
     assert rows(evidence.keep_preference(df, "PREFER_SMALLER")) == [("g", "PREFERRED", "SIZE_TIE_BREAKER", 2)]
+    mixed = df.withColumn("format", F.when(F.col("file_id") == 1, "PDF").otherwise("MOBI"))
+    assert rows(evidence.keep_preference(mixed)) == [("g", "TIED", "TIED", None)]  # no format is preferred unless one is named
+    assert rows(evidence.keep_preference(mixed, formats=("PDF",))) == [("g", "PREFERRED", "PREFERRED_FORMAT", 1)]
+    assert rows(evidence.keep_preference(mixed, formats=("MOBI", "PDF"))) == [("g", "PREFERRED", "PREFERRED_FORMAT", 2)]
+    assert rows(evidence.keep_preference(mixed, formats=("EPUB",))) == [("g", "TIED", "TIED", None)]
 
 
 def test_snapshot_digest_changes_with_a_state(spark):
@@ -238,8 +243,6 @@ def test_stream_ends_as_batches_do(spark, tmp_path):
 
 
 def test_planning_rules(spark):
-    volumes = spark.createDataFrame([("p", "B.part1.rar"), ("p", "b.part3.rar"), ("p", "c.r00"), ("p", "c.r01"), ("p", "d.7z.001"), ("p", "d.7z.001")], "parent string, name string")
-    assert {(r.stem, r.missing, r.finding) for r in planning.volume_sets(volumes).collect()} == {("b", 1, "MISSING_VOLUME"), ("c", 0, "COMPLETE"), ("d", 0, "NAME_COLLISION")}
     checks = spark.createDataFrame([("COMPLETE",), ("PENDING",), ("INVALID",)], "state string")
     assert rows(planning.verification(checks)) == [("INVALID", 2)]
     assert rows(planning.verification(checks.where("false"))) == [("COMPLETE", 0)]
@@ -306,7 +309,7 @@ def test_snapshot_sides_from_item_states(spark):
     """Blocked by a conflict in consolidation or quarantine; evidence counts if current."""
     old = spark.createDataFrame([(1, "ANALYSIS", "STALE"), (1, "QUARANTINE", "CURRENT"), (2, "REVIEW", "MISSING")], "file_id int, component string, state string")
     new = spark.createDataFrame([(1, "ANALYSIS", "CURRENT_CONFLICT"), (1, "QUARANTINE", "STALE_CONFLICT"), (2, "REVIEW", "CURRENT")], "file_id int, component string, state string")
-    sides = [state.diffable(x, spark.createDataFrame([(1, "t"), (2, "t")], "file_id int, technical string")) for x in (old, new)]
+    sides = [state.diffable(x, spark.createDataFrame([(1, 1, "EPUB", 1, "t"), (2, 2, "EPUB", 1, "t")], "file_id int, observation_id int, format_name string, size_bytes int, technical string")) for x in (old, new)]
     assert {r["file_id"]: sorted(r["categories"]) for r in state.diff(*sides).collect()} == {1: ["NEWLY_ANALYZED", "NEWLY_BLOCKED"], 2: ["NEWLY_REVIEWED"]}
 
 
@@ -322,3 +325,64 @@ def test_large_identity_block_is_a_star_of_all_members(spark):
     made = matching.blocks(told)
     assert made.first()["status"] == "SECONDARY_REQUIRED"
     assert sorted(tuple(r)[:2] for r in matching.pairs(made, told).collect()) == [(0, i) for i in range(1, 300)]
+
+
+@pytest.mark.parametrize(
+    "names, told",
+    [
+        (["B.part1.rar", "B.part2.rar"], {("b", "LISTED", "B.part1.rar", 2)}),
+        (["B.part1.rar", "b.part2.rar"], {("b", "AMBIGUOUS_VOLUME", None, 2)}),
+        (["b.part01.rar", "b.part2.rar"], {("b", "AMBIGUOUS_VOLUME", None, 2)}),
+        (["b.part1.rar", "b.part3.rar"], {("b", "MISSING_VOLUME", None, 2)}),
+        (["b.part2.rar"], {("b", "MISSING_VOLUME", None, 1)}),
+        (["b.part1.rar", "b.rar"], {("b", "AMBIGUOUS_VOLUME", None, 1)}),
+        (["b.part1.rar", "b.7z.001"], {("b", "AMBIGUOUS_VOLUME", None, 2)}),
+        (["c.rar", "c.r00", "c.r01"], {("c", "LISTED", "c.rar", 3)}),
+        (["C.rar", "c.r00"], {("c", "AMBIGUOUS_VOLUME", None, 2)}),
+        (["c.r00", "c.r01"], {("c", "ORPHAN_VOLUME", None, 2)}),
+        (["c.rar", "c.r01"], {("c", "MISSING_VOLUME", None, 2)}),
+        (["d.7z.001", "d.7z.002"], {("d", "LISTED", "d.7z.001", 2)}),
+        (["e.z01", "e.zip", "e.z02"], {("e", "UNSUPPORTED_FORMAT", "e.zip", 3)}),
+        (["e.z01"], {("e", "ORPHAN_VOLUME", None, 1)}),
+        (["e.zip.001"], set()),
+        (["f.epub", "F.EPUB", "g.tar.gz", "h.txt"], {("f.epub", "NAME_COLLISION", None, 2), ("g.tar.gz", "LISTED", "g.tar.gz", 1)}),
+        ([f"l.part{i:03}.rar" for i in range(1, 258)], {("l", "UNSUPPORTED_VOLUME", None, 257)}),
+        (["straße.part1.rar", "STRASSE.part1.rar"], {("strasse.part1.rar", "NAME_COLLISION", None, 2)}),
+    ],
+)
+def test_volume_sets(spark, names, told):
+    found = planning.volume_sets(spark.createDataFrame([("p", n) for n in names] + [("other", "x.r00")], "parent string, name string"))
+    assert {tuple(r) for r in found.where("parent = 'p'").drop("parent").collect()} == told
+
+
+def test_name_based_uuids_and_gradients(spark):
+    import uuid
+
+    from veritome.functions import scalars
+
+    df = spark.createDataFrame([("",), ("a",), ("größe",)], "x string")
+    assert [r[0] for r in df.select(scalars.name_based_uuid(F.col("x"), str(uuid.NAMESPACE_URL))).collect()] == [str(uuid.uuid5(uuid.NAMESPACE_URL, x)) for x in ("", "a", "größe")]
+    grid = [[(7 * y + 5 * x * x) % 11 for x in range(9)] for y in range(8)]
+    want = "".join("01"[grid[y][x] > grid[y][x + 1]] for y in range(8) for x in range(8))
+    assert spark.createDataFrame([([c for row in grid for c in row],)], "c array<int>").select(scalars.gradient_hash(F.col("c"))).first()[0] == want
+
+
+def test_archive_paths_composed_otherwise_collide(spark):
+    listed = [("a", 1, "Ä/x", 1, 1, "REGULAR_FILE"), ("a", 2, "a\u0308/X", 1, 1, "REGULAR_FILE"), ("b", 1, "ß", 1, 1, "REGULAR_FILE"), ("b", 2, "SS/x", 1, 1, "REGULAR_FILE")]
+    got = {r.archive_id: r.violation for r in planning.archive_safety(spark.createDataFrame(listed, "archive_id string, ordinal long, path string, size long, packed long, kind string")).collect()}
+    assert got == {"a": "PATH_COLLISION", "b": "PARENT_CHILD_CONFLICT"}
+
+
+def test_technical_change(spark):
+    names = "file_id int, observation_id int, format_name string, size_bytes int, technical string, analysis boolean, resolution boolean, review boolean, quarantine boolean"
+    side = lambda *rows: spark.createDataFrame([(*r, False, False, False, False) for r in rows], names)
+    before = side((1, 1, "EPUB", 5, "t"), (2, 1, "EPUB", 5, "t"), (3, 1, "EPUB", 5, "t"), (4, 1, "EPUB", 5, "t"))
+    after = side((1, 1, "EPUB", 5, "u"), (2, 2, "EPUB", 5, "u"), (3, 2, "PDF", 5, "t"), (4, 2, "EPUB", 6, "t"))
+    assert {r["file_id"] for r in state.diff(before, after).collect()} == {1, 3, 4}  # another observation's digest tells nothing
+
+
+def test_sidecars_beyond_the_limit(spark):
+    files = spark.createDataFrame([(f"d/{i}.nfo",) for i in range(4)] + [("e/1.nfo",), ("e/x.epub",)], "path string")
+    archives = spark.createDataFrame([("d/a.rar",), ("d/b.rar",), ("e/c.rar",), ("f/d.rar",)], "path string")
+    got = sorted(rows(planning.sidecar_inventory(archives, files, 3)))
+    assert got == [("d/a.rar", "LIMIT_EXCEEDED", None, None, 4), ("d/b.rar", "LIMIT_EXCEEDED", None, None, 4), ("e/c.rar", "LISTED", "1.nfo", "NFO", 1)]

@@ -68,11 +68,10 @@ def hamming64(left: Column, right: Column) -> Column:
 
 
 def gradient_hash(cells: Column, rows: int = 8, columns: int = 8) -> Column:
-    """Bits left > right along the rows of a grid of numbers, the last column against the first of the row, as a bit string."""
+    """Bits left > right along the rows of a grid of numbers, as a bit string: a row of nine cells makes eight bits."""
     def bit(i: Column) -> Column:
-        left = F.get(cells, i)
-        right = F.get(cells, F.when((i + 1) % columns == 0, i + 1 - columns).otherwise(i + 1))
-        return F.when(left > right, F.lit("1")).otherwise(F.lit("0"))
+        at = F.floor(i / columns).cast("int") * (columns + 1) + i % columns
+        return F.when(F.get(cells, at) > F.get(cells, at + 1), F.lit("1")).otherwise(F.lit("0"))
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), bit), "")
 
@@ -172,8 +171,8 @@ def freshness(now: Column, fresh_until: Column, expires_at: Column) -> Column:
     return F.when(now < fresh_until, F.lit("FRESH")).when(now < expires_at, F.lit("STALE")).otherwise(F.lit("EXPIRED"))
 
 
-def name_based_uuid(digest_hex: Column, domain: str) -> Column:
-    """A version 5 UUID from the SHA-1 of a domain tag and a digest."""
-    h = F.sha1(F.concat(F.lit(domain), digest_hex))
+def name_based_uuid(name: Column, namespace: str) -> Column:
+    """The version 5 UUID of a name: from the SHA-1 of the namespace's 16 bytes and the name in UTF-8."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

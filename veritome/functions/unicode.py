@@ -95,6 +95,13 @@ def _applied(rule, plain=None):
     return column
 
 
+def folded_rule(x: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold())
+
+
+#: Names that are one on a file system without case and with composed characters. None of what either step changes is a slash.
+folded = _applied(folded_rule, F.lower)
+casefolded = _applied(str.casefold, F.lower)
 query_value = _applied(query_value_rule, lambda x: _plain_spaced(F.lower(x)))
 normal_text = _applied(text_rule, _plain_spaced)
 agent_key = _applied(agent_key_rule)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How many values a dimension may hold.
 CARDINALITY = (("DOMAIN", 1), ("GENRE", 8), ("SUBGENRE", 16), ("TOPIC", 32), ("AUDIENCE", 4), ("LANGUAGE", 8), ("FORM", 4))
 SHORT_TEXT = 2000
-# Order in which a format is preferred.
-FORMAT_RANK = (("EPUB", 0), ("AZW3", 1), ("MOBI", 2), ("AZW", 3), ("PDF", 4))
 
 
 def equal_state(left: Column, right: Column) -> Column:
@@ -67,15 +67,15 @@ def quality_status(findings: DataFrame, items: DataFrame) -> DataFrame:
     return items.join(worst, "item_id", "left").select("item_id", named.alias("status"))
 
 
-def keep_preference(candidates: DataFrame, size: str = "DISABLED") -> DataFrame:
+def keep_preference(candidates: DataFrame, size: str = "DISABLED", formats: Sequence[str] = ()) -> DataFrame:
     """One row for each group: the file to keep, and why.
 
     candidates: group_id, file_id, incomplete, action_required, review (counts), format,
     size_bytes, blocked. Fewer incomplete dimensions win, then fewer that require action, then
-    fewer to review, then the format, then the size if a policy says so; equals are TIED. A blocked file blocks its group.
+    fewer to review, then the format by its place in ``formats`` (those not in it come last and are equal), then the size if a policy says so; equals are TIED. A blocked file blocks its group.
     """
-    rank = F.lit(9)
-    for name, n in FORMAT_RANK:
+    rank = F.lit(len(formats))
+    for n, name in enumerate(formats):
         rank = F.when(F.col("format") == name, n).otherwise(rank)
     by_size = {"DISABLED": F.lit(0), "PREFER_SMALLER": F.col("size_bytes"), "PREFER_LARGER": -F.col("size_bytes")}[size].cast("long")
     order = F.struct(F.col("incomplete").cast("long").alias("a"), F.col("action_required").cast("long").alias("b"), F.col("review").cast("long").alias("c"), rank.cast("long").alias("d"), by_size.alias("e"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritome.functions.unicode import casefolded, folded
+
 # Limits of an archive that is accepted, and sidecar kinds by file name.
 MEMBERS, TOTAL_BYTES, MEMBER_BYTES, RATIO = 10_000, 8 << 30, 2 << 30, 1000
 PATH_CHARACTERS, PATH_BYTES, PATH_PARTS, NAME_CHARACTERS = 1024, 4096, 128, 1024
@@ -67,21 +69,59 @@ def sidecar_dependencies(formats: DataFrame, sidecars: DataFrame, files: DataFra
     return found.join(seen, "path", "left").select("record_id", "path", "kind", F.coalesce("observed", F.lit(False)).alias("observed"))
 
 
+# How parts of an archive are named, the suffix of a head or rival, the first number, whether the head belongs to the parts, and what a whole set is.
+VOLUMES = (
+    ("NEW_RAR", r"(?i)^(.+)\.part([0-9]{1,6})\.rar$", ".rar", 1, False, "LISTED"),
+    ("SEVEN_Z", r"(?i)^(.+)\.7z\.([0-9]{3,6})$", ".7z", 1, False, "LISTED"),
+    ("OLD_RAR", r"(?i)^(.+)\.r([0-9]{2})$", ".rar", 0, True, "LISTED"),
+    ("SPLIT_ZIP", r"(?i)^(.+)\.z([0-9]{2})$", ".zip", 1, True, "UNSUPPORTED_FORMAT"),
+)
+MOST_VOLUMES = 256
+ARCHIVE_SUFFIX = r"\.(epub|cbz|cbr|zip|rar|r[0-9]{2}|7z|7z\.[0-9]{3,6}|tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|txz|tar\.zst|tzst|arj|cab|exe|iso|wim|gz|bz2|xz|zst|z01|z02)$"
+
+
 def volume_sets(names: DataFrame) -> DataFrame:
-    """Multi-volume archives from ``parent, name``: stem, scheme, volumes, gaps in the numbers, and whether a number stands twice."""
-    low = F.lower("name")
-    scheme = F.when(low.rlike(r"\.part[0-9]+\.rar$"), F.lit("RAR_NEW")).when(low.rlike(r"\.7z\.[0-9]{3}$"), F.lit("SEVEN_Z")).when(low.rlike(r"\.zip\.[0-9]{3}$"), F.lit("ZIP")).when(low.rlike(r"\.r[0-9]{2}$"), F.lit("RAR_OLD"))
-    stem = F.regexp_replace(low, r"(\.part[0-9]+\.rar|\.7z\.[0-9]{3}|\.zip\.[0-9]{3}|\.r[0-9]{2})$", "")
-    number = F.regexp_extract(low, r"(?:\.part([0-9]+)\.rar|\.(?:7z|zip)\.([0-9]{3})|\.r([0-9]{2}))$", 0)
-    digits = F.regexp_extract(F.regexp_replace(number, r"^\.7z|\.rar$", ""), "([0-9]+)$", 1)
-    volumes = names.select("parent", stem.alias("stem"), scheme.alias("scheme"), digits.cast("int").alias("volume")).where("scheme is not null")
-    # numbers first, then sets: a distinct count beside others would expand every row
-    each = volumes.groupBy("parent", "stem", "scheme", "volume").agg(F.count("*").alias("n"))
-    grouped = each.groupBy("parent", "stem", "scheme").agg(F.sum("n").alias("volumes"), F.count("volume").alias("numbers"), F.max("volume").alias("last"))
-    base = F.when(F.col("scheme") == "RAR_OLD", 0).otherwise(1)
-    gaps = F.col("last") - base + 1 - F.col("numbers")
-    finding = F.when(F.col("volumes") > F.col("numbers"), F.lit("NAME_COLLISION")).when(gaps > 0, F.lit("MISSING_VOLUME")).otherwise(F.lit("COMPLETE"))
-    return grouped.select("parent", "stem", "scheme", "volumes", gaps.cast("int").alias("missing"), finding.alias("finding"))
+    """``parent, logical, status, entry, members``: each set of volumes, each finding, and each archive of one file, from ``parent, name``.
+
+    Names equal but for case are a NAME_COLLISION and no more. A stem with parts of several kinds, or with parts and a
+    rival of one file, is an AMBIGUOUS_VOLUME, as are parts whose stems differ in case or whose numbers differ in width;
+    parts that need a head are an ORPHAN_VOLUME without it; a gap, or another first number, is a MISSING_VOLUME; more
+    than MOST_VOLUMES files are an UNSUPPORTED_VOLUME. Sets are counts, minima and maxima, so none is held in a list.
+    """
+    every = names.select("parent", "name", casefolded(F.col("name")).alias("fold"))
+    each = every.groupBy("parent", "fold").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    collisions = each.where("n > 1").select("parent", F.col("fold").alias("logical"), F.lit("NAME_COLLISION").alias("status"), F.lit(None).cast("string").alias("entry"), F.col("n").alias("members"))
+    free = each.where("n = 1").drop("n")
+
+    def matched(group: int) -> Column:
+        return F.coalesce(*(F.when(F.col("name").rlike(p), F.regexp_extract("name", p, group)) for _, p, *_ in VOLUMES))
+
+    family = F.coalesce(*(F.when(F.col("name").rlike(p), F.lit(f)) for f, p, *_ in VOLUMES))
+    told = free.withColumn("family", family).withColumn("stem", matched(1)).withColumn("digits", matched(2))
+    parts = told.where("family is not null").withColumn("logical", casefolded(F.col("stem"))).withColumn("number", F.col("digits").cast("int"))
+    sets = parts.groupBy("parent", "logical", "family").agg(
+        F.count("*").alias("members"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("stem").alias("stem"), F.max("stem").alias("other_stem"),
+        F.min(F.length("digits")).alias("width"), F.max(F.length("digits")).alias("other_width"), F.min_by("name", "number").alias("first"),
+    )
+    facts = {f: (suffix, start, headed, whole) for f, _, suffix, start, headed, whole in VOLUMES}
+    of = lambda i: F.coalesce(*(F.when(F.col("family") == f, F.lit(x[i])) for f, x in facts.items()))
+    heads = free.select("parent", F.col("fold").alias("head_fold"), F.col("name").alias("head"))
+    sets = sets.withColumn("head_fold", F.concat("logical", of(0))).join(heads, ["parent", "head_fold"], "left")
+    headed, has = of(2), F.col("head").isNotNull()
+    # a file beside parts that need none is a kind of its own
+    kinds = sets.groupBy("parent", "logical").agg((F.count("*") + F.count_if(~headed & has)).alias("kinds"))
+    sets = sets.join(kinds, ["parent", "logical"])
+    total = F.col("members") + F.when(headed & has, 1).otherwise(0)
+    uneven = (F.col("stem") != F.col("other_stem")) | F.when(headed, F.lower(F.col("head")).isNull() | (F.expr("substring(head, 1, length(head) - 4)") != F.col("stem"))).otherwise(F.col("width") != F.col("other_width"))
+    gap = (F.col("low") != of(1)) | (F.col("high") - F.col("low") + 1 != F.col("members"))
+    status = F.when(F.col("kinds") > 1, "AMBIGUOUS_VOLUME").when(headed & ~has, "ORPHAN_VOLUME").when(total > MOST_VOLUMES, "UNSUPPORTED_VOLUME").when(uneven, "AMBIGUOUS_VOLUME").when(gap, "MISSING_VOLUME").otherwise(of(3))
+    fine = status.isin("LISTED", "UNSUPPORTED_FORMAT")
+    # a stem of several kinds is one finding
+    judged = sets.select("parent", "logical", status.alias("status"), F.when(fine, F.when(headed, F.col("head")).otherwise(F.col("first"))).alias("entry"), total.alias("members"))
+    judged = judged.groupBy("parent", "logical", "status").agg(F.max("entry").alias("entry"), F.sum("members").cast("long").alias("members"))
+    used = parts.select("parent", "fold").unionByName(sets.where(has).select("parent", F.col("head_fold").alias("fold"))).distinct()
+    alone = free.where(F.col("fold").rlike(ARCHIVE_SUFFIX)).join(used, ["parent", "fold"], "left_anti").select("parent", F.col("fold").alias("logical"), F.lit("LISTED").alias("status"), F.col("name").alias("entry"), F.lit(1).cast("long").alias("members"))
+    return collisions.unionByName(judged).unionByName(alone)
 
 
 def safe_locator(path: Column) -> Column:
@@ -95,14 +135,14 @@ def archive_safety(members: DataFrame) -> DataFrame:
     """``archive_id, violation``: the first rule that an archive's listing breaks, member by member in its order; null if none.
 
     members: archive_id, ordinal, path, size, packed, kind; and, if there, nested (an archive itself) and special (sparse, streams, rights).
-    Paths are equal whatever their case. An archive with too many members is settled by their count, so no window holds more than MEMBERS rows.
+    Paths are equal whatever their case and however their characters are composed. An archive with too many members is settled by their count, so no window holds more than MEMBERS rows.
     """
     for name in ("nested", "special"):
         if name not in members.columns:
             members = members.withColumn(name, F.lit(False))
     counts = members.groupBy("archive_id").agg(F.count("*").alias("n"))
     large = counts.where(F.col("n") > MEMBERS).select("archive_id", F.lit("MEMBER_COUNT_LIMIT").alias("violation"))
-    rows = members.join(large.select("archive_id"), "archive_id", "left_anti").withColumn("key", F.lower("path"))
+    rows = members.join(large.select("archive_id"), "archive_id", "left_anti").withColumn("key", folded(F.col("path")))
     in_order = Window.partitionBy("archive_id").orderBy("ordinal")
     before = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("total", F.sum("size").over(before)).withColumn("all_packed", F.sum("packed").over(before)).withColumn("again", F.row_number().over(Window.partitionBy("archive_id", "key").orderBy("ordinal")) > 1)
@@ -176,14 +216,16 @@ def archive_plan(files: DataFrame, k: int) -> DataFrame:
 
 
 def sidecar_inventory(archives: DataFrame, files: DataFrame, most: int = 32) -> DataFrame:
-    """``archive_path, name, kind`` of sidecars directly beside each archive, at most ``most`` in order of name; ``n_sidecars`` counts all."""
+    """``archive_path, status, name, kind, n_sidecars`` of sidecars directly beside each archive. With more than ``most`` of them none is listed, and one row tells LIMIT_EXCEEDED."""
     beside = files.withColumn("parent", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     found = sidecars(beside.select("parent", "name"))
-    # a folder's sidecars are counted and cut once, whatever the number of archives beside them
+    # a folder's sidecars are counted once, whatever the number of archives beside them
     counts = found.groupBy("parent").agg(F.count("*").alias("n_sidecars"))
-    first = found.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("name"))).where(F.col("n") <= most).drop("n").join(counts, "parent")
+    over = F.col("n_sidecars") > most
+    listed = found.join(counts.where(~over), "parent").select("parent", F.lit("LISTED").alias("status"), "name", "kind", "n_sidecars")
+    exceeded = counts.where(over).select("parent", F.lit("LIMIT_EXCEEDED").alias("status"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"), "n_sidecars")
     places = archives.select(F.col("path").alias("archive_path"), F.regexp_replace("path", "/?[^/]*$", "").alias("parent")).distinct()
-    return places.join(first, "parent").select("archive_path", "name", "kind", "n_sidecars")
+    return places.join(listed.unionByName(exceeded), "parent").select("archive_path", "status", "name", "kind", "n_sidecars")
 
 
 def archive_dependencies(files: DataFrame, sources: DataFrame, members: DataFrame) -> DataFrame:

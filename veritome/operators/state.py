@@ -82,26 +82,32 @@ NEWLY = (("ANALYSIS", "NEWLY_ANALYZED"), ("RESOLUTION", "NEWLY_RESOLVED"), ("REV
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``file_id, categories`` of two snapshots by file; rows have file_id, technical (digest) and a boolean column for each of NEWLY's components."""
+    """``file_id, categories`` of two snapshots by file; rows have file_id, observation_id, format_name, size_bytes, technical (digest) and a boolean column for each of NEWLY's components.
+
+    A file has changed technically if its format or size differs, or its digest under the same observation.
+    """
+    own = ("observation_id", "format_name", "size_bytes", "technical")
     names = [c.lower() for c, _ in NEWLY]
-    old = before.select("file_id", F.col("technical").alias("old_technical"), *(F.col(c).alias(f"old_{c}") for c in names), F.lit(True).alias("was"))
-    new = after.select("file_id", "technical", *names, F.lit(True).alias("is"))
+    old = before.select("file_id", *(F.col(c).alias(f"old_{c}") for c in own), *(F.col(c).alias(f"old_{c}") for c in names), F.lit(True).alias("was"))
+    new = after.select("file_id", *own, *names, F.lit(True).alias("is"))
     both = old.join(new, "file_id", "full_outer")
     had, has = F.col("was").isNotNull(), F.col("is").isNotNull()
     newly = [F.when(had & has & F.col(c) & ~F.col(f"old_{c}"), F.lit(label)) for c, (_, label) in zip(names, NEWLY, strict=True)]
-    found = F.array(F.when(~had, F.lit("ADDED")), F.when(~has, F.lit("DISAPPEARED")), F.when(had & has & (F.col("technical") != F.col("old_technical")), F.lit("TECHNICALLY_CHANGED")), *newly)
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    changed = differs("format_name") | differs("size_bytes") | (~differs("observation_id") & differs("technical"))
+    found = F.array(F.when(~had, F.lit("ADDED")), F.when(~has, F.lit("DISAPPEARED")), F.when(had & has & changed, F.lit("TECHNICALLY_CHANGED")), *newly)
     return both.select("file_id", F.filter(found, lambda x: x.isNotNull()).alias("categories")).where(F.size("categories") > 0)
 
 
 def diffable(states: DataFrame, technical: DataFrame) -> DataFrame:
-    """One side of ``diff`` from item states and ``file_id, technical``: evidence is there if current, a file is blocked by a conflict in consolidation or quarantine."""
+    """One side of ``diff`` from item states and ``file_id, observation_id, format_name, size_bytes, technical``: evidence is there if current, a file is blocked by a conflict in consolidation or quarantine."""
 
     def seen(component: str, rule) -> Column:
         return F.coalesce(F.bool_or(F.when(F.col("component") == component, rule)), F.lit(False))
 
     current, conflict = F.col("state").startswith("CURRENT"), F.col("state").endswith("_CONFLICT")
     wide = states.groupBy("file_id").agg(seen("ANALYSIS", current).alias("analysis"), seen("RESOLUTION", current).alias("resolution"), seen("REVIEW", current).alias("review"), (seen("CONSOLIDATION", conflict) | seen("QUARANTINE", conflict)).alias("quarantine"))
-    return technical.select("file_id", "technical").join(wide, "file_id")
+    return technical.select("file_id", "observation_id", "format_name", "size_bytes", "technical").join(wide, "file_id")
 
 
 def item_findings(states: DataFrame, facts: DataFrame) -> DataFrame:

@@ -63,14 +63,14 @@ def pruned_cache(spark, d):
 
 
 @query("""WITH f AS (SELECT p_partkey, p_partkey % 50 AS folder, CASE p_partkey % 6 WHEN 0 THEN 'NFO' WHEN 1 THEN 'SFV' END AS kind, (CASE p_partkey % 6 WHEN 0 THEN 'a' || cast(p_partkey AS VARCHAR) || '.nfo' ELSE 'b' || cast(p_partkey AS VARCHAR) || '.sfv' END) AS name FROM part WHERE p_partkey % 6 < 2 AND p_partkey % 5 <> 0)
-SELECT 'd' || cast(s_suppkey % 60 AS VARCHAR) || '/s' || cast(s_suppkey AS VARCHAR) || '.rar' AS archive_path, name, kind, n_sidecars FROM (SELECT s_suppkey, name, kind, row_number() OVER (PARTITION BY s_suppkey ORDER BY name) AS n, count(*) OVER (PARTITION BY s_suppkey) AS n_sidecars FROM supplier JOIN f ON s_suppkey % 60 = folder) WHERE n <= 3""")
+SELECT DISTINCT 'd' || cast(s_suppkey % 60 AS VARCHAR) || '/s' || cast(s_suppkey AS VARCHAR) || '.rar' AS archive_path, CASE WHEN n_sidecars > 8 THEN 'LIMIT_EXCEEDED' ELSE 'LISTED' END AS status, CASE WHEN n_sidecars <= 8 THEN name END AS name, CASE WHEN n_sidecars <= 8 THEN kind END AS kind, n_sidecars FROM (SELECT s_suppkey, name, kind, count(*) OVER (PARTITION BY s_suppkey) AS n_sidecars FROM supplier JOIN f ON s_suppkey % 60 = folder)""")
 def sidecar_inventory(spark, d):
     n = F.col("p_partkey").cast("string")
     name = F.when(F.col("p_partkey") % 6 == 0, F.concat(F.lit("a"), n, F.lit(".nfo"))).when(F.col("p_partkey") % 6 == 1, F.concat(F.lit("b"), n, F.lit(".sfv"))).otherwise(F.concat(F.lit("c"), n, F.lit(".epub")))
     deep = F.when(F.col("p_partkey") % 5 == 0, "deeper/").otherwise("")
     files = table(spark, d, "part").select(F.concat(F.lit("d"), (F.col("p_partkey") % 50).cast("string"), F.lit("/"), deep, name).alias("path"))
     archives = table(spark, d, "supplier").select(F.concat(F.lit("d"), (F.col("s_suppkey") % 60).cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".rar")).alias("path"))
-    return planning.sidecar_inventory(archives, files, 3)
+    return planning.sidecar_inventory(archives, files, 8)
 
 
 @query(f"""WITH {OBS}, m AS (SELECT root AS parent, CASE WHEN file_id % 50 = 3 THEN NULL ELSE sha END AS sha FROM obs WHERE file_id % 10 = 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritome.functions.scalars import book_format, quick_fingerprint
+from veritome.functions.unicode import text_fingerprint
 from veritome.operators import evidence, incremental, matching
 from veritome.plans.registry import OBS, QUICK, observations, query, table
 
@@ -44,7 +45,7 @@ def relocations(spark, d):
     return incremental.relocations(files.where("file_id % 2 = 0"), files.where("file_id % 2 = 1"), prints).select("source_id", "target_id", "evidence", "value")
 
 
-_BLOCKS = f"""WITH {OBS}, e AS (SELECT 'FILE_SHA256' AS block_type, sha AS block_key, file_id AS m FROM obs UNION ALL SELECT 'AGENT_TITLE', root || '|' || lang || '|' || cast(file_id % 5 AS VARCHAR), file_id FROM obs UNION ALL SELECT 'SERIES_CONTEXT', lang, file_id FROM obs UNION ALL SELECT 'TEXT_FINGERPRINT', sha256(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))), file_id FROM obs),
+_BLOCKS = f"""WITH {OBS}, e AS (SELECT 'FILE_SHA256' AS block_type, sha AS block_key, file_id AS m FROM obs UNION ALL SELECT 'AGENT_TITLE', root || '|' || lang || '|' || cast(file_id % 5 AS VARCHAR), file_id FROM obs UNION ALL SELECT 'SERIES_CONTEXT', lang, file_id FROM obs UNION ALL SELECT 'TEXT_FINGERPRINT', sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))), file_id FROM obs),
 b AS (SELECT block_type, block_key, count(DISTINCT m) AS n, list_sort(list(DISTINCT m)) AS ms FROM e GROUP BY ALL HAVING count(DISTINCT m) > 1)
 """
 
@@ -55,7 +56,7 @@ def _evidence(spark, d):
     def of(kind, key):
         return o.select(F.lit(kind).alias("block_type"), key.alias("block_key"), F.col("file_id").alias("member_id"))
 
-    return of("FILE_SHA256", F.col("sha")).unionByName(of("AGENT_TITLE", F.concat_ws("|", "root", "lang", (F.col("file_id") % 5).cast("string")))).unionByName(of("SERIES_CONTEXT", F.col("lang"))).unionByName(of("TEXT_FINGERPRINT", F.sha2(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), 256)))
+    return of("FILE_SHA256", F.col("sha")).unionByName(of("AGENT_TITLE", F.concat_ws("|", "root", "lang", (F.col("file_id") % 5).cast("string")))).unionByName(of("SERIES_CONTEXT", F.col("lang"))).unionByName(of("TEXT_FINGERPRINT", text_fingerprint(F.col("text"))))
 
 
 @query(_BLOCKS + """SELECT block_type, block_key, n AS member_count, cast(least(n, 256) AS INTEGER) AS listed, n > 256 AS truncated, CASE WHEN block_type = 'FILE_SHA256' THEN 'EXACT_GROUP' WHEN n > 64 THEN 'SECONDARY_REQUIRED' ELSE 'READY' END AS status,
@@ -138,7 +139,7 @@ def keep_preferences(spark, d):
     o = observations(spark, d)
     copies = o.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
     c = o.join(copies, "sha").select(F.col("sha").alias("group_id"), "file_id", (F.col("file_id") % 2).alias("incomplete"), (F.col("file_id") % 3).alias("action_required"), F.lit(0).alias("review"), book_format(F.col("relative_path")).alias("format"), "size_bytes", (F.col("file_id") % 40 == 0).alias("blocked"))
-    return evidence.keep_preference(c).select("group_id", "status", "reason", F.coalesce("file_id", F.lit(-1)).alias("file_id"))
+    return evidence.keep_preference(c, formats=("EPUB", "AZW3", "MOBI", "AZW", "PDF")).select("group_id", "status", "reason", F.coalesce("file_id", F.lit(-1)).alias("file_id"))
 
 
 @query("""WITH a AS (SELECT l_partkey AS subject_id, CASE WHEN l_linenumber % 2 = 0 THEN 'DOMAIN' ELSE 'GENRE' END AS dimension, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE l_returnflag || cast(l_suppkey % 6 AS VARCHAR) END AS value, CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END AS tier FROM lineitem),

@@ -31,9 +31,10 @@ def cover_distances(spark, d):
     return h.select("doc_id", F.coalesce(scalars.hamming64(F.col("a"), F.col("b")), F.lit(-1)).cast("int").alias("distance"))
 
 
-@query("""SELECT vec_id, list_reduce([CASE WHEN embedding[i] > embedding[CASE WHEN i % 8 = 0 THEN i - 7 ELSE i + 1 END] THEN '1' ELSE '0' END FOR i IN range(1, 65)], lambda x, y: x || y) AS bits FROM embeddings WHERE len(embedding) = 64""")
+@query("""SELECT vec_id, list_reduce([CASE WHEN cells[9 * (i // 8) + i % 8 + 1] > cells[9 * (i // 8) + i % 8 + 2] THEN '1' ELSE '0' END FOR i IN range(0, 64)], lambda x, y: x || y) AS bits FROM (SELECT vec_id, embedding || embedding AS cells FROM embeddings WHERE len(embedding) = 64)""")
 def gradient_hashes(spark, d):
-    return table(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", scalars.gradient_hash(F.col("embedding")).alias("bits"))
+    """Vectors, each twice, in the role of grids of eight rows of nine cells."""
+    return table(spark, d, "embeddings").where(F.size("embedding") == 64).select("vec_id", scalars.gradient_hash(F.concat("embedding", "embedding")).alias("bits"))
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(n, '^[=+\\-@\\t\\r]') THEN chr(39) || n ELSE n END AS cell FROM (SELECT p_partkey, (CASE p_partkey % 6 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN chr(9) ELSE '' END) || p_name AS n FROM part)""")
@@ -80,10 +81,13 @@ def cache_freshness(spark, d):
     return table(spark, d, "orders").select("o_orderkey", scalars.freshness(F.lit("1998-01-01").cast("timestamp_ntz"), at + F.expr("INTERVAL 365 DAYS"), at + F.expr("INTERVAL 1000 DAYS")).alias("freshness"))
 
 
-@query("""WITH h AS (SELECT doc_id, sha1('snapshot/v1' || sha256(text)) AS h FROM documents)
+_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+@query(f"""WITH h AS (SELECT doc_id, sha1(unhex('{_NAMESPACE.replace("-", "")}') || encode(sha256(text))) AS h FROM documents)
 SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', cast(('0x' || substr(h, 17, 1))::INTEGER + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""")
 def named_uuids(spark, d):
-    return table(spark, d, "documents").select("doc_id", scalars.name_based_uuid(F.sha2("text", 256), "snapshot/v1").alias("id"))
+    return table(spark, d, "documents").select("doc_id", scalars.name_based_uuid(F.sha2("text", 256), _NAMESPACE).alias("id"))
 
 
 @query("""SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'), ' ')) AS folded FROM documents""")

@@ -39,16 +39,16 @@ def component_summary(spark, d):
     return state.component_summary(_states(spark, d))
 
 
-_DIFF = f"""WITH {OBS}, a AS (SELECT file_id, sha AS t, file_id % 3 = 0 AS x, file_id % 5 = 0 AS y FROM obs WHERE file_id % 7 <> 0), b AS (SELECT file_id, CASE WHEN file_id % 9 = 0 THEN 'new' ELSE sha END AS t, file_id % 2 = 0 AS x, true AS y FROM obs WHERE file_id % 8 <> 0),
-j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, list_filter([CASE WHEN a.file_id IS NULL THEN 'ADDED' END, CASE WHEN b.file_id IS NULL THEN 'DISAPPEARED' END, CASE WHEN a.t <> b.t THEN 'TECHNICALLY_CHANGED' END, CASE WHEN b.x AND NOT a.x THEN 'NEWLY_ANALYZED' END, CASE WHEN b.y AND NOT a.y THEN 'NEWLY_REVIEWED' END], lambda v: v IS NOT NULL) AS cats FROM a FULL JOIN b ON a.file_id = b.file_id)
+_DIFF = f"""WITH {OBS}, a AS (SELECT file_id, file_id AS o, size_bytes AS z, sha AS t, file_id % 3 = 0 AS x, file_id % 5 = 0 AS y FROM obs WHERE file_id % 7 <> 0), b AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN file_id ELSE -file_id END AS o, CASE WHEN file_id % 25 = 0 THEN size_bytes + 1 ELSE size_bytes END AS z, CASE WHEN file_id % 9 = 0 THEN 'new' ELSE sha END AS t, file_id % 2 = 0 AS x, true AS y FROM obs WHERE file_id % 8 <> 0),
+j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, list_filter([CASE WHEN a.file_id IS NULL THEN 'ADDED' END, CASE WHEN b.file_id IS NULL THEN 'DISAPPEARED' END, CASE WHEN a.z <> b.z OR (a.o = b.o AND a.t <> b.t) THEN 'TECHNICALLY_CHANGED' END, CASE WHEN b.x AND NOT a.x THEN 'NEWLY_ANALYZED' END, CASE WHEN b.y AND NOT a.y THEN 'NEWLY_REVIEWED' END], lambda v: v IS NOT NULL) AS cats FROM a FULL JOIN b ON a.file_id = b.file_id)
 """
 
 
 def _changes(spark, d):
     o, i = observations(spark, d), F.col("file_id")
     no = F.lit(False)
-    before = o.where("file_id % 7 <> 0").select("file_id", F.col("sha").alias("technical"), (i % 3 == 0).alias("analysis"), no.alias("resolution"), (i % 5 == 0).alias("review"), no.alias("quarantine"))
-    after = o.where("file_id % 8 <> 0").select("file_id", F.when(i % 9 == 0, "new").otherwise(F.col("sha")).alias("technical"), (i % 2 == 0).alias("analysis"), no.alias("resolution"), F.lit(True).alias("review"), no.alias("quarantine"))
+    before = o.where("file_id % 7 <> 0").select("file_id", i.alias("observation_id"), F.lit("EPUB").alias("format_name"), "size_bytes", F.col("sha").alias("technical"), (i % 3 == 0).alias("analysis"), no.alias("resolution"), (i % 5 == 0).alias("review"), no.alias("quarantine"))
+    after = o.where("file_id % 8 <> 0").select("file_id", F.when(i % 2 == 0, i).otherwise(-i).alias("observation_id"), F.lit("EPUB").alias("format_name"), F.when(i % 25 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"), F.when(i % 9 == 0, "new").otherwise(F.col("sha")).alias("technical"), (i % 2 == 0).alias("analysis"), no.alias("resolution"), F.lit(True).alias("review"), no.alias("quarantine"))
     return state.diff(before, after)
 
 
@@ -188,12 +188,20 @@ def sidecar_dependencies(spark, d):
     return planning.sidecar_dependencies(formats, found, found.where("record_id % 3 = 0").select("path"))
 
 
-@query("""WITH v AS (SELECT cast(l_orderkey AS VARCHAR) AS parent, cast(l_linenumber AS BIGINT) AS volume FROM lineitem)
-SELECT parent, 'book' AS stem, CASE cast(parent AS BIGINT) % 3 WHEN 0 THEN 'ZIP' WHEN 1 THEN 'RAR_NEW' ELSE 'SEVEN_Z' END AS scheme, count(*) AS volumes, cast(max(volume) - count(DISTINCT volume) AS INTEGER) AS missing, CASE WHEN count(*) > count(DISTINCT volume) THEN 'NAME_COLLISION' WHEN max(volume) > count(DISTINCT volume) THEN 'MISSING_VOLUME' ELSE 'COMPLETE' END AS finding FROM v GROUP BY parent""")
+_VOLUME = "CASE l_orderkey % 9 WHEN 0 THEN concat('Größe.part', l_linenumber, '.rar') WHEN 1 THEN concat('Größe.7z.', lpad(concat('', l_linenumber), 3, '0')) WHEN 2 THEN CASE WHEN l_linenumber = 1 THEN 'Größe.rar' ELSE concat('Größe.r0', l_linenumber - 2) END WHEN 3 THEN CASE WHEN l_linenumber = 2 THEN 'b.zip' ELSE concat('b.z0', CASE WHEN l_linenumber > 2 THEN l_linenumber - 1 ELSE l_linenumber END) END WHEN 4 THEN concat('x.part', l_linenumber, CASE WHEN l_linenumber = 3 THEN '.RAR' ELSE '.rar' END) WHEN 5 THEN CASE WHEN l_linenumber = 1 THEN 'c.rar' WHEN l_linenumber = 2 THEN 'C.RAR' ELSE concat('c.part', l_linenumber - 2, '.rar') END WHEN 6 THEN CASE WHEN l_linenumber = 4 THEN 'd.rar' ELSE concat('d.part', l_linenumber, '.rar') END WHEN 7 THEN concat('n', l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN '.epub' ELSE '.txt' END) ELSE concat('e.z0', l_linenumber) END"
+_PARTS = f"SELECT DISTINCT concat('', l_orderkey) AS parent, {_VOLUME} AS name FROM {{lineitem}}"
+
+
+@query(f"""WITH n AS ({_PARTS.replace("{", "").replace("}", "")}), f AS (SELECT *, replace(lower(name), 'ß', 'ss') AS fold FROM n), c AS (SELECT parent, fold, count(*) AS n FROM f GROUP BY ALL), u AS (SELECT f.* FROM f JOIN c USING (parent, fold) WHERE c.n = 1),
+v AS (SELECT parent, name, fold, regexp_extract(fold, '^(.+)[.](part[0-9]+[.]rar|7z[.][0-9]+|r[0-9][0-9]|z[0-9][0-9])$', 1) AS logical, CASE WHEN regexp_matches(fold, '[.]part[0-9]+[.]rar$') THEN 'NEW' WHEN regexp_matches(fold, '[.]7z[.][0-9]+$') THEN 'SEVEN' WHEN regexp_matches(fold, '[.]r[0-9][0-9]$') THEN 'OLD' WHEN regexp_matches(fold, '[.]z[0-9][0-9]$') THEN 'SPLIT' END AS family, cast(regexp_extract(fold, '([0-9]+)([.]rar)?$', 1) AS INTEGER) AS number FROM u),
+s AS (SELECT parent, logical, family, count(*) AS n, min(number) AS low, max(number) AS high, arg_min(name, number) AS first FROM v WHERE family IS NOT NULL GROUP BY ALL),
+h AS (SELECT s.*, u.name AS head, u.fold AS used FROM s LEFT JOIN u ON u.parent = s.parent AND u.fold = s.logical || CASE family WHEN 'SEVEN' THEN '.7z' WHEN 'SPLIT' THEN '.zip' ELSE '.rar' END),
+j AS (SELECT parent, logical, n + CASE WHEN family IN ('OLD', 'SPLIT') AND head IS NOT NULL THEN 1 ELSE 0 END AS members, CASE WHEN family IN ('NEW', 'SEVEN') AND head IS NOT NULL THEN 'AMBIGUOUS_VOLUME' WHEN family IN ('OLD', 'SPLIT') AND head IS NULL THEN 'ORPHAN_VOLUME' WHEN low <> CASE family WHEN 'OLD' THEN 0 ELSE 1 END OR high - low + 1 <> n THEN 'MISSING_VOLUME' WHEN family = 'SPLIT' THEN 'UNSUPPORTED_FORMAT' ELSE 'LISTED' END AS status, CASE WHEN family IN ('OLD', 'SPLIT') THEN head ELSE first END AS entry FROM h)
+SELECT parent, logical, status, CASE WHEN status IN ('LISTED', 'UNSUPPORTED_FORMAT') THEN entry END AS entry, members FROM j UNION ALL SELECT parent, fold, 'NAME_COLLISION', NULL, n FROM c WHERE n > 1
+UNION ALL SELECT parent, fold, 'LISTED', name, 1 FROM v WHERE family IS NULL AND regexp_matches(fold, '[.](epub|zip|rar)$') AND NOT EXISTS (SELECT 1 FROM h WHERE h.parent = v.parent AND h.used = v.fold)""")
 def volume_sets(spark, d):
-    n = F.col("l_linenumber").cast("string")
-    name = F.when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("Book.part"), n, F.lit(".rar"))).when(F.col("l_orderkey") % 3 == 2, F.concat(F.lit("Book.7z."), F.lpad(n, 3, "0"))).otherwise(F.concat(F.lit("book.ZIP."), F.lpad(n, 3, "0")))
-    return planning.volume_sets(table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("parent"), name.alias("name")))
+    """Parts of all kinds, whole and with gaps, heads, rivals, orphans and names that differ in case, one folder an order."""
+    return planning.volume_sets(spark.sql(_PARTS, lineitem=table(spark, d, "lineitem")))
 
 
 @query("""WITH m AS (SELECT l_orderkey AS archive_id, cast(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS ordinal, CASE WHEN l_partkey % 50 = 0 THEN '../x' WHEN l_partkey % 31 = 0 THEN 'f1/Sub' WHEN l_partkey % 29 = 0 THEN 'F' || cast(l_linenumber % 2 AS VARCHAR) WHEN l_partkey % 61 = 0 THEN 'a/nul.txt' WHEN l_partkey % 67 = 0 THEN 'a./b' ELSE 'F' || cast(l_linenumber AS VARCHAR) END AS path,
