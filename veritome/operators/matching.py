@@ -129,8 +129,3 @@ def accepted_resolutions(candidates: DataFrame, decisions: DataFrame) -> DataFra
     joined = candidates.join(newest, "candidate_id", "left")
     good = (F.col("disposition") == "AUTO_SAFE") | ((F.col("decision") == "ACCEPT") & (F.col("seen_digest") == F.col("evidence_digest")))
     return joined.where(F.coalesce(good, F.lit(False))).drop("decision", "seen_digest")
-
-
-def new_candidates(scored: DataFrame, existing: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Scored pairs not stored yet, the first ``limit`` in order."""
-    return scored.join(existing.select(*keys).distinct(), keys, "left_anti").orderBy(*keys).limit(limit)

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 _held: dict[str, SparkSession] = {}
@@ -33,6 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table there: what is used several times is made once, and its lineage ends."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's path and the file system that it lies in."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
