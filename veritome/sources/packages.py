@@ -70,6 +70,12 @@ def _flat(kind: str, many: Column, each) -> Column:
     return F.flatten(F.transform(many, each)).cast(kind)
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once a row: the optimiser puts no expression into others across an explosion of one element."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("made__")
+    return rows.select("*", made).select(*rows.columns, "made__.*")
+
+
 def parsed(documents: DataFrame, key: str, content: str) -> DataFrame:
     """``key, status, p``: a document's metadata as typed arrays, or why there is none. Markup inside an element's text is taken off, its text stays."""
     raw = F.col(content).cast("binary")
@@ -79,12 +85,12 @@ def parsed(documents: DataFrame, key: str, content: str) -> DataFrame:
         F.when(F.col("raw__").isNull(), "NO_DOCUMENT").when(F.octet_length("raw__") > DOCUMENT_BYTES, "TOO_LARGE").when(~F.is_valid_utf8(F.col("raw__").cast("string")), "NOT_UTF8")
         .when(F.upper("x").contains("<!DOCTYPE") | F.upper("x").contains("<!ENTITY"), "FORBIDDEN_DECLARATION")
     )
-    rows = rows.withColumn("refused", refused).withColumn("x", F.when(F.col("refused").isNull(), F.col("x")))
-    rows = rows.withColumn("first", F.from_xml("x", _SCHEMA, _OPTIONS))
+    rows = _once(rows, refused=refused).withColumn("x", F.when(F.col("refused").isNull(), F.col("x")))
+    rows = _once(rows, first=F.from_xml("x", _SCHEMA, _OPTIONS))
     inner = F.regexp_replace("x", rf"</?(?!(?:[\w.-]+:)?(?:{_KNOWN})[\s/>])[A-Za-z_][^<>]*>", "")
     plain = F.when(F.col("x").contains("<![CDATA[") | (inner == F.col("x")), F.col("first")).otherwise(F.from_xml(inner, _SCHEMA, _OPTIONS))
     status = F.coalesce("refused", F.when(F.col("first.bad").isNotNull() | F.col("first").isNull(), "MALFORMED").when(F.lower(root) != "package", "NO_PACKAGE").when(F.col("first.metadata").isNull(), "NO_METADATA"), F.lit("OK"))
-    return rows.select(key, status.alias("status"), plain.alias("p"))
+    return _once(rows, status=status, p=plain).select(key, "status", "p")
 
 
 def projected(documents: DataFrame, key: str, content: str) -> DataFrame:
@@ -104,9 +110,9 @@ def projected(documents: DataFrame, key: str, content: str) -> DataFrame:
         _stripped(m["_id"]).alias("id"), F.lower(_stripped(m["_name"])).alias("name"), F.lower(_stripped(m["_property"])).alias("property"), _stripped(m["_refines"]).alias("refines"), _stripped(m["_scheme"]).alias("scheme"),
         _spaced(F.when(_stripped(m["_content"]) != "", m["_content"]).otherwise(m["_VALUE"])).alias("value"),
     ))
-    rows = rows.withColumn("metas", metas)
+    rows = _once(rows, metas=metas)
     refs = F.filter("metas", lambda m: m["refines"].startswith("#") & m["property"].isin(*REFINEMENTS) & (m["value"] != ""))
-    rows = rows.withColumn("refs", F.transform(refs, lambda m: F.struct(F.regexp_replace(m["refines"], "^#", "").alias("target"), m["property"].alias("property"), m["value"].alias("value"), m["scheme"].alias("scheme"))))
+    rows = _once(rows, refs=F.transform(refs, lambda m: F.struct(F.regexp_replace(m["refines"], "^#", "").alias("target"), m["property"].alias("property"), m["value"].alias("value"), m["scheme"].alias("scheme"))))
 
     def refined(element_id: Column, name: str, own: Column | None = None, scheme: str = "") -> Column:
         """Terms of an element: its attribute, then its refinements; different ones once."""
@@ -119,18 +125,19 @@ def projected(documents: DataFrame, key: str, content: str) -> DataFrame:
     def elements(name: str) -> Column:
         return F.transform(of(name, _ELEMENT), lambda e, i: F.struct(F.lit(name).alias("source"), F.concat(F.lit(f"opf.{name}["), (i + 1).cast("string"), F.lit("]")).alias("place"), _spaced(e["_VALUE"]).alias("value"), _stripped(e["_id"]).alias("id"), _stripped(e["_role"]).alias("role"), _stripped(e["_file-as"]).alias("file_as"), _stripped(e["_scheme"]).alias("scheme")))
 
-    for name, _ in ELEMENTS:
-        rows = rows.withColumn(f"e_{name}", elements(name))
+    rows = _once(rows, **{f"e_{name}": elements(name) for name, _ in ELEMENTS})
     people = F.transform(F.concat("e_creator", "e_contributor"), lambda e: F.struct(e["source"].alias("source"), e["place"].alias("place"), e["value"].alias("value"), refined(e["id"], "role", e["role"]).alias("roles"), refined(e["id"], "file-as", e["file_as"]).alias("sorts")))
     numbers = F.transform("e_identifier", lambda e: F.struct(e["place"].alias("place"), e["value"].alias("value"), refined(e["id"], "identifier-type", e["scheme"], "opf:scheme").alias("terms")))
     titles = F.transform("e_title", lambda e: F.struct(e["place"].alias("place"), e["value"].alias("value"), refined(e["id"], "file-as", e["file_as"]).alias("sorts")))
-    rows = rows.withColumns({"people": people, "numbers": numbers, "titles": titles})
+    rows = _once(rows, people=people, numbers=numbers, titles=titles)
+    named = {}
     for name, _ in NAMED:
         # either attribute names it
         mine = F.filter("metas", lambda m: F.when(m["name"] != "", m["name"]).otherwise(m["property"]).eqNullSafe(F.lit(name)) & (m["value"] != ""))
-        rows = rows.withColumn(f"m_{name.split(':')[1]}", F.transform(mine, lambda m, i: F.struct(m["value"].alias("value"), F.concat(F.lit(f"opf.meta[{name}]["), (i + 1).cast("string"), F.lit("]")).alias("place"))))
+        named[f"m_{name.split(':')[1]}"] = F.transform(mine, lambda m, i: F.struct(m["value"].alias("value"), F.concat(F.lit(f"opf.meta[{name}]["), (i + 1).cast("string"), F.lit("]")).alias("place")))
     collections = F.transform(F.filter("metas", lambda m: m["property"] == "belongs-to-collection"), lambda m, i: F.struct(m["value"].alias("value"), F.concat(F.lit("opf.collection["), (i + 1).cast("string"), F.lit("]")).alias("place"), refined(m["id"], "collection-type").alias("types"), refined(m["id"], "group-position").alias("positions")))
-    rows = rows.withColumn("series", F.filter(collections, lambda c: F.exists(c["types"], lambda t: F.lower(F.trim(t["value"])) == "series")))
+    rows = _once(rows, **named, collections=collections)
+    rows = _once(rows, series=F.filter("collections", lambda c: F.exists(c["types"], lambda t: F.lower(F.trim(t["value"])) == "series")))
 
     def with_role(head: Column, roles: Column) -> Column:
         part = _key_part(F.coalesce(F.get(roles, F.lit(0))["value"], F.lit("")))
@@ -182,7 +189,7 @@ def projected(documents: DataFrame, key: str, content: str) -> DataFrame:
     candidates += [F.transform(f"m_{t}", lambda m, i: _told(numbered("series", i + 1, tail), m["value"], m["place"])) for t, tail in (("series", "name"), ("series_index", "position"))]
     candidates.append(_flat(_TRIPLE, F.col("series"), lambda c, i: _every(_TRIPLE, F.array(_told(numbered("series", legacy + i + 1, "name"), c["value"], F.concat(c["place"], F.lit(".text")))), F.transform(c["positions"], lambda x, k: _told(F.concat(numbered("series", legacy + i + 1, "position"), _suffix(c["positions"], k)), x["value"], F.concat(c["place"], F.lit(".group-position")))))))
     full = lambda x: F.coalesce(x["value"] != "", F.lit(False))
-    rows = rows.withColumn("o", F.filter(_every(_PAIR, *observations), full)).withColumn("c", F.filter(_every(_TRIPLE, *candidates), full))
+    rows = _once(rows, o=F.filter(_every(_PAIR, *observations), full), c=F.filter(_every(_TRIPLE, *candidates), full))
     long = reduce(Column.__or__, [F.exists(x, lambda v: F.length(v["value"]) > VALUE) for x in ("o", "c", "refs")])
     many = (F.size("o") > OBSERVATIONS) | (F.size("c") > CANDIDATES) | (F.size("refs") > CANDIDATES)
     status = F.when(F.col("status") != "OK", F.col("status")).when(long, "OVERSIZED_VALUE").when(many, "TOO_MANY_VALUES").otherwise("OK")
