@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veritome.operators.relational import ordered_digest
 from veritome.operators.state import COMPONENTS
+from veritome.sources.shared import written
 
 Tables = Mapping[str, DataFrame]
 
@@ -189,22 +190,21 @@ def at_files(evidence: DataFrame, observations: DataFrame, scopes: DataFrame) ->
     return known.withColumn("scope", scope).where("scope is not null").drop("of__", "in__", "known__")
 
 
-def _lanes(text: Column) -> list[Column]:
-    """A digest of ``text`` as numbers that can be summed up: sums of rows' numbers tell sets of rows apart, in whatever order."""
-    digest = F.sha2(text, 256)
+def _lanes(digest: Column) -> list[Column]:
+    """A digest as numbers that can be summed up: sums of rows' numbers tell sets of rows apart, in whatever order."""
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"lane{i}") for i in range(_LANES)]
 
 
 def item_evidence(items: DataFrame, found: DataFrame) -> DataFrame:
     """A row for each item: its columns and, by component, ``state, n, digest``.
 
-    found: rows of ``at_files``. Current evidence about another observation than the item's is stale. The best scope
+    found: rows of ``load``. Current evidence about another observation than the item's is stale. The best scope
     that there is names the state, any conflict in any scope marks it, items without evidence are MISSING with a null
     digest. Evidence is summed up by file, component, scope and observation, combined before that shuffle; those sums
     meet the items in one more by file.
     """
     keys = ["file_id", "component", "scope", F.when(F.col("bound"), F.col("subject_id")).alias("bound_id"), "choice_key"]
-    hashed = found.select("file_id", "component", "scope", "bound", "subject_id", "choice_key", "choice", "conflict", *_lanes(F.concat_ws("\u001f", "source", "material")))
+    hashed = found.select("file_id", "component", "scope", "bound", "subject_id", "choice_key", "choice", "conflict", *_lanes(F.col("told")))
     sums = hashed.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or("conflict").alias("c"), F.min("choice").alias("low"), F.max("choice").alias("high"), *(F.sum(f"lane{i}").alias(f"lane{i}") for i in range(_LANES)))
     several = F.col("choice_key").isNotNull() & (F.col("low") != F.col("high"))
     # only the component of analysis asks for one value in current evidence alone
@@ -295,8 +295,8 @@ def items_of(observations: DataFrame, files: DataFrame, source_run: str) -> Data
 def build(t: Tables, source_run: str, components: Sequence[str] = COMPONENTS) -> Snapshot:
     """The snapshot of the source run from all typed tables ``t`` (``runs, observations, files`` and those of the loaders)."""
     items = items_of(t["observations"], t["files"], source_run)
-    found = load(t, source_run, components)
-    wide = item_evidence(items, found)
+    found = written(load(t, source_run, components), "evidence")  # read for sums and for profiles; the loaders run once
+    wide = written(item_evidence(items, found), "items")
     summary = summaries(wide).join(profiles(found, items), "component", "left").withColumn("profiles", F.coalesce("profiles", F.array().cast("array<string>"))).withColumn("truncation", F.coalesce("truncation", F.lit("NONE")))
     counted = counts(wide, summary)
     chained = wide.select("file_id", F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(wide.columns))), {"ignoreNullFields": "false"}), 256).alias("item_digest"))
@@ -304,9 +304,10 @@ def build(t: Tables, source_run: str, components: Sequence[str] = COMPONENTS) ->
 
 
 def load(t: Tables, source_run: str, components: Sequence[str] = COMPONENTS) -> DataFrame:
-    """The evidence of some components, and what is technical, at files and in scope."""
+    """The evidence of some components, and what is technical, at files and in scope; ``told`` is a digest of source and material."""
     rows = [technical(t), *(LOADERS[c](t) for c in components)]
     scopes = timeline(t["runs"], source_run)
     found = at_files(reduce(DataFrame.unionByName, rows), t["observations"], scopes)
     # events and fingerprints of the content are the item's own or none
-    return found.where((F.col("component") != "TECHNICAL") | (F.col("scope") != "STALE"))
+    found = found.where((F.col("component") != "TECHNICAL") | (F.col("scope") != "STALE"))
+    return found.withColumn("told", F.sha2(F.concat_ws("\u001f", "source", "material"), 256)).drop("material")
