@@ -137,3 +137,7 @@ def credited_as(name: Column) -> Column:
 
 def without_annotations(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*[\(\[][^)\]]*[\)\]]", ""), r"\s+", " "))
+
+
+#: Canonical composition alone.
+composed = _applied(lambda x: unicodedata.normalize("NFC", x), lambda x: x)

@@ -252,6 +252,25 @@ def correction_status(plans: DataFrame) -> DataFrame:
     return plans.withColumn("blockers", found).select("plan_id", "blockers", status.alias("status"))
 
 
+def correction_blockers(plans: DataFrame) -> DataFrame:
+    """``plan_id, blockers, status`` of metadata corrections by all eleven codes, in order of name; no correction is ever executable.
+
+    Beside the columns of ``correction_status``: carrier_valid, writer_valid, preconditions_complete, verification_complete and
+    review_compatible (made of the evidence as it stands). A flag that is null counts as false, a review that is null as missing.
+    """
+    lacks = lambda name: ~F.coalesce(F.col(name), F.lit(False))
+    review = F.coalesce("review", F.lit("MISSING"))
+    reviewed = F.when(review == "MISSING", F.lit("REVIEW_MISSING")).when(lacks("review_compatible") | (review == "STALE"), F.lit("REVIEW_STALE")).when(review == "REJECTED", F.lit("REVIEW_REJECTED"))
+    rules = (
+        (F.coalesce("dependency", F.lit("UNKNOWN")) == "UNKNOWN", "DEPENDENCY_EVIDENCE_INCOMPLETE"), (F.col("old_value").eqNullSafe(F.col("new_value")), "FIELD_SELECTION_INVALID"), (lacks("same_lineage"), "LINEAGE_MISMATCH"),
+        (lacks("preconditions_complete"), "PRECONDITION_INCOMPLETE"), (lacks("evidence_complete"), "SOURCE_EVIDENCE_INCOMPLETE"), (lacks("carrier_valid"), "TARGET_CARRIER_INVALID"),
+        (lacks("verification_complete"), "VERIFICATION_CONTRACT_INCOMPLETE"), (lacks("writer_valid"), "WRITER_REQUIREMENT_INVALID"),
+    )
+    found = F.array_sort(F.array_compact(F.array(reviewed, *(F.when(c, F.lit(name)) for c, name in rules))))
+    status = F.when(F.size("blockers") > 0, F.lit("BLOCKED")).when(review == "ACCEPTED", F.lit("APPROVED_NON_EXECUTABLE")).otherwise(F.lit("REVIEW_REQUIRED"))
+    return plans.withColumn("blockers", found).select("plan_id", "blockers", status.alias("status"))
+
+
 def quarantine_eligibility(plans: DataFrame, now) -> DataFrame:
     """``plan_id, status, blockers`` for approved plans of exact duplicates within their window, without dependencies."""
     rules = (

@@ -93,40 +93,48 @@ def archive_listing(lines: DataFrame, key: str, place: str, line: str) -> DataFr
 TAR_MEMBERS = "key string, ordinal long, path string, size long, kind string, finding string"
 
 
+# Kinds of entries by the type flag of their header.
+TAR_KINDS = {"0": "REGULAR_FILE", "": "REGULAR_FILE", "5": "DIRECTORY", "2": "SYMLINK", "1": "HARDLINK", "6": "FIFO", "3": "CHARACTER_DEVICE", "4": "BLOCK_DEVICE"}
+
+
+def tar_frames(stream, length: int):
+    """``ordinal, path, size, kind, finding`` for each header of a TAR stream of ``length`` bytes that can seek; contents are passed over."""
+    at, n = 0, 0
+    while at + 512 <= length:
+        stream.seek(at)
+        head = stream.read(512)
+        if not any(head):
+            return
+        text = lambda a, b: head[a:b].split(b"\0")[0].decode("utf-8", "replace").strip()  # noqa: B023, E731
+        try:
+            size, told = int(text(124, 136) or "0", 8), int(text(148, 156).rstrip() or "0", 8)
+        except ValueError:
+            yield n, text(0, 100), None, "UNKNOWN", "HEADER_INVALID"
+            return
+        if told != sum(head) - sum(head[148:156]) + 8 * 32:
+            yield n, text(0, 100), size, "UNKNOWN", "CHECKSUM_MISMATCH"
+            return
+        at += 512 + -(-size // 512) * 512
+        prefix = text(345, 500) if head[257:262] == b"ustar" else ""
+        yield n, f"{prefix}/{text(0, 100)}" if prefix else text(0, 100), size, TAR_KINDS.get(text(156, 157), "UNKNOWN"), "TRUNCATED" if at > length else None
+        n += 1
+    if at < length:
+        yield n, None, None, "UNKNOWN", "TRUNCATED"
+
+
 def tar_members(archives: DataFrame, key: str, content: str) -> DataFrame:
     """A row for each header of TAR files, with a finding where the stream breaks off or a checksum is wrong; contents aren't kept.
 
-    A stream is a chain of frames, so each file is read from its start, by itself.
+    A stream is a chain of frames, so each file is read from its start, by itself. For files in a folder use the source
+    ``tar_members`` of ``datasources``, which doesn't load them.
     """
-    import pyarrow as pa
+    import io
 
-    kinds = {"0": "REGULAR_FILE", "": "REGULAR_FILE", "5": "DIRECTORY", "2": "SYMLINK", "1": "HARDLINK", "6": "FIFO", "3": "CHARACTER_DEVICE", "4": "BLOCK_DEVICE"}
-
-    def frames(data: bytes):
-        at, n = 0, 0
-        while at + 512 <= len(data):
-            head = data[at : at + 512]
-            if not any(head):
-                return
-            text = lambda a, b: head[a:b].split(b"\0")[0].decode("utf-8", "replace").strip()
-            try:
-                size, told = int(text(124, 136) or "0", 8), int(text(148, 156).rstrip() or "0", 8)
-            except ValueError:
-                yield n, text(0, 100), None, "UNKNOWN", "HEADER_INVALID"
-                return
-            if told != sum(head) - sum(head[148:156]) + 8 * 32:
-                yield n, text(0, 100), size, "UNKNOWN", "CHECKSUM_MISMATCH"
-                return
-            at += 512 + -(-size // 512) * 512
-            prefix = text(345, 500) if head[257:262] == b"ustar" else ""
-            yield n, f"{prefix}/{text(0, 100)}" if prefix else text(0, 100), size, kinds.get(text(156, 157), "UNKNOWN"), "TRUNCATED" if at > len(data) else None
-            n += 1
-        if at < len(data):
-            yield n, None, None, "UNKNOWN", "TRUNCATED"
+    import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            found = [(k, *f) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in frames(x or b"")]
+            found = [(k, *f) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in tar_frames(io.BytesIO(x or b""), len(x or b""))]
             if found:
                 types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=[x.split()[0] for x in TAR_MEMBERS.split(", ")])
