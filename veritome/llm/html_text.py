@@ -110,8 +110,10 @@ class Page:
         """``boiler`` and ``inside`` (a marked article) for each element, from the outermost."""
         total = self.mass[0]
         self.boiler, self.inside, self.own = [False], [False], [False]
+        self.outer = [-1]  # the outermost marked element around each, itself included
         for e in range(1, len(self.parent)):
             p, kind = self.parent[e], self.kind[e]
+            self.outer.append(self.outer[p] if self.outer[p] >= 0 or not self.mark[e] else e)
             inner_marks = self.marks[e] - self.mark[e]
             if kind == OWN_HEADER or (kind == NAMED and self.name[e] == "header" and self.inside[p]):
                 says, own = True, True
@@ -236,23 +238,13 @@ def main_text(source: str | None) -> str:
     keep = [k for i, j in regions for k in range(i, j) if length[k]]
     if marked:
         # a short line far from the rest stands in the same marked article as what surges
-        scopes = {_mark_of(page, lines[k].element) for k in keep}
-        keep = [k for k in range(n) if length[k] and _mark_of(page, lines[k].element) in scopes]
+        scopes = {page.outer[lines[k].element] for k in keep}
+        keep = [k for k in range(n) if length[k] and page.outer[lines[k].element] in scopes]
     else:
         keep = _in_scope(page, keep, length)
     return "\n\n".join(lines[k].text for k in keep)
 
 
-def _mark_of(page: Page, e: int) -> int:
-    """The outermost marked element around ``e``."""
-    found = -1
-    while e > 0:
-        if page.mark[e]:
-            found = e
-        e = page.parent[e]
-    return found
-
-
 def _in_scope(page: Page, keep: list[int], length: list[int]) -> list[int]:
     """Of an unmarked page's surging lines those in the innermost element that holds nearly all of their text, and the headings right before it."""
     held = Counter()
