@@ -416,6 +416,8 @@ def test_html_time_grows_with_the_page():
     began = time.perf_counter()
     assert main_text("<div>" * 100_000 + "x" + "</span>" * 100_000) == "x"
     assert main_text("<b>" + '<div class="a b-c">t' * 50_000)
+    line = "text of a line that is long enough to stand for an article "
+    assert main_text("<article>" + f"<div>{line}" * 50_000).count("\n\n") == 49_999
     assert time.perf_counter() - began < 60
 
 
@@ -558,7 +560,7 @@ def test_automaton_finds_words_stems_and_one_edit():
     from veritome.llm.toxicity import Lexicon
 
     lexicon = Lexicon([("moron", False, 2.0), ("scum", False, 1.0), ("lowei", True, 3.0)])
-    edits = {"moron": (2.0, 0.0), "mroon": (0.0, 0.0), "morn": (0.0, 2.0), "moroon": (0.0, 2.0), "noron": (0.0, 2.0), "morox": (0.0, 2.0), "scun": (0.0, 0.0), "loweient": (3.0, 0.0), "lowe": (0.0, 0.0)}
+    edits = {"moron": (2.0, 0.0), "mroon": (0.0, 2.0), "morn": (0.0, 2.0), "moroon": (0.0, 2.0), "noron": (0.0, 2.0), "morox": (0.0, 2.0), "scun": (0.0, 0.0), "loweient": (3.0, 0.0), "lowe": (0.0, 0.0), "loweX": (0.0, 0.0), "loveient": (0.0, 3.0), "lwoei": (0.0, 3.0)}
     assert {w: lexicon.find(w) for w in edits} == edits
 
 
@@ -566,12 +568,18 @@ def test_automaton_against_a_table_of_distances():
     from veritome.llm.toxicity import FUZZY_LENGTH, Lexicon
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        """Letters more, less, other, or two neighbours that change places."""
+        d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
         for i, x in enumerate(a, 1):
-            row, above = [i], row
             for j, y in enumerate(b, 1):
-                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        return row[-1]
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+                if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    def begins(w, t):
+        """Some beginning of ``w`` is the stem but for one edit, the stem's last letter standing, or changing places."""
+        return any(w[j - 1] == t[-1] and distance(w[: j - 1], t[:-1]) <= 1 for j in range(1, len(w) + 1)) or w[: len(t)] == t[:-2] + t[-1] + t[-2]
 
     rng = random.Random(11)
 
@@ -584,11 +592,11 @@ def test_automaton_against_a_table_of_distances():
         words = [word(1, 9) for _ in range(60)]
         for t, _, _ in terms:
             at, c = rng.randrange(len(t)), rng.choice("abcé")
-            words += [t, t[:at] + t[at + 1 :], t[:at] + c + t[at:], t[:at] + c + t[at + 1 :], t + word(1, 3)]
+            words += [t, t[:at] + t[at + 1 :], t[:at] + c + t[at:], t[:at] + c + t[at + 1 :], t + word(1, 3), t[:at] + t[at : at + 2][::-1] + t[at + 2 :], t[:at] + c + t[at + 1 :] + word(1, 3), t[:at] + t[at : at + 2][::-1] + t[at + 2 :] + word(1, 3)]
         for w in words:
             exact = max([x for t, stem, x in terms if (w.startswith(t) if stem else w == t)], default=0.0)
-            near = max([x for t, stem, x in terms if not stem and len(t) >= FUZZY_LENGTH and distance(t, w) == 1], default=0.0)
-            assert lexicon.find(w) == (exact, near), (w, terms)
+            near = max([x for t, stem, x in terms if len(t) >= FUZZY_LENGTH and (begins(w, t) if stem else distance(t, w) == 1)], default=0.0)
+            assert lexicon.find(w) == (exact, 0.0 if exact else near), (w, terms)
 
 
 def test_quotation_counts_less():
@@ -599,6 +607,19 @@ def test_quotation_counts_less():
     assert plain[0] > quoted[0] and quoted[3] > plain[3]
 
 
+def test_toxicity_reaches_edits_signs_and_drawn_out_words():
+    from veritome.llm.toxicity import Lexicon, Scanner
+
+    scan = Scanner(Lexicon([("moron", True, 2.0), ("idiot", False, 3.0), ("asshole", False, 2.5)]))
+    for word in ("idoit", "iidot", "ideeot", "idiooot", "id1ot", "1d10t", "morrons", "m0ron", "m.oron,", "(morno)", "a$$hole"):
+        assert scan[word] and not scan[word][0] and scan[word][1] > 0, word
+    assert scan["idiot!"][0] == 3.0 and scan["morons"][0] == 2.0
+    for word in ("patriot", "mormon's"[:3], "idol", "2020", "10", "-", ""):
+        assert scan[word] is None, word
+    assert scan["abmoron" * 100_000] is None and scan["moron" * 100_000][0] == 2.0  # long chunks are searched whole, and not remembered
+    assert "moron" * 100_000 not in scan
+
+
 def test_toxicity_odd_rows_and_held_out(spark, docs, empty, labels):
     from veritome.llm.toxicity import fit, held_out, keep_clean, score
 

@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 #: About so many labelled rows of either class are fitted on; any more are thinned by a hash of the key.
 FIT_ROWS = 12_000
-#: Terms in a lexicon, at most; those in most toxic texts first.
-MAX_TERMS = 5_000
 #: A term stands in at least this share of the toxic texts fitted on (and in two), and this share of the texts with it is toxic.
+#: So there are at most 1 / SUPPORT terms for each unit that a toxic text holds on average, whatever the size of the tables.
 SUPPORT, PRECISION = 0.01, 0.85
 #: And its log-likelihood ratio, doubled, is at least this, or chance would fill the lexicon.
 EVIDENCE = 15.0
@@ -31,12 +30,17 @@ STEM = range(3, 9)
 WINDOW, QUOTED = 6, 0.3
 #: Terms at least this long match with one edit.
 FUZZY_LENGTH = 5
-KEPT_WORDS = 500_000
+#: Chunks that a worker remembers, and their greatest length.
+KEPT_WORDS, REMEMBERED = 500_000, 64
+# Signs around a word, and what stands for a letter inside one.
+AROUND = ".,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~"
+LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 # Words that report speech.
 REPORTING = frozenset("said says wrote writes quoted quotes quote called calls term word words slur insult reported according sagte schrieb nannte zitat dit écrit citation dijo escribió cita".split())
 THRESHOLD = 0.7
 
 _letters = re.compile(r"[^\W\d_]+")
+_run = re.compile(r"(.)\1+")
 
 
 def _path(node: dict, letters: str) -> dict:
@@ -48,80 +52,142 @@ def _path(node: dict, letters: str) -> dict:
 class Lexicon:
     """Terms with weights in a trie; a stem stands for every word that begins with it.
 
-    With one edit at most, a term's first half begins the word or its second half ends it. So the
-    automaton starts where the word's own beginning leads to such a first half, and in a second
-    trie, of terms from their ends, where its ending leads to such a second half.
+    One edit is a letter more, less, or another, or two neighbours that change places. Then a term's first half begins the word, or its
+    second half ends it (of a stem: stands about its place), or the two letters between the halves have changed places. The automaton
+    starts where these lead: in the trie, and in tries of words and of stems from their ends. A stem's last letter stands as it is.
     """
 
     def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
         root: dict = {}
         back: dict = {}
+        stems_back: dict = {}
         self.heads: dict[str, dict] = {}
+        self.crossed: dict[str, dict] = {}
         self.tails: dict[str, dict] = {}
+        self.middles: dict[tuple[int, int], dict[str, dict]] = {}  # second halves of stems, by their place and length
+        self.longest = max((len(t) for t, _, _ in terms), default=0)
         for term, stem, weight in terms:
             _path(root, term)["stem" if stem else "word"] = weight
-            if stem or len(term) < FUZZY_LENGTH:
+            if len(term) < FUZZY_LENGTH:
                 self.heads[term] = _path(root, term)
                 continue
             half = len(term) // 2
             self.heads[term[:half]] = _path(root, term[:half])
-            _path(back, term[::-1])["word"] = weight
-            self.tails[term[: half - 1 : -1]] = _path(back, term[: half - 1 : -1])
+            self.crossed[term[: half + 1]] = _path(root, term[: half + 1])
+            ending = term[: half - 1 : -1]
+            _path(stems_back if stem else back, term[::-1])["word"] = weight
+            if stem:
+                self.middles.setdefault((half, len(term) - half), {})[term[half:]] = _path(stems_back, ending)
+            else:
+                self.tails[ending] = _path(back, ending)
         self.head_lengths = sorted({len(x) for x in self.heads})
+        self.crossed_lengths = sorted({len(x) for x in self.crossed})
         self.tail_lengths = sorted({len(x) for x in self.tails})
 
     def find(self, word: str) -> tuple[float, float]:
-        """Largest weight of a term that ``word`` is, and of one that it is but for one edit; 0 where there is none."""
+        """Largest weight of a term that ``word`` is, or else of one that it is but for one edit; 0 where there is none."""
         exact = near = 0.0
-        for letters, starts, lengths in ((word, self.heads, self.head_lengths), (word[::-1], self.tails, self.tail_lengths)):
-            found = [(starts[letters[:n]], n) for n in lengths if n <= len(letters) and letters[:n] in starts]
-            if found:
-                a, b = _matches(letters, found)
+        size = len(word)
+        starts = []
+        for n in self.head_lengths:
+            node = self.heads.get(word[:n]) if n <= size else None
+            if node is not None:
+                starts.append((node, 1 << n, 3 << n, n))
+        for n in self.crossed_lengths:
+            node = self.crossed.get(word[: n - 2] + word[n - 1] + word[n - 2]) if n <= size else None
+            if node is not None:
+                starts.append((node, 0, 1 << n, n))
+        if starts:
+            exact, near = _matches(word, starts, self.longest)
+        if self.tails and size <= self.longest + 1:
+            turned = word[::-1]
+            starts = [(self.tails[turned[:n]], 1 << n, 3 << n, n) for n in self.tail_lengths if n <= size and turned[:n] in self.tails]
+            if starts:
+                a, b = _matches(turned, starts, self.longest)
                 exact, near = max(exact, a), max(near, b)
-        return exact, near
+        for (at, n), found in self.middles.items():
+            for begin in (at - 1, at, at + 1):
+                node = found.get(word[begin : begin + n])
+                if node is not None:
+                    near = max(near, *_matches(word[begin + n - 1 :: -1], [(node, 1 << n, 3 << n, n)], self.longest))
+        return exact, 0.0 if exact else near
+
 
+def _matches(word: str, starts: list[tuple[dict, int, int, int]], longest: int) -> tuple[float, float]:
+    """``Lexicon.find`` below nodes that so many of the word's first characters lead to: with no edit, and with one at most.
 
-def _matches(word: str, starts: list[tuple[dict, int]]) -> tuple[float, float]:
-    """``Lexicon.find`` below nodes that so many of the word's first characters lead to."""
+    What lies beyond the longest term and an edit is never reached, so only as much of the word is looked at.
+    """
     bits: dict[str, int] = {}
-    for i, c in enumerate(word):
+    reach = word[: longest + 2]
+    for i, c in enumerate(reach):
         bits[c] = bits.get(c, 0) | 1 << i
-    last, exact, near = 1 << len(word), 0.0, 0.0
-    whole = (last << 1) - 1
-    stack = [(node, 1 << n, 3 << n & whole, n) for node, n in starts]  # a node, and the positions of the word reached with no edit, with one at most
+    whole = (2 << len(reach)) - 1
+    last = 1 << len(reach) if len(reach) == len(word) else 0
+    exact = near = 0.0
+    stack = []  # a node, the positions of the word reached with no edit, with one at most, those whose next two letters may be turned round, depth
+    for node, none, one, depth in starts:
+        one &= whole
+        if none:
+            exact = max(exact, node.get("stem", 0.0), node.get("word", 0.0) if none & last else 0.0)
+        if one & last and depth >= FUZZY_LENGTH:
+            near = max(near, node.get("word", 0.0))
+        stack.append((node, none, one, 0, depth))
     while stack:
-        node, none, one, depth = stack.pop()
+        node, none, one, turned, depth = stack.pop()
+        depth += 1
         for c, child in node.items():
-            if c == "word":
-                if none & last:
-                    exact = max(exact, child)
-                elif one & last and depth >= FUZZY_LENGTH:
-                    near = max(near, child)
-            elif c == "stem":
-                if none:
-                    exact = max(exact, child)
-            else:
-                at = bits.get(c, 0)
-                none2 = (none & at) << 1
-                one2 = ((one & at) << 1 | none | none << 1 | none2 | none2 << 1) & whole
-                if one2:
-                    stack.append((child, none2, one2, depth + 1))
+            if len(c) > 1:  # a weight
+                continue
+            at = bits.get(c, 0)
+            none2 = (none & at) << 1
+            stands = ((one & at) << 1 | (turned & at) << 2) & whole
+            one2 = (stands | none | none << 1 | none2 | none2 << 1) & whole
+            if not one2:
+                continue
+            if "word" in child:
+                if none2 & last:
+                    exact = max(exact, child["word"])
+                elif one2 & last and depth >= FUZZY_LENGTH:
+                    near = max(near, child["word"])
+            if "stem" in child:
+                if none2:
+                    exact = max(exact, child["stem"])
+                elif stands and depth >= FUZZY_LENGTH:
+                    near = max(near, child["stem"])
+            stack.append((child, none2, one2, none & at >> 1, depth))
     return exact, near
 
 
 class Scanner(dict):
-    """From a chunk between spaces to its hit weights; remembers a bounded number of chunks."""
+    """From a chunk between spaces to its hit weights; remembers a bounded number of chunks, none of them long."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, chunk: str) -> tuple[float, float] | None:
+        """Words of letters; a drawn-out word by its letters once; digits and signs as the letters they stand for, or as one edit."""
+        find = self.lexicon.find
         exact = near = 0.0
-        for word in _letters.findall(chunk.casefold()):
-            a, b = self.lexicon.find(word)
+        low = chunk.casefold()
+        for word in _letters.findall(low):
+            a, b = find(word)
+            if not a and not b:
+                short = _run.sub(r"\1", word)
+                if short != word:
+                    b = max(find(short))
             exact, near = max(exact, a), max(near, b)
-        self[chunk] = found = (exact, near) if exact or near else None
+        plain = low.strip(AROUND)
+        if plain and not plain.isalpha() and _letters.search(plain):
+            near = max(near, *find(plain))
+            meant = plain.translate(LOOKALIKES)
+            if meant != plain:
+                for word in _letters.findall(meant):
+                    near = max(near, *find(word))
+        found = (exact, near) if exact or near else None
+        if len(chunk) <= REMEMBERED:
+            self[chunk] = found
         return found
 
     def features(self, text: str) -> list[float]:
@@ -162,8 +228,7 @@ def choose_terms(counts: list[tuple[str, bool, int, int, int, int]], n_toxic: in
         if not is_word and (kinds < 4 or most > 0.6 * toxic):
             continue
         terms[unit] = (not is_word, float(np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))) * min(1.0, np.log1p(toxic)))
-    rank = {x[0]: -x[2] for x in counts}
-    return [(t, stem, weight) for t, (stem, weight) in sorted(terms.items(), key=lambda x: (rank[x[0]], x[0]))[:MAX_TERMS]]
+    return [(t, stem, weight) for t, (stem, weight) in sorted(terms.items())]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -224,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     stems = words.where("unit <> word").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("kinds"), F.max("toxic").alias("most"))
     wanted = (F.col("toxic") >= least) & (F.col("toxic") * n_clean >= PRECISION * (F.col("toxic") * n_clean + F.col("clean") * n_toxic))
     both = whole.where(wanted).select("unit", F.lit(True).alias("is_word"), "toxic", "clean", F.lit(1).cast("long").alias("kinds"), F.col("toxic").alias("most")).unionByName(stems.where(wanted & (F.col("kinds") >= 4)).select("unit", F.lit(False).alias("is_word"), "toxic", "clean", "kinds", "most"))
-    rows = [tuple(r) for r in both.orderBy(F.desc("toxic"), "unit", "is_word").limit(40 * MAX_TERMS).collect()]
+    rows = [tuple(r) for r in both.collect()]  # bounded by SUPPORT
     terms = choose_terms(rows, n_toxic, n_clean)
     found = sample.select(F.col("h").alias("key"), "y", "text").mapInArrow(_featured(docs.sparkSession, terms), "key long, y int, f array<double>").select("y", "f").collect()  # a row for each of the texts fitted on
     beta = fit_logistic(np.array([r.f for r in found]), np.array([float(r.y > 0) for r in found]))
@@ -232,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _featured(spark: SparkSession, terms: list[tuple[str, bool, float]]):
-    shared = spark.sparkContext.broadcast([terms, None])  # MAX_TERMS terms at most; a worker keeps its scanner in place of None
+    shared = spark.sparkContext.broadcast([terms, None])  # bounded by SUPPORT; a worker keeps its scanner in place of None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = shared.value
