@@ -30,7 +30,7 @@ class Pieces(InputPartition):
 class _FolderReader(DataSourceReader):
     """Finds files below a root in order of name and picks them by options before anything is opened.
 
-    Filters aren't taken from Spark: in 4.1 what one frame pushes stays with the table, so another frame over it would lose rows.
+    Filters aren't taken from Spark: in 4.1 what one frame pushes stays with the table, so another frame over it is planned with those partitions only.
     """
 
     splits = False
