@@ -58,56 +58,72 @@ class Lexicon:
     """
 
     def __init__(self, terms: list[tuple[str, bool, float]]) -> None:
-        root: dict = {}
-        back: dict = {}
-        stems_back: dict = {}
-        self.heads: dict[str, dict] = {}
-        self.crossed: dict[str, dict] = {}
-        self.tails: dict[str, dict] = {}
-        self.middles: dict[tuple[int, int], dict[str, dict]] = {}  # second halves of stems, by their place and length
+        self._root: dict = {}
+        self._back: dict = {}
+        self._stems_back: dict = {}
+        self._terms = [(term, stem) for term, stem, _ in terms]
+        self._starts: dict[int, tuple] = {}
         self.longest = max((len(t) for t, _, _ in terms), default=0)
         for term, stem, weight in terms:
-            _path(root, term)["stem" if stem else "word"] = weight
-            if len(term) < FUZZY_LENGTH:
-                self.heads[term] = _path(root, term)
+            _path(self._root, term)["stem" if stem else "word"] = weight
+            if len(term) >= FUZZY_LENGTH:
+                _path(self._stems_back if stem else self._back, term[::-1])["word"] = weight
+
+    def _starting(self, size: int) -> tuple:
+        """Where the automaton may start for a word of ``size`` letters, by what leads there: only terms that such a word can reach with an edit count."""
+        heads: dict[int, dict[str, dict]] = {}
+        crossed: dict[int, dict[str, dict]] = {}
+        tails: dict[int, dict[str, dict]] = {}
+        middles: dict[tuple[int, int], dict[str, dict]] = {}  # second halves of stems, by their place and length
+        for term, stem in self._terms:
+            n = len(term)
+            if n > size + 1 or (n < size - 1 and not stem):
                 continue
-            half = len(term) // 2
-            self.heads[term[:half]] = _path(root, term[:half])
-            self.crossed[term[: half + 1]] = _path(root, term[: half + 1])
+            if n < FUZZY_LENGTH:
+                heads.setdefault(n, {})[term] = _path(self._root, term)
+                continue
+            half = n // 2
+            heads.setdefault(half, {})[term[:half]] = _path(self._root, term[:half])
+            crossed.setdefault(half + 1, {})[term[: half + 1]] = _path(self._root, term[: half + 1])
             ending = term[: half - 1 : -1]
-            _path(stems_back if stem else back, term[::-1])["word"] = weight
             if stem:
-                self.middles.setdefault((half, len(term) - half), {})[term[half:]] = _path(stems_back, ending)
+                middles.setdefault((half, n - half), {})[term[half:]] = _path(self._stems_back, ending)
             else:
-                self.tails[ending] = _path(back, ending)
-        self.head_lengths = sorted({len(x) for x in self.heads})
-        self.crossed_lengths = sorted({len(x) for x in self.crossed})
-        self.tail_lengths = sorted({len(x) for x in self.tails})
+                tails.setdefault(n - half, {})[ending] = _path(self._back, ending)
+        return tuple(heads.items()), tuple(crossed.items()), tuple(tails.items()), tuple(middles.items())
 
     def find(self, word: str) -> tuple[float, float]:
         """Largest weight of a term that ``word`` is, or else of one that it is but for one edit; 0 where there is none."""
         exact = near = 0.0
-        size = len(word)
+        size = min(len(word), self.longest + 2)  # longer words reach the same terms: stems
+        found = self._starts.get(size)
+        if found is None:
+            found = self._starts[size] = self._starting(size)
+        heads, crossed, tails, middles = found
         starts = []
-        for n in self.head_lengths:
-            node = self.heads.get(word[:n]) if n <= size else None
+        for n, nodes in heads:
+            node = nodes.get(word[:n])
             if node is not None:
                 starts.append((node, 1 << n, 3 << n, n))
-        for n in self.crossed_lengths:
-            node = self.crossed.get(word[: n - 2] + word[n - 1] + word[n - 2]) if n <= size else None
+        for n, nodes in crossed:
+            node = nodes.get(word[: n - 2] + word[n - 1] + word[n - 2])
             if node is not None:
                 starts.append((node, 0, 1 << n, n))
         if starts:
             exact, near = _matches(word, starts, self.longest)
-        if self.tails and size <= self.longest + 1:
+        if tails:
             turned = word[::-1]
-            starts = [(self.tails[turned[:n]], 1 << n, 3 << n, n) for n in self.tail_lengths if n <= size and turned[:n] in self.tails]
+            starts = []
+            for n, nodes in tails:
+                node = nodes.get(turned[:n])
+                if node is not None:
+                    starts.append((node, 1 << n, 3 << n, n))
             if starts:
                 a, b = _matches(turned, starts, self.longest)
                 exact, near = max(exact, a), max(near, b)
-        for (at, n), found in self.middles.items():
+        for (at, n), nodes in middles:
             for begin in (at - 1, at, at + 1):
-                node = found.get(word[begin : begin + n])
+                node = nodes.get(word[begin : begin + n])
                 if node is not None:
                     near = max(near, *_matches(word[begin + n - 1 :: -1], [(node, 1 << n, 3 << n, n)], self.longest))
         return exact, 0.0 if exact else near
@@ -168,18 +184,23 @@ class Scanner(dict):
 
     def __missing__(self, chunk: str) -> tuple[float, float] | None:
         """Words of letters; a drawn-out word by its letters once; digits and signs as the letters they stand for, or as one edit."""
+        low = chunk.casefold()
+        plain = low.strip(AROUND)
+        if plain != chunk:  # signs around a word and capitals mean nothing
+            found = self[plain] if plain else None
+            if len(chunk) <= REMEMBERED:
+                self[chunk] = found
+            return found
         find = self.lexicon.find
         exact = near = 0.0
-        low = chunk.casefold()
-        for word in _letters.findall(low):
+        for word in _letters.findall(plain):
             a, b = find(word)
             if not a and not b:
                 short = _run.sub(r"\1", word)
                 if short != word:
                     b = max(find(short))
             exact, near = max(exact, a), max(near, b)
-        plain = low.strip(AROUND)
-        if plain and not plain.isalpha() and _letters.search(plain):
+        if not plain.isalpha() and _letters.search(plain):
             near = max(near, *find(plain))
             meant = plain.translate(LOOKALIKES)
             if meant != plain:
