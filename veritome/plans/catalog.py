@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritome.plans import authority_queries, blocker_queries, index_queries, inventory_queries, knowledge_queries, match_run_queries, matching_queries, scalar_queries, snapshot_queries, source_queries, state_queries, stream_queries  # noqa: F401  they register themselves
+from veritome.plans import authority_queries, blocker_queries, index_queries, inventory_queries, knowledge_queries, match_run_queries, matching_queries, quality_queries, scalar_queries, snapshot_queries, source_queries, state_queries, stream_queries  # noqa: F401  they register themselves
 from veritome.plans.registry import ORACLES, QUERIES, Query
 
 
