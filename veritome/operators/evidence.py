@@ -78,12 +78,16 @@ def keep_preference(candidates: DataFrame, size: str = "DISABLED", formats: Sequ
     for n, name in enumerate(formats):
         rank = F.when(F.col("format") == name, n).otherwise(rank)
     by_size = {"DISABLED": F.lit(0), "PREFER_SMALLER": F.col("size_bytes"), "PREFER_LARGER": -F.col("size_bytes")}[size].cast("long")
-    order = F.struct(F.col("incomplete").cast("long").alias("a"), F.col("action_required").cast("long").alias("b"), F.col("review").cast("long").alias("c"), rank.cast("long").alias("d"), by_size.alias("e"))
-    ranked = candidates.withColumn("o", order)
-    best = ranked.groupBy("group_id").agg(F.min("o").alias("best"), F.max("o").alias("worst"), F.bool_or("blocked").alias("blocked"), F.count("*").alias("files"))
-    first = ranked.drop("blocked").join(best, "group_id").where(F.col("o") == F.col("best")).groupBy("group_id").agg(F.min("file_id").alias("file_id"), F.count("*").alias("n_best"), F.first("best").alias("best"), F.first("blocked").alias("blocked"), F.first("files").alias("files"))
-    other = ranked.join(first.select("group_id", F.col("best").alias("b0")), "group_id").where(F.col("o") != F.col("b0")).groupBy("group_id").agg(F.min("o").alias("second"))
-    told = first.join(other, "group_id", "left")
+    # equal ranks are counted first, then each class of counts and format keeps its least; a group has few classes, as it has five dimensions
+    counts = {"a": "incomplete", "b": "action_required", "c": "review"}
+    ranked = candidates.select("group_id", "file_id", "blocked", *(F.col(c).cast("long").alias(k) for k, c in counts.items()), rank.cast("long").alias("d"), by_size.alias("e"))
+    equal = ranked.groupBy("group_id", "a", "b", "c", "d", "e").agg(F.count("*").alias("n"), F.min("file_id").alias("file_id"), F.bool_or("blocked").alias("blocked"))
+    least = F.struct(F.struct("e").alias("size"), "n", "file_id")
+    classes = equal.groupBy("group_id", "a", "b", "c", "d").agg(F.min(least).alias("least"), F.max(F.struct("e")).alias("most"), F.bool_or("blocked").alias("blocked"))
+    told = classes.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("a", "b", "c", "d", "least", "most"))).alias("every"), F.bool_or("blocked").alias("blocked"))
+    best, alone = F.get("every", F.lit(0)), F.get("every", F.lit(0))["least"]["size"] == F.get("every", F.lit(0))["most"]
+    told = told.select("group_id", "blocked", best.alias("best"), F.when(alone, F.get("every", F.lit(1))).otherwise(best).alias("second"))
+    told = told.withColumn("n_best", F.col("best.least.n")).withColumn("file_id", F.col("best.least.file_id"))
     reason = (
         F.when(F.col("best.a") != F.col("second.a"), F.lit("FEWER_INCOMPLETE_DIMENSIONS"))
         .when(F.col("best.b") != F.col("second.b"), F.lit("FEWER_ACTION_REQUIRED_DIMENSIONS"))
