@@ -386,3 +386,23 @@ def test_sidecars_beyond_the_limit(spark):
     archives = spark.createDataFrame([("d/a.rar",), ("d/b.rar",), ("e/c.rar",), ("f/d.rar",)], "path string")
     got = sorted(rows(planning.sidecar_inventory(archives, files, 3)))
     assert got == [("d/a.rar", "LIMIT_EXCEEDED", None, None, 4), ("d/b.rar", "LIMIT_EXCEEDED", None, None, 4), ("e/c.rar", "LISTED", "1.nfo", "NFO", 1)]
+
+
+def test_archives_meet_their_workspace(spark):
+    """A rule about the archive comes before its members', the room that they need after; nulls violate their rule."""
+    gib = 1 << 30
+    archives = [
+        ("fits", 1, 8 * gib, 3 * gib, False), ("exactly", 1, 2 * gib - 1, 3 * gib - 1, False), ("tight", 1, 8 * gib, 3 * gib - 2, False), ("small", 1, 2 * gib - 2, 9 * gib, False), ("none", 1, 0, gib, False), ("parts", 257, 0, 0, True), ("no parts", None, 0, 0, True),
+        ("wide", 1, 8 * gib + 1, 9 * gib, False), ("debt", 1, 0, -1, True), ("over", 1, 0, 0, True), ("unsure", 1, 0, 9 * gib, None), ("link", 1, 0, 0, False), ("many", 0, -1, -1, True), (None, 1, 0, 0, False), ("fits", 1, 0, 3 * gib, False),
+    ]
+    one = [(a, 1, "a", 2 * gib - 1, gib, "REGULAR_FILE") for a in ("fits", "exactly", "tight", "small", "parts", "wide", "stranger", None)]
+    members = [*one, ("link", 1, "a", 5 * gib, 1, "SYMLINK"), *(("many", i, str(i), 1 << 62, 1, "REGULAR_FILE") for i in range(10_001))]
+    got = planning.archive_admission(
+        spark.createDataFrame(archives, "archive_id string, volumes int, capacity long, free long, overlaps boolean"),
+        spark.createDataFrame(members, "archive_id string, ordinal long, path string, size long, packed long, kind string"),
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("fits", "ACCEPTED", None, 1), ("fits", "LIMIT_EXCEEDED", "WORKSPACE_LIMIT", 1), ("exactly", "ACCEPTED", None, 1), ("tight", "LIMIT_EXCEEDED", "WORKSPACE_RESERVE", 1), ("small", "LIMIT_EXCEEDED", "WORKSPACE_LIMIT", 1), ("none", "ACCEPTED", None, 0),
+        ("parts", "LIMIT_EXCEEDED", "VOLUME_COUNT_LIMIT", 0), ("no parts", "LIMIT_EXCEEDED", "VOLUME_COUNT_LIMIT", 0), ("wide", "LIMIT_EXCEEDED", "WORKSPACE_LIMIT", 0), ("debt", "LIMIT_EXCEEDED", "WORKSPACE_RESERVE", 0), ("over", "POLICY_REJECTED", "WORKSPACE_OVERLAP", 0),
+        ("unsure", "POLICY_REJECTED", "WORKSPACE_OVERLAP", 0), ("link", "POLICY_REJECTED", "MEMBER_KIND_REJECTED", 1), ("many", "LIMIT_EXCEEDED", "MEMBER_COUNT_LIMIT", 0),
+    ], key=str)

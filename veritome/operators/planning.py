@@ -9,6 +9,7 @@ from veritome.functions.unicode import casefolded, folded
 
 # Limits of an archive that is accepted, and sidecar kinds by file name.
 MEMBERS, TOTAL_BYTES, MEMBER_BYTES, RATIO = 10_000, 8 << 30, 2 << 30, 1000
+WORKSPACE_BYTES, RESERVE_BYTES = 8 << 30, 1 << 30
 PATH_CHARACTERS, PATH_BYTES, PATH_PARTS, NAME_CHARACTERS = 1024, 4096, 128, 1024
 SIDECAR_NAMES = (("readme read.me", "README"), ("password passwort pass pw", "PASSWORD"))
 SIDECARS = (("nfo", "NFO"), ("txt", "TEXT"), ("diz", "DIZ"), ("info", "INFO"), ("url", "URL"), ("html", "HTML"), ("htm", "HTML"), ("sfv", "SFV"))
@@ -167,6 +168,33 @@ def archive_safety(members: DataFrame) -> DataFrame:
     return told.unionByName(large)
 
 
+def archive_admission(archives: DataFrame, members: DataFrame) -> DataFrame:
+    """``archive_id, status, violation, member_count``: whether an archive may be unpacked into its workspace.
+
+    archives: archive_id, volumes, capacity (the workspace's bytes), free (bytes left), overlaps (the workspace meets the
+    source). members as for ``archive_safety``. In this order: too many members, volumes, the workspace as it is, the
+    members' own rules, then the workspace against what the members unpack to, with RESERVE_BYTES to spare. A violated
+    limit is LIMIT_EXCEEDED, any other rule POLICY_REJECTED, none ACCEPTED. Nulls in an archive's facts violate their rules;
+    an archive without members unpacks to nothing; members without an archive, and rows of a null archive_id, are left out;
+    member_count is 0 where a rule about the archive itself is violated.
+    """
+    listed = members.where("archive_id is not null").join(archives.select("archive_id").distinct(), "archive_id", "left_semi")
+    inside = archive_safety(listed).join(listed.groupBy("archive_id").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("decimal(20,0)")).alias("bytes")), "archive_id")
+    each = archives.where("archive_id is not null").select("archive_id", "volumes", "capacity", "free", "overlaps").join(inside, "archive_id", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    within = lambda value, low, high: F.coalesce(F.col(value).between(low, high), F.lit(False))
+    fixed = (
+        F.when(F.col("violation") == "MEMBER_COUNT_LIMIT", F.lit("MEMBER_COUNT_LIMIT"))
+        .when(~within("volumes", 1, MOST_VOLUMES), F.lit("VOLUME_COUNT_LIMIT"))
+        .when(~within("capacity", 0, WORKSPACE_BYTES), F.lit("WORKSPACE_LIMIT"))
+        .when(F.col("free").isNull() | (F.col("free") < 0), F.lit("WORKSPACE_RESERVE"))
+        .when(F.coalesce("overlaps", F.lit(True)), F.lit("WORKSPACE_OVERLAP"))
+    )
+    then = F.when(F.col("violation").isNotNull(), F.col("violation")).when(F.col("bytes") > F.col("capacity"), F.lit("WORKSPACE_LIMIT")).when(F.col("free") - RESERVE_BYTES < F.col("bytes"), F.lit("WORKSPACE_RESERVE"))
+    told = each.withColumn("itself", fixed).withColumn("violation", F.coalesce("itself", then))
+    status = F.when(F.col("violation").isNull(), F.lit("ACCEPTED")).when(F.col("violation").rlike("LIMIT$|^WORKSPACE_RESERVE$"), F.lit("LIMIT_EXCEEDED")).otherwise(F.lit("POLICY_REJECTED"))
+    return told.select("archive_id", status.alias("status"), "violation", F.when(F.col("itself").isNull(), F.coalesce("n", F.lit(0))).otherwise(0).alias("member_count"))
+
+
 def sidecars(files: DataFrame) -> DataFrame:
     """``parent, name, kind`` of files that describe an archive beside them: by whole name, else by suffix."""
     low = F.lower("name")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritome.operators import planning, search, state
@@ -220,6 +221,22 @@ def archive_safety(spark, d):
     return planning.archive_safety(m).select("archive_id", F.coalesce("violation", F.lit("ACCEPTED")).alias("violation"))
 
 
+@query("""WITH m AS (SELECT l_orderkey AS archive_id, count(*) AS n, cast(sum(cast(l_quantity AS BIGINT) * 20000000) AS BIGINT) AS bytes, bool_or(l_suppkey % 97 = 0) AS links FROM lineitem GROUP BY 1),
+a AS (SELECT o_orderkey AS archive_id, CASE WHEN o_custkey % 61 = 0 THEN NULL WHEN o_custkey % 59 = 0 THEN 257 ELSE o_custkey % 5 + 1 END AS volumes, CASE WHEN o_custkey % 53 = 0 THEN 9000000000 ELSE o_custkey % 9 * 900000000 END AS capacity, CASE WHEN o_custkey % 47 = 0 THEN -1 ELSE o_custkey % 13 * 500000000 END AS free, CASE WHEN o_custkey % 43 = 0 THEN NULL ELSE o_custkey % 41 = 0 END AS meets FROM orders),
+f AS (SELECT *, CASE WHEN volumes IS NULL OR volumes > 256 THEN 'VOLUME_COUNT_LIMIT' WHEN capacity > 8589934592 THEN 'WORKSPACE_LIMIT' WHEN free < 0 THEN 'WORKSPACE_RESERVE' WHEN coalesce(meets, true) THEN 'WORKSPACE_OVERLAP' END AS itself FROM a LEFT JOIN m USING (archive_id)),
+v AS (SELECT *, CASE WHEN itself IS NOT NULL THEN itself WHEN links THEN 'MEMBER_KIND_REJECTED' WHEN coalesce(bytes, 0) > capacity THEN 'WORKSPACE_LIMIT' WHEN free < coalesce(bytes, 0) + 1073741824 THEN 'WORKSPACE_RESERVE' END AS violation FROM f)
+SELECT archive_id, CASE WHEN violation IS NULL THEN 'ACCEPTED' WHEN violation IN ('WORKSPACE_OVERLAP', 'MEMBER_KIND_REJECTED') THEN 'POLICY_REJECTED' ELSE 'LIMIT_EXCEEDED' END AS status, coalesce(violation, '-') AS violation, CASE WHEN itself IS NULL THEN coalesce(n, 0) ELSE 0 END AS member_count FROM v""")
+def archive_admission(spark, d):
+    """Orders in the role of archives, each with a workspace, their lines in the role of members."""
+    c = F.col("o_custkey")
+    volumes = F.when(c % 61 == 0, F.lit(None)).when(c % 59 == 0, 257).otherwise(c % 5 + 1)
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("archive_id"), volumes.cast("int").alias("volumes"), F.when(c % 53 == 0, F.lit(9_000_000_000)).otherwise(c % 9 * F.lit(900_000_000).cast("long")).alias("capacity"), F.when(c % 47 == 0, F.lit(-1).cast("long")).otherwise(c % 13 * F.lit(500_000_000).cast("long")).alias("free"), F.when(c % 43 != 0, c % 41 == 0).alias("overlaps"))
+    size = F.col("l_quantity").cast("long") * 20_000_000
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("ordinal"), size.alias("size"), F.when(F.col("l_suppkey") % 97 == 0, "HARDLINK").otherwise("REGULAR_FILE").alias("kind"))
+    m = m.select("archive_id", "ordinal", F.concat(F.lit("part"), F.col("ordinal").cast("string")).alias("path"), "size", F.col("size").alias("packed"), "kind")
+    return planning.archive_admission(a, m).select("archive_id", "status", F.coalesce("violation", F.lit("-")).alias("violation"), F.col("member_count").cast("long").alias("member_count"))
+
+
 _NAMES = (("ReadMe", "README"), ("READ.ME", "README"), ("Passwort", "PASSWORD"), ("pw", "PASSWORD"), ("Readme.TXT", "TEXT"), ("a.NFO", "NFO"), ("i.htm", "HTML"), ("x.sfv", "SFV"), ("d.diz", "DIZ"), ("lost-passwords-book.epub", None), ("a:b.txt", None), ("txt", None), ("pass", "PASSWORD"))
 
 
