@@ -66,16 +66,16 @@ def knowledge_editions(pages: DataFrame, text: str) -> DataFrame:
 
 
 def book_metadata(xml: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, kind, value`` of package metadata; documents with a type declaration or entities, or over 4 MiB, are refused."""
+    """``key, kind, value`` of package metadata; documents with a type declaration or entities, or over 4 MiB, are refused.
+
+    Names count without their prefixes; what stands between the tags is told as it is, but for spaces around it.
+    """
     safe = ~F.col(text).rlike("<!(DOCTYPE|ENTITY)") & (F.octet_length(text) <= 4 << 20)
-    plain = F.regexp_replace(text, r"(</?)[A-Za-z]+:", "$1")
-    plain = F.regexp_replace(plain, r"\sxmlns(:\w+)?=\"[^\"]*\"|\s\w+:(\w+)=", " $2=")
-    plain = F.regexp_replace(plain, r"\s=", " ")
     kinds = ("title", "creator", "language", "identifier", "publisher")
-    rows = xml.where(safe).select(key, plain.alias("x"))
+    rows = xml.where(safe).select(key, F.col(text).alias("x"))
     out = None
     for kind in kinds:
-        part = rows.select(key, F.lit(kind).alias("kind"), F.explode(F.transform(F.regexp_extract_all("x", F.lit(f"<{kind}[^>]*>([^<]*)</{kind}>"), 1), lambda v: F.trim(v))).alias("value"))
+        part = rows.select(key, F.lit(kind).alias("kind"), F.explode(F.transform(F.regexp_extract_all("x", F.lit(f"<(?:[A-Za-z]+:)?{kind}[^>]*>([^<]*)</(?:[A-Za-z]+:)?{kind}>"), 1), lambda v: F.trim(v))).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out.where("value <> ''")
 
