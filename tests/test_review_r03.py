@@ -1,5 +1,6 @@
 """Cases from the third review."""
 
+from veritome.operators import match_run
 from veritome.sources import files
 
 
@@ -12,3 +13,34 @@ def test_book_metadata_leaves_text_as_it_is(spark):
     text = '<p xmlns:dc="x"><dc:title dc:id = "t">token = 1, a b:c=d</dc:title><creator>x =y</creator></p>'
     got = files.book_metadata(spark.createDataFrame([(1, text)], "k int, x string"), "k", "x")
     assert rows(got) == [(1, "creator", "x =y"), (1, "title", "token = 1, a b:c=d")]
+
+
+def test_cases_of_a_hot_block(spark):
+    """A skewed join that is split no longer meets another partitioning in a union."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    keys = spark.range(0, 40_000, 1, 8).selectExpr("'FILE_SHA256' block_type", "if(id % 50 < 49, 'hot', concat('k', id % 1000)) block_key", "concat('o', id) observation_id", "concat('f', id) file_id", "concat('e', id) entity_id")
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        assert match_run.cases(keys).count() == 39_200 - 1 + 800 - 20
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_keys_without_evidence_stand_once(spark):
+    """Many titles of a work that say the same don't multiply what its observations are keyed by; cases stay as they are."""
+    t = {
+        "current": spark.range(20).selectExpr("concat('o', id) observation_id", "concat('f', id) file_id"),
+        "fingerprints": spark.sql("SELECT 1 id, 'FILE_OBSERVATION' target_kind, 'o1' target_id, 'FILE_SHA256' kind, 'sha256' algorithm, 'v1' algorithm_version, 's' value WHERE false"),
+        "resolution_candidates": spark.range(40).selectExpr("id", "'FILE' subject_kind", "concat('f', id % 20) subject_id", "'WORK' candidate_kind", "concat('w', id % 2) candidate_entity_id", "'AUTO_SAFE' disposition", "'x' evidence_digest"),
+        "decisions": spark.sql("SELECT 0L candidate_id, 1 sequence_no, 'DEFER' decision, 'x' evidence_digest"),
+        "identifiers": spark.sql("SELECT 1 id, 'EDITION' target_kind, 'e1' target_id, 'isbn' namespace, '9' value"),
+        "contributions": spark.range(10).selectExpr("id", "'WORK' target_kind", "concat('w', id % 2) target_id", "'a' agent_id", "'author' role"),
+        "assertions": spark.range(100).selectExpr("id", "'WORK' target_kind", "concat('w', id % 2) target_id", "'work.title.normalized' field_name", "'t' value"),
+    }
+    told, once = match_run.block_keys(t), match_run.block_keys(t, evidence=False)
+    assert told.where("block_type = 'AGENT_TITLE'").count() == 20 * 50 and once.where("block_type = 'AGENT_TITLE'").count() == 20
+    assert once.where("block_type = 'RESOLVED_WORK'").count() == 20 and once.columns == [c for c in told.columns if c != "evidence_id"]
+    assert rows(match_run.cases(told)) == rows(match_run.cases(once)) and match_run.cases(once).count() == 1
