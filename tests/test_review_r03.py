@@ -15,18 +15,20 @@ def test_book_metadata_leaves_text_as_it_is(spark):
     assert rows(got) == [(1, "creator", "x =y"), (1, "title", "token = 1, a b:c=d")]
 
 
-def test_cases_of_a_hot_block(spark):
-    """A skewed join that is split no longer meets another partitioning in a union."""
-    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {c: spark.conf.get(c, None) for c in confs}
-    keys = spark.range(0, 40_000, 1, 8).selectExpr("'FILE_SHA256' block_type", "if(id % 50 < 49, 'hot', concat('k', id % 1000)) block_key", "concat('o', id) observation_id", "concat('f', id) file_id", "concat('e', id) entity_id")
+def test_cases_where_a_join_turns_into_a_broadcast(spark, tmp_path):
+    """Stars and pairs are spread by the same keys; a join that is changed while it runs must not meet another number of partitions in a union."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760"}
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold",)}
+    keys = spark.range(0, 4000, 1, 8).selectExpr("if(id % 2 = 0, 'FILE_SHA256', 'EDITION_IDENTIFIER') block_type", "concat('k', id % 40) block_key", "concat('o', id) observation_id", "concat('f', id) file_id", "concat('e', id % 1000) entity_id")
+    keys.write.parquet(f"{tmp_path}/keys")
     try:
         for c, v in confs.items():
             spark.conf.set(c, v)
-        assert match_run.cases(keys).count() == 39_200 - 1 + 800 - 20
+        # 20 stars of 100 files, 20 blocks of 25 editions in all pairs
+        assert match_run.cases(spark.read.parquet(f"{tmp_path}/keys")).count() == 20 * 99 + 20 * 25 * 24 // 2
     finally:
-        for c, v in before.items():
-            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+        for c in confs:
+            spark.conf.unset(c) if before.get(c) is None else spark.conf.set(c, before[c])
 
 
 def test_keys_without_evidence_stand_once(spark):
