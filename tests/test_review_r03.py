@@ -1,6 +1,6 @@
 """Cases from the third review."""
 
-from veritome.operators import match_run
+from veritome.operators import match_run, planning
 from veritome.sources import files
 
 
@@ -46,3 +46,11 @@ def test_keys_without_evidence_stand_once(spark):
     assert told.where("block_type = 'AGENT_TITLE'").count() == 20 * 50 and once.where("block_type = 'AGENT_TITLE'").count() == 20
     assert once.where("block_type = 'RESOLVED_WORK'").count() == 20 and once.columns == [c for c in told.columns if c != "evidence_id"]
     assert rows(match_run.cases(told)) == rows(match_run.cases(once)) and match_run.cases(once).count() == 1
+
+
+def test_volume_sets_fold_names_once(spark):
+    """What stands in the plan of the result reads tables of names, parts and sets; no name is folded again there."""
+    names = spark.createDataFrame([("p", "a.part1.rar"), ("p", "a.part2.rar"), ("p", "b.zip"), ("p", "c.txt"), ("p", "C.TXT")], "parent string, name string")
+    found = planning.volume_sets(names)
+    assert rows(found) == sorted([("p", "a", "LISTED", "a.part1.rar", 2), ("p", "b.zip", "LISTED", "b.zip", 1), ("p", "c.txt", "NAME_COLLISION", None, 2)], key=str)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritome.functions.unicode import casefolded, folded
+from veritome.sources.shared import written
 
 # Limits of an archive that is accepted, and sidecar kinds by file name.
 MEMBERS, TOTAL_BYTES, MEMBER_BYTES, RATIO = 10_000, 8 << 30, 2 << 30, 1000
@@ -90,7 +91,8 @@ def volume_sets(names: DataFrame) -> DataFrame:
     than MOST_VOLUMES files are an UNSUPPORTED_VOLUME. Sets are counts, minima and maxima, so none is held in a list.
     """
     every = names.select("parent", "name", casefolded(F.col("name")).alias("fold"))
-    each = every.groupBy("parent", "fold").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    # read for collisions, heads, parts and single files: folded and counted once
+    each = written(every.groupBy("parent", "fold").agg(F.count("*").alias("n"), F.min("name").alias("name")), "names")
     collisions = each.where("n > 1").select("parent", F.col("fold").alias("logical"), F.lit("NAME_COLLISION").alias("status"), F.lit(None).cast("string").alias("entry"), F.col("n").alias("members"))
     free = each.where("n = 1").drop("n")
 
@@ -99,7 +101,7 @@ def volume_sets(names: DataFrame) -> DataFrame:
 
     family = F.coalesce(*(F.when(F.col("name").rlike(p), F.lit(f)) for f, p, *_ in VOLUMES))
     told = free.withColumn("family", family).withColumn("stem", matched(1)).withColumn("digits", matched(2))
-    parts = told.where("family is not null").withColumn("logical", casefolded(F.col("stem"))).withColumn("number", F.col("digits").cast("int"))
+    parts = written(told.where("family is not null").withColumn("logical", casefolded(F.col("stem"))).withColumn("number", F.col("digits").cast("int")), "parts")
     sets = parts.groupBy("parent", "logical", "family").agg(
         F.count("*").alias("members"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("stem").alias("stem"), F.max("stem").alias("other_stem"),
         F.min(F.length("digits")).alias("width"), F.max(F.length("digits")).alias("other_width"), F.min_by("name", "number").alias("first"),
@@ -107,7 +109,7 @@ def volume_sets(names: DataFrame) -> DataFrame:
     facts = {f: (suffix, start, headed, whole) for f, _, suffix, start, headed, whole in VOLUMES}
     of = lambda i: F.coalesce(*(F.when(F.col("family") == f, F.lit(x[i])) for f, x in facts.items()))
     heads = free.select("parent", F.col("fold").alias("head_fold"), F.col("name").alias("head"))
-    sets = sets.withColumn("head_fold", F.concat("logical", of(0))).join(heads, ["parent", "head_fold"], "left")
+    sets = written(sets.withColumn("head_fold", F.concat("logical", of(0))).join(heads, ["parent", "head_fold"], "left"), "sets")
     headed, has = of(2), F.col("head").isNotNull()
     # a file beside parts that need none is a kind of its own
     kinds = sets.groupBy("parent", "logical").agg((F.count("*") + F.count_if(~headed & has)).alias("kinds"))
