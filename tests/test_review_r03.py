@@ -1,7 +1,7 @@
 """Cases from the third review."""
 
 from veritome.operators import match_run, planning
-from veritome.sources import files
+from veritome.sources import datasources, files
 
 
 def rows(df):
@@ -54,3 +54,13 @@ def test_volume_sets_fold_names_once(spark):
     found = planning.volume_sets(names)
     assert rows(found) == sorted([("p", "a", "LISTED", "a.part1.rar", 2), ("p", "b.zip", "LISTED", "b.zip", 1), ("p", "c.txt", "NAME_COLLISION", None, 2)], key=str)
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listings_of_many_pieces_are_few_tasks(tmp_path):
+    """Every piece is read, in a bounded number of tasks."""
+    (tmp_path / "a.txt").write_bytes(b"Path = x\n" * 10_000)
+    reader = datasources.ListingReader({"path": tmp_path.as_uri(), "bytes_per_partition": "100"})
+    tasks = reader.partitions()
+    pieces = [f[2:] for t in tasks for f in t.files]
+    assert len(tasks) <= datasources.TASKS + 16 and len(pieces) == 900 and sum(b - a for a, b in pieces) == 90_000
+    assert sum(1 for t in tasks for _ in reader.read(t)) == 10_000

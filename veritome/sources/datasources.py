@@ -15,6 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from veritome.sources.files import tar_frames
 
 BYTES_PER_PARTITION = 128 << 20
+#: Pieces are put together until this many tasks are left, or tasks of BYTES_PER_PARTITION: small pieces of large folders aren't a task each.
+TASKS = 128
 _NAMED = re.compile(r"^([A-Za-z][A-Za-z ]*) = ?(.*)$")
 # Names in a listing and their columns.
 LISTED = {"Path": "path", "Size": "size", "Packed Size": "packed", "Attributes": "attributes", "CRC": "crc"}
@@ -52,16 +54,16 @@ class _FolderReader(DataSourceReader):
         if infos[0].type == fs.FileType.Directory:
             infos = store.get_file_info(fs.FileSelector(root, recursive=True))
         found = sorted((i.path.removeprefix(base), i.path, i.size) for i in infos if i.is_file)
+        # names that begin with a dot or an underscore are the writers' own
+        found = [f for f in found if f[2] and not re.search(r"(^|/)[._]", f[0]) and f[0].startswith(self.prefix) and f[0].endswith(self.suffix)]
         out: list[Pieces] = []
-        held = self.most
+        task = max(self.most, min(BYTES_PER_PARTITION, -(-sum(size for *_, size in found) // TASKS)))
+        held = task
         for name, path, size in found:
-            # names that begin with a dot or an underscore are the writers' own
-            if not size or re.search(r"(^|/)[._]", name) or not (name.startswith(self.prefix) and name.endswith(self.suffix)):
-                continue
             step = self.most if self.splits else size
             for start in range(0, size, step):
                 end = min(size, start + step)
-                if held + end - start > self.most:
+                if held + end - start > task:
                     out.append(Pieces([]))
                     held = 0
                 out[-1].files.append((path, name, start, end))
@@ -131,7 +133,7 @@ class TarReader(_FolderReader):
 class ArchiveListing(DataSource):
     """``file, place, path, size, packed, attributes, crc`` of the blocks of ``Name = value`` listings below a path.
 
-    Options: bytes_per_partition, prefix and suffix of ``file``. Values are text as listed, null where a block has none; lines that aren't such pairs are
+    Options: bytes_per_partition (of a piece; a task of a large folder has several), prefix and suffix of ``file``. Values are text as listed, null where a block has none; lines that aren't such pairs are
     passed over, bytes that aren't UTF-8 replaced, of a name given twice in a block the greater value stays.
     """
 
