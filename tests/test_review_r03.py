@@ -1,6 +1,9 @@
 """Cases from the third review."""
 
+import pytest
+
 from veritome.operators import match_run, planning
+from veritome.plans import catalog
 from veritome.sources import datasources, files
 
 
@@ -64,3 +67,9 @@ def test_listings_of_many_pieces_are_few_tasks(tmp_path):
     pieces = [f[2:] for t in tasks for f in t.files]
     assert len(tasks) <= datasources.TASKS + 16 and len(pieces) == 900 and sum(b - a for a, b in pieces) == 90_000
     assert sum(1 for t in tasks for _ in reader.read(t)) == 10_000
+
+
+@pytest.mark.parametrize("name", ["package_candidates"])
+def test_small_files_that_grow_are_spread(spark, name):
+    """What makes much of a small row deals the rows out by number first; a small file was one task."""
+    assert "REPARTITION_BY_NUM" in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

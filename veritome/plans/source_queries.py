@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritome.operators import search
-from veritome.plans.registry import OBS, observations, query, table
+from veritome.plans.registry import OBS, observations, query, spread, table
 from veritome.sources import files, packages, sinks, versions
 from veritome.sources.shared import new_path
 
@@ -25,7 +25,8 @@ def package_candidates(spark, d):
         F.when(F.col("p_size") % 2 == 0, '<meta refines="#c" property="role" scheme="marc:relators">edt</meta>').otherwise(""), '<dc:identifier opf:scheme="ISBN">97', k, "</dc:identifier><dc:identifier>urn:uuid:", k, "</dc:identifier>",
         '<meta property="belongs-to-collection" id="s">Reihe ', s, '</meta><meta refines="#s" property="collection-type">series</meta><meta refines="#s" property="group-position">', s, "</meta></metadata></package>",
     )
-    return packages.candidates(table(spark, d, "part").select(F.col("p_partkey").alias("k"), doc.alias("x")), "k", "x").select("k", "field_path", "value")
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return packages.candidates(parts.select(F.col("p_partkey").alias("k"), doc.alias("x")), "k", "x").select("k", "field_path", "value")
 
 
 @query("SELECT 'n' || cast(n_nationkey AS VARCHAR) || '.epub' AS name, sha256(n_name) AS sha256 FROM nation")
