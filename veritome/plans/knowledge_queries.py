@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritome.plans.registry import query, table
+from veritome.plans.registry import query, spread, table
 from veritome.sources import datasources, knowledge
 from veritome.sources.shared import new_path
 
@@ -27,7 +27,7 @@ def _editions(spark, d):
     title = F.when(k % 10 == 3, k.cast("string")).otherwise(_text('"', F.col("p_name"), F.when(k % 10 == 5, " ").otherwise(""), '"'))
     body = _text('{"key":"/books/OL', k, 'M","title":', title, ',"publishers":["', F.col("p_type"), '","', F.col("p_brand"), '","', F.col("p_type"), '"],"languages":[{"key":"/languages/ger"}],"isbn_13":["', isbn, '","9780306406158"],"works":[{"key":"/works/OL', size, 'W"}],"authors":[{"author":{"key":"/authors/OL', size, 'A"}}]}')
     parts = table(spark, d, "part")
-    records = parts.select(_text("ed", k).alias("record_id"), F.lit("EDITION").alias("endpoint"), body.alias("body"), F.lit(None).cast("string").alias("target_id"))
+    records = spread(parts.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey").select(_text("ed", k).alias("record_id"), F.lit("EDITION").alias("endpoint"), body.alias("body"), F.lit(None).cast("string").alias("target_id"))
     sizes = parts.where("p_size <> 7").select("p_size").distinct()
     own = parts.select(_text("openlibrary.edition:OL", k, "M").alias("key"), _text("e-", k).alias("target_ref"))
     bindings = own.unionByName(sizes.select(_text("openlibrary.work:OL", size, "W").alias("key"), _text("w-", size).alias("target_ref"))).unionByName(parts.select("p_size").distinct().select(_text("openlibrary.author:OL", size, "A").alias("key"), _text("a-", size).alias("target_ref")))
