@@ -44,11 +44,11 @@ def _conditions(preconditions: DataFrame) -> DataFrame:
         required = {*FILE_CONDITIONS, *RELATION_CONDITIONS.values(), REVIEW_CONDITION} | ({KEEPER_CONDITION} if r == "KEEPER" else set())
         # one row of each required code, and no other row
         made.append(sum((F.count_if((role == r) & (code == c)) == 1).cast("int") for c in sorted(required)).alias(f"met_{r}"))
-        made += [F.min(F.when(role == r, F.to_json(signature))).alias(f"low_{r}"), F.max(F.when(role == r, F.to_json(signature))).alias(f"high_{r}"), F.min(F.when(role == r, signature)).alias(f"file_{r}")]
+        made += [F.min(F.when(role == r, signature)).alias(f"file_{r}"), F.max(F.when(role == r, signature)).alias(f"high_{r}")]
         made.append(F.min(F.when((role == r) & (code == REVIEW_CONDITION), named)).alias(f"named_{r}"))
     one = preconditions.groupBy("plan_id").agg(*made)
     required = 2 * (len(FILE_CONDITIONS) + len(RELATION_CONDITIONS) + 1) + 1
-    signed = _same(F.col("low_KEEPER"), F.col("high_KEEPER")) & _same(F.col("low_CANDIDATE"), F.col("high_CANDIDATE"))
+    signed = _same(F.col("file_KEEPER"), F.col("high_KEEPER")) & _same(F.col("file_CANDIDATE"), F.col("high_CANDIDATE"))
     whole = (F.col("n") == required) & (F.col("met_KEEPER") + F.col("met_CANDIDATE") == required)
     return one.select("plan_id", signed.alias("signed"), whole.alias("whole"), *(f"{x}_{r}" for r in ROLES for x in ("file", "named")))
 

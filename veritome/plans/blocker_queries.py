@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritome.operators import blockers, planning
-from veritome.plans.registry import query, table
+from veritome.plans.registry import query, spread, table
 
 _VERSIONS = {"KEEP_PREFERENCE": "keep/1", "CONSOLIDATION_CANDIDATE": "candidate/1"}
 
 
 def _parts(spark, d):
     """Five tables in which orders break one rule or another, by the remainder of their key."""
-    o = table(spark, d, "orders")
+    # by plan from the start: what is made of an order stays in its task, and only keys are shuffled
+    o = spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
     k = F.col("o_orderkey")
     plans = o.select(
         k.alias("plan_id"), F.when(k % 101 != 0, F.when(k % 5 == 0, "SAME_WORK").otherwise("EXACT_DUPLICATE")).alias("relation"), F.lit("FILE").alias("left_kind"), F.lit("FILE").alias("right_kind"),
