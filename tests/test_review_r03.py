@@ -69,7 +69,7 @@ def test_listings_of_many_pieces_are_few_tasks(tmp_path):
     assert sum(1 for t in tasks for _ in reader.read(t)) == 10_000
 
 
-@pytest.mark.parametrize("name", ["package_candidates", "provider_outcomes", "provider_projections", "consolidation_blockers"])
+@pytest.mark.parametrize("name", ["package_candidates", "provider_outcomes", "provider_projections", "consolidation_blockers", "match_scores"])
 def test_small_files_that_grow_are_spread(spark, name):
     """What makes much of a small row deals the rows out by number first; a small file was one task."""
     assert "REPARTITION_BY_NUM" in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
