@@ -1,5 +1,6 @@
 """Cases from the third review."""
 
+import duckdb
 import pytest
 
 from veritome.operators import match_run, planning
@@ -73,3 +74,15 @@ def test_listings_of_many_pieces_are_few_tasks(tmp_path):
 def test_small_files_that_grow_are_spread(spark, name):
     """What makes much of a small row deals the rows out by number first; a small file was one task."""
     assert "REPARTITION_BY_NUM" in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_provider_matches_tell_shared_brands_once(spark, tmp_path):
+    """Parts and suppliers of several brands give a pair once, without an aggregate over all pairs."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT i % 40 AS p_partkey, cast(i % 3 AS INTEGER) AS p_size, 'Brand#' || (i % 5 + 1) || (i % 3 + 1) AS p_brand FROM range(400) t(i)")
+    con.execute("CREATE TABLE supplier AS SELECT i % 60 AS s_suppkey, cast(i % 17 AS INTEGER) AS s_nationkey FROM range(300) t(i)")
+    for t in ("part", "supplier"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    found = catalog.queries()["provider_matches"](spark, str(tmp_path))
+    assert rows(found) == sorted(con.execute(catalog.oracle_sql()["provider_matches"]).fetchall(), key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")

@@ -134,12 +134,16 @@ def routed_identifier(spark, d):
 
 @query("""SELECT DISTINCT p_partkey, s_suppkey FROM part, supplier WHERE p_partkey % 100 = s_suppkey OR (p_size = s_suppkey % 50 AND p_brand = 'Brand#' || cast(s_nationkey % 5 + 1 AS VARCHAR) || cast(s_nationkey % 3 + 1 AS VARCHAR))""")
 def provider_matches(spark, d):
-    """Identifier equal, or title and author equal: two equi-joins, not one join with OR."""
+    """Identifier equal, or title and author equal: two equi-joins, not one join with OR. Each tells a pair once and the second none of the first's, so pairs stream out and are never held to be made distinct."""
     p, s = table(spark, d, "part"), table(spark, d, "supplier")
-    by_id = p.select("p_partkey", (F.col("p_partkey") % 100).alias("s_suppkey")).join(s.select("s_suppkey"), "s_suppkey").select("p_partkey", "s_suppkey")
+    by_id = p.select("p_partkey").distinct().withColumn("s_suppkey", F.col("p_partkey") % 100).join(s.select("s_suppkey").distinct(), "s_suppkey").select("p_partkey", "s_suppkey")
     brand = F.concat(F.lit("Brand#"), (F.col("s_nationkey") % 5 + 1).cast("string"), (F.col("s_nationkey") % 3 + 1).cast("string"))
-    by_name = p.join(s, (F.col("p_size") == F.col("s_suppkey") % 50) & (F.col("p_brand") == brand)).select("p_partkey", "s_suppkey")
-    return by_id.unionByName(by_name).distinct()
+    ours = p.groupBy("p_partkey", "p_size").agg(F.collect_set("p_brand").alias("ours")).select("*", F.explode("ours").alias("brand"))
+    theirs = s.groupBy("s_suppkey").agg(F.collect_set(brand).alias("theirs")).select("s_suppkey", (F.col("s_suppkey") % 50).alias("p_size"), "theirs", F.explode("theirs").alias("brand"))
+    # of several brands that a part and a supplier share, the least tells the pair
+    first = F.when((F.size("ours") > 1) & (F.size("theirs") > 1), F.col("brand") == F.array_min(F.array_intersect("ours", "theirs"))).otherwise(F.lit(True))
+    by_name = ours.join(theirs, ["p_size", "brand"]).where(first & F.coalesce(F.col("p_partkey") % 100 != F.col("s_suppkey"), F.lit(True))).select("p_partkey", "s_suppkey")
+    return by_id.unionByName(by_name)
 
 
 @query("""SELECT page_id, 'title' AS kind, trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) AS value FROM pages WHERE trim(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) <> '' AND NOT regexp_matches(html, '<!(ENTITY)')""")
