@@ -1,11 +1,13 @@
 """Cases from the third review."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from veritome.operators import match_run, planning
 from veritome.plans import catalog
 from veritome.sources import datasources, files
+from veritome.streaming import scan_state
 
 
 def rows(df):
@@ -86,3 +88,27 @@ def test_provider_matches_tell_shared_brands_once(spark, tmp_path):
     found = catalog.queries()["provider_matches"](spark, str(tmp_path))
     assert rows(found) == sorted(con.execute(catalog.oracle_sql()["provider_matches"]).fetchall(), key=str)
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_states_are_told_in_bounded_frames(monkeypatch):
+    """A run's end tells its states piece by piece, and writes no run that it hasn't changed."""
+
+    class Map(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):
+            written.append(key)
+            self[key] = value
+
+        containsKey, getValue = dict.__contains__, dict.__getitem__
+
+    written, scans = [], scan_state.Scans()
+    scans.files, scans.runs = Map(), Map({("old",): ("COMPLETED", None, None)})
+    monkeypatch.setattr(scan_state, "TOLD", 10)
+    none = {"size_bytes": 1, "modified_at": None, "resumed_from": None, "lease_expires_at": None, "status": None, "at": pd.Timestamp("2024-01-01")}
+    marks = [("START", "a", None), *(("SEEN", "a", f"f{i}") for i in range(100)), ("FINISH", "a", None), ("START", "b", None), ("FINISH", "b", None)]
+    told = pd.DataFrame([{"mark": m, "run_id": r, "relative_path": p, "sequence": i, **none} for i, (m, r, p) in enumerate(marks)])
+    frames = list(scans.handleInputRows((0,), iter([told]), None))
+    assert sum(len(f) for f in frames) == 200 and max(len(f) for f in frames[:10]) <= 10
+    assert ("old",) not in written and all(f[2] == "MISSING" for f in scans.files.values())

@@ -11,6 +11,8 @@ from veritome.streaming import scan_state
 
 #: Events in a scan of the role-play below: an event a minute, a scan of eight hours.
 WIDTH = 500
+#: Events of a bucket: a task holds those of one at a time.
+HELD = 150_000
 
 
 def _marks(events):
@@ -43,7 +45,7 @@ def scan_stream(spark, d):
     scan_state.rocksdb(spark)
     out = new_path(spark, "stream")
     read = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
-    states = scan_state.scan_states(_marks(read), buckets=8)
+    states = scan_state.scan_states(_marks(read), buckets=max(8, -(-events.count() // HELD)))
     states.writeStream.option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/states").format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return scan_state.current_files(spark.read.schema(states.schema).parquet(f"{out}/states")).select("relative_path", "presence_state", "misses")
 

@@ -16,6 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Parts of the state; about so many tasks take part, and each holds the files of a bucket while a run ends.
 BUCKETS = 64
+#: States told at a time; more are never held in Python.
+TOLD = 20_000
 # Misses and hours after which an absent file counts as deleted.
 MISSES, HOURS = 3, 24
 MARKS = "mark string, run_id string, relative_path string, size_bytes long, modified_at timestamp, resumed_from string, lease_expires_at timestamp, status string, at timestamp, sequence long"
@@ -43,10 +45,10 @@ class Scans(StatefulProcessor):
     def _known_runs(self) -> dict[str, list]:
         return {k[0]: [v[0], v[1], _time(v[2])] for k, v in self.runs.iterator()}
 
-    def _file(self, held: dict, path: str) -> list | None:
+    def _file(self, held: dict, path: str, whole: bool) -> list | None:
         if path not in held:
             held[path] = None
-            if self.files.containsKey((path,)):
+            if not whole and self.files.containsKey((path,)):
                 v = self.files.getValue((path,))
                 held[path] = [v[0], _time(v[1]), v[2], _time(v[3]), v[4], v[5]]
         return held[path]
@@ -54,7 +56,9 @@ class Scans(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (bucket,) = key
         marks = pd.concat(list(rows)).sort_values("sequence", kind="stable")
-        runs, held, changed, out, whole = self._known_runs(), {}, set(), [], False
+        runs, held, changed, touched, out, present = self._known_runs(), {}, set(), set(), [], {}
+        whole = not runs  # a bucket without a run has no files yet
+        owner = next((r for r, v in runs.items() if v[0] == "RUNNING"), None)
 
         def told(m, path=None, change=None, finding=None) -> None:
             f = held[path] if path is not None and finding is None else None
@@ -62,9 +66,12 @@ class Scans(StatefulProcessor):
 
         for m in marks.itertuples(index=False):
             run, at = _text(m.run_id), _time(m.at)
-            owner = next((r for r, v in runs.items() if v[0] == "RUNNING"), None)
+            if len(out) >= TOLD:
+                yield _frame(out)
+                out.clear()
             if owner and runs[owner][2] is not None and at is not None and at >= runs[owner][2]:
                 out.append((int(bucket), None, owner, None, None, None, None, None, runs[owner][2], "LEASE_ENDED"))
+                touched.add(owner)
                 runs[owner][0], owner = "INTERRUPTED", None  # before its timer could tell
             if m.mark == "START":
                 parent = _text(m.resumed_from)
@@ -73,34 +80,40 @@ class Scans(StatefulProcessor):
                 elif parent is not None and runs.get(parent, [None])[0] != "INTERRUPTED":
                     told(m, finding="RESUME_REFUSED")
                 else:
-                    runs[run] = ["RUNNING", parent, _time(m.lease_expires_at)]
+                    runs[run], owner = ["RUNNING", parent, _time(m.lease_expires_at)], run
+                    touched.add(run)
                     if runs[run][2] is not None:
                         self.handle.registerTimer(int(runs[run][2].timestamp() * 1000))
             elif run != owner or run is None:
                 told(m, _text(m.relative_path), finding="RUN_NOT_OWNED")
             elif m.mark == "SEEN":
                 path, size, modified = _text(m.relative_path), None if pd.isna(m.size_bytes) else int(m.size_bytes), _time(m.modified_at)
-                old = self._file(held, path)
+                old = self._file(held, path, whole)
                 change = "NEW" if old is None else "REAPPEARED" if old[2] != "PRESENT" else "UNCHANGED" if old[:2] == [size, modified] else "MODIFIED"
                 held[path] = [size, modified, "PRESENT", None, 0, run]
+                present[path] = held[path]
                 changed.add(path)
                 told(m, path, change)
             else:
-                runs[run][0] = _text(m.status) or "COMPLETED"
+                runs[run][0], owner = _text(m.status) or "COMPLETED", None
+                touched.add(run)
                 if runs[run][0] != "COMPLETED":
                     continue
                 if not whole:
                     for k, v in self.files.iterator():
                         held.setdefault(k[0], [v[0], _time(v[1]), v[2], _time(v[3]), v[4], v[5]])
-                    whole = True
-                for path in sorted(p for p, f in held.items() if f and f[2] != "DELETED" and f[5] != run):
+                    # what isn't deleted: a run's end passes over no others
+                    present, whole = {p: f for p, f in held.items() if f and f[2] != "DELETED"}, True
+                for path in sorted(p for p, f in present.items() if f[5] != run):
                     f = held[path]
                     f[3], f[4] = (f[3], f[4] + 1) if f[2] == "MISSING" and f[3] is not None else (at, 1)
                     f[2] = "DELETED" if f[4] >= MISSES and at >= f[3] + pd.Timedelta(hours=HOURS) else "MISSING"
+                    if f[2] == "DELETED":
+                        del present[path]
                     changed.add(path)
                     told(m, path, f[2])
-        for run, v in runs.items():
-            self.runs.updateValue((run,), tuple(v))
+        for run in touched:
+            self.runs.updateValue((run,), tuple(runs[run]))
         for path in changed:
             self.files.updateValue((path,), tuple(held[path]))
         yield _frame(out)
