@@ -1,10 +1,12 @@
 """Cases from the third review."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
 
-from veritome.operators import match_run, planning
+from veritome.operators import match_run, planning, snapshot
 from veritome.plans import catalog
 from veritome.sources import datasources, files
 from veritome.streaming import scan_state
@@ -112,3 +114,10 @@ def test_states_are_told_in_bounded_frames(monkeypatch):
     frames = list(scans.handleInputRows((0,), iter([told]), None))
     assert sum(len(f) for f in frames) == 200 and max(len(f) for f in frames[:10]) <= 10
     assert ("old",) not in written and all(f[2] == "MISSING" for f in scans.files.values())
+
+
+def test_evidence_goes_through_joins_as_digests(spark):
+    """Rows of evidence hold 32 bytes in place of the text that they are a digest of."""
+    made = snapshot._rows(spark.sql("SELECT 1 id, 'x' value"), "ANALYSIS", "s", kind="FILE", subject="id")
+    row = made.first()
+    assert "material" not in made.columns and bytes(row["told"]).hex() == hashlib.sha256('s\x1f{"id":1,"value":"x"}'.encode()).hexdigest()

@@ -35,11 +35,13 @@ def _rows(
 ) -> DataFrame:
     """Evidence in the common shape. run: a column with its run, else that of the observation it is about. bound: current only if about the item's own observation. choice: a key and a value that must be the only one under it in a file and scope."""
     said = F.to_json(F.struct(*(F.col(c) for c in sorted(found.columns) if c not in without)))
+    # the digest goes through joins in place of what it is of, as bytes
+    told = F.unhex(F.sha2(F.concat_ws("\u001f", F.lit(source), said), 256))
     key, value = choice or (None, F.lit(None))
     return found.select(
         F.lit(component).alias("component"), F.lit(source).alias("source"), (F.lit(kind) if isinstance(kind, str) else kind).alias("subject_kind"), F.col(subject).cast("string").alias("subject_id"),
         (F.col(run) if run else F.lit(None)).cast("string").alias("run_id"), F.lit(bound).alias("bound"), F.coalesce(conflict if conflict is not None else F.lit(False), F.lit(False)).alias("conflict"),
-        (F.col(key) if key else F.lit(None)).cast("string").alias("choice_key"), value.cast("string").alias("choice"), F.array(*profiles).cast("array<string>").alias("profiles"), said.alias("material"),
+        (F.col(key) if key else F.lit(None)).cast("string").alias("choice_key"), value.cast("string").alias("choice"), F.array(*profiles).cast("array<string>").alias("profiles"), told.alias("told"),
     )
 
 
@@ -204,7 +206,7 @@ def item_evidence(items: DataFrame, found: DataFrame) -> DataFrame:
     meet the items in one more by file.
     """
     keys = ["file_id", "component", "scope", F.when(F.col("bound"), F.col("subject_id")).alias("bound_id"), "choice_key"]
-    hashed = found.select("file_id", "component", "scope", "bound", "subject_id", "choice_key", "choice", "conflict", *_lanes(F.col("told")))
+    hashed = found.select("file_id", "component", "scope", "bound", "subject_id", "choice_key", "choice", "conflict", *_lanes(F.hex("told")))
     sums = hashed.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_or("conflict").alias("c"), F.min("choice").alias("low"), F.max("choice").alias("high"), *(F.sum(f"lane{i}").alias(f"lane{i}") for i in range(_LANES)))
     several = F.col("choice_key").isNotNull() & (F.col("low") != F.col("high"))
     # only the component of analysis asks for one value in current evidence alone
@@ -304,10 +306,9 @@ def build(t: Tables, source_run: str, components: Sequence[str] = COMPONENTS) ->
 
 
 def load(t: Tables, source_run: str, components: Sequence[str] = COMPONENTS) -> DataFrame:
-    """The evidence of some components, and what is technical, at files and in scope; ``told`` is a digest of source and material."""
+    """The evidence of some components, and what is technical, at files and in scope; ``told`` is a digest of source and material, as bytes."""
     rows = [technical(t), *(LOADERS[c](t) for c in components)]
     scopes = timeline(t["runs"], source_run)
     found = at_files(reduce(DataFrame.unionByName, rows), t["observations"], scopes)
     # events and fingerprints of the content are the item's own or none
-    found = found.where((F.col("component") != "TECHNICAL") | (F.col("scope") != "STALE"))
-    return found.withColumn("told", F.sha2(F.concat_ws("\u001f", "source", "material"), 256)).drop("material")
+    return found.where((F.col("component") != "TECHNICAL") | (F.col("scope") != "STALE"))
