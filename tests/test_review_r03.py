@@ -1,12 +1,13 @@
 """Cases from the third review."""
 
+import contextlib
 import hashlib
 
 import duckdb
 import pandas as pd
 import pytest
 
-from veritome.operators import match_run, planning, snapshot
+from veritome.operators import incremental, match_run, planning, relational, snapshot
 from veritome.plans import catalog
 from veritome.sources import datasources, files
 from veritome.streaming import scan_state
@@ -121,3 +122,38 @@ def test_evidence_goes_through_joins_as_digests(spark):
     made = snapshot._rows(spark.sql("SELECT 1 id, 'x' value"), "ANALYSIS", "s", kind="FILE", subject="id")
     row = made.first()
     assert "material" not in made.columns and bytes(row["told"]).hex() == hashlib.sha256('s\x1f{"id":1,"value":"x"}'.encode()).hexdigest()
+
+
+@pytest.fixture
+def deals(monkeypatch):
+    """The rows that ``relational.dealt`` was told of, and what the session then said."""
+    told, before = [], relational.dealt
+
+    @contextlib.contextmanager
+    def seen(spark, rows, per_task=relational.PER_TASK):
+        with before(spark, rows, per_task):
+            told.append((rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+            yield
+
+    for module in (incremental,):
+        monkeypatch.setattr(module, "dealt", seen)
+    return told
+
+
+def test_shuffles_follow_the_rows_while_they_are_dealt(spark):
+    """More rows are more tasks; the session's settings come back, after an error too."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(c) for c in names]
+    with relational.dealt(spark, 101, per_task=10):
+        assert spark.conf.get(names[0]) == "11" and spark.range(9).selectExpr("id % 3 k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString().count(", 11)") > 0
+    with relational.dealt(spark, 5):
+        assert spark.conf.get(names[0]) == before[0]
+    with pytest.raises(ValueError), relational.dealt(spark, 10**9):
+        raise ValueError
+    assert [spark.conf.get(c) for c in names] == before
+
+
+@pytest.mark.parametrize("name, rows", [("run_lineage", 1500)])
+def test_what_is_sorted_is_dealt_by_rows(spark, deals, name, rows):
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert deals and max(n for n, _ in deals) >= rows

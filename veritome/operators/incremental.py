@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.functions.scalars import change_state, deletion_confirmed, path_change
+from veritome.operators.relational import dealt
 
 # Evidence that a moved file is the same, best first.
 EVIDENCE = (("FILE_SHA256", 2), ("QUICK_FILE", 1))
@@ -68,12 +69,13 @@ def lineage(runs: DataFrame, rounds: int = 40) -> DataFrame:
     known = runs.select(F.col("run_id").alias("parent"))
     way = runs.select("run_id", F.col("resumed_from").alias("parent")).join(known.withColumn("known", F.lit(True)), "parent", "left")
     way = way.select("run_id", F.when(F.col("known"), F.col("parent")).alias("next"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps"), F.when(F.col("known"), F.col("parent")).otherwise(F.col("run_id")).alias("first_run"))
-    for _ in range(rounds):
-        path = new_path(spark, "lineage")
-        way.write.parquet(path)
-        way = spark.read.parquet(path)
-        if way.where("next is not null").isEmpty():
-            return way.select("run_id", "first_run", F.col("steps").alias("resumptions"))
-        on = way.select(F.col("run_id").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("first_run").alias("first"))
-        way = way.join(on, "next", "left").select("run_id", F.col("after").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("first", "first_run").alias("first_run"))
+    with dealt(spark, runs.count()):
+        for _ in range(rounds):
+            path = new_path(spark, "lineage")
+            way.write.parquet(path)
+            way = spark.read.parquet(path)
+            if way.where("next is not null").isEmpty():
+                return way.select("run_id", "first_run", F.col("steps").alias("resumptions"))
+            on = way.select(F.col("run_id").alias("next"), F.col("next").alias("after"), F.col("steps").alias("more"), F.col("first_run").alias("first"))
+            way = way.join(on, "next", "left").select("run_id", F.col("after").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("first", "first_run").alias("first_run"))
     raise ValueError("runs resume each other in a circle")
