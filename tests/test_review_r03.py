@@ -135,7 +135,7 @@ def deals(monkeypatch):
             told.append((rows, int(spark.conf.get("spark.sql.shuffle.partitions"))))
             yield
 
-    for module in (incremental, postings):
+    for module in (incremental, postings, snapshot):
         monkeypatch.setattr(module, "dealt", seen)
     return told
 
@@ -153,7 +153,7 @@ def test_shuffles_follow_the_rows_while_they_are_dealt(spark):
     assert [spark.conf.get(c) for c in names] == before
 
 
-@pytest.mark.parametrize("name, rows", [("run_lineage", 1500), ("indexed_page", 6000), ("indexed_search", 6000)])
+@pytest.mark.parametrize("name, rows", [("run_lineage", 1500), ("indexed_page", 6000), ("indexed_search", 6000), ("snapshot_analysis", 6000)])
 def test_what_is_sorted_is_dealt_by_rows(spark, deals, name, rows):
     catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert deals and max(n for n, _ in deals) >= rows

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritome.operators.relational import ordered_digest
+from veritome.operators.relational import dealt, ordered_digest
 from veritome.operators.state import COMPONENTS
 from veritome.sources.shared import written
 
@@ -233,6 +233,12 @@ def item_evidence(items: DataFrame, found: DataFrame) -> DataFrame:
     return wide.drop("file__")
 
 
+def items_written(items: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """``item_evidence`` as a table, made by tasks whose number follows the ``rows`` of the largest table of evidence."""
+    with dealt(items.sparkSession, rows):
+        return written(item_evidence(items, found), "items")
+
+
 def item_rows(wide: DataFrame) -> DataFrame:
     """``file_id, component, state, n, digest`` for each item and component; the input of ``state.item_findings`` and ``state.diffable``."""
     return wide.select("file_id", F.explode(F.array(*(F.struct(F.lit(c).alias("component"), f"{c}.state", f"{c}.n", f"{c}.digest") for c in COMPONENTS))).alias("x")).select("file_id", "x.*")

@@ -134,7 +134,7 @@ st AS (SELECT it.file_id, comp.ordinal, comp.component, count(ev.scope) AS n, CA
 def _component(name: str):
     def run(spark, d):
         t = tables(spark, d)
-        wide = snapshot.item_evidence(snapshot.items_of(t["observations"], t["files"], SOURCE), snapshot.load(t, SOURCE, [name]))
+        wide = snapshot.items_written(snapshot.items_of(t["observations"], t["files"], SOURCE), snapshot.load(t, SOURCE, [name]), table(spark, d, "lineitem").count())
         return snapshot.item_rows(wide).where(F.col("component") == name).select("file_id", "state", "n")
 
     run.__name__ = f"snapshot_{name.lower()}"
