@@ -2,11 +2,14 @@
 
 import contextlib
 import hashlib
+import re
+import unicodedata
 
 import duckdb
 import pandas as pd
 import pytest
 
+from veritome.functions import unicode
 from veritome.operators import incremental, match_run, planning, postings, relational, snapshot
 from veritome.plans import catalog
 from veritome.sources import datasources, files
@@ -124,6 +127,19 @@ def test_evidence_goes_through_joins_as_digests(spark):
     assert "material" not in made.columns and bytes(row["told"]).hex() == hashlib.sha256('s\x1f{"id":1,"value":"x"}'.encode()).hexdigest()
 
 
+def test_text_that_nfkc_leaves_alone_stays_in_the_jvm(spark):
+    """Letters with marks that are one character each need no Python; whatever could change goes there, with the same results."""
+    stable = [c for c in map(chr, range(0x30000)) if re.match(f"[{unicode.STABLE}]", c)]
+    nfkc = lambda x: unicodedata.normalize("NFKC", x)
+    assert all(nfkc(c) == c and not unicodedata.combining(c) and (c.isascii() or not c.isspace()) for c in stable)
+    assert nfkc("".join(stable)) == "".join(stable) and nfkc("".join(stable[::-1])) == "".join(stable[::-1])
+    texts = ["Stra\u00dfe  \u00c9t\u00e9\t\u00f1", "".join(stable), "e\u0301 \ufb01", "\ufeffa\u00a0b", "\u1100\u1161 x", "\U0001d400\u3000y", "a\u0085b", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = frame.select("i", unicode.normal_text(frame.x).alias("n"), unicode.is_stable(frame.x).alias("s")).collect()
+    assert [r.n for r in sorted(got)] == [None if t is None else unicode.text_rule(t) for t in texts]
+    assert [r.s for r in sorted(got)] == [True, True, False, False, False, False, False, True, None]
+
+
 @pytest.fixture
 def deals(monkeypatch):
     """The rows that ``relational.dealt`` was told of, and what the session then said."""
