@@ -43,6 +43,23 @@ def test_cases_where_a_join_turns_into_a_broadcast(spark, tmp_path):
             spark.conf.unset(c) if before.get(c) is None else spark.conf.set(c, before[c])
 
 
+@pytest.mark.parametrize("adaptive", ["-1", "10485760"])
+def test_match_run_twice_where_joins_are_planned_as_shuffles(spark, adaptive):
+    """The whole query where no join is a broadcast when it is planned, and may or may not become one while it runs."""
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": adaptive}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        assert rows(catalog.queries()["match_run_twice"](spark, "/root/testdata/sf0.001")) == sorted(con.execute(catalog.oracle_sql()["match_run_twice"]).fetchall(), key=str)
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
 def test_keys_without_evidence_stand_once(spark):
     """Many titles of a work that say the same don't multiply what its observations are keyed by; cases stay as they are."""
     t = {
